@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import quote_link, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
+    "op6_url_filter": url_filter.query,
+    "op7_quote_link": quote_link.query,
+    "op8_top_k": topk.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quote_link": quote_link.SQL,
+    "op8_top_k": topk.SQL,
+}
