@@ -9,6 +9,7 @@ Spark shuffle, so lost executors are recomputed.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 from functools import lru_cache
@@ -165,6 +166,26 @@ def packed(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def squeezed(a: np.ndarray) -> bytes:
+    """Packed and compressed, with the length before it."""
+    raw = packed(a)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unsqueezed(tab: pa.Table, name: str, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True), dtype) for x in tab.column(name).to_pylist()]
+
+
+def tidy(out: pa.Table) -> pa.Table:
+    """Give memory that is free again back to the machine before the next group."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+    return out
+
+
 def blobs(tab: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in tab.column(name).to_pylist()]
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, PrefixHash, U, batch_count, blobs, find, groups_of, in_batches, joined, mix, packed, pieces, spread, texts_of
+from .common import NO_ID, PrefixHash, U, batch_count, blobs, find, groups_of, in_batches, joined, mix, packed, pieces, spread, squeezed, texts_of, tidy, unsqueezed
 
 LENGTH, K = 50, 26
 #: Bytes of text in a batch, and handled at once in it.
@@ -135,8 +135,8 @@ def _stretches(docs: pa.Table, answers: pa.Table, bits: int, seed: int) -> pa.Ta
     for x in np.split(at, cut[1:]) if len(cut) else []:
         out["offset"].append(packed((a.place[x] - a.first[x]).astype(np.uint8)))
         out["windows"].append(packed(a.windows[x].astype(np.uint8)))
-        out["ids"].append(packed(a.ids[a.text[x]]))
-        out["body"].append(packed(a.data[spread(a.first[x], a.windows[x] + LENGTH - 1)]))
+        out["ids"].append(squeezed(a.ids[a.text[x]]))
+        out["body"].append(squeezed(a.data[spread(a.first[x], a.windows[x] + LENGTH - 1)]))
     b = docs.column("batch")[0].as_py()
     return pa.table({"bucket": pa.array(bucket[cut], pa.int32()), "batch": pa.array(np.full(len(cut), b), pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
 
@@ -203,7 +203,7 @@ class SuffixOrder:
 def _smallest(tab: pa.Table, seed: int) -> pa.Table:
     """Round 2, bucket: for each window of each stretch the smallest id that holds it, as runs, to each batch."""
     offset, windows = (joined(blobs(tab, c, np.uint8), np.uint8).astype(np.int64) for c in ("offset", "windows"))
-    ids, data = joined(blobs(tab, "ids", np.int64), np.int64), joined(blobs(tab, "body", np.uint8), np.uint8)
+    ids, data = joined(unsqueezed(tab, "ids", np.int64), np.int64), joined(unsqueezed(tab, "body", np.uint8), np.uint8)
     count = np.array([len(x) for x in blobs(tab, "offset", np.uint8)])
     start = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
     prefix = PrefixHash(data, seed)
@@ -297,16 +297,16 @@ def _cut(docs: pa.Table, answers: pa.Table, seed: int) -> pa.Table:
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), seed: int = 1, batch_bytes: int = BATCH) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, body, kept): body holds the bytes that stay, kept a struct of the columns keep."""
     n, total = batch_count(docs, batch_bytes, text)
-    bits = min(24, max(3, (max(1, total) >> 21).bit_length()))  # buckets for about 2 MB of text each
+    bits = min(24, max(3, (max(1, total) >> 20).bit_length()))  # buckets for about 1 MB of text each
     batched = in_batches(docs, n, key, text, keep)
-    seen = batched.groupBy("batch").applyInArrow(lambda t: _seen(t, bits, seed), "bucket int, batch int, body binary")
+    seen = batched.groupBy("batch").applyInArrow(lambda t: tidy(_seen(t, bits, seed)), "bucket int, batch int, body binary")
     shared = seen.groupBy("bucket").applyInArrow(_shared, "batch int, bucket int, body binary")
-    out = batched.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda d, s: _stretches(d, s, bits, seed), "bucket int, batch int, offset binary, windows binary, ids binary, body binary")
-    least = out.groupBy("bucket").applyInArrow(lambda t: _smallest(t, seed), "batch int, stretch binary, runs binary, lengths binary, ids binary")
+    out = batched.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda d, s: tidy(_stretches(d, s, bits, seed)), "bucket int, batch int, offset binary, windows binary, ids binary, body binary")
+    least = out.groupBy("bucket").applyInArrow(lambda t: tidy(_smallest(t, seed)), "batch int, stretch binary, runs binary, lengths binary, ids binary")
     schema = "id long, n_bytes long, n_removed long, n_spans long, body binary"
     if keep:
         schema += f", kept {batched.schema['kept'].dataType.simpleString()}"
-    cut = batched.groupBy("batch").cogroup(least.groupBy("batch")).applyInArrow(lambda d, s: _cut(d, s, seed), schema)
+    cut = batched.groupBy("batch").cogroup(least.groupBy("batch")).applyInArrow(lambda d, s: tidy(_cut(d, s, seed)), schema)
     return cut.withColumn("id", F.nullif(F.col("id"), F.lit(int(NO_ID))))
 
 
