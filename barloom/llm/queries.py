@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import quote_link, suffix_dedup, topk, url_filter
+from . import ctw, quote_link, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op6_url_filter": url_filter.query,
     "op7_quote_link": quote_link.query,
     "op8_top_k": topk.query,
+    "op10_context_tree_weighting": ctw.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
