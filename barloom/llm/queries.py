@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import ctw, quote_link, suffix_dedup, topk, url_filter
+from . import bpe, ctw, html_extract, quote_link, suffix_dedup, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
+    "op2_toxicity": toxicity.query,
+    "op3_html_extract": html_extract.query,
     "op6_url_filter": url_filter.query,
     "op7_quote_link": quote_link.query,
     "op8_top_k": topk.query,
+    "op9_bpe": bpe.query,
     "op10_context_tree_weighting": ctw.query,
 }
 
