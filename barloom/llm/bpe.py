@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import pieces, spread
+from .common import pieces, saved, spread
 
-LEXICON_WORDS, PIECE, CACHE, LONG_WORD, NO_RANK = 32768, 1 << 20, 400_000, 64, 1 << 30
+LEXICON_WORDS, PIECE, CACHE, LONG_WORD, NO_RANK = 32768, 1 << 20, 200_000, 64, 1 << 30
 SPACE = r"\t-\r \x85\xa0  -     　"
 TAIL = rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: The pattern that splits text into words; the second is quicker and the same on texts without the characters of ODD.
@@ -290,10 +290,18 @@ def _word_counts(batches):
 
 
 def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
-    """The commonest words with the space before them, by counts over all documents (ties by word)."""
+    """The commonest words with the space before them, by counts over all documents, at most limit of them."""
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_word_counts, "word string, n long")
-    top = counts.where("octet_length(word) BETWEEN 1 AND 64").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [p for r in top.collect() for p in split_words(" " + r["word"])]
+    counts = saved(counts.where("octet_length(word) BETWEEN 1 AND 64").groupBy("word").agg(F.sum("n").alias("n")))
+    # the count from which at most `limit` words are left, from a histogram of counts in steps of an eighth octave
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, total = 1 << 30, 0
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["step"]
+    return [p for r in counts.where(step >= least).orderBy("word").collect() for p in split_words(" " + r["word"])]
 
 
 def save_lexicon(arrays: dict[str, np.ndarray]) -> str:
@@ -345,19 +353,29 @@ def _sizes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ends - size, ends
 
 
-def bpe_encode(docs: DataFrame, lexicon: str, text: str = "text", name: str = "ids") -> DataFrame:
-    """docs with the token ids of the text."""
+def _encoded(tok: Tokenizer, b: pa.RecordBatch, text: str, pieces_of: int):
+    """Slices of a batch with their ids and counts."""
+    col = b.column(b.schema.get_field_index(text))
+    for i, j in pieces(*_sizes(col), pieces_of):
+        yield b.slice(i, j - i), *tok.encode(col.slice(i, j - i).to_pylist())
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+
+
+def bpe_encode(docs: DataFrame, lexicon: str, text: str = "text", name: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the token ids of the text and, if asked for, the text decoded from these ids again."""
+    schema = StructType([*docs.schema, StructField(name, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])])
 
     def run(batches):
         tok = _tokenizer(lexicon)
         for b in batches:
-            col = b.column(b.schema.get_field_index(text))
-            for i, j in pieces(*_sizes(col), PIECE):
-                ids, counts = tok.encode(col.slice(i, j - i).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield from pa.Table.from_batches([b.slice(i, j - i)]).append_column(name, lists).to_batches()
+            for part, ids, counts in _encoded(tok, b, text, PIECE):
+                tab = pa.Table.from_batches([part]).append_column(name, _lists(ids, counts))
+                yield from (tab.append_column(decoded, pa.array(tok.decode(ids, counts), pa.string())) if decoded else tab).to_batches()
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, ArrayType(IntegerType()))]))
+    return docs.mapInArrow(run, schema)
 
 
 def bpe_decode(encoded: DataFrame, lexicon: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -385,7 +403,7 @@ def default_tokenizer() -> str:
 
 def digests(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
     lexicon = build_lexicon(spark, docs, tokenizer_path)
-    out = bpe_decode(bpe_encode(docs.select("doc_id", "text"), lexicon), lexicon)
+    out = bpe_encode(docs.select("doc_id", "text"), lexicon, decoded="decoded")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
