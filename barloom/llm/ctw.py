@@ -7,11 +7,10 @@ visited to the root, mixing the estimates of all depths by their posterior weigh
 logarithm of the text's probability, -log10(2) times its code length in bits. A text starts in the context of DEPTH
 zero bytes and ends with one more zero byte as its end.
 
-The probability of a byte depends on the DEPTH bytes before it only. So batches send their distinct strings of
-DEPTH + 1 bytes with training counts, dealt by the last two context bytes, whose subtrees are whole in their bucket; a
-bucket answers each batch with the log-probabilities of its strings. The nodes above (contexts of 0 and 1 bytes) need
-the sums of all subtrees: a table of a fixed size, 257 x 255 nodes, made in a round before. Words are counted in the
-same way, by hash.
+The probability of a byte depends on the DEPTH bytes before it only. So the distinct strings of DEPTH + 1 bytes are
+counted, dealt by the last two context bytes, whose subtrees are whole in their bucket. The nodes above (contexts of 0
+and 1 bytes) need the sums of all subtrees: a table of a fixed size, 257 x 255 nodes. Then batches of documents ask the
+buckets for the log-probabilities of their distinct strings and sum the answers. Words go the same way, by hash.
 
 Defined results: null text is empty and scores its end only; training rows are those with crc32(id) mod 5 <> 1; with no
 training rows every estimate is its prior; an empty table gives no rows; repeated rows train as often as they occur.
@@ -23,10 +22,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, U, Words, batch_count, find, groups_of, in_batches, joined, pieces, squeezed, texts_of, tidy, unsqueezed
+from .common import NO_ID, U, Words, batch_count, find, groups_of, in_batches, joined, pieces, saved, squeezed, texts_of, tidy, unsqueezed
 
 DEPTH = 5
 BATCH, PIECE = 8 << 20, 1 << 20
@@ -100,17 +100,9 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]):
     return k[run], np.add.reduceat(c, run) if len(run) else c
 
 
-def _rows(kind: int, batch: int, bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-    order = np.argsort(bucket, kind="stable")
-    bucket, keys, counts = bucket[order], keys[order], counts[order]
-    cut = groups_of(bucket)
-    return [(kind, int(b), batch, squeezed(np.diff(k, prepend=U(0))), squeezed(c)) for b, k, c in zip(bucket[cut], np.split(keys, cut[1:]), np.split(counts, cut[1:]), strict=True)]
-
-
-def _count(tab: pa.Table, depth: int, buckets: int) -> pa.Table:
-    """Batch: distinct grams (kind 0) and word hashes (kind 1) with their counts in training rows."""
-    b = Batch(tab)
-    grams, gram_counts, words, word_counts = [], [], [], []
+def _distinct(b: Batch, depth: int):
+    """Distinct grams and word hashes of the texts, with their counts in training rows."""
+    grams, gram_counts, words, word_counts = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for i, j in b.parts():
         g, text = _grams(b.data, b.starts[i:j], b.ends[i:j], depth)
         u, inv = np.unique(g, return_inverse=True)
@@ -124,12 +116,56 @@ def _count(tab: pa.Table, depth: int, buckets: int) -> pa.Table:
         word_counts.append(np.bincount(inv, weights=t, minlength=len(u)).astype(np.int64))
         if len(grams) > 3:
             grams, gram_counts = ([x] for x in _merge(grams, gram_counts))
-    batch = tab.column("batch")[0].as_py()
-    k, c = _merge(grams, gram_counts)
-    rows = _rows(0, batch, _context_bucket(k, buckets), k, c.astype(np.uint32))
-    k, c = _merge(words, word_counts)
-    rows += _rows(1, batch, ((k >> U(40)) % U(buckets)).astype(np.int64), k, c.astype(np.uint32))
-    return pa.table({c: pa.array(v, t) for c, v, t in zip(("kind", "bucket", "batch", "keys", "counts"), zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+    return _merge(grams, gram_counts), _merge(words, word_counts)
+
+
+def _dealt(keys: tuple[np.ndarray, np.ndarray], kind: int, buckets: int):
+    """Keys and counts by bucket, ascending within: the order of requests, and so of answers."""
+    k, c = keys
+    bucket = _context_bucket(k, buckets) if kind == 0 else ((k >> U(40)) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    k, c, bucket = k[order], c[order], bucket[order]
+    cut = groups_of(bucket)
+    return k, c, bucket[cut], cut
+
+
+def _count(batches, depth: int, buckets: int):
+    """Training counts of grams (kind 0) and word hashes (kind 1), per bucket."""
+    for b in batches:
+        for i in range(0, b.num_rows, 4096):
+            found = _distinct(Batch(pa.Table.from_batches([b.slice(i, 4096)])), depth)
+            for kind in (0, 1):
+                k, c, bucket, cut = _dealt(tuple(x[found[kind][1] > 0] for x in found[kind]), kind, buckets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(cut), kind), pa.int32()), pa.array(bucket, pa.int32()), *(pa.array([squeezed(y) for y in np.split(x, cut[1:])] if len(cut) else [], pa.binary()) for x in (_steps(k, cut), c.astype(np.uint32)))],
+                    ["kind", "bucket", "keys", "counts"],
+                )
+
+
+def _steps(k: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Differences of the keys within each part."""
+    d = np.diff(k, prepend=U(0))
+    d[cut] = k[cut]
+    return d
+
+
+def _summed(tab: pa.Table) -> pa.Table:
+    """Bucket: all batches' counts as one row."""
+    k, c = _merge(_keys(tab), [x.astype(np.int64) for x in unsqueezed(tab, "counts", np.uint32)])
+    return pa.table({"kind": tab.column("kind").slice(0, 1), "bucket": tab.column("bucket").slice(0, 1), "keys": pa.array([squeezed(_steps(k, np.zeros(1, int)))], pa.binary()), "counts": pa.array([squeezed(c)], pa.binary())})
+
+
+def _ask(tab: pa.Table, depth: int, buckets: int) -> pa.Table:
+    """Batch: its distinct keys, per bucket."""
+    found = _distinct(Batch(tab), depth)
+    parts = []
+    for kind in (0, 1):
+        k, _, bucket, cut = _dealt(found[kind], kind, buckets)
+        parts.append(pa.table({
+            "kind": pa.array(np.full(len(cut), kind), pa.int32()), "bucket": pa.array(bucket, pa.int32()), "batch": pa.array(np.full(len(cut), tab.column("batch")[0].as_py()), pa.int32()),
+            "keys": pa.array([squeezed(x) for x in np.split(_steps(k, cut), cut[1:])] if len(cut) else [], pa.binary()),
+        }))
+    return pa.concat_tables(parts)
 
 
 def _keys(tab: pa.Table) -> list[np.ndarray]:
@@ -199,17 +235,15 @@ def _predict(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
 
 
 def _tops(tab: pa.Table, depth: int) -> pa.Table:
-    """Bucket, first round: for each node of a two-byte context its counts and weighted probability; words: N and V."""
+    """Bucket: for each node of a two-byte context its counts and weighted probability; words (node -1): V and N."""
+    k, c = _keys(tab)[0], unsqueezed(tab, "counts", np.int64)[0]
     if tab.column("kind")[0].as_py() == 1:
-        k, c = _merge(_keys(tab), [x.astype(np.int64) for x in unsqueezed(tab, "counts", np.uint32)])
-        out = [(-1, int((c > 0).sum()), int(c.sum()), 0.0)]
-        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("weighted", pa.float64())))})
-    k, c = _merge(_keys(tab), [x.astype(np.int64) for x in unsqueezed(tab, "counts", np.uint32)])
-    levels = _subtree(k, c, depth)
-    top = levels[0]
-    parent, inv = np.unique(top.parent_keys(), return_inverse=True)
-    sums = [np.bincount(inv, weights=x, minlength=len(parent)) for x in (top.a, top.b, top.weighted)] if len(parent) else [np.zeros(0)] * 3
-    return pa.table({"node": pa.array(parent.astype(np.int64)), "a": pa.array(sums[0].astype(np.int64)), "b": pa.array(sums[1].astype(np.int64)), "weighted": pa.array(sums[2])})
+        node, sums = np.array([-1]), [np.array([len(c)]), np.array([c.sum()]), np.zeros(1)]
+    else:
+        top = _subtree(k, c, depth)[0]
+        node, inv = np.unique(top.parent_keys(), return_inverse=True)
+        sums = [np.bincount(inv, weights=x, minlength=len(node)) for x in (top.a, top.b, top.weighted)] if len(node) else [np.zeros(0)] * 3
+    return pa.table({"node": pa.array(node.astype(np.int64)), "a": pa.array(sums[0].astype(np.int64)), "b": pa.array(sums[1].astype(np.int64)), "weighted": pa.array(sums[2], pa.float64())})
 
 
 def _subtree(k: np.ndarray, c: np.ndarray, depth: int) -> list[Level]:
@@ -236,37 +270,40 @@ def upper_levels(node: np.ndarray, a: np.ndarray, b: np.ndarray, weighted: np.nd
     return [zero, one]
 
 
-def _answer(tab: pa.Table, depth: int, upper: list[Level]) -> pa.Table:
-    """Bucket, second round: to each batch its grams' ln probabilities, or its words' counts."""
-    kind = tab.column("kind")[0].as_py()
-    keys = _keys(tab)
-    k, c = _merge(keys, [x.astype(np.int64) for x in unsqueezed(tab, "counts", np.uint32)])
-    if kind == 1:
-        value = c
+def _answer(asked: pa.Table, counts: pa.Table, depth: int, upper: list[Level]) -> pa.Table:
+    """Bucket: to each batch its grams' ln probabilities, or its words' counts, in the order asked."""
+    if not asked.num_rows:
+        return pa.table({"batch": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "answers": pa.array([], pa.binary())})
+    keys = _keys(asked)
+    k = np.unique(np.concatenate(keys))
+    have, c = (_keys(counts)[0], unsqueezed(counts, "counts", np.int64)[0]) if counts.num_rows else (np.zeros(0, U), np.zeros(0, np.int64))
+    if asked.column("kind")[0].as_py() == 1:
+        at = find(have, k)
+        value = np.where(at >= 0, c[at] if len(c) else 0, 0).astype(np.int64)
     else:
-        levels = upper + _subtree(k, c, depth)
-        value = np.concatenate([_predict(k[i : i + 200_000], levels) for i in range(0, len(k), 200_000)]).astype(np.float32)
-    body = [squeezed(value[find(k, x)]) for x in keys]
-    return pa.table({"batch": tab.column("batch"), "kind": tab.column("kind"), "keys": tab.column("keys"), "values": pa.array(body, pa.binary())})
+        levels = upper + _subtree(have, c, depth)
+        value = np.concatenate([_predict(k[i : i + 100_000], levels) for i in range(0, len(k), 100_000)]).astype(np.float32)
+    return pa.table({"batch": asked.column("batch"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "answers": pa.array([squeezed(value[np.searchsorted(k, x)]) for x in keys], pa.binary())})
 
 
-def _score(docs: pa.Table, answers: pa.Table, depth: int, n: int, v: int) -> pa.Table:
+def _score(docs: pa.Table, answers: pa.Table, depth: int, buckets: int, n: int, v: int) -> pa.Table:
     """Batch: sum the answers over each text's places and words."""
     b = Batch(docs)
-    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    found = _distinct(b, depth)
+    known = []
     for kind, dtype in ((0, np.float32), (1, np.int64)):
-        part = answers.filter(pa.compute.equal(answers.column("kind"), kind))
-        k, x = joined(_keys(part), U), joined(unsqueezed(part, "values", dtype), dtype)
+        part = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("bucket")
+        k = _dealt(found[kind], kind, buckets)[0]
         order = np.argsort(k)
-        known[kind] = (k[order], x[order])
+        known.append((k[order], joined(unsqueezed(part, "answers", dtype), dtype)[order]))
     score, base, tokens, hits = (np.zeros(len(b.starts)) for _ in range(4))
     for i, j in b.parts():
         g, text = _grams(b.data, b.starts[i:j], b.ends[i:j], depth)
-        score[i:j] = np.bincount(text, weights=known[0][1][find(known[0][0], g)].astype(np.float64), minlength=j - i) / LN10
+        score[i:j] = np.bincount(text, weights=known[0][1][np.searchsorted(known[0][0], g)].astype(np.float64), minlength=j - i) / LN10
         w = b.words(i, j)
         h = np.concatenate([w.hash, np.full(j - i, END_OF_TEXT)])
         t = np.concatenate([w.text, np.arange(j - i)])
-        c = known[1][1][find(known[1][0], h)]
+        c = known[1][1][np.searchsorted(known[1][0], h)]
         base[i:j] = np.bincount(t, weights=np.log10((c + 0.5) / (n + 0.5 * (v + 1))), minlength=j - i)
         tokens[i:j], hits[i:j] = np.bincount(t, minlength=j - i), np.bincount(t, weights=c > 0, minlength=j - i)
     return pa.table({
@@ -283,17 +320,19 @@ def ctw_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth:
     buckets = min(FINEST, max(8, total >> 20))
     held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     batched = in_batches(docs, n, key, text).withColumn("train", ~held_out)
-    counted = batched.groupBy("batch").applyInArrow(lambda t: tidy(_count(t, depth, buckets)), "kind int, bucket int, batch int, keys binary, counts binary")
+    training = batched.where("train").select("text", "train")
+    counts = saved(training.mapInArrow(lambda it: _count(it, depth, buckets), "kind int, bucket int, keys binary, counts binary").groupBy("kind", "bucket").applyInArrow(lambda t: tidy(_summed(t)), "kind int, bucket int, keys binary, counts binary"))
     # 257 x 255 nodes at most, and the words' totals: a bounded table
-    tops = counted.groupBy("kind", "bucket").applyInArrow(lambda t: tidy(_tops(t, depth)), "node long, a long, b long, weighted double")
+    tops = counts.groupBy("kind", "bucket").applyInArrow(lambda t: tidy(_tops(t, depth)), "node long, a long, b long, weighted double")
     rows = tops.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("weighted")).toArrow()
     node, a, b, w = (rows.column(c).to_numpy() for c in ("node", "a", "b", "weighted"))
     words, nodes = node == -1, node != -1
     distinct, tokens = (int(x[words].sum()) for x in (a, b))
     upper = upper_levels(node[nodes], a[nodes], b[nodes], w[nodes])
-    answers = counted.groupBy("kind", "bucket").applyInArrow(lambda t: tidy(_answer(t, depth, upper)), "batch int, kind int, keys binary, values binary")
+    asked = batched.groupBy("batch").applyInArrow(lambda t: tidy(_ask(t, depth, buckets)), "kind int, bucket int, batch int, keys binary")
+    answers = asked.groupBy("kind", "bucket").cogroup(counts.groupBy("kind", "bucket")).applyInArrow(lambda q, c: tidy(_answer(q, c, depth, upper)), "batch int, kind int, bucket int, answers binary")
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    out = batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda d, s: tidy(_score(d, s, depth, tokens, distinct)), schema)
+    out = batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda d, s: tidy(_score(d, s, depth, buckets, tokens, distinct)), schema)
     return out.withColumn("id", F.nullif(F.col("id"), F.lit(int(NO_ID))))
 
 
