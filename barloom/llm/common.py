@@ -12,6 +12,7 @@ from __future__ import annotations
 import ctypes
 import math
 import tempfile
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -192,3 +193,12 @@ def blobs(tab: pa.Table, name: str, dtype) -> list[np.ndarray]:
 
 def joined(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage: df written as a table in the shared checkpoint folder, and read again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/barloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
