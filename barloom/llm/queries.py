@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, ctw, html_extract, jaccard_join, quote_link, suffix_dedup, topk, toxicity, url_filter
+from . import bpe, ctw, decontam, html_extract, jaccard_join, quote_link, suffix_dedup, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op2_toxicity": toxicity.query,
     "op3_html_extract": html_extract.query,
     "op4_jaccard_join": jaccard_join.query,
+    "op5_decontaminate": decontam.query,
     "op6_url_filter": url_filter.query,
     "op7_quote_link": quote_link.query,
     "op8_top_k": topk.query,
