@@ -6,11 +6,11 @@ whole; one used with its one-deletion neighbourhood (worth 2) may differ in one
 to more than H, similar sets share a signature of some segment. Per band the allocation of least expected cost, from
 the band's number of sets, is taken: more segments with neighbourhoods cost more signatures and bring fewer candidates.
 
-Equal sets are one node, so copies are never paired. In a signature's group all members meet the smallest one; each set
-is verified against the partner it shares most signatures with, and linked sets form components. Then every other pair
-of a group that still lies in two components is verified, unless the distances to a common partner rule it out by the
-triangle inequality (Jaccard distance is a metric). No link between different sets is lost, and large groups of
-near-copies never become all their pairs.
+Equal sets are one node, so copies are never paired. A set's histogram over BINS hash values bounds how far two sets
+differ from below; pairs that the bound rules out are never verified. In a signature's group all members meet the
+smallest one; each set is verified against the remaining partner it shares most signatures with, and linked sets form
+components. Then the pairs of a group that lie in two components and pass the bound are verified too, large groups in
+blocks. No link between different sets is lost, and large groups of near-copies never become all their pairs.
 
 Defined results: documents with null text or without words have no shingles, link with nothing and are their own
 component; a document of fewer words than a shingle has its whole sequence as one; rows sharing an id are one node if
@@ -32,6 +32,8 @@ from .common import U, Words, blobs, groups_of, joined, mix, packed, pieces, sav
 SHINGLE, PERCENT, PIECE = 4, 85, 1 << 19
 #: Weights of a signature and of a candidate pair in the cost of an allocation.
 SIGNATURE_COST, PAIR_COST = 1.0, 50.0
+#: Bins of a set's histogram; members of a group that one task compares with one another.
+BINS, MEMBERS = 64, 2048
 
 
 class Sets:
@@ -57,6 +59,11 @@ class Sets:
         self.first = np.cumsum(self.size) - self.size
         self.id, self.check = self._sum(self.hash * U(0xD6E8FEB86659FD93) ^ (self.hash >> U(31))), self._sum(mix(self.hash ^ U(0x5851F42D4C957F2D)))
 
+    def histograms(self) -> np.ndarray:
+        """(texts, BINS): how many shingles have each hash value, 255 at most."""
+        flat = np.bincount(self.text * BINS + (self.hash & U(BINS - 1)).astype(np.int64), minlength=len(self.size) * BINS)
+        return np.minimum(flat, 255).astype(np.uint8).reshape(-1, BINS)
+
     def _sum(self, x):
         s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
         return mix(s[self.first + self.size] - s[self.first] + self.size.astype(np.uint64)).view(np.int64)
@@ -131,7 +138,7 @@ def _facts(batches):
         data, starts, ends = texts_of(tab)
         for i, j in pieces(starts, ends, PIECE):
             s = Sets(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
-            yield from pa.table({"doc_id": tab.column("doc_id").slice(i, j - i), "n": pa.array(s.size, pa.int64()), "sid": pa.array(s.id), "chk": pa.array(s.check)}).to_batches()
+            yield from pa.table({"doc_id": tab.column("doc_id").slice(i, j - i), "n": pa.array(s.size, pa.int64()), "sid": pa.array(s.id), "chk": pa.array(s.check), "bins": pa.array([x.tobytes() for x in s.histograms()], pa.binary())}).to_batches()
 
 
 def _signed(batches, limits, segments, wide, bits):
@@ -189,6 +196,45 @@ def _groups(tab: pa.Table) -> pa.Table:
     return pa.table({"grp": pa.array(heads[g].view(np.int64)), "size": pa.array(size[g], pa.int32()), "times": pa.array(times[g]), "pivot": pa.array(pivot[out]), "sid": pa.array(sid[out])})
 
 
+def _possible(na, ha, nb, hb, percent: int) -> np.ndarray:
+    """Whether the histograms let the pair be similar: they differ by no more than the sets do."""
+    differ = np.abs(ha.astype(np.int16) - hb).sum(1)
+    most = (na + nb - differ) // 2
+    return 100 * most >= percent * (na + nb - most)
+
+
+def _bins(tab: pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(tab.column(name).to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _possible_pairs(batches, percent: int):
+    for b in batches:
+        tab = pa.Table.from_batches([b])
+        good = _possible(tab.column("na").to_numpy(), _bins(tab, "ha"), tab.column("nb").to_numpy(), _bins(tab, "hb"), percent)
+        yield from tab.select(["a", "b", "shared"]).filter(pa.array(good)).to_batches()
+
+
+def _cross_pairs(tab: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a group (or of two blocks of it) that lie in two components and pass the bound."""
+    part = tab.column("part").to_numpy()
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    sid, label, side, n = (tab.column(c).to_numpy()[order] for c in ("sid", "label", "side", "n"))
+    hist = _bins(tab, "bins")[order]
+    out = [np.zeros((2, 0), np.int64)]
+    head = groups_of(part)
+    for a, z in zip(head.tolist(), np.append(head[1:], len(part)).tolist(), strict=True):
+        for i in range(a, z):  # one member against those after it
+            j = np.arange(i + 1, z)
+            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] < 0))]
+            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+            j = j[_possible(n[i], hist[i][None], n[j], hist[j], percent)] if len(j) else j
+            if len(j):
+                out.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])]))
+    x = np.unique(np.concatenate(out, 1), axis=1)
+    return pa.table({"a": pa.array(x[0]), "b": pa.array(x[1])})
+
+
 def _verified(batches):
     """Sizes of intersection and union of the two texts' sets."""
     for b in batches:
@@ -247,8 +293,8 @@ def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id)"""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    facts = saved(docs.mapInArrow(_facts, "doc_id long, n long, sid long, chk long"))
-    classes = saved(facts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("chk").alias("chk"), F.max("chk").alias("chk2")))
+    facts = saved(docs.mapInArrow(_facts, "doc_id long, n long, sid long, chk long, bins binary"))
+    classes = saved(facts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("chk").alias("chk"), F.max("chk").alias("chk2"), F.min("bins").alias("bins")))
     sums = classes.agg(F.count_if(F.expr("n <> n2 OR chk <> chk2")).alias("clash"), F.max("n").alias("longest"), F.sum("n").alias("elements")).first()
     if sums["clash"]:
         raise RuntimeError("two different sets share a 64-bit hash: run again with another hash")
@@ -272,29 +318,36 @@ def _links(docs: DataFrame, classes: DataFrame, longest: int, elements: int, per
     bits = min(24, max(3, (max(1, elements) >> 19).bit_length()))
     signed = docs.select("text").mapInArrow(lambda it: _signed(it, limits, segments, wide, bits), "bucket int, sigs binary, place binary, sids binary, own binary, n int")
     groups = saved(signed.groupBy("bucket").applyInArrow(lambda t: tidy(_groups(t)), "grp long, size int, times long, pivot long, sid long"))
-    pairs = saved(groups.groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.sum("times").alias("shared")))
-    nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = classes.select("sid", F.col("first").alias("doc_id")).join(nodes, "sid", "left_semi")
-    texts = saved(docs.join(wanted, "doc_id").dropDuplicates(["sid"]).select("sid", "text"))
+    nodes = groups.select("sid").union(groups.select(F.col("pivot").alias("sid"))).distinct()
+    wanted = saved(classes.select("sid", "n", "bins", F.col("first").alias("doc_id")).join(nodes, "sid", "left_semi"))
+    texts = saved(docs.join(wanted.select("sid", "doc_id"), "doc_id").dropDuplicates(["sid"]).select("sid", "text"))
     # first each set with the partner it shares most signatures with
+    known = lambda c: wanted.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"h{c}"))
+    pairs = groups.groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.sum("times").alias("shared"))
+    pairs = saved(pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "shared", "na", "ha", "nb", "hb").mapInArrow(lambda it: _possible_pairs(it, percent), "a long, b long, shared long"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     checked = saved(_verify(best.select("a", "b"), texts))
     similar = F.col("inter") * 100 >= F.col("uni") * percent
     linked = checked.where(similar).select("a", "b")
     label = components(linked)
-    # then what still lies in two components
+    # then what still lies in two components: other pairs with a pivot, and pairs within groups of three and more
     at = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    apart = lambda df: df.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    known = checked.select("a", "b")
-    gap = checked.select(F.col("b").alias("sid"), F.col("a").alias("via"), (1 - F.col("inter") / F.col("uni")).alias("far"))
-    member = groups.where("size > 2").select("grp", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").select("grp", "sid", F.coalesce("label", "sid").alias("label"))
+    apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    member = groups.where("size > 2").select("grp", "sid", "size").join(label.withColumnRenamed("node", "sid"), "sid", "left").select("grp", "sid", "size", F.coalesce("label", "sid").alias("label"))
     split = member.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
-    member = member.join(split, "grp").join(gap, "sid", "left")
-    left, right = (member.select("grp", *[F.col(c).alias(c + s) for c in ("sid", "label", "via", "far")]) for s in ("1", "2"))
-    near = F.coalesce((F.col("via1") != F.col("via2")) | (F.abs(F.col("far1") - F.col("far2")) <= (100 - percent) / 100 + 1e-9), F.lit(True))
-    cross = left.join(right, "grp").where((F.col("label1") < F.col("label2")) & near).select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
-    rest = apart(pairs.select("a", "b")).join(known, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(cross).distinct()
-    more = saved(_verify(saved(rest), texts).where(similar).select("a", "b"))
+    member = member.join(split, "grp").join(wanted.select("sid", "n", "bins"), "sid")
+    # a group of up to MEMBERS is one part; a larger one is cut into blocks, and each pair of blocks is a part
+    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    member = member.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    member = member.select(part.alias("part"), side.cast("long").alias("side"), "sid", "label", "n", "bins", F.when(F.col("blocks") == 1, F.pmod(part, F.lit(tasks))).otherwise(part).alias("task"))
+    cross = member.groupBy("task").applyInArrow(lambda t: tidy(_cross_pairs(t, percent)), "a long, b long")
+    rest = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(cross).distinct()
+    tried = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = saved(_verify(saved(rest.join(tried, ["a", "b"], "left_anti")), texts).where(similar).select("a", "b"))
     return linked.unionByName(more)
 
 
