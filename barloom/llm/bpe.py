@@ -329,6 +329,7 @@ def map_lexicon(path: str) -> dict[str, np.ndarray]:
 
 
 _loaded: dict[str, Tokenizer] = {}
+_given: set[tuple[str, str]] = set()
 
 
 def _tokenizer(name: str) -> Tokenizer:
@@ -343,8 +344,11 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, tokenizer_path: str, tex
     """Compile the lexicon and give it to all executors; the name of its file."""
     base = tokenizer_arrays(tokenizer_path)
     path = save_lexicon(base | lexicon_arrays(base, frequent_words(docs, text)))
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+    name = os.path.basename(path)
+    if (spark.sparkContext.applicationId, name) not in _given:  # equal content has one name and is given once
+        spark.sparkContext.addFile(path)
+        _given.add((spark.sparkContext.applicationId, name))
+    return name
 
 
 def _sizes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
