@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import NO_ID, PrefixHash, U, batch_count, blobs, find, groups_of, in_batches, joined, mix, packed, pieces, spread, squeezed, texts_of, tidy, unsqueezed
 
@@ -310,6 +311,24 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     return cut.withColumn("id", F.nullif(F.col("id"), F.lit(int(NO_ID))))
 
 
+def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with the repeated bytes cut out of the text (and its length counted anew): what is left of a character that lost a byte goes too."""
+    rest = tuple(c for c in docs.columns if c not in (key, text, length))
+    types = dict(docs.dtypes)
+    cut = suffix_dedup(docs, key, text, keep=rest) if rest else suffix_dedup(docs, key, text)
+
+    def whole(batches):
+        for b in batches:
+            body = b.column(b.schema.get_field_index("body")).to_pylist()
+            yield b.set_column(b.schema.get_field_index("body"), "body", pa.array([x.decode("utf-8", "ignore") for x in body], pa.string()))
+
+    names = [c for c in cut.columns if c in ("id", "kept", "body")]
+    schema = StructType([StructField(c, StringType()) if c == "body" else cut.schema[c] for c in names])
+    out = cut.select(*names).mapInArrow(whole, schema)
+    at = {key: F.col("id").cast(types[key]), text: F.col("body"), length: F.char_length("body").cast(types.get(length, "long"))}
+    return out.select(*[at.get(c, F.col("kept").getField(c) if rest else F.lit(None)).alias(c) for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return suffix_dedup(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))

@@ -1,21 +1,60 @@
-"""A training-corpus pipeline out of the operators in barloom.llm."""
+"""A training-corpus pipeline out of the operators in barloom.llm.
+
+Each stage takes the documents that the stage before it kept, as (spark, docs, sf_dir), and returns documents again; the
+last one adds the token ids. Documents are rows by doc_id; rows that share an id share its fate. Defined results: null
+texts and texts without words are neither toxic, near copies nor contaminated and stay; extra columns stay as they are;
+of a group of near copies the smallest id stays; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.suffix_dedup import suffix_dedup
+from barloom.llm import bpe, decontam, jaccard_join, suffix_dedup, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, labels), name="toxicity_score")
+    return scored.where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id stays."""
+    groups = jaccard_join.jaccard_join(docs)
+    gone = groups.where("n_shingles > 0 AND NOT (component_id <=> doc_id)").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that a document of a smaller id has too are cut out."""
+    return suffix_dedup.cut_texts(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select(F.col("doc_id").alias("found")).distinct(), docs["doc_id"] == F.col("found"), "left_anti")
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out the repeated byte strings; a character that loses a byte goes whole."""
-    cut = suffix_dedup(docs, keep=("lang", "source"))
-    text = F.decode("body", F.lit("UTF-8"))
-    return cut.select(F.col("id").alias("doc_id"), text.alias("text"), "kept.lang", "kept.source", F.length(text).cast("long").alias("n_chars"))
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns, their token ids, how many there are, and whether the ids decode to the text."""
+    lexicon = bpe.build_lexicon(spark, docs, bpe.default_tokenizer())
+    out = bpe.bpe_encode(docs, lexicon, name="ids", decoded="decoded")
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
-STAGES = [("suffix_array_dedup", dedup)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe", tokenise),
+]
+#: Toxicity, contamination and suffix sorting are beyond SQL: tests compare with brute force.
 ORACLE_SQL = None
 
 
