@@ -3,11 +3,11 @@
 An instance is the window of WINDOW bytes at a word's start, A-Z lower-cased, bytes put into 32 classes. The kernel of
 two windows sums, over all byte subsequences of length 4 that span at most SPAN bytes, the products of their weights
 DECAY^gaps: a letter put into an insult, or an ending put behind its stem, leaves most of them. Labelled documents are
-cut into sentences; a toxic document's label goes to the sentence whose window scores highest (its witness), clean
-documents give their highest-scoring windows, and the machine is trained again with new witnesses ROUNDS times. In the
-landmarks' feature space the machine is linear, so its kernel expansion is summed up once into a table over
-subsequences: scoring a window is a sum of look-ups, and a text's score is the best window's, made a probability on
-training documents that the machine did not see.
+cut into sentences; a toxic document's label goes to its highest-scoring windows (its witnesses), clean documents give
+their highest-scoring windows, and the machine is trained again with new witnesses ROUNDS times. In the landmarks'
+feature space the machine is linear, so its kernel expansion is summed up once into a table over subsequences: scoring a
+window is a sum of look-ups. A text's score is a logistic function of its TOP highest windows (one stray likeness is
+not yet an insult), fitted on training documents that the machine did not see.
 
 Training uses at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN clean labelled rows of up to SAMPLE_BYTES bytes, those whose
 ids hash lowest; scoring reads every byte of every text. Defined results: null or wordless texts get the score of a
@@ -28,6 +28,9 @@ from .common import pieces, texts_of
 WINDOW, SPAN, DECAY, FLOOR, THRESHOLD = 12, 6, 0.6, -3.0, 0.3
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 4000, 8000
 LANDMARKS, ROUNDS, PIECE = 320, 3, 1 << 20
+#: Highest windows of a text that its score depends on; witnesses of a toxic text that score above what is usual (the
+#: quantile of the clean texts' highest windows), and of one without such windows.
+TOP, WITNESSES, USUAL, FEWER = 4, 3, 0.9, 3
 #: Offsets of a subsequence's 2nd, 3rd and 4th byte.
 OFFSETS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 STARTS = WINDOW - SPAN + 1
@@ -97,6 +100,17 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return [(int(i), int(j)) for i, j in zip(begins, ends, strict=True) if j > i]
 
 
+def top_scores(value: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, TOP): the highest values of each owner in descending order, FLOOR where there are fewer."""
+    out = np.full((n, TOP), FLOOR)
+    order = np.lexsort((-value, owner))
+    o = owner[order]
+    rank = np.arange(len(o)) - np.searchsorted(o, o)
+    keep = rank < TOP
+    out[o[keep], rank[keep]] = np.maximum(value[order[keep]], FLOOR)
+    return out
+
+
 class Sample:
     """Labelled sentences: their windows' places and document, in one coded array."""
 
@@ -124,10 +138,8 @@ class Sample:
         rank = np.arange(len(d)) - np.searchsorted(d, d)
         return order[rank < k]
 
-    def highest(self, score: np.ndarray) -> np.ndarray:
-        out = np.full(self.docs, FLOOR)
-        np.maximum.at(out, self.doc, score)
-        return out
+    def top(self, score: np.ndarray) -> np.ndarray:
+        return top_scores(score, self.doc, self.docs)
 
     def features(self, windows: np.ndarray) -> np.ndarray:
         """(windows, STARTS * len(OFFSETS)): the class strings of the subsequences in each window."""
@@ -214,28 +226,29 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0
     return w[:-1], float(w[-1])
 
 
-def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve, damped Newton."""
+def _logistic(score: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a text's highest window values, and the offset, of the logistic curve; damped Newton."""
     s = np.column_stack([score, np.ones(len(score))])
-    w = np.array([1.0, 0.0])
+    prior = np.append(1 / np.arange(1, score.shape[1] + 1), 0.0)
+    w, ridge = prior.copy(), np.append(np.full(score.shape[1], 1.0), 1e-3)
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-s @ w))
-        h = s.T @ (s * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, s.T @ (p - target) + 1e-3 * (w - [1.0, 0.0])), -1, 1)
-    return float(w[0]), float(w[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(s @ w, -40, 40)))
+        h = s.T @ (s * (p * (1 - p))[:, None]) + np.diag(ridge)
+        w = w - np.clip(np.linalg.solve(h, s.T @ (p - target) + ridge * (w - prior)), -1, 1)
+    return w
 
 
 class Model:
     """Table of subsequence weights, the machine's offset, and the logistic curve; or a constant."""
 
-    def __init__(self, table=None, bias=0.0, slope=1.0, offset=0.0, constant=None):
-        self.table, self.bias, self.slope, self.offset, self.constant = table, bias, slope, offset, constant
+    def __init__(self, table=None, bias=0.0, curve=None, constant=None):
+        self.table, self.bias, self.curve, self.constant = table, bias, curve, constant
 
     def scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(starts), self.constant)
-        best = np.full(len(starts), FLOOR)
+        best = np.full((len(starts), TOP), FLOOR)
         for i, j in pieces(starts, ends, PIECE):
             size = ends[i:j] - starts[i:j] + WINDOW  # texts apart by a window of spaces
             begin = np.cumsum(size) - size
@@ -243,8 +256,8 @@ class Model:
             code[np.arange(starts[i], ends[j - 1]) + np.repeat(begin - starts[i:j], ends[i:j] - starts[i:j])] = coded(data[starts[i] : ends[j - 1]])
             at = word_starts(code, begin)
             if len(at):
-                np.maximum.at(best, np.searchsorted(begin, at, "right") - 1 + i, window_scores(code, self.table, at) + self.bias)
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -40, 40)))
+                best[i:j] = top_scores(window_scores(code, self.table, at) + self.bias, np.searchsorted(begin, at, "right") - 1, j - i)
+        return 1 / (1 + np.exp(-np.clip(best @ self.curve[:-1] + self.curve[-1], -40, 40)))
 
 
 def train(toxic: list[bytes], clean: list[bytes]) -> Model:
@@ -259,7 +272,11 @@ def train(toxic: list[bytes], clean: list[bytes]) -> Model:
     st, sc = first_scores(t, c)
     table, bias = None, 0.0
     for _ in range(ROUNDS):
-        pos, neg = t.best(st, 1), c.best(sc, 3)
+        high = np.quantile(c.top(sc)[:, 0], USUAL)
+        pos, neg = t.best(st, WITNESSES), c.best(sc, 3)
+        clear = pos[st[pos] > high]
+        few = t.best(st, FEWER)
+        pos = np.concatenate([clear, few[~np.isin(t.doc[few], t.doc[clear])]])
         other = np.unique(np.linspace(0, len(c.at) - 1, min(len(c.at), 2 * c.docs)).astype(int))
         neg = np.unique(np.concatenate([neg, other]))
         fp, fn = t.features(pos), c.features(neg)
@@ -275,9 +292,8 @@ def train(toxic: list[bytes], clean: list[bytes]) -> Model:
         table = kernel.table(w)
         st, sc = window_scores(t.code, table, t.at) + bias, window_scores(c.code, table, c.at) + bias
     held = [(Sample(x), lab) for x, lab in ((tr or toxic, 1), (cr or clean, 0))]
-    best = [s.highest(window_scores(s.code, table, s.at) + bias) if len(s.code) else np.full(s.docs, FLOOR) for s, _ in held]
-    slope, offset = _platt(np.concatenate(best), np.concatenate([np.full(len(b), lab, float) for b, (_, lab) in zip(best, held, strict=True)]))
-    return Model(table, bias, slope, offset)
+    best = [s.top(window_scores(s.code, table, s.at) + bias) if len(s.code) else np.full((s.docs, TOP), FLOOR) for s, _ in held]
+    return Model(table, bias, _logistic(np.concatenate(best), np.concatenate([np.full(len(b), lab, float) for b, (_, lab) in zip(best, held, strict=True)])))
 
 
 def held_out(key: str):
