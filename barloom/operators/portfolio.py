@@ -159,7 +159,7 @@ def portfolio(detail: DataFrame, s: PortfolioSettings = PortfolioSettings(), met
 
 
 def portfolio_metrics(result: DataFrame) -> DataFrame:
-    rows = result.withColumn("position", F.col("avg_abs_position"))
+    rows = result.withColumn("position", F.round("avg_abs_position", 9))  # equal positions are one trade, whatever the last bits
     more = result.groupBy("method").agg(F.avg("risk_multiplier").alias("mean_multiplier"), F.min("risk_multiplier").alias("min_multiplier"), F.avg("active_symbols").alias("mean_active_symbols"), F.avg("avg_abs_position").alias("mean_abs_position"))
     return performance(rows, ["method"], net="strategy_return", periods="periods").join(more, "method")
 

@@ -505,7 +505,7 @@ def signal_coverage(spark, d):
 
 
 @query(rounded(f"""WITH m AS (SELECT symbol, factor, segment, date_trunc('month', ts)::DATE AS month, product(1 + net_return) - 1 AS r FROM ({O.detail(COST.cost)}) GROUP BY ALL),
-    s AS (SELECT symbol, factor, segment, unnest(generate_series(min(month), max(month), INTERVAL 1 month))::DATE AS month FROM m GROUP BY ALL), e AS (SELECT s.*, coalesce(m.r, 0) AS r FROM s LEFT JOIN m USING (symbol, factor, segment, month))
+    s AS (SELECT symbol, factor, segment, unnest(generate_series(a, b, INTERVAL 1 month))::DATE AS month FROM (SELECT symbol, factor, segment, min(month) AS a, max(month) AS b FROM m GROUP BY ALL)), e AS (SELECT s.*, coalesce(m.r, 0) AS r FROM s LEFT JOIN m USING (symbol, factor, segment, month))
     SELECT symbol, factor, segment, count(*)::DOUBLE AS month_count, avg((r > 0)::INT) AS profitable_month_share, avg(r) AS month_mean, stddev_pop(r) AS month_std, min(r) AS month_worst, max(r) AS month_best,
       max(greatest(r, 0)) / nullif(sum(greatest(r, 0)), 0) AS month_concentration FROM e GROUP BY ALL""", tuple(SEG), ("month_count", "profitable_month_share", "month_mean", "month_std", "month_worst", "month_best", "month_concentration")))
 def monthly_stability(spark, d):
@@ -937,7 +937,7 @@ def portfolio_returns(spark, d):
     return portfolio.portfolio(portfolio_detail(spark, d), PF)[0].select("method", "ts", "active_symbols", *RISK_DOUBLES)
 
 
-@query(rounded(O.metrics(f"SELECT *, avg_abs_position AS position FROM ({RISK})", "method", "strategy_return", "benchmark_return", "periods"), ("method",), O.METRICS))
+@query(rounded(O.metrics(f"SELECT *, round(avg_abs_position, 9) AS position FROM ({RISK})", "method", "strategy_return", "benchmark_return", "periods"), ("method",), O.METRICS))
 def portfolio_metrics(spark, d):
     return portfolio.portfolio_metrics(portfolio.portfolio(portfolio_detail(spark, d), PF)[0]).select("method", *O.METRICS)
 
