@@ -2,7 +2,8 @@
 
 Native: DataFrame functions only. Seeds: a host's share of pages that a rule allows (trust) or blocks (distrust).
 Trust follows links (personalised PageRank), distrust runs against them: a page that links to bad hosts is suspect.
-A host without a fitting rule is blocked if its distrust exceeds its trust and THRESHOLD times a mean seed's mass.
+A host without a fitting rule is blocked if its distrust exceeds its trust and THRESHOLD times the mass that a mean seed
+keeps for itself.
 
 Defined results: null urls and urls without :// have an empty host and path, fit no rule and are allowed; pages without
 html have no links; repeated rows count as often as they occur; an empty table gives no rows.
@@ -71,9 +72,8 @@ def blocked_hosts(judged: DataFrame, edges: DataFrame, damping: float, rounds: i
     seeds = share.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("good") / F.col("n")).alias("s")), F.struct(F.lit("distrust").alias("kind"), ((F.col("ruled") - F.col("good")) / F.col("n")).alias("s")))).alias("x")).select("host", "x.kind", "x.s").where("s > 0")
     totals = seeds.groupBy("kind").agg(F.sum("s").alias("total"), F.count("*").alias("hosts"))  # two rows
     seeds = seeds.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("s") / F.col("total")).alias("seed"), "hosts").checkpoint()
-    rank = seeds.select("kind", "host", F.col("seed").alias("score"))
+    base = rank = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
     if not steps.isEmpty():
-        base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
         for k in range(rounds):
             moved = steps.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
             rank = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
@@ -83,7 +83,7 @@ def blocked_hosts(judged: DataFrame, edges: DataFrame, damping: float, rounds: i
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("score") * F.col("hosts"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("score") * F.col("hosts"))), F.lit(0.0)).alias("distrust"),
     )
-    return both.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold)).select("host")
+    return both.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * (1 - damping))).select("host")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
