@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import pieces, texts_of
+from .common import pieces, released, texts_of, tidy
 
 WINDOW, SPAN, DECAY, FLOOR, THRESHOLD = 12, 6, 0.6, -3.0, 0.3
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 4000, 8000
 LANDMARKS, ROUNDS, PIECE = 320, 3, 1 << 20
+#: Windows that training handles at once.
+ROWS = 2048
 #: Highest windows of a text that its score depends on; witnesses of a toxic text that score above what is usual (the
 #: quantile of the clean texts' highest windows), and of one without such windows.
 TOP, WITNESSES, USUAL, FEWER = 4, 3, 0.9, 3
@@ -50,7 +52,15 @@ CLASSES = _classes()
 
 
 def coded(data: np.ndarray) -> np.ndarray:
-    return CLASSES[data].astype(np.int32)
+    return CLASSES[data]
+
+
+def strings(code: np.ndarray, place: np.ndarray, offsets: tuple[int, int, int]) -> np.ndarray:
+    """The class strings of four places each; the code goes on far enough."""
+    out = code[place].astype(np.int32)
+    for o in offsets:
+        out = out << 5 | code[place + o]
+    return out
 
 
 def word_starts(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -62,14 +72,6 @@ def word_starts(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def subsequences(code: np.ndarray) -> np.ndarray:
-    """(len(OFFSETS), places): the class strings of the subsequences that start at each place; spaces behind the end."""
-    n = len(code)
-    x = np.concatenate([code, np.full(SPAN, 31, np.int32)])
-    first = x[:n] << 15
-    return np.stack([first | (x[a : n + a] << 10) | (x[b : n + b] << 5) | x[c : n + c] for a, b, c in OFFSETS])
-
-
 WEIGHTS = np.array([DECAY ** (c - 3) for _, _, c in OFFSETS], np.float32)
 
 
@@ -77,7 +79,7 @@ def window_scores(code: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.nda
     """The machine's value for the windows at the given ascending places."""
     out = np.zeros(len(at))
     for low in range(0, len(code), PIECE):
-        x = code[low : low + PIECE + WINDOW + SPAN]
+        x = code[low : low + PIECE + WINDOW + SPAN].astype(np.int32)
         n = len(x)
         x = np.concatenate([x, np.full(SPAN, 31, np.int32)])
         first = x[:n] << 15
@@ -143,13 +145,8 @@ class Sample:
 
     def features(self, windows: np.ndarray) -> np.ndarray:
         """(windows, STARTS * len(OFFSETS)): the class strings of the subsequences in each window."""
-        out = []
-        x = np.concatenate([self.code, np.full(WINDOW + SPAN, 31, np.int32)])
-        place = self.at[windows]
-        for s in range(STARTS):
-            p = place + s
-            out += [(x[p] << 15) | (x[p + a] << 10) | (x[p + b] << 5) | x[p + c] for a, b, c in OFFSETS]
-        return np.stack(out, 1)
+        x, place = np.concatenate([self.code, np.full(WINDOW + SPAN, 31, np.uint8)]), self.at[windows]
+        return np.stack([strings(x, place + s, o) for s in range(STARTS) for o in OFFSETS], 1)
 
 
 FEATURE_WEIGHTS = np.tile(WEIGHTS, STARTS)
@@ -158,28 +155,23 @@ FEATURE_WEIGHTS = np.tile(WEIGHTS, STARTS)
 def first_scores(toxic: Sample, clean: Sample) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of four-byte strings by the share of documents that have them: the first witnesses."""
 
-    def grams(s: Sample) -> np.ndarray:
-        x = np.concatenate([s.code, np.full(SPAN, 31, np.int32)])
-        n = len(s.code)
-        return (x[:n] << 15) | (x[1 : n + 1] << 10) | (x[2 : n + 2] << 5) | x[3 : n + 3]
-
-    def share(s: Sample, g: np.ndarray) -> np.ndarray:
+    def share(s: Sample) -> np.ndarray:
         out = np.zeros(1 << 20, np.int64)
-        begin = np.append(s.begin, len(g))
-        for d in range(s.docs):  # a document's places lie together
-            out[np.unique(g[begin[d] : begin[d + 1]])] += 1
+        begin = np.append(s.begin, len(s.code))
+        for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):  # a document's places lie together
+            x = np.concatenate([s.code[i : j + 3], np.full(3, 31, np.uint8)])
+            out[np.unique(strings(x, np.arange(j - i), (1, 2, 3)))] += 1
         return out
 
-    gt, gc = grams(toxic), grams(clean)
-    t, c = share(toxic, gt), share(clean, gc)
+    t, c = share(toxic), share(clean)
     odds = np.log((t + 0.5) / (toxic.docs + 1)) - np.log((c + 0.5) / (clean.docs + 1))
     odds = np.where(t >= 3, odds, np.minimum(odds, 0))
 
-    def score(s: Sample, g: np.ndarray) -> np.ndarray:
-        g = np.append(g, [g[-1]] * 2)
-        return odds[g[s.at]] + odds[g[s.at + 1]] + odds[g[s.at + 2]]
+    def score(s: Sample) -> np.ndarray:
+        x = np.concatenate([s.code, np.full(SPAN, 31, np.uint8)])
+        return sum(odds[strings(x, s.at + k, (1, 2, 3))] for k in range(3))
 
-    return score(toxic, gt), score(clean, gc)
+    return score(toxic), score(clean)
 
 
 class Kernel:
@@ -196,12 +188,16 @@ class Kernel:
         self.whiten = vector[:, keep] / np.sqrt(value[keep])
 
     def map(self, features: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(features), self.z.shape[1]))
-        at = np.minimum(np.searchsorted(self.strings, features), len(self.strings) - 1)
-        at = np.where(self.strings[at] == features, at, len(self.strings))  # the last row is zero
-        for k in range(features.shape[1]):
-            out += FEATURE_WEIGHTS[k] * self.z[at[:, k]]
-        return out @ self.whiten
+        out = np.empty((len(features), self.whiten.shape[1]), np.float32)
+        for i in range(0, len(features), ROWS):
+            f = features[i : i + ROWS]
+            at = np.minimum(np.searchsorted(self.strings, f), len(self.strings) - 1)
+            at = np.where(self.strings[at] == f, at, len(self.strings))  # the last row is zero
+            part = np.zeros((len(f), self.z.shape[1]))
+            for k in range(f.shape[1]):
+                part += FEATURE_WEIGHTS[k] * self.z[at[:, k]]
+            out[i : i + ROWS] = part @ self.whiten
+        return out
 
     def table(self, weights: np.ndarray) -> np.ndarray:
         """The linear machine in landmark space as weights of subsequences."""
@@ -212,14 +208,18 @@ class Kernel:
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps on the support vectors."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+    w, n = np.zeros(x.shape[1] + 1), x.shape[1]
+    penalty = np.full(n + 1, ridge)
     penalty[-1] = 1e-3
     for _ in range(30):
-        support = y * (x @ w) < 1
-        a = x[support] * cost[support][:, None]
-        new = np.linalg.solve(np.diag(penalty) + x[support].T @ a, a.T @ y[support])
+        support = np.flatnonzero(y * (x @ w[:-1].astype(np.float32) + w[-1]) < 1)
+        h, g = np.diag(penalty), np.zeros(n + 1)
+        for i in range(0, len(support), ROWS):
+            k = support[i : i + ROWS]
+            a = np.column_stack([x[k], np.ones(len(k))]).astype(np.float64)
+            h += a.T @ (a * cost[k][:, None])
+            g += a.T @ (cost[k] * y[k])
+        new = np.linalg.solve(h, g)
         if np.abs(new - w).max() < 1e-6:
             break
         w = w + 0.7 * (new - w)
@@ -252,7 +252,7 @@ class Model:
         for i, j in pieces(starts, ends, PIECE):
             size = ends[i:j] - starts[i:j] + WINDOW  # texts apart by a window of spaces
             begin = np.cumsum(size) - size
-            code = np.full(int(size.sum()), 31, np.int32)
+            code = np.full(int(size.sum()), 31, np.uint8)
             code[np.arange(starts[i], ends[j - 1]) + np.repeat(begin - starts[i:j], ends[i:j] - starts[i:j])] = coded(data[starts[i] : ends[j - 1]])
             at = word_starts(code, begin)
             if len(at):
@@ -308,8 +308,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = rows.where("y = 1").orderBy("h", "k").limit(SAMPLE_TOXIC).unionByName(rows.where("y = 0").orderBy("h", "k").limit(SAMPLE_CLEAN))
     # the limits bound what is broadcast and collected: at most 6000 rows of 8 kB, a fifth of it on average
     got = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "h", "t").toArrow()
-    rows = sorted(set(zip(got.column("h").to_pylist(), got.column("k").to_pylist(), got.column("y").to_pylist(), got.column("t").to_pylist(), strict=True)))
-    return train([t.encode() for _, _, y, t in rows if y == 1], [t.encode() for _, _, y, t in rows if y == 0])
+    rows = sorted(set(zip(got.column("h").to_pylist(), got.column("k").to_pylist(), got.column("y").to_pylist(), got.column("t").cast(pa.binary()).to_pylist(), strict=True)))
+    del got
+    return tidy(train([t for _, _, y, t in rows if y == 1], [t for _, _, y, t in rows if y == 0]))
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
@@ -322,7 +323,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", name: str = "tox
             tab = pa.Table.from_batches([b])
             yield from tab.append_column(name, pa.array(shared.value.scores(*texts_of(tab, text)), pa.float64())).to_batches()
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(released(score), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
