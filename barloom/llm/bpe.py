@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import pieces, saved, spread
+from .common import pieces, released, saved, spread, tidy
 
 LEXICON_WORDS, PIECE, CACHE, LONG_WORD, NO_RANK = 32768, 1 << 20, 200_000, 64, 1 << 30
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -291,7 +291,7 @@ def _word_counts(batches):
 
 def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
     """The commonest words with the space before them, by counts over all documents, at most limit of them."""
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_word_counts, "word string, n long")
+    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(released(_word_counts), "word string, n long")
     counts = saved(counts.where("octet_length(word) BETWEEN 1 AND 64").groupBy("word").agg(F.sum("n").alias("n")))
     # the count from which at most `limit` words are left, from a histogram of counts in steps of an eighth octave
     step = F.floor(F.log2("n") * 8).cast("int")
@@ -343,7 +343,7 @@ def _tokenizer(name: str) -> Tokenizer:
 def build_lexicon(spark: SparkSession, docs: DataFrame, tokenizer_path: str, text: str = "text") -> str:
     """Compile the lexicon and give it to all executors; the name of its file."""
     base = tokenizer_arrays(tokenizer_path)
-    path = save_lexicon(base | lexicon_arrays(base, frequent_words(docs, text)))
+    path = tidy(save_lexicon(base | lexicon_arrays(base, frequent_words(docs, text))))
     name = os.path.basename(path)
     if (spark.sparkContext.applicationId, name) not in _given:  # equal content has one name and is given once
         spark.sparkContext.addFile(path)
@@ -378,8 +378,9 @@ def bpe_encode(docs: DataFrame, lexicon: str, text: str = "text", name: str = "i
             for part, ids, counts in _encoded(tok, b, text, PIECE):
                 tab = pa.Table.from_batches([part]).append_column(name, _lists(ids, counts))
                 yield from (tab.append_column(decoded, pa.array(tok.decode(ids, counts), pa.string())) if decoded else tab).to_batches()
+        tok.forget()  # the worker goes on to other stages
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def bpe_decode(encoded: DataFrame, lexicon: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

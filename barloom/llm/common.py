@@ -10,6 +10,7 @@ Spark shuffle, so lost executors are recomputed.
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -177,8 +178,8 @@ def unsqueezed(tab: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True), dtype) for x in tab.column(name).to_pylist()]
 
 
-def tidy(out: pa.Table) -> pa.Table:
-    """Give memory that is free again back to the machine before the next group."""
+def tidy(out):
+    """The same; memory that is free again goes back to the machine first."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -187,6 +188,18 @@ def tidy(out: pa.Table) -> pa.Table:
     return out
 
 
+def released(run):
+    """The function over a task's batches; workers serve many tasks, so free memory goes back after each batch."""
+
+    def wrapped(batches):
+        for out in run(batches):
+            yield out
+            tidy(None)
+        tidy(None)
+
+    return wrapped
+
+
 def blobs(tab: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in tab.column(name).to_pylist()]
 
@@ -195,6 +208,13 @@ def joined(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
+def forgetful(df: DataFrame) -> DataFrame:
+    """The same. Shuffle files of written tables go once the driver's garbage is collected, so it is now, not at the next full heap."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: df written as a table in the shared checkpoint folder, and read again."""
     spark = df.sparkSession
