@@ -6,11 +6,12 @@ whole; one used with its one-deletion neighbourhood (worth 2) may differ in one
 to more than H, similar sets share a signature of some segment. Per band the allocation of least expected cost, from
 the band's number of sets, is taken: more segments with neighbourhoods cost more signatures and bring fewer candidates.
 
-Equal sets are one node, so copies are never paired. A set's histogram over BINS hash values bounds how far two sets
-differ from below; pairs that the bound rules out are never verified. In a signature's group all members meet the
-smallest one; each set is verified against the remaining partner it shares most signatures with, and linked sets form
-components. Then the pairs of a group that lie in two components and pass the bound are verified too, large groups in
-blocks. No link between different sets is lost, and large groups of near-copies never become all their pairs.
+Equal sets are one node, so copies are never paired. A set's sketch (its histogram over BINS hash values and the parities
+of some more) bounds from below how far two sets differ; pairs that the bound rules out are never verified. In a
+signature's group all members meet the smallest one; each set is verified against the remaining partner it shares most
+signatures with, and linked sets form components. Then the pairs of a group that lie in two components and pass the
+bound are verified too, large groups in blocks. No link between different sets is lost, and large groups of near-copies
+never become all their pairs.
 
 Defined results: documents with null text or without words have no shingles, link with nothing and are their own
 component; a document of fewer words than a shingle has its whole sequence as one; rows sharing an id are one node if
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, blobs, groups_of, joined, mix, packed, pieces, saved, spread, squeezed, texts_of, tidy, unsqueezed
+from .common import U, Words, blobs, forgetful, groups_of, joined, mix, packed, pieces, released, saved, spread, squeezed, texts_of, tidy, unsqueezed
 
 SHINGLE, PERCENT, PIECE = 4, 85, 1 << 19
 #: Weights of a signature and of a candidate pair in the cost of an allocation.
 SIGNATURE_COST, PAIR_COST = 1.0, 50.0
-#: Bins of a set's histogram; members of a group that one task compares with one another.
+#: Bins of a set's sketch; members of a group that one task compares with one another.
 BINS, MEMBERS = 64, 2048
 
 
@@ -59,10 +60,24 @@ class Sets:
         self.first = np.cumsum(self.size) - self.size
         self.id, self.check = self._sum(self.hash * U(0xD6E8FEB86659FD93) ^ (self.hash >> U(31))), self._sum(mix(self.hash ^ U(0x5851F42D4C957F2D)))
 
-    def histograms(self) -> np.ndarray:
-        """(texts, BINS): how many shingles have each hash value, 255 at most."""
-        flat = np.bincount(self.text * BINS + (self.hash & U(BINS - 1)).astype(np.int64), minlength=len(self.size) * BINS)
-        return np.minimum(flat, 255).astype(np.uint8).reshape(-1, BINS)
+    def sketches(self, percent: int) -> list[bytes]:
+        """Per text: how many shingles have each of BINS hash values, 255 at most; then the parities of other hash values,
+        eight times as many as similar sets may differ in, so that few differences cancel out."""
+        bits = np.array([1 << max(9, (16 * int(n) * (100 - percent) // (100 + percent)).bit_length()) for n in self.size], np.int64)
+        out = [b""] * len(bits)
+        for size in np.unique(bits).tolist():
+            texts = np.flatnonzero(bits == size)
+            row = np.full(len(bits), -1)
+            row[texts] = np.arange(len(texts))
+            mine = row[self.text] >= 0
+            at, h = row[self.text[mine]], self.hash[mine]
+            counts = np.bincount(at * BINS + (h & U(BINS - 1)).astype(np.int64), minlength=len(texts) * BINS).reshape(-1, BINS)
+            odd = np.zeros(len(texts) * size, np.uint8)
+            np.bitwise_xor.at(odd, at * size + (h >> U(20) & U(size - 1)).astype(np.int64), np.uint8(1))
+            whole = np.concatenate([np.minimum(counts, 255).astype(np.uint8), np.packbits(odd.reshape(-1, size), axis=1)], axis=1)
+            for t, x in zip(texts.tolist(), whole, strict=True):
+                out[t] = x.tobytes()
+        return out
 
     def _sum(self, x):
         s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
@@ -132,13 +147,13 @@ def signatures(s: Sets, limits: np.ndarray, segments: np.ndarray, wide: np.ndarr
     return np.concatenate(sig), np.concatenate(text), np.concatenate(own)
 
 
-def _facts(batches):
+def _facts(batches, percent: int):
     for b in batches:
         tab = pa.Table.from_batches([b])
         data, starts, ends = texts_of(tab)
         for i, j in pieces(starts, ends, PIECE):
             s = Sets(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
-            yield from pa.table({"doc_id": tab.column("doc_id").slice(i, j - i), "n": pa.array(s.size, pa.int64()), "sid": pa.array(s.id), "chk": pa.array(s.check), "bins": pa.array([x.tobytes() for x in s.histograms()], pa.binary())}).to_batches()
+            yield from pa.table({"doc_id": tab.column("doc_id").slice(i, j - i), "n": pa.array(s.size, pa.int64()), "sid": pa.array(s.id), "chk": pa.array(s.check), "bins": pa.array([*s.sketches(percent)], pa.binary())}).to_batches()
 
 
 def _signed(batches, limits, segments, wide, bits):
@@ -197,20 +212,36 @@ def _groups(tab: pa.Table) -> pa.Table:
 
 
 def _possible(na, ha, nb, hb, percent: int) -> np.ndarray:
-    """Whether the histograms let the pair be similar: they differ by no more than the sets do."""
-    differ = np.abs(ha.astype(np.int16) - hb).sum(1)
+    """Whether sketches of one length let the pair be similar: counts and parities differ by no more than the sets do."""
+    differ = np.maximum(np.abs(ha[:, :BINS].astype(np.int16) - hb[:, :BINS]).sum(1), np.bitwise_count(ha[:, BINS:] ^ hb[:, BINS:]).sum(1, dtype=np.int64))
     most = (na + nb - differ) // 2
     return 100 * most >= percent * (na + nb - most)
 
 
-def _bins(tab: pa.Table, name: str) -> np.ndarray:
-    return np.frombuffer(b"".join(tab.column(name).to_pylist()), np.uint8).reshape(-1, BINS)
+def _matrix(sketches: list[bytes], length: int) -> np.ndarray:
+    """Sketches as rows of the given length: the halves of longer parities are added up."""
+    sizes = np.array([len(x) for x in sketches], np.int64)
+    out = np.zeros((len(sketches), length), np.uint8)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        x = np.frombuffer(b"".join(sketches[k] for k in at.tolist()), np.uint8).reshape(-1, size)
+        odd = x[:, BINS:]
+        while odd.shape[1] > length - BINS:
+            odd = odd[:, : odd.shape[1] // 2] ^ odd[:, odd.shape[1] // 2 :]
+        out[at, :BINS], out[at, BINS:] = x[:, :BINS], odd
+    return out
 
 
 def _possible_pairs(batches, percent: int):
     for b in batches:
         tab = pa.Table.from_batches([b])
-        good = _possible(tab.column("na").to_numpy(), _bins(tab, "ha"), tab.column("nb").to_numpy(), _bins(tab, "hb"), percent)
+        na, nb, ha, hb = tab.column("na").to_numpy(), tab.column("nb").to_numpy(), tab.column("ha").to_pylist(), tab.column("hb").to_pylist()
+        size, good = np.array([min(len(x), len(y)) for x, y in zip(ha, hb, strict=True)], np.int64), np.zeros(b.num_rows, bool)
+        for length in np.unique(size).tolist():
+            every = np.flatnonzero(size == length)
+            for at in np.split(every, np.arange(2048, len(every), 2048)):
+                one, two = (_matrix([h[k] for k in at.tolist()], length) for h in (ha, hb))
+                good[at] = _possible(na[at], one, nb[at], two, percent)
         yield from tab.select(["a", "b", "shared"]).filter(pa.array(good)).to_batches()
 
 
@@ -220,15 +251,17 @@ def _cross_pairs(tab: pa.Table, percent: int) -> pa.Table:
     order = np.argsort(part, kind="stable")
     part = part[order]
     sid, label, side, n = (tab.column(c).to_numpy()[order] for c in ("sid", "label", "side", "n"))
-    hist = _bins(tab, "bins")[order]
+    bins = tab.column("bins").to_pylist()
     out = [np.zeros((2, 0), np.int64)]
     head = groups_of(part)
     for a, z in zip(head.tolist(), np.append(head[1:], len(part)).tolist(), strict=True):
+        some = [bins[k] for k in order[a:z].tolist()]
+        sketch = _matrix(some, min(map(len, some)))
         for i in range(a, z):  # one member against those after it
             j = np.arange(i + 1, z)
             j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] < 0))]
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-            j = j[_possible(n[i], hist[i][None], n[j], hist[j], percent)] if len(j) else j
+            j = j[_possible(n[i], sketch[i - a][None], n[j], sketch[j - a], percent)] if len(j) else j
             if len(j):
                 out.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])]))
     x = np.unique(np.concatenate(out, 1), axis=1)
@@ -256,7 +289,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, inter, uni) of pairs (a, b) of set ids."""
     t = texts.select("sid", "text")
     both = pairs.join(t.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long, inter long, uni long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(released(_verified), "a long, b long, inter long, uni long")
 
 
 def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
@@ -293,7 +326,7 @@ def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id)"""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    facts = saved(docs.mapInArrow(_facts, "doc_id long, n long, sid long, chk long, bins binary"))
+    facts = saved(docs.mapInArrow(released(lambda it: _facts(it, percent)), "doc_id long, n long, sid long, chk long, bins binary"))
     classes = saved(facts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("chk").alias("chk"), F.max("chk").alias("chk2"), F.min("bins").alias("bins")))
     sums = classes.agg(F.count_if(F.expr("n <> n2 OR chk <> chk2")).alias("clash"), F.max("n").alias("longest"), F.sum("n").alias("elements")).first()
     if sums["clash"]:
@@ -316,17 +349,17 @@ def _links(docs: DataFrame, classes: DataFrame, longest: int, elements: int, per
     plan = allocation(sizes, percent)
     segments, wide = (np.array([plan.get(k, (0, 0))[i] for k in range(len(limits) + 1)]) for i in (0, 1))
     bits = min(24, max(3, (max(1, elements) >> 19).bit_length()))
-    signed = docs.select("text").mapInArrow(lambda it: _signed(it, limits, segments, wide, bits), "bucket int, sigs binary, place binary, sids binary, own binary, n int")
+    signed = docs.select("text").mapInArrow(released(lambda it: _signed(it, limits, segments, wide, bits)), "bucket int, sigs binary, place binary, sids binary, own binary, n int")
     groups = saved(signed.groupBy("bucket").applyInArrow(lambda t: tidy(_groups(t)), "grp long, size int, times long, pivot long, sid long"))
     nodes = groups.select("sid").union(groups.select(F.col("pivot").alias("sid"))).distinct()
     wanted = saved(classes.select("sid", "n", "bins", F.col("first").alias("doc_id")).join(nodes, "sid", "left_semi"))
-    texts = saved(docs.join(wanted.select("sid", "doc_id"), "doc_id").dropDuplicates(["sid"]).select("sid", "text"))
+    texts = forgetful(saved(docs.join(wanted.select("sid", "doc_id"), "doc_id").dropDuplicates(["sid"]).select("sid", "text")))
     # first each set with the partner it shares most signatures with
     known = lambda c: wanted.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"h{c}"))
     pairs = groups.groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.sum("times").alias("shared"))
     pairs = saved(pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "shared", "na", "ha", "nb", "hb").mapInArrow(lambda it: _possible_pairs(it, percent), "a long, b long, shared long"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    checked = saved(_verify(best.select("a", "b"), texts))
+    checked = forgetful(saved(_verify(best.select("a", "b"), texts)))
     similar = F.col("inter") * 100 >= F.col("uni") * percent
     linked = checked.where(similar).select("a", "b")
     label = components(linked)
