@@ -11,7 +11,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SF_DIR, CPUS, RUNS = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "3"))
+SF_DIR, CPUS, RUNS = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "1"))
 #: The workloads of the baseline, by query.
 HEADLINE = (
     "bars_ohlcv", "bars_daily", "momentum_strategy", "roll_mean", "roll_quantile", "roll_pct_rank", "ewm_mean", "factor_param_price", "factor_ultra", "factor_cross", "backtest_metrics", "direction_choice",
