@@ -1,16 +1,16 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit distances.
+"""Benchmark decontamination: lossless string counts on diagonals, bit-parallel and exact edit distances.
 
 A document is contaminated by a benchmark item if some stretch of it is within an edit similarity of SIMILARITY of the
 item (edit distance at most (1 - SIMILARITY) times the item's length; both A-Z lower-cased, white space runs one
-space). Item-sized windows are taken where at least SEEDS byte strings of length Q lie on nearby diagonals of document
-and item. The CGK walk reads a string and, at every step, writes the byte it stands on and moves on or stays by a random
-bit that depends on step and byte: strings a few edits apart then mostly write the same bytes, so edit distance becomes
-Hamming distance. Tables of SAMPLE sampled places of the walks of window and item must collide in one table at least;
-how many places and tables are needed for TARGET recall at the similarity's edge is measured on randomly edited items.
-Colliding windows are verified exactly, with a bit-parallel edit distance whose ends are free in the document.
-
-The items are broadcast in blocks of at most BLOCK bytes. Defined results: null texts and items match nothing; items
-below 2 Q bytes match only where they occur whole; repeated rows and items each give rows; order does not matter.
+space). Items are cut into parts of at most PART bytes, one of which has no more than its share of the edits. Of the
+part's strings of q bytes an edit breaks q at most, and the others lie on diagonals of document and part no further
+apart than its edits: where two neighbouring bands of diagonals hold enough of them, the part is compared with a
+bit-parallel edit distance of many places at once, and where it is close the whole item exactly, its ends free in the
+document. No step loses a match, so documents, items and distances equal brute force. (CGK embeddings with
+bit-sampling LSH would find a match with some probability only, and are not used.)
+
+The items are broadcast in blocks of at most BLOCK bytes. Defined results: null texts and items match nothing; items too
+short for an edit match only where they occur whole; repeated rows and items each give rows; order does not matter.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, U, find, groups_of, mix, pieces, released, spread, texts_of
+from .common import U, find, pieces, released, spread, texts_of
 
-SIMILARITY, TARGET, Q, SEEDS, BLOCK, PIECE = 0.8, 0.97, 10, 3, 4 << 20, 1 << 20
-#: Walks leave a string after two steps a byte on average; places are sampled from REACH steps a byte.
-WALKS, MOST_TABLES, MAP_BITS, REACH = 4, 64, 23, 1.8
+SIMILARITY, BLOCK, PIECE = 0.8, 4 << 20, 1 << 20
+#: Bytes of a part at most (a machine word holds its columns); longest strings that are counted; how many strings beyond
+#: those that the edits can break are counted, the rarest ones; bytes of text whose diagonals are counted at once, and most counters of them.
+PART, LONGEST, SPARE, STEP, COUNTERS = 62, 4, 9, 1 << 14, 1 << 20
 
 
 def normalised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -53,103 +54,84 @@ def normalised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 class Items:
-    """A block of benchmark items: their bytes, strings of length Q, walks, and the tables' places."""
+    """A block of benchmark items: their bytes, their parts, and the places of the parts' strings of q bytes by hash.
+
+    An item of n parts that allow t1, t2, ... edits with (t1 + 1) + (t2 + 1) + ... = most + 1 has, wherever it occurs with
+    at most `most` edits, a part with at most its t edits. Of a part's b - q + 1 strings an edit breaks q at most, so
+    b - q + 1 - q t are left, on diagonals that differ by t at most.
+    """
 
-    def __init__(self, ids: list[int], texts: list[bytes], similarity: float = SIMILARITY, seed: int = 11):
+    def __init__(self, ids: list[int], texts: list[bytes], similarity: float = SIMILARITY):
         self.ids, self.texts, self.similarity = ids, texts, similarity
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.most = np.floor(self.lengths * (1 - similarity) + 1e-9).astype(np.int64)
-        longest = int(self.lengths.max(initial=1))
-        r = np.random.default_rng(seed)
-        self.moves = r.integers(0, 2, (WALKS, 3 * longest, 256), dtype=np.uint8)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        start = np.cumsum(self.lengths) - self.lengths
-        grams = mix(PrefixHash(data).every(Q)) if len(data) >= Q else np.zeros(0, np.uint64)
-        sized = np.flatnonzero(self.lengths >= 2 * Q)
-        at = spread(start[sized], self.lengths[sized] - Q + 1)
-        item = np.repeat(sized, self.lengths[sized] - Q + 1)
-        order = np.argsort(grams[at], kind="stable")
-        self.gram, self.gram_item, self.gram_offset = grams[at][order], item[order], (at - start[item])[order]
-        self.first = groups_of(self.gram)
-        self.count = np.diff(np.append(self.first, len(self.gram)))
-        self.distinct = self.gram[self.first]
-        self.bitmap = np.zeros(1 << MAP_BITS, bool)
-        self.bitmap[(self.distinct >> U(64 - MAP_BITS)).astype(np.int64)] = True
-        self.short = [i for i in range(len(texts)) if 0 < len(texts[i]) < 2 * Q]
-        self.walked = {}
-        self.sample, self.tables, self.recall = self._calibrate(sized, r)
-        self.places = [r.random((self.tables, self.sample)) for _ in range(WALKS)]
-        self.item_keys = self._keys(texts, self.lengths)
-
-    @staticmethod
-    def _matrix(rows: list[bytes], lengths: np.ndarray) -> np.ndarray:
-        """Rows of bytes cut to their lengths, with zeros behind."""
-        width = int(lengths.max(initial=0)) + 1
-        return np.frombuffer(b"".join(x[:n].ljust(width, b"\0") for x, n in zip(rows, lengths.tolist(), strict=True)), np.uint8).reshape(len(rows), width)
-
-    def _walk(self, x: np.ndarray, lengths: np.ndarray, w: int) -> np.ndarray:
-        """CGK embeddings of rows: the bytes written in the first REACH x length steps, 0 behind a row's end."""
-        n, width = x.shape
-        flat, at, base = x.ravel(), np.zeros(n, np.int64), np.arange(n) * width
-        steps = int(REACH * lengths.max(initial=0))
-        out = np.zeros((steps, n), np.uint8)
-        for j in range(steps):
-            c = flat[base + at]
-            out[j] = c
-            at = np.minimum(at + self.moves[w, j][c], lengths)
-        return out
-
-    def _keys(self, rows: list[bytes], lengths: np.ndarray) -> np.ndarray:
-        """(rows, WALKS x tables): hashes of the sampled places."""
-        x = self._matrix(rows, lengths)
-        out = []
-        for w in range(WALKS):
-            e = self._walk(x, lengths, w)
-            h = np.zeros((len(rows), self.tables), np.uint64)
-            for k in range(self.sample):
-                at = np.minimum((self.places[w][None, :, k] * (REACH * lengths[:, None])).astype(np.int64), max(0, len(e) - 1))
-                h = h * U(0x9E3779B97F4A7C15) + e[at, np.arange(len(rows))[:, None]].astype(np.uint64) + U(1)
-            out.append(h)
-        return np.concatenate(out, 1)
-
-    def _calibrate(self, sized: np.ndarray, r) -> tuple[int, int, float]:
-        """Most places a table, and fewest tables, that find the target share of items edited up to the limit."""
-        if not len(sized):
-            return 1, 1, 1.0
-        pairs = []
-        for i in sized[np.linspace(0, len(sized) - 1, min(len(sized), 60)).astype(int)]:
-            t = bytearray(self.texts[i])
-            for _ in range(int(self.most[i])):
-                k, what = int(r.integers(0, len(t))), int(r.integers(0, 3))
-                if what == 0:
-                    t[k] = int(r.integers(97, 123))
-                elif what == 1:
-                    t.insert(k, int(r.integers(97, 123)))
-                elif len(t) > 1:
-                    del t[k]
-            pairs.append((i, bytes(t)))
-        agree = np.zeros((len(pairs), WALKS))
-        size = np.array([self.lengths[i] for i, _ in pairs])
-        one, two = self._matrix([self.texts[i] for i, _ in pairs], size), self._matrix([t for _, t in pairs], size)
-        for w in range(WALKS):
-            same = self._walk(one, size, w) == self._walk(two, size, w)
-            agree[:, w] = [same[: int(REACH * n), k].mean() for k, n in enumerate(size)]
-        best = (1, MOST_TABLES, 0.0)
-        for sample in range(1, 9):
-            for tables in (4, 8, 16, 32, MOST_TABLES):
-                found = float((1 - np.prod((1 - agree**sample) ** tables, 1)).mean())
-                if found >= TARGET:
-                    best = (sample, tables, found)
-                    break
-        return best
-
-    def collide(self, windows: list[bytes], items: np.ndarray) -> np.ndarray:
-        """Which windows share a table's key with their item."""
-        out = np.zeros(len(windows), bool)
-        order = np.argsort(self.lengths[items], kind="stable")
-        for at in np.split(order, np.arange(1024, len(order), 1024)):
-            out[at] = (self._keys([windows[k] for k in at], self.lengths[items[at]]) == self.item_keys[items[at]]).any(1)
-        return out
+        self.whole = [i for i in range(len(texts)) if self.lengths[i] and not self.most[i]]  # these allow no edit
+        parts = []
+        for i in np.flatnonzero(self.most > 0).tolist():
+            m, k = int(self.lengths[i]), int(self.most[i])
+            n = -(-m // PART)
+            cut, edits = [m * j // n for j in range(n + 1)], [(k + 1) * j // n for j in range(n + 1)]
+            for j in range(n):
+                size, t = cut[j + 1] - cut[j], edits[j + 1] - edits[j] - 1
+                if t >= 0:
+                    left = {q: size - q + 1 - q * t for q in range(1, LONGEST + 1)}
+                    parts.append((i, cut[j], size, t, max([q for q in left if left[q] >= max(2, size // 8)] or [q for q in left if left[q] > 0] or [1])))
+        self.item, self.offset, self.size, self.edits, self.q = (np.array([p[c] for p in parts], np.int64) for c in range(5))
+        self.width = 1 << max(3, int(self.edits.max(initial=1) - 1).bit_length())  # diagonals that differ by t are in two bands
+        self.index = {q: self._index(np.flatnonzero(self.q == q), q) for q in np.unique(self.q).tolist()}
+
+    def _index(self, parts: np.ndarray, q: int):
+        """(parts, strings that must be left, bits, first, count, part and offset of each string by hash)"""
+        data = np.frombuffer(b"".join(self.texts[self.item[p]][self.offset[p] : self.offset[p] + self.size[p]] for p in parts), np.uint8)
+        n = self.size[parts] - q + 1
+        at = spread(np.cumsum(self.size[parts]) - self.size[parts], n)
+        part = np.repeat(np.arange(len(parts)), n)
+        offset = at - (np.cumsum(self.size[parts]) - self.size[parts])[part]
+        bits = min(22, max(12, (16 * len(at)).bit_length()))
+        h = hashes(data, q, bits)[at]
+        # of each part the rarest strings: as many as its edits can break, and those that then must be left
+        seen = np.bincount(h, minlength=1 << bits)[h]
+        need = np.maximum(1, np.minimum(SPARE, self.size[parts] - q + 1 - q * self.edits[parts]))
+        order = np.lexsort((seen, part))
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        order = order[rank < (q * self.edits[parts] + need)[part[order]]]
+        order = order[np.argsort(h[order], kind="stable")]
+        count = np.bincount(h[order], minlength=1 << bits).astype(np.int32)
+        first = (np.cumsum(count) - count).astype(np.int32)
+        return parts, need, bits, first, count, part[order].astype(np.int32), offset[order].astype(np.int32)
+
+
+def hashes(data: np.ndarray, q: int, bits: int) -> np.ndarray:
+    """Hash of the q bytes at each place."""
+    x = np.zeros(max(0, len(data) - q + 1), np.uint32)
+    for j in range(q):
+        x = x << np.uint32(8) | data[j : len(data) - q + 1 + j]
+    return x * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)
+
+
+def near_diagonals(data: np.ndarray, items: Items, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, band): pairs of neighbouring bands of diagonals where enough of a part's strings lie."""
+    parts, need, bits, first, count, part, offset = items.index[q]
+    h = hashes(data, q, bits)
+    n, back = len(parts), int(items.size[parts].max()) + 1
+    shift, need = items.width.bit_length() - 1, need.astype(np.int16)
+    over = int((items.size + items.edits).max()) + q
+    step = min(STEP, max(256, COUNTERS // n << shift))
+    out = []
+    for low in range(0, len(h), step):
+        x = h[low : low + step + over]
+        c = count[x]
+        has = np.flatnonzero(c)
+        c = c[has]
+        behind = np.cumsum(c, dtype=np.int32)
+        posting = np.repeat(first[x[has]] - behind + c, c) + np.arange(behind[-1] if len(c) else 0, dtype=np.int32)
+        band = (np.repeat((has + back).astype(np.int32), c) - offset[posting]) >> shift
+        bands = ((len(x) + back) >> shift) + 2
+        counts = np.bincount(band * np.int32(n) + part[posting], minlength=bands * n).astype(np.int16).reshape(bands, n)
+        both = counts[:-1] + counts[1:]
+        lower, who = np.divmod(np.flatnonzero(both >= need), n)
+        out.append((parts[who], (lower << shift) - back + low))
+    return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def edit_distance(item: bytes, text: bytes) -> int:
@@ -179,63 +161,74 @@ def edit_distance(item: bytes, text: bytes) -> int:
     return best
 
 
+def close_parts(data: np.ndarray, items: Items, part: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the part occurs with at most its edits near the diagonals from `at` on: Myers' columns of many at once."""
+    out = np.zeros(len(part), bool)
+    padded = np.concatenate([data, np.zeros(1, np.uint8)])
+    one = U(1)
+    order = np.argsort(part, kind="stable")
+    for some in np.split(order, np.arange(4096, len(order), 4096)):
+        p, back = part[some], items.edits[part[some]]
+        kinds, row = np.unique(p, return_inverse=True)
+        peq = np.zeros((len(kinds), 256), np.uint64)
+        for k, x in enumerate(kinds.tolist()):
+            text = np.frombuffer(items.texts[items.item[x]], np.uint8)[items.offset[x] : items.offset[x] + items.size[x]]
+            np.bitwise_or.at(peq[k], text, one << np.arange(len(text), dtype=np.uint64))
+        top = (items.size[p] - 1).astype(np.uint64)
+        plus, minus = np.full(len(p), ~U(0)), np.zeros(len(p), np.uint64)
+        score = items.size[p].copy()
+        best = score.copy()
+        begin = at[some] - back
+        for j in range(int((items.size[p] + 3 * back).max(initial=0)) + 2 * items.width):
+            place = begin + j
+            eq = peq[row, padded[np.where((place < 0) | (place >= len(data)), len(data), place)]]
+            xv = eq | minus
+            xh = (((eq & plus) + plus) ^ plus) | eq
+            ph, mh = minus | ~(xh | plus), plus & xh
+            score += (ph >> top & one).astype(np.int64) - (mh >> top & one).astype(np.int64)
+            ph, mh = ph << one, mh << one
+            plus, minus = mh | ~(xv | ph), ph & xv
+            np.minimum(best, score, out=best)
+        out[some] = best <= back
+    return out
+
+
 def matches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     """(text, item, distance) of all texts of normalised bytes."""
     out: dict[tuple[int, int], int] = {}
-    for i in items.short:
-        word = items.texts[i]
-        for d, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            if e - s >= len(word) and data[s:e].tobytes().find(word) >= 0:
+    whole = data.tobytes() if items.whole else b""
+    for i in items.whole:
+        word, s = items.texts[i], whole.find(items.texts[i])
+        while s >= 0:
+            d = int(np.searchsorted(starts, s, "right")) - 1
+            inside = s + len(word) <= int(ends[d])
+            if inside:
                 out[d, i] = 0
-    if len(data) < Q or not len(items.distinct):
-        return [(d, i, x) for (d, i), x in out.items()]
-    grams = mix(PrefixHash(data).every(Q))
-    at = np.flatnonzero(items.bitmap[(grams >> U(64 - MAP_BITS)).astype(np.int64)])
-    g = find(items.distinct, grams[at])
-    at, g = at[g >= 0], g[g >= 0]
-    text = np.searchsorted(starts, at, "right") - 1
-    inside = at + Q <= ends[text]
-    at, g, text = at[inside], g[inside], text[inside]
-    posting = spread(items.first[g], items.count[g])
-    item, diagonal, text = items.gram_item[posting], np.repeat(at, items.count[g]) - items.gram_offset[posting], np.repeat(text, items.count[g])
-    found: dict[tuple[int, int], list[int]] = {}
-    width = np.maximum(16, items.lengths[item] // 3)
-    for shift in (0, 1):  # two sets of diagonal bands, half a band apart
-        band = (diagonal + shift * (width // 2)) // width
-        order = np.lexsort((diagonal, band, item, text))
-        t, i, b, x = text[order], item[order], band[order], diagonal[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(t)))
-        need = np.maximum(SEEDS, items.lengths[i[head]] // 32) if len(head) else size
-        for k in np.flatnonzero(size >= need):
-            a, n = head[k], size[k]
-            found.setdefault((int(t[a]), int(i[a])), []).extend({int(x[a]), int(x[a + n // 2]), int(x[a + n - 1])})
-    windows, which, where = [], [], []
-    for (d, i), diagonals in found.items():
-        for s in sorted(set(diagonals)):
-            s = int(max(starts[d], s))
-            windows.append(data[s : min(int(ends[d]), s + int(items.lengths[i]))].tobytes())
-            which.append(i)
-            where.append((d, i, s))
-    if windows:
-        hit = items.collide(windows, np.array(which))
-        stretch: dict[tuple[int, int], list[list[int]]] = {}
-        for (d, i, s), ok in zip(where, hit.tolist(), strict=True):
-            if ok:  # windows whose surroundings overlap are verified together
-                slack, last = int(items.most[i]), stretch.setdefault((d, i), [])
-                begin, end = max(int(starts[d]), s - slack), min(int(ends[d]), s + int(items.lengths[i]) + slack)
-                if last and begin <= last[-1][1] and end - last[-1][0] <= 3 * int(items.lengths[i]):
-                    last[-1][1] = max(last[-1][1], end)
-                else:
-                    last.append([begin, end])
-        for (d, i), parts in stretch.items():
-            for begin, end in parts:
-                near = data[begin:end].tobytes()
-                x = 0 if items.texts[i] in near else edit_distance(items.texts[i], near)
-                if x <= items.most[i] and x < out.get((d, i), 1 << 60):
-                    out[d, i] = x
+            s = whole.find(word, int(ends[d]) if inside else s + 1)
+    stretch: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for q in items.index:
+        part, at = near_diagonals(data, items, q)
+        close = close_parts(data, items, part, at)
+        part, at = part[close], at[close]
+        item, back = items.item[part], items.edits[part]
+        begin = at - back - items.offset[part] - items.most[item]
+        end = at + 2 * items.width + back - items.offset[part] + items.lengths[item] + items.most[item]
+        low, high = np.searchsorted(ends, np.maximum(begin, 0), "right"), np.searchsorted(starts, np.minimum(end, len(data)), "left")
+        for d0, d1, i, b, e in zip(low.tolist(), high.tolist(), item.tolist(), begin.tolist(), end.tolist(), strict=True):
+            for d in range(d0, d1):
+                stretch.setdefault((d, i), []).append((max(b, int(starts[d])), min(e, int(ends[d]))))
+    for (d, i), spans in stretch.items():
+        parts: list[list[int]] = []
+        for b, e in sorted(spans):  # stretches that overlap are verified together
+            if parts and b <= parts[-1][1]:
+                parts[-1][1] = max(parts[-1][1], e)
+            else:
+                parts.append([b, e])
+        for b, e in parts:
+            near = data[b:e].tobytes()
+            x = 0 if items.texts[i] in near else edit_distance(items.texts[i], near)
+            if x <= items.most[i] and x < out.get((d, i), 1 << 60):
+                out[d, i] = x
     return [(d, i, x) for (d, i), x in out.items()]
 
 

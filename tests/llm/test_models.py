@@ -112,6 +112,28 @@ def test_decontamination_finds_edited_passages(spark):
     assert all(x["distance"] <= 0.2 * x["item_bytes"] for x in got.values())
 
 
+def test_decontamination_equals_brute_force_at_the_full_similarity(spark):
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("etaoinshrdlu") for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate([4, 5, 7, 9, 10, 12, 15, 16, 20, 24, 25, 30, 40, 45, 60, 63, 90, 100, 150, 300])]
+    docs, planted = [], set()
+    for k, x in items:
+        for way in range(3):
+            n, y = len(x) // 5, list(x)
+            if way == 0:  # every fifth byte replaced: no five bytes in a row stay
+                y[4::5] = "#" * n
+            elif way == 1:  # every fifth byte left out
+                del y[4::5]
+            else:
+                y = list(edited(r, x, n))
+            planted.add((len(docs), k))
+            docs.append((len(docs), text(150) + "".join(y) + text(150)))
+    out = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    near = {(d, k): decontam.edit_distance(x.encode(), t.encode()) for d, t in docs for k, x in items}
+    want = {p: n for p, n in near.items() if n <= len(items[p[1]][1]) // 5}
+    assert planted <= want.keys() and {(o["doc_id"], o["item_id"]): o["distance"] for o in out} == want
+
+
 def test_edit_distance_is_exact():
     r = random.Random(2)
     for _ in range(60):
