@@ -1,6 +1,8 @@
 """Toxicity: a support vector machine on a gap-weighted subsequence kernel with Nystrom landmarks.
 
-An instance is the window of WINDOW bytes at a word's start, A-Z lower-cased, bytes put into 32 classes. The kernel of
+An instance is the window of WINDOW bytes at a word's start, and in words that go on behind it every STARTS bytes until
+the word's end is covered, so that each span of SPAN bytes of a word lies whole in a window (scripts without spaces are
+long words). Bytes are A-Z lower-cased and put into 32 classes. The kernel of
 two windows sums, over all byte subsequences of length 4 that span at most SPAN bytes, the products of their weights
 DECAY^gaps: a letter put into an insult, or an ending put behind its stem, leaves most of them. Labelled documents are
 cut into sentences; a toxic document's label goes to its highest-scoring windows (its witnesses), clean documents give
@@ -63,13 +65,18 @@ def strings(code: np.ndarray, place: np.ndarray, offsets: tuple[int, int, int])
     return out
 
 
-def word_starts(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def window_places(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where windows begin: at word starts, and every STARTS bytes in a word until a window reaches its end."""
     letter = code < 30
     begin = letter.copy()
     begin[1:] &= ~letter[:-1]
     inside = starts[starts < len(code)]
     begin[inside] = letter[inside]
-    return np.flatnonzero(begin)
+    first = np.flatnonzero(begin)
+    stop = np.append(np.flatnonzero(~letter | begin), len(code))
+    size = stop[np.searchsorted(stop, first, "right")] - first
+    n = 1 + np.maximum(0, -((WINDOW - size) // STARTS))
+    return np.repeat(first, n) + STARTS * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
 
 
 WEIGHTS = np.array([DECAY ** (c - 3) for _, _, c in OFFSETS], np.float32)
@@ -128,7 +135,7 @@ class Sample:
                 at += j - i + WINDOW
         self.code = coded(np.frombuffer(b"".join(parts), np.uint8))
         starts = np.array(starts, np.int64)
-        self.at = word_starts(self.code, starts)
+        self.at = window_places(self.code, starts)
         self.sentence = np.searchsorted(starts, self.at, "right") - 1
         self.doc = np.array(doc, np.int64)[self.sentence] if len(starts) else np.zeros(0, np.int64)
         self.docs = len(texts)
@@ -254,7 +261,7 @@ class Model:
             begin = np.cumsum(size) - size
             code = np.full(int(size.sum()), 31, np.uint8)
             code[np.arange(starts[i], ends[j - 1]) + np.repeat(begin - starts[i:j], ends[i:j] - starts[i:j])] = coded(data[starts[i] : ends[j - 1]])
-            at = word_starts(code, begin)
+            at = window_places(code, begin)
             if len(at):
                 best[i:j] = top_scores(window_scores(code, self.table, at) + self.bias, np.searchsorted(begin, at, "right") - 1, j - i)
         return 1 / (1 + np.exp(-np.clip(best @ self.curve[:-1] + self.curve[-1], -40, 40)))

@@ -48,6 +48,31 @@ def test_toxicity_tolerates_inserted_letters():
     assert s[0] > 0.5 > s[1] and 0 <= s[2] < 0.3
 
 
+def test_toxicity_reads_long_words_and_texts_without_spaces():
+    def scores(model, texts):
+        ends = np.cumsum([len(x) for x in texts])
+        return model.scores(np.frombuffer(b"".join(texts), np.uint8), ends - [len(x) for x in texts], ends)
+
+    r = random.Random(5)
+    model = toxicity.train(sentences(r, 150, True), sentences(r, 300, False))
+    s = scores(model, [b"rose tile unquestionablyblockhead near overwhelminglydimwits", b"rosetilenearninelanesofstoneblockheadandnumbskullseen", b"rose tile unquestionablyninelanes near overwhelminglyoutlines"])
+    assert min(s[:2]) > toxicity.THRESHOLD > s[2]
+    insults = ["\u611a\u8822\u7b28\u86cb", "\u767d\u75f4\u50bb\u74dc"]
+
+    def unbroken(n, toxic):
+        out = []
+        for _ in range(n):
+            w = [chr(r.randrange(0x4E00, 0x4E00 + 900)) for _ in range(60)]
+            if toxic:
+                w[20:24], w[40:44] = r.choice(insults), r.choice(insults)
+            out.append("".join(w).encode())
+        return out
+
+    model = toxicity.train(unbroken(150, True), unbroken(300, False))
+    assert auc([1] * 100 + [0] * 100, scores(model, unbroken(100, True) + unbroken(100, False))) > 0.9
+    assert toxicity.window_places(toxicity.coded(np.frombuffer(b"a bcdefghijklmno " + b"x" * 26, np.uint8)), np.array([0])).tolist() == [0, 2, 9, 17, 24, 31]
+
+
 def test_toxicity_edge_cases(spark):
     assert toxicity.train([], [b"a"]).constant == 0.0 and toxicity.train([b"a"], []).constant == 1.0
     docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (None, "x" * 5000, 3), (2, "", 3)], "doc_id long, text string, score int")
