@@ -156,6 +156,22 @@ def _facts(batches, percent: int):
             yield from pa.table({"doc_id": tab.column("doc_id").slice(i, j - i), "n": pa.array(s.size, pa.int64()), "sid": pa.array(s.id), "chk": pa.array(s.check), "bins": pa.array([*s.sketches(percent)], pa.binary())}).to_batches()
 
 
+def _own_texts(batches):
+    """A text for each set, by the set's own hash: ids may be null or repeated."""
+    seen = set()  # equal sets of the task send one text
+    for b in batches:
+        tab = pa.Table.from_batches([b])
+        data, starts, ends = texts_of(tab)
+        for i, j in pieces(starts, ends, PIECE):
+            s = Sets(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
+            keep = []
+            for t in np.flatnonzero(s.size > 0).tolist():
+                if (x := int(s.id[t])) not in seen:
+                    seen.add(x)
+                    keep.append(t)
+            yield from pa.table({"sid": pa.array(s.id[keep]), "text": tab.column("text").slice(i, j - i).take(pa.array(keep, pa.int64()))}).to_batches()
+
+
 def _signed(batches, limits, segments, wide, bits):
     """Per bucket of signatures one row: signatures (32 bits after the bucket's), place of the set, sets, own band."""
     for b in batches:
@@ -352,8 +368,9 @@ def _links(docs: DataFrame, classes: DataFrame, longest: int, elements: int, per
     signed = docs.select("text").mapInArrow(released(lambda it: _signed(it, limits, segments, wide, bits)), "bucket int, sigs binary, place binary, sids binary, own binary, n int")
     groups = saved(signed.groupBy("bucket").applyInArrow(lambda t: tidy(_groups(t)), "grp long, size int, times long, pivot long, sid long"))
     nodes = groups.select("sid").union(groups.select(F.col("pivot").alias("sid"))).distinct()
-    wanted = saved(classes.select("sid", "n", "bins", F.col("first").alias("doc_id")).join(nodes, "sid", "left_semi"))
-    texts = forgetful(saved(docs.join(wanted.select("sid", "doc_id"), "doc_id").dropDuplicates(["sid"]).select("sid", "text")))
+    wanted = saved(classes.select("sid", "n", "bins").join(nodes, "sid", "left_semi"))
+    own = docs.select("text").mapInArrow(released(_own_texts), "sid long, text string")
+    texts = forgetful(saved(own.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])))
     # first each set with the partner it shares most signatures with
     known = lambda c: wanted.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"h{c}"))
     pairs = groups.groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.sum("times").alias("shared"))

@@ -130,6 +130,16 @@ def test_jaccard_join_chain_and_empty(spark):
     assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
 
 
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(300)]
+    a, b, c, d = (" ".join(words[k : k + 100]) for k in (0, 4, 150, 154))  # a is like b, c is like d
+    got = jaccard_join.jaccard_join(frame(spark, [(None, a), (None, b), (9, b + " end"), (None, "other words stand here alone")])).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 9), (0, 9), (9, 9)]
+    # rows that share an id but not their text: each set is verified by its own text
+    got = jaccard_join.jaccard_join(frame(spark, [(5, a), (5, c), (3, b), (2, d)])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(2, 2), (3, 3), (5, 2), (5, 3)]
+
+
 TRICKY = ["", None, "Hello world", " leading", "trailing \n\n", "don't we'll I'VE", "naïve café ﬁ", "日本語のテキスト", "a b c", "12345 ²³ ½", "<|endoftext|> in <|endoftext|>", "x" * 500, "é" * 300, "\u0000\u0001\x1c\x1f", "👩‍👩‍👧 emoji 🤷🏽", "tab\tand\r\nlines", "ⅷ Ⅻ ٣", "ß" * 70 + " end", "ǅ ʰ"]
 
 
