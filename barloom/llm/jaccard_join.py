@@ -147,23 +147,23 @@ def signatures(s: Sets, limits: np.ndarray, segments: np.ndarray, wide: np.ndarr
     return np.concatenate(sig), np.concatenate(text), np.concatenate(own)
 
 
-def _facts(batches, percent: int):
+def _facts(batches, percent: int, k: int):
     for b in batches:
         tab = pa.Table.from_batches([b])
         data, starts, ends = texts_of(tab)
         for i, j in pieces(starts, ends, PIECE):
-            s = Sets(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
+            s = Sets(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i], k)
             yield from pa.table({"doc_id": tab.column("doc_id").slice(i, j - i), "n": pa.array(s.size, pa.int64()), "sid": pa.array(s.id), "chk": pa.array(s.check), "bins": pa.array([*s.sketches(percent)], pa.binary())}).to_batches()
 
 
-def _own_texts(batches):
+def _own_texts(batches, k: int):
     """A text for each set, by the set's own hash: ids may be null or repeated."""
     seen = set()  # equal sets of the task send one text
     for b in batches:
         tab = pa.Table.from_batches([b])
         data, starts, ends = texts_of(tab)
         for i, j in pieces(starts, ends, PIECE):
-            s = Sets(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
+            s = Sets(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i], k)
             keep = []
             for t in np.flatnonzero(s.size > 0).tolist():
                 if (x := int(s.id[t])) not in seen:
@@ -172,12 +172,12 @@ def _own_texts(batches):
             yield from pa.table({"sid": pa.array(s.id[keep]), "text": tab.column("text").slice(i, j - i).take(pa.array(keep, pa.int64()))}).to_batches()
 
 
-def _signed(batches, limits, segments, wide, bits):
+def _signed(batches, limits, segments, wide, bits, k: int):
     """Per bucket of signatures one row: signatures (32 bits after the bucket's), place of the set, sets, own band."""
     for b in batches:
         data, starts, ends = texts_of(pa.Table.from_batches([b]))
         for i, j in pieces(starts, ends, 2 * PIECE):
-            s = Sets(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
+            s = Sets(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i], k)
             _, rep = np.unique(s.id, return_index=True)  # equal sets of the piece sign once
             keep = np.zeros(len(s.size), bool)
             keep[rep] = True
@@ -191,7 +191,7 @@ def _signed(batches, limits, segments, wide, bits):
             for x in np.split(np.arange(len(sig)), cut[1:]) if len(cut) else []:
                 who, place = np.unique(text[x], return_inverse=True)
                 rows.append((int(bucket[x[0]]), squeezed(sig[x].astype(np.uint32)), squeezed(place.astype(np.uint16)), packed(s.id[who]), packed(np.packbits(own[x])), len(x)))
-            yield from pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("bucket", pa.int32()), ("sigs", pa.binary()), ("place", pa.binary()), ("sids", pa.binary()), ("own", pa.binary()), ("n", pa.int32())))}).to_batches()
+            yield from pa.table({c: pa.array([r[at] for r in rows], t) for at, (c, t) in enumerate((("bucket", pa.int32()), ("sigs", pa.binary()), ("place", pa.binary()), ("sids", pa.binary()), ("own", pa.binary()), ("n", pa.int32())))}).to_batches()
 
 
 def _groups(tab: pa.Table) -> pa.Table:
@@ -284,14 +284,14 @@ def _cross_pairs(tab: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(x[0]), "b": pa.array(x[1])})
 
 
-def _verified(batches):
+def _verified(batches, k: int):
     """Sizes of intersection and union of the two texts' sets."""
     for b in batches:
         tab = pa.Table.from_batches([b])
         one, two = texts_of(tab, "text_a"), texts_of(tab, "text_b")
         inter, union = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
         for i, j in pieces(one[1] + two[1], one[2] + two[2], PIECE):
-            x, y = (Sets(d[s[i] : e[j - 1]], s[i:j] - s[i], e[i:j] - s[i]) for d, s, e in (one, two))
+            x, y = (Sets(d[s[i] : e[j - 1]], s[i:j] - s[i], e[i:j] - s[i], k) for d, s, e in (one, two))
             text, h = np.concatenate([x.text, y.text]), np.concatenate([x.hash, y.hash])
             order = np.lexsort((h, text))
             text, h = text[order], h[order]
@@ -301,11 +301,11 @@ def _verified(batches):
         yield from tab.select(["a", "b"]).append_column("inter", pa.array(inter)).append_column("uni", pa.array(union)).to_batches()
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(a, b, inter, uni) of pairs (a, b) of set ids."""
     t = texts.select("sid", "text")
     both = pairs.join(t.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(released(_verified), "a long, b long, inter long, uni long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(released(lambda it: _verified(it, k)), "a long, b long, inter long, uni long")
 
 
 def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
@@ -339,15 +339,15 @@ def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id)"""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    facts = saved(docs.mapInArrow(released(lambda it: _facts(it, percent)), "doc_id long, n long, sid long, chk long, bins binary"))
+    facts = saved(docs.mapInArrow(released(lambda it: _facts(it, percent, shingle)), "doc_id long, n long, sid long, chk long, bins binary"))
     classes = saved(facts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("chk").alias("chk"), F.max("chk").alias("chk2"), F.min("bins").alias("bins")))
     sums = classes.agg(F.count_if(F.expr("n <> n2 OR chk <> chk2")).alias("clash"), F.max("n").alias("longest"), F.sum("n").alias("elements")).first()
     if sums["clash"]:
         raise RuntimeError("two different sets share a 64-bit hash: run again with another hash")
-    links = _links(docs, classes, sums["longest"] or 0, sums["elements"] or 0, percent)
+    links = _links(docs, classes, sums["longest"] or 0, sums["elements"] or 0, percent, shingle)
     # components over set ids; a component's id is its smallest document
     labelled = classes.select("sid", "first").join(components(links).withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
     lowest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -356,7 +356,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     return found.unionByName(facts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _links(docs: DataFrame, classes: DataFrame, longest: int, elements: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, longest: int, elements: int, percent: int, shingle: int) -> DataFrame:
     limits = np.array(band_limits(percent, max(1, longest)))
     band = F.lit(-1)
     for x in limits.tolist():  # some tens of bands: they grow with the logarithm of the longest set
@@ -365,18 +365,18 @@ def _links(docs: DataFrame, classes: DataFrame, longest: int, elements: int, per
     plan = allocation(sizes, percent)
     segments, wide = (np.array([plan.get(k, (0, 0))[i] for k in range(len(limits) + 1)]) for i in (0, 1))
     bits = min(24, max(3, (max(1, elements) >> 19).bit_length()))
-    signed = docs.select("text").mapInArrow(released(lambda it: _signed(it, limits, segments, wide, bits)), "bucket int, sigs binary, place binary, sids binary, own binary, n int")
+    signed = docs.select("text").mapInArrow(released(lambda it: _signed(it, limits, segments, wide, bits, shingle)), "bucket int, sigs binary, place binary, sids binary, own binary, n int")
     groups = saved(signed.groupBy("bucket").applyInArrow(lambda t: tidy(_groups(t)), "grp long, size int, times long, pivot long, sid long"))
     nodes = groups.select("sid").union(groups.select(F.col("pivot").alias("sid"))).distinct()
     wanted = saved(classes.select("sid", "n", "bins").join(nodes, "sid", "left_semi"))
-    own = docs.select("text").mapInArrow(released(_own_texts), "sid long, text string")
+    own = docs.select("text").mapInArrow(released(lambda it: _own_texts(it, shingle)), "sid long, text string")
     texts = forgetful(saved(own.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])))
     # first each set with the partner it shares most signatures with
     known = lambda c: wanted.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"h{c}"))
     pairs = groups.groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.sum("times").alias("shared"))
     pairs = saved(pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "shared", "na", "ha", "nb", "hb").mapInArrow(lambda it: _possible_pairs(it, percent), "a long, b long, shared long"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    checked = forgetful(saved(_verify(best.select("a", "b"), texts)))
+    checked = forgetful(saved(_verify(best.select("a", "b"), texts, shingle)))
     similar = F.col("inter") * 100 >= F.col("uni") * percent
     linked = checked.where(similar).select("a", "b")
     label = components(linked)
@@ -397,7 +397,7 @@ def _links(docs: DataFrame, classes: DataFrame, longest: int, elements: int, per
     cross = member.groupBy("task").applyInArrow(lambda t: tidy(_cross_pairs(t, percent)), "a long, b long")
     rest = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(cross).distinct()
     tried = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(_verify(saved(rest.join(tried, ["a", "b"], "left_anti")), texts).where(similar).select("a", "b"))
+    more = saved(_verify(saved(rest.join(tried, ["a", "b"], "left_anti")), texts, shingle).where(similar).select("a", "b"))
     return linked.unionByName(more)
 
 

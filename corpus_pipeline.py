@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from barloom.llm import bpe, decontam, jaccard_join, suffix_dedup, toxicity
 
+#: Near copies share NEAR_PERCENT % of their strings of NEAR_WORDS words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
@@ -23,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays."""
-    groups = jaccard_join.jaccard_join(docs)
+    groups = jaccard_join.jaccard_join(docs, percent=NEAR_PERCENT, shingle=NEAR_WORDS)
     gone = groups.where("n_shingles > 0 AND NOT (component_id <=> doc_id)").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 

@@ -63,3 +63,13 @@ def test_stages_take_empty_tables(spark, folder):
 
 def test_threshold_is_the_operators():
     assert toxicity.THRESHOLD == 0.3 and [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
+
+
+def test_near_copies_share_four_fifths_of_their_five_word_strings(spark):
+    words = [f"w{k}" for k in range(49)]
+    changed, more = [*words[:24], "x", *words[25:]], [*words[:20], "y", *words[21:24], "x", *words[25:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(more))], "doc_id long, text string")  # 40 of 50, 36 of 54
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs.where("doc_id < 3"), "").collect()}
+    assert kept == {1}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs.where("doc_id <> 2"), "").collect()}
+    assert kept == {1, 3}
