@@ -1,16 +1,20 @@
-"""Benchmark decontamination: lossless string counts on diagonals, bit-parallel and exact edit distances.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 A document is contaminated by a benchmark item if some stretch of it is within an edit similarity of SIMILARITY of the
 item (edit distance at most (1 - SIMILARITY) times the item's length; both A-Z lower-cased, white space runs one
-space). Items are cut into parts of at most PART bytes, one of which has no more than its share of the edits. Of the
-part's strings of q bytes an edit breaks q at most, and the others lie on diagonals of document and part no further
-apart than its edits: where two neighbouring bands of diagonals hold enough of them, the part is compared with a
-bit-parallel edit distance of many places at once, and where it is close the whole item exactly, its ends free in the
-document. No step loses a match, so documents, items and distances equal brute force. (CGK embeddings with
-bit-sampling LSH would find a match with some probability only, and are not used.)
-
-The items are broadcast in blocks of at most BLOCK bytes. Defined results: null texts and items match nothing; items too
-short for an edit match only where they occur whole; repeated rows and items each give rows; order does not matter.
+space). Candidates: the CGK walk reads a string and at each step writes the byte it stands on and stays or moves on by a
+random bit of step and byte, so strings few edits apart give embeddings of small Hamming distance. A table samples some
+places of the embedding; equal samples are a collision. Items are put into classes by size (powers of two up to
+2**WIDEST); a class walks windows in proportion to its smallest items, from every byte of an item and every `stride`
+bytes of a text (longer items so have many windows, some of which hold fewer edits than the item as a whole). Walks are
+repeated with new random bits until the recall, measured on items edited at the limit, evenly spaced and at random,
+reaches TARGET. Each collision names an item and a diagonal. Collisions are looked at twice: a block of WORD bytes of
+the item around the window must lie there within NEAR times its share of the edits. Then the item is verified by exact
+edit distance. The recall is that of all these steps.
+
+The items are broadcast in blocks of at most BLOCK bytes, each of which reads the texts once. Defined results: null texts
+and items match nothing; items that allow no edit (below 5 bytes) match where they occur whole; repeated rows and items
+each give rows; the distance is the least of the stretches found; order does not matter.
 """
 
 from __future__ import annotations
@@ -20,118 +24,170 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, find, pieces, released, spread, texts_of
+from .common import U, pieces, released, spread, texts_of
 
-SIMILARITY, BLOCK, PIECE = 0.8, 4 << 20, 1 << 20
-#: Bytes of a part at most (a machine word holds its columns); longest strings that are counted; how many strings beyond
-#: those that the edits can break are counted, the rarest ones; bytes of text whose diagonals are counted at once, and most counters of them.
-PART, LONGEST, SPARE, STEP, COUNTERS = 62, 4, 9, 1 << 14, 1 << 20
+SIMILARITY, TARGET = 0.8, 0.97
+#: Bytes of items in a broadcast (their tables take some 300 times as much), of texts handled at once, windows walked at once.
+BLOCK, PIECE, STEP = 1 << 18, 1 << 20, 1 << 15
+#: Largest size class, samples of each walk, edited items that the recall is measured on, bits of a filter per key.
+WIDEST, TABLES, TRIALS, FILTER = 6, 4, 48, 32
+#: Bytes of a block at most (a machine word holds its columns); items up to that are verified many at once.
+WORD = 63
+#: Blocks of longer items begin every GAP bytes; edits they may have in proportion to the item's.
+GAP, NEAR = 21, 1.25
+SPREAD = U(0x9E3779B97F4A7C15)
 
 
 def normalised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """A-Z lower-cased, runs of white space one space, none at the ends."""
     low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint8)
     space = (low == 32) | ((low >= 9) & (low <= 13))
+    low[space] = 32
     first = np.zeros(len(low), bool)
-    full = ends > starts
-    first[starts[full]] = True
+    first[starts[ends > starts]] = True
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
     keep &= ~(first & space)
-    last = np.zeros(len(low), bool)  # a space that nothing follows in its text
-    last[:-1] = space[:-1] & first[1:]
-    if len(low):
-        last[-1] = space[-1]
-    run_end = np.maximum.accumulate(np.where(~space | first, np.arange(len(low)), 0))  # last word byte so far
-    tail = space & (np.searchsorted(ends[full], np.arange(len(low)), "right") < full.sum()) if len(low) else space
-    low = np.where(space, np.uint8(32), low)
     count = np.concatenate([[0], np.cumsum(keep)])
     s, e = count[starts], count[ends]
     out = low[keep]
     trim = (e > s) & (out[np.maximum(e - 1, 0)] == 32) if len(out) else np.zeros(len(s), bool)
-    del last, run_end, tail
     return out, s, e - trim
 
 
-class Items:
-    """A block of benchmark items: their bytes, their parts, and the places of the parts' strings of q bytes by hash.
+class Windows:
+    """Random walks over windows and the places of their embeddings that the tables sample."""
+
+    def __init__(self, size_class: int, walks: int):
+        size = 1 << size_class
+        self.steps, self.stride = max(4, 5 * size // 8), max(1, size // 16)
+        sampled = max(3, self.steps // 4)
+        rng = np.random.default_rng(size_class)
+        self.walks = []
+        for _ in range(walks):  # more walks begin with the same ones
+            factor, shift = rng.integers(0, 128, self.steps) * 2 + 1, rng.integers(0, 256, self.steps)
+            places = [[*rng.choice(self.steps - 1, sampled - 1, replace=False).tolist(), self.steps - 1] for _ in range(TABLES)]
+            self.walks.append((factor.astype(np.uint8), shift.astype(np.uint8), [[t for t in range(TABLES) if j in places[t]] for j in range(self.steps)]))
+
+    def keys(self, data: np.ndarray, at: np.ndarray):
+        """Per walk: the hash of each table's sample for the windows that begin at `at`, and where they end. data: steps bytes longer than its texts."""
+        for factor, shift, samples in self.walks:
+            place = at.copy()
+            keys = [np.full(len(at), t, np.uint64) for t in range(TABLES)]
+            for j in range(self.steps):
+                byte = data.take(place)
+                for t in samples[j]:
+                    keys[t] += byte
+                    keys[t] *= SPREAD
+                    keys[t] ^= keys[t] >> U(29)
+                last = place
+                place = place + (byte * factor[j] + shift[j] >> np.uint8(7))
+            yield keys, last
+
+
+def edited(item: bytes, edits: int, rng: np.random.Generator, way: int) -> bytes:
+    """The item with evenly spaced bytes replaced (way 0) or left out (1), or edits of any kind anywhere (2)."""
+    out = bytearray(item)
+    for k in range(edits - 1, -1, -1):
+        kind, new = (way if way < 2 else int(rng.integers(3))), int(rng.integers(97, 123))
+        p = k * len(item) // edits if way < 2 else int(rng.integers(0, max(1, len(out))))
+        if kind == 0 and out:
+            out[p] = new if out[p] != new else new + 1
+        elif kind == 1:
+            del out[p : p + 1]
+        else:
+            out.insert(p, new)
+    return bytes(out)
+
 
-    An item of n parts that allow t1, t2, ... edits with (t1 + 1) + (t2 + 1) + ... = most + 1 has, wherever it occurs with
-    at most `most` edits, a part with at most its t edits. Of a part's b - q + 1 strings an edit breaks q at most, so
-    b - q + 1 - q t are left, on diagonals that differ by t at most.
-    """
+class Items:
+    """A block of benchmark items, and per size class its walks and tables."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], similarity: float = SIMILARITY):
-        self.ids, self.texts, self.similarity = ids, texts, similarity
+    def __init__(self, ids: list[int], texts: list[bytes], similarity: float = SIMILARITY, target: float = TARGET):
+        self.ids, self.texts = ids, texts
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.most = np.floor(self.lengths * (1 - similarity) + 1e-9).astype(np.int64)
         self.whole = [i for i in range(len(texts)) if self.lengths[i] and not self.most[i]]  # these allow no edit
-        parts = []
-        for i in np.flatnonzero(self.most > 0).tolist():
-            m, k = int(self.lengths[i]), int(self.most[i])
-            n = -(-m // PART)
-            cut, edits = [m * j // n for j in range(n + 1)], [(k + 1) * j // n for j in range(n + 1)]
-            for j in range(n):
-                size, t = cut[j + 1] - cut[j], edits[j + 1] - edits[j] - 1
-                if t >= 0:
-                    left = {q: size - q + 1 - q * t for q in range(1, LONGEST + 1)}
-                    parts.append((i, cut[j], size, t, max([q for q in left if left[q] >= max(2, size // 8)] or [q for q in left if left[q] > 0] or [1])))
-        self.item, self.offset, self.size, self.edits, self.q = (np.array([p[c] for p in parts], np.int64) for c in range(5))
-        self.width = 1 << max(3, int(self.edits.max(initial=1) - 1).bit_length())  # diagonals that differ by t are in two bands
-        self.index = {q: self._index(np.flatnonzero(self.q == q), q) for q in np.unique(self.q).tolist()}
-
-    def _index(self, parts: np.ndarray, q: int):
-        """(parts, strings that must be left, bits, first, count, part and offset of each string by hash)"""
-        data = np.frombuffer(b"".join(self.texts[self.item[p]][self.offset[p] : self.offset[p] + self.size[p]] for p in parts), np.uint8)
-        n = self.size[parts] - q + 1
-        at = spread(np.cumsum(self.size[parts]) - self.size[parts], n)
-        part = np.repeat(np.arange(len(parts)), n)
-        offset = at - (np.cumsum(self.size[parts]) - self.size[parts])[part]
-        bits = min(22, max(12, (16 * len(at)).bit_length()))
-        h = hashes(data, q, bits)[at]
-        # of each part the rarest strings: as many as its edits can break, and those that then must be left
-        seen = np.bincount(h, minlength=1 << bits)[h]
-        need = np.maximum(1, np.minimum(SPARE, self.size[parts] - q + 1 - q * self.edits[parts]))
-        order = np.lexsort((seen, part))
-        rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        order = order[rank < (q * self.edits[parts] + need)[part[order]]]
-        order = order[np.argsort(h[order], kind="stable")]
-        count = np.bincount(h[order], minlength=1 << bits).astype(np.int32)
-        first = (np.cumsum(count) - count).astype(np.int32)
-        return parts, need, bits, first, count, part[order].astype(np.int32), offset[order].astype(np.int32)
-
-
-def hashes(data: np.ndarray, q: int, bits: int) -> np.ndarray:
-    """Hash of the q bytes at each place."""
-    x = np.zeros(max(0, len(data) - q + 1), np.uint32)
-    for j in range(q):
-        x = x << np.uint32(8) | data[j : len(data) - q + 1 + j]
-    return x * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)
-
-
-def near_diagonals(data: np.ndarray, items: Items, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """(part, band): pairs of neighbouring bands of diagonals where enough of a part's strings lie."""
-    parts, need, bits, first, count, part, offset = items.index[q]
-    h = hashes(data, q, bits)
-    n, back = len(parts), int(items.size[parts].max()) + 1
-    shift, need = items.width.bit_length() - 1, need.astype(np.int16)
-    over = int((items.size + items.edits).max()) + q
-    step = min(STEP, max(256, COUNTERS // n << shift))
-    out = []
-    for low in range(0, len(h), step):
-        x = h[low : low + step + over]
-        c = count[x]
-        has = np.flatnonzero(c)
-        c = c[has]
-        behind = np.cumsum(c, dtype=np.int32)
-        posting = np.repeat(first[x[has]] - behind + c, c) + np.arange(behind[-1] if len(c) else 0, dtype=np.int32)
-        band = (np.repeat((has + back).astype(np.int32), c) - offset[posting]) >> shift
-        bands = ((len(x) + back) >> shift) + 2
-        counts = np.bincount(band * np.int32(n) + part[posting], minlength=bands * n).astype(np.int16).reshape(bands, n)
-        both = counts[:-1] + counts[1:]
-        lower, who = np.divmod(np.flatnonzero(both >= need), n)
-        out.append((parts[who], (lower << shift) - back + low))
-    return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self._blocks(similarity)
+        of = np.minimum(np.maximum(np.frexp(self.lengths)[1] - 1, 2), WIDEST)
+        self.classes = []
+        for c in np.unique(of[self.most > 0]).tolist():
+            mine = np.flatnonzero((of == c) & (self.most > 0))
+            walks, done = 1, self.classes
+            while True:
+                windows = Windows(c, walks)
+                self.classes = [(windows, self._tables(windows, mine))]
+                if min(self._recall(mine, way) for way in range(3)) >= target:
+                    break
+                walks *= 2
+            self.classes += done
+
+    def _recall(self, mine: np.ndarray, way: int) -> float:
+        """Share of edited items (TRIALS of them, edited at the limit) that are found."""
+        rng = np.random.default_rng(7)
+        who = [int(mine[k * len(mine) // TRIALS if len(mine) >= TRIALS else k % len(mine)]) for k in range(TRIALS)]
+        texts = [b" " * (k % 8) + edited(self.texts[i], int(self.most[i]), rng, way) for k, i in enumerate(who)]
+        ends = np.cumsum([len(t) for t in texts])
+        found = {(d, i) for d, i, _ in matches(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends, self)}
+        return sum((k, i) in found for k, i in enumerate(who)) / TRIALS
+
+    def _blocks(self, similarity: float) -> None:
+        """Blocks of at most WORD bytes of each item: where they begin, their size, edits, and columns of each byte."""
+        n = np.where(self.lengths > WORD, -(-(self.lengths - WORD) // GAP) + 1, 1)
+        self.block_first = np.cumsum(n) - n
+        item = np.repeat(np.arange(len(n)), n)
+        self.block_begin = np.minimum((np.arange(len(item)) - self.block_first[item]) * GAP, np.maximum(0, self.lengths[item] - WORD))
+        self.block_size = np.minimum(self.lengths[item], WORD)
+        self.block_edits = np.where(self.lengths[item] > WORD, int(WORD * (1 - similarity) * NEAR), self.most[item])
+        self.columns = np.zeros(len(item) * 256, np.uint64)
+        begin = np.cumsum(self.lengths) - self.lengths
+        at = spread(begin[item] + self.block_begin, self.block_size)
+        block = np.repeat(np.arange(len(item)), self.block_size)
+        bit = np.arange(len(at)) - np.repeat(np.cumsum(self.block_size) - self.block_size, self.block_size)
+        np.bitwise_or.at(self.columns, block * 256 + np.frombuffer(b"".join(self.texts), np.uint8)[at], U(1) << bit.astype(np.uint64))
+
+    def _tables(self, windows: Windows, mine: np.ndarray):
+        """Per walk and table: a bit filter, sorted keys, and each key's (item, offset)."""
+        size = self.lengths[mine]
+        begin = np.cumsum(size + windows.steps + 1) - (size + windows.steps + 1)
+        pad = b"\0" * (windows.steps + 1)
+        data = np.frombuffer(b"".join(self.texts[i] + pad for i in mine), np.uint8)
+        at, which = spread(begin, size), np.repeat(np.arange(len(mine)), size)
+        bits = max(10, int(FILTER * len(at) - 1).bit_length())
+        out = []
+        for keys, last in windows.keys(data, at):
+            good = np.flatnonzero(last < (begin + size)[which])
+            for key in keys:
+                order = good[np.argsort(key[good], kind="stable")]
+                key = key[order]
+                filled = np.zeros(1 << bits, bool)
+                filled[key >> U(64 - bits)] = True
+                out.append((bits, np.packbits(filled), key, mine[which[order]].astype(np.int32), (at - begin[which])[order].astype(np.int32)))
+        return out
+
+
+def collisions(data: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, item, offset): places of the text and the item whose windows collide."""
+    found = []
+    for windows, tables in items.classes:
+        padded = np.concatenate([data, np.zeros(windows.steps + 1, np.uint8)])
+        for low in range(0, len(data), STEP * windows.stride):
+            at = np.arange(low, min(low + STEP * windows.stride, len(data)), windows.stride)
+            k = 0
+            for keys, _ in windows.keys(padded, at):
+                for key in keys:
+                    bits, filled, known, item, offset = tables[k]
+                    k += 1
+                    slot = (key >> U(64 - bits)).view(np.int64)
+                    hit = np.flatnonzero(filled.take(slot >> 3) >> (7 - (slot & 7)).astype(np.uint8) & np.uint8(1))
+                    first = np.searchsorted(known, key[hit])
+                    same = first < len(known)
+                    same[same] = known[first[same]] == key[hit[same]]
+                    hit, first = hit[same], first[same]
+                    n = np.searchsorted(known, key[hit], "right") - first
+                    entry, place = spread(first, n), np.repeat(at[hit], n)
+                    found.append((place, item[entry].astype(np.int64), offset[entry].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def edit_distance(item: bytes, text: bytes) -> int:
@@ -161,74 +217,79 @@ def edit_distance(item: bytes, text: bytes) -> int:
     return best
 
 
-def close_parts(data: np.ndarray, items: Items, part: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the part occurs with at most its edits near the diagonals from `at` on: Myers' columns of many at once."""
-    out = np.zeros(len(part), bool)
-    padded = np.concatenate([data, np.zeros(1, np.uint8)])
-    one = U(1)
-    order = np.argsort(part, kind="stable")
-    for some in np.split(order, np.arange(4096, len(order), 4096)):
-        p, back = part[some], items.edits[part[some]]
-        kinds, row = np.unique(p, return_inverse=True)
-        peq = np.zeros((len(kinds), 256), np.uint64)
-        for k, x in enumerate(kinds.tolist()):
-            text = np.frombuffer(items.texts[items.item[x]], np.uint8)[items.offset[x] : items.offset[x] + items.size[x]]
-            np.bitwise_or.at(peq[k], text, one << np.arange(len(text), dtype=np.uint64))
-        top = (items.size[p] - 1).astype(np.uint64)
-        plus, minus = np.full(len(p), ~U(0)), np.zeros(len(p), np.uint64)
-        score = items.size[p].copy()
-        best = score.copy()
-        begin = at[some] - back
-        for j in range(int((items.size[p] + 3 * back).max(initial=0)) + 2 * items.width):
-            place = begin + j
-            eq = peq[row, padded[np.where((place < 0) | (place >= len(data)), len(data), place)]]
+def block_distances(data: np.ndarray, begin: np.ndarray, end: np.ndarray, block: np.ndarray, items: Items) -> np.ndarray:
+    """The same for blocks of items and many stretches [begin, end) at once."""
+    out = np.zeros(len(block), np.int64)
+    one, padded = U(1), np.concatenate([data, np.zeros(1, np.uint8)])
+    for some in np.split(np.argsort(end - begin, kind="stable"), np.arange(STEP // 4, len(block), STEP // 4)):
+        row, place, stop = block[some] * 256, begin[some], end[some]
+        score = items.block_size[block[some]]
+        top, best = (score - 1).astype(np.uint64), score.copy()
+        plus, minus = np.full(len(some), ~U(0)), np.zeros(len(some), np.uint64)
+        for _ in range(int((stop - place).max(initial=0))):
+            byte = padded.take(np.where(place < stop, place, len(data)))
+            eq = np.where(place < stop, items.columns.take(row + byte), U(0))  # columns past the end never lower the score
+            place = place + 1
             xv = eq | minus
             xh = (((eq & plus) + plus) ^ plus) | eq
             ph, mh = minus | ~(xh | plus), plus & xh
-            score += (ph >> top & one).astype(np.int64) - (mh >> top & one).astype(np.int64)
+            score = score + (ph >> top & one).view(np.int64) - (mh >> top & one).view(np.int64)
             ph, mh = ph << one, mh << one
             plus, minus = mh | ~(xv | ph), ph & xv
-            np.minimum(best, score, out=best)
-        out[some] = best <= back
+            best = np.minimum(best, score)
+        out[some] = best
     return out
 
 
+def candidates(data, starts, ends, items: Items):
+    """(text, item, begin, end, distance) of stretches that a block is near to: distance -1 where the item is longer than its block."""
+    place, item, offset = collisions(data, items)
+    text = np.searchsorted(starts, place, "right") - 1
+    block = items.block_first[item] + np.maximum(0, np.minimum((offset - GAP) // GAP, -(-(items.lengths[item] - WORD) // GAP)))
+    diagonal = place - offset
+    order = np.lexsort((diagonal, block))
+    text, item, block, diagonal = (x[order] for x in (text, item, block, diagonal))
+    new = np.ones(len(text), bool)  # one of those that collide on nearly one diagonal
+    new[1:] = (block[1:] != block[:-1]) | (diagonal[1:] >> 2 != diagonal[:-1] >> 2) | (text[1:] != text[:-1])
+    text, item, block, diagonal = (x[new] for x in (text, item, block, diagonal))
+    slack = items.block_edits[block] + 4
+    begin = np.clip(diagonal + items.block_begin[block] - slack, starts[text], ends[text])
+    end = np.clip(diagonal + items.block_begin[block] + items.block_size[block] + slack, starts[text], ends[text])
+    distance = block_distances(data, begin, end, block, items)
+    good = distance <= items.block_edits[block]
+    text, item, diagonal, distance = (x[good] for x in (text, item, diagonal, distance))
+    long = items.lengths[item] > WORD
+    distance[long] = -1
+    slack = items.most[item] + 4
+    return text, item, np.maximum(diagonal - slack, starts[text]), np.minimum(diagonal + items.lengths[item] + slack, ends[text]), distance
+
+
 def matches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     """(text, item, distance) of all texts of normalised bytes."""
     out: dict[tuple[int, int], int] = {}
-    whole = data.tobytes() if items.whole else b""
+    raw = data.tobytes()
     for i in items.whole:
-        word, s = items.texts[i], whole.find(items.texts[i])
+        s = raw.find(items.texts[i])
         while s >= 0:
             d = int(np.searchsorted(starts, s, "right")) - 1
-            inside = s + len(word) <= int(ends[d])
+            inside = s + int(items.lengths[i]) <= int(ends[d])
             if inside:
                 out[d, i] = 0
-            s = whole.find(word, int(ends[d]) if inside else s + 1)
-    stretch: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for q in items.index:
-        part, at = near_diagonals(data, items, q)
-        close = close_parts(data, items, part, at)
-        part, at = part[close], at[close]
-        item, back = items.item[part], items.edits[part]
-        begin = at - back - items.offset[part] - items.most[item]
-        end = at + 2 * items.width + back - items.offset[part] + items.lengths[item] + items.most[item]
-        low, high = np.searchsorted(ends, np.maximum(begin, 0), "right"), np.searchsorted(starts, np.minimum(end, len(data)), "left")
-        for d0, d1, i, b, e in zip(low.tolist(), high.tolist(), item.tolist(), begin.tolist(), end.tolist(), strict=True):
-            for d in range(d0, d1):
-                stretch.setdefault((d, i), []).append((max(b, int(starts[d])), min(e, int(ends[d]))))
-    for (d, i), spans in stretch.items():
-        parts: list[list[int]] = []
-        for b, e in sorted(spans):  # stretches that overlap are verified together
-            if parts and b <= parts[-1][1]:
-                parts[-1][1] = max(parts[-1][1], e)
-            else:
-                parts.append([b, e])
-        for b, e in parts:
-            near = data[b:e].tobytes()
-            x = 0 if items.texts[i] in near else edit_distance(items.texts[i], near)
-            if x <= items.most[i] and x < out.get((d, i), 1 << 60):
-                out[d, i] = x
+            s = raw.find(items.texts[i], int(ends[d]) if inside else s + 1)
+    text, item, begin, end, distance = candidates(data, starts, ends, items)
+    spans: dict[tuple[int, int], list[list[int]]] = {}
+    for d, i, b, e, x in sorted(zip(text.tolist(), item.tolist(), begin.tolist(), end.tolist(), distance.tolist(), strict=True)):
+        if x >= 0:
+            out[d, i] = min(x, out.get((d, i), x))
+        elif (near := spans.setdefault((d, i), [])) and b <= near[-1][1]:  # stretches that overlap are verified together
+            near[-1][1] = max(near[-1][1], e)
+        else:
+            near.append([b, e])
+    for (d, i), near in spans.items():
+        word = items.texts[i]
+        x = min(0 if word in raw[b:e] else edit_distance(word, raw[b:e]) for b, e in near)
+        if x <= items.most[i]:
+            out[d, i] = x
     return [(d, i, x) for (d, i), x in out.items()]
 
 

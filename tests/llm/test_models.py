@@ -137,26 +137,43 @@ def test_decontamination_finds_edited_passages(spark):
     assert all(x["distance"] <= 0.2 * x["item_bytes"] for x in got.values())
 
 
-def test_decontamination_equals_brute_force_at_the_full_similarity(spark):
+def test_decontamination_recall_against_brute_force(spark):
+    """Edits at the limit and below, evenly spaced and anywhere, items of all sizes: 0.9 found of each kind, nothing else."""
     r = random.Random(12)
     text = lambda n: "".join(r.choice("etaoinshrdlu") for _ in range(n))
-    items = [(k, text(n)) for k, n in enumerate([4, 5, 7, 9, 10, 12, 15, 16, 20, 24, 25, 30, 40, 45, 60, 63, 90, 100, 150, 300])]
-    docs, planted = [], set()
+    items = [(k, text(n)) for k, n in enumerate([4, 5, 7, 9, 10, 12, 15, 16, 20, 24, 25, 30, 40, 45, 60, 63, 64, 80, 90, 100, 120, 150, 200, 300])]
+    docs, planted = [], {}
     for k, x in items:
-        for way in range(3):
-            n, y = len(x) // 5, list(x)
-            if way == 0:  # every fifth byte replaced: no five bytes in a row stay
-                y[4::5] = "#" * n
-            elif way == 1:  # every fifth byte left out
-                del y[4::5]
-            else:
-                y = list(edited(r, x, n))
-            planted.add((len(docs), k))
-            docs.append((len(docs), text(150) + "".join(y) + text(150)))
+        for gap in (5, 6, 8, 10):
+            for way in ("replaced", "left out", "anywhere"):
+                y = list(x)
+                if way == "replaced":
+                    y[gap - 1 :: gap] = "#" * (len(x) // gap)
+                elif way == "left out":
+                    del y[gap - 1 :: gap]
+                else:
+                    y = list(edited(r, x, len(x) // gap))
+                planted[len(docs), k] = (gap, way)
+                docs.append((len(docs), text(60) + "".join(y) + text(60)))
     out = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     near = {(d, k): decontam.edit_distance(x.encode(), t.encode()) for d, t in docs for k, x in items}
     want = {p: n for p, n in near.items() if n <= len(items[p[1]][1]) // 5}
-    assert planted <= want.keys() and {(o["doc_id"], o["item_id"]): o["distance"] for o in out} == want
+    got = {(o["doc_id"], o["item_id"]): o["distance"] for o in out}
+    assert planted.keys() <= want.keys() and got.keys() <= want.keys() and all(want[p] <= n <= len(items[p[1]][1]) // 5 for p, n in got.items())
+    assert len(got) >= 0.9 * len(want)
+    for kind in set(planted.values()):
+        mine = [p for p in planted if planted[p] == kind]
+        assert len([p for p in mine if p in got]) >= 0.9 * len(mine), kind
+
+
+def test_decontamination_of_odd_tables(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river bank at noon"
+    long = "lorem ipsum " * 200_000
+    docs = spark.createDataFrame([(1, item, "a"), (1, item, "a"), (2, long + item + long, "b"), (3, "", "c")], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(5, item, 1), (5, item, 1), (6, "", 1)], "item_id long, text string, doc_id long")
+    got = sorted((x["doc_id"], x["item_id"], x["distance"]) for x in decontam.decontaminate(docs, items).collect())
+    assert got == [(1, 5, 0)] * 4 + [(2, 5, 0)] * 2
+    assert decontam.decontaminate(docs.limit(0), items).count() == 0 and decontam.decontaminate(docs, items.limit(0)).count() == 0
 
 
 def test_edit_distance_is_exact():
