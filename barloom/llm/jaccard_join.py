@@ -9,9 +9,10 @@ the band's number of sets, is taken: more segments with neighbourhoods cost more
 Equal sets are one node, so copies are never paired. A set's sketch (its histogram over BINS hash values and the parities
 of some more) bounds from below how far two sets differ; pairs that the bound rules out are never verified. In a
 signature's group all members meet the smallest one; each set is verified against the remaining partner it shares most
-signatures with, and linked sets form components. Then the pairs of a group that lie in two components and pass the
-bound are verified too, large groups in blocks. No link between different sets is lost, and large groups of near-copies
-never become all their pairs.
+signatures with, and linked sets form components. Then rounds: of the pairs of a group that lie in two components and
+pass the bound, each component gives the few most promising to verification (large groups in blocks), and components
+that a link joins become one. Groups of which all such pairs have been tried are done; the others go on, with more
+pairs a component. No link between different components is lost, and pairs within one are never made.
 
 Defined results: documents with null text or without words have no shingles, link with nothing and are their own
 component; a document of fewer words than a shingle has its whole sequence as one; rows sharing an id are one node if
@@ -34,7 +35,9 @@ SHINGLE, PERCENT, PIECE = 4, 85, 1 << 19
 #: Weights of a signature and of a candidate pair in the cost of an allocation.
 SIGNATURE_COST, PAIR_COST = 1.0, 50.0
 #: Bins of a set's sketch; members of a group that one task compares with one another.
-BINS, MEMBERS = 64, 2048
+BINS, MEMBERS = 64, 1024
+#: Pairs that each component of a group gives to verification in the first round, and how many times as many in each further one.
+FIRST_PAIRS, MORE_PAIRS = 4, 16
 
 
 class Sets:
@@ -227,11 +230,16 @@ def _groups(tab: pa.Table) -> pa.Table:
     return pa.table({"grp": pa.array(heads[g].view(np.int64)), "size": pa.array(size[g], pa.int32()), "times": pa.array(times[g]), "pivot": pa.array(pivot[out]), "sid": pa.array(sid[out])})
 
 
-def _possible(na, ha, nb, hb, percent: int) -> np.ndarray:
-    """Whether sketches of one length let the pair be similar: counts and parities differ by no more than the sets do."""
+def _bound(na, ha, nb, hb) -> tuple[np.ndarray, np.ndarray]:
+    """Largest intersection, and union then, that sketches of one length allow: counts and parities differ by no more than the sets do."""
     differ = np.maximum(np.abs(ha[:, :BINS].astype(np.int16) - hb[:, :BINS]).sum(1), np.bitwise_count(ha[:, BINS:] ^ hb[:, BINS:]).sum(1, dtype=np.int64))
     most = (na + nb - differ) // 2
-    return 100 * most >= percent * (na + nb - most)
+    return most, na + nb - most
+
+
+def _possible(na, ha, nb, hb, percent: int) -> np.ndarray:
+    most, union = _bound(na, ha, nb, hb)
+    return 100 * most >= percent * union
 
 
 def _matrix(sketches: list[bytes], length: int) -> np.ndarray:
@@ -261,27 +269,49 @@ def _possible_pairs(batches, percent: int):
         yield from tab.select(["a", "b", "shared"]).filter(pa.array(good)).to_batches()
 
 
-def _cross_pairs(tab: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a group (or of two blocks of it) that lie in two components and pass the bound."""
+def _cross_pairs(tab: pa.Table, percent: int, most: int) -> pa.Table:
+    """(grp, a, b): of each group (or two blocks of it) the pairs that lie in two components and pass the bound, for each
+    component its `most` best; a row without a pair for groups that have more."""
     part = tab.column("part").to_numpy()
     order = np.argsort(part, kind="stable")
     part = part[order]
-    sid, label, side, n = (tab.column(c).to_numpy()[order] for c in ("sid", "label", "side", "n"))
+    grp, sid, label, side, n = (tab.column(c).to_numpy()[order] for c in ("grp", "sid", "label", "side", "n"))
     bins = tab.column("bins").to_pylist()
-    out = [np.zeros((2, 0), np.int64)]
+    pairs, more = [np.zeros((3, 0), np.int64)], []
     head = groups_of(part)
     for a, z in zip(head.tolist(), np.append(head[1:], len(part)).tolist(), strict=True):
         some = [bins[k] for k in order[a:z].tolist()]
         sketch = _matrix(some, min(map(len, some)))
+        one, two, good = [], [], []
         for i in range(a, z):  # one member against those after it
             j = np.arange(i + 1, z)
             j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] < 0))]
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-            j = j[_possible(n[i], sketch[i - a][None], n[j], sketch[j - a], percent)] if len(j) else j
             if len(j):
-                out.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])]))
-    x = np.unique(np.concatenate(out, 1), axis=1)
-    return pa.table({"a": pa.array(x[0]), "b": pa.array(x[1])})
+                shared, union = _bound(n[i], sketch[i - a][None], n[j], sketch[j - a])
+                fits = 100 * shared >= percent * union
+                one.append(np.full(int(fits.sum()), i))
+                two.append(j[fits])
+                good.append(shared[fits] / union[fits])
+        if not one or not sum(map(len, one)):
+            continue
+        one, two, good = np.concatenate(one), np.concatenate(two), np.concatenate(good)
+        kept = np.zeros(len(one), bool)
+        for mine in (label[one], label[two]):  # the rank of each pair among those of its component
+            by = np.lexsort((-good, mine))
+            start = groups_of(mine[by])
+            kept[by] |= np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by)))) < most
+        if not kept.all():
+            more.append(int(grp[a]))
+        one, two = sid[one[kept]], sid[two[kept]]
+        pairs.append(np.stack([np.full(len(one), grp[a]), np.minimum(one, two), np.maximum(one, two)]))
+    x = np.unique(np.concatenate(pairs, 1)[1:], axis=1)
+    none = [None] * len(more)
+    return pa.table({"grp": pa.array([None] * x.shape[1] + more, pa.int64()), "a": pa.array([*x[0].tolist(), *none], pa.int64()), "b": pa.array([*x[1].tolist(), *none], pa.int64())})
+
+
+def _comparison(percent: int, most: int):
+    return lambda t: tidy(_cross_pairs(t, percent, most))
 
 
 def _verified(batches, k: int):
@@ -347,16 +377,24 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     sums = classes.agg(F.count_if(F.expr("n <> n2 OR chk <> chk2")).alias("clash"), F.max("n").alias("longest"), F.sum("n").alias("elements")).first()
     if sums["clash"]:
         raise RuntimeError("two different sets share a 64-bit hash: run again with another hash")
-    links = _links(docs, classes, sums["longest"] or 0, sums["elements"] or 0, percent, shingle)
+    label = _labels(docs, classes, sums["longest"] or 0, sums["elements"] or 0, percent, shingle)
     # components over set ids; a component's id is its smallest document
-    labelled = classes.select("sid", "first").join(components(links).withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
+    labelled = classes.select("sid", "first").join(label, "sid", "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
     lowest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     named = labelled.join(lowest, "label").select("sid", "component_id")
     found = facts.where("n > 0").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(facts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _links(docs: DataFrame, classes: DataFrame, longest: int, elements: int, percent: int, shingle: int) -> DataFrame:
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (sid, label) after the links (a, b)."""
+    at = lambda c: label.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}"))
+    tops = components(links.join(at("a"), "a").join(at("b"), "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")))
+    return saved(label.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("sid", F.coalesce("top", "label").alias("label")))
+
+
+def _labels(docs: DataFrame, classes: DataFrame, longest: int, elements: int, percent: int, shingle: int) -> DataFrame:
+    """(sid, label) of sets that share a signature with another: equal labels are one component."""
     limits = np.array(band_limits(percent, max(1, longest)))
     band = F.lit(-1)
     for x in limits.tolist():  # some tens of bands: they grow with the logarithm of the longest set
@@ -364,7 +402,7 @@ def _links(docs: DataFrame, classes: DataFrame, longest: int, elements: int, per
     sizes = {r["band"]: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
     plan = allocation(sizes, percent)
     segments, wide = (np.array([plan.get(k, (0, 0))[i] for k in range(len(limits) + 1)]) for i in (0, 1))
-    bits = min(24, max(3, (max(1, elements) >> 19).bit_length()))
+    bits = min(30, max(3, (max(1, elements) >> 19).bit_length()))
     signed = docs.select("text").mapInArrow(released(lambda it: _signed(it, limits, segments, wide, bits, shingle)), "bucket int, sigs binary, place binary, sids binary, own binary, n int")
     groups = saved(signed.groupBy("bucket").applyInArrow(lambda t: tidy(_groups(t)), "grp long, size int, times long, pivot long, sid long"))
     nodes = groups.select("sid").union(groups.select(F.col("pivot").alias("sid"))).distinct()
@@ -378,27 +416,34 @@ def _links(docs: DataFrame, classes: DataFrame, longest: int, elements: int, per
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     checked = forgetful(saved(_verify(best.select("a", "b"), texts, shingle)))
     similar = F.col("inter") * 100 >= F.col("uni") * percent
-    linked = checked.where(similar).select("a", "b")
-    label = components(linked)
-    # then what still lies in two components: other pairs with a pivot, and pairs within groups of three and more
-    at = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    member = groups.where("size > 2").select("grp", "sid", "size").join(label.withColumnRenamed("node", "sid"), "sid", "left").select("grp", "sid", "size", F.coalesce("label", "sid").alias("label"))
-    split = member.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
-    member = member.join(split, "grp").join(wanted.select("sid", "n", "bins"), "sid")
-    # a group of up to MEMBERS is one part; a larger one is cut into blocks, and each pair of blocks is a part
+    label = _merged(wanted.select("sid", F.col("sid").alias("label")), checked.where(similar).select("a", "b"))
+    tried = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # then what still lies in two components
+    tasks, most, member = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), FIRST_PAIRS, groups.select("grp", "sid", "size").unionByName(groups.select("grp", F.col("pivot").alias("sid"), "size").distinct())
+    while True:
+        member = member.join(label, "sid")
+        split = member.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
+        member = saved(member.join(split, "grp", "left_semi"))
+        found = saved(_dealt(member.join(wanted.select("sid", "n", "bins"), "sid"), tasks).groupBy("task").applyInArrow(_comparison(percent, most), "grp long, a long, b long").distinct())
+        checked = forgetful(saved(_verify(saved(found.where("a IS NOT NULL").select("a", "b").join(tried, ["a", "b"], "left_anti")), texts, shingle)))
+        links = checked.where(similar).select("a", "b")
+        if not links.isEmpty():
+            label = _merged(label, links)
+        tried = tried.unionByName(checked.select("a", "b"))
+        left = found.where("grp IS NOT NULL").select("grp").distinct()
+        if left.isEmpty():
+            return label
+        member, most = member.join(left, "grp", "left_semi").drop("label"), MORE_PAIRS * most
+
+
+def _dealt(member: DataFrame, tasks: int) -> DataFrame:
+    """Members of groups with the task that compares them: a group of up to MEMBERS is one part, of a larger one each pair of blocks."""
     blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     member = member.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
-    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    member = member.select(part.alias("part"), side.cast("long").alias("side"), "sid", "label", "n", "bins", F.when(F.col("blocks") == 1, F.pmod(part, F.lit(tasks))).otherwise(part).alias("task"))
-    cross = member.groupBy("task").applyInArrow(lambda t: tidy(_cross_pairs(t, percent)), "a long, b long")
-    rest = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(cross).distinct()
-    tried = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(_verify(saved(rest.join(tried, ["a", "b"], "left_anti")), texts, shingle).where(similar).select("a", "b"))
-    return linked.unionByName(more)
+    return member.select("grp", part.alias("part"), side.cast("long").alias("side"), "sid", "label", "n", "bins", F.when(F.col("blocks") == 1, F.pmod(part, F.lit(tasks))).otherwise(part).alias("task"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
