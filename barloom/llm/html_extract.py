@@ -17,6 +17,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,19 @@ class Page:
 
     def _read(self, s: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the node each belongs to
+        places: dict[str, list[int]] = defaultdict(list)  # of each name above the root, ascending
+
+        def ended(k: int) -> tuple[int, int]:
+            """Take the elements from place k on off the stack; how many of them were links, and heads."""
+            a = head = 0
+            for t, _ in stack[k:]:
+                places[t].pop()
+                a += t == "a"
+                head += t == "head"
+                self.blocks += t in TAG_ID
+            del stack[k:]
+            return a, head
+
         at, end, links = 0, len(s), 0
         skip = 0  # open elements whose text is none: head
         while at < end:
@@ -91,16 +106,11 @@ class Page:
             if m.group(1):
                 if name == "br":
                     continue
-                if name == "p" and not any(t == "p" for t, _ in stack):
+                if name == "p" and not places["p"]:
                     self.blocks += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        for t, _ in stack[k:]:
-                            links -= t == "a"
-                            skip -= t == "head"
-                            self.blocks += t in TAG_ID
-                        del stack[k:]
-                        break
+                if places[name]:
+                    a, head = ended(places[name][-1])
+                    links, skip = links - a, skip - head
                 continue
             if name == "br":
                 if not skip:
@@ -119,18 +129,11 @@ class Page:
             if skip and (name in TAG_ID or name == "body"):
                 closing = (*closing, "head")
             if closing:
-                k = len(stack) - 1
-                cut = 0
-                while k > 0 and stack[k][0] not in fences:
-                    if stack[k][0] in closing:
-                        cut = k
-                    k -= 1
+                fence = max([0, *(places[x][-1] for x in fences if places[x])])
+                cut = min((places[x][k] for x in closing if (k := bisect_right(places[x], fence)) < len(places[x])), default=0)
                 if cut:
-                    for t, _ in stack[cut:]:
-                        links -= t == "a"
-                        skip -= t == "head"
-                        self.blocks += t in TAG_ID
-                    del stack[cut:]
+                    a, head = ended(cut)
+                    links, skip = links - a, skip - head
             if name in VOID:
                 self.blocks += name == "hr"
                 continue
@@ -146,6 +149,7 @@ class Page:
                     node = self._node(name, m.group(3), node)
             links += name == "a"
             skip += name == "head"
+            places[name].append(len(stack))
             stack.append((name, node))
 
     @staticmethod
