@@ -53,6 +53,14 @@ def in_batches(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text",
     )
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many _ after it as it takes to differ from those taken (Spark's names ignore case)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def texts_of(tab: pa.Table, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts' UTF-8 bytes in one array, and where each text starts and ends in it (null: empty)."""
     col = tab.column(text)

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import NO_ID, PrefixHash, U, batch_count, blobs, find, groups_of, in_batches, joined, mix, packed, pieces, spread, squeezed, texts_of, tidy, unsqueezed
+from .common import NO_ID, PrefixHash, U, batch_count, blobs, find, free_name, groups_of, in_batches, joined, mix, packed, pieces, spread, squeezed, texts_of, tidy, unsqueezed
 
 LENGTH, K = 50, 26
 #: Bytes of text in a batch, and handled at once in it.
-BATCH, PIECE = 2 << 20, 1 << 19
-HIGH = U(0xFFFFFFFF00000000)
+BATCH, PIECE = 2 << 20, 1 << 18
+HIGH, SPREAD = U(0xFFFFFFFF00000000), U(0x9E3779B97F4A7C15)
 
 
 class Anchors:
@@ -207,6 +207,37 @@ def _smallest(tab: pa.Table, seed: int) -> pa.Table:
     ids, data = joined(unsqueezed(tab, "ids", np.int64), np.int64), joined(unsqueezed(tab, "body", np.uint8), np.uint8)
     count = np.array([len(x) for x in blobs(tab, "offset", np.uint8)])
     start = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
+    # stretches of one anchor stay together; the others are sorted a few at a time, so that memory is bounded
+    anchor = np.zeros(len(start), np.uint64)
+    for k in range(K):
+        anchor = (anchor + data[start + offset + k]) * SPREAD
+    parts = max(1, len(data) // PIECE)
+    part = ((anchor >> U(40)) % U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    stretch, runs, lengths, owners, distinct = [], [], [], [], np.zeros(len(part), np.int64)
+    seen = 0
+    for mine in np.split(order, groups_of(part[order])[1:]) if len(order) else []:
+        own = data[spread(start[mine], windows[mine] + LENGTH - 1)]
+        which, *found = _runs(own, offset[mine], windows[mine], ids[mine], seed)
+        distinct[mine] = which + seen
+        seen += len(found[0])
+        for to, x in zip((stretch, runs, lengths, owners), found, strict=True):
+            to.append(x)
+    stretch, runs, lengths, owners = joined(stretch, U), joined(runs, np.int64), joined(lengths, np.uint8), joined(owners, np.int64)
+    first = np.cumsum(runs) - runs
+    out = {"stretch": [], "runs": [], "lengths": [], "ids": []}
+    for k in np.split(distinct, np.cumsum(count)[:-1]):
+        r = spread(first[k], runs[k])
+        out["stretch"].append(packed(stretch[k]))
+        out["runs"].append(packed(runs[k].astype(np.uint8)))
+        out["lengths"].append(packed(lengths[r]))
+        out["ids"].append(packed(owners[r]))
+    return pa.table({"batch": tab.column("batch"), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+
+
+def _runs(data: np.ndarray, offset: np.ndarray, windows: np.ndarray, ids: np.ndarray, seed: int):
+    """Which distinct stretch each stretch is; of the distinct ones the hash, number of runs of windows with one smallest id, and the runs' lengths and ids."""
+    start = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
     prefix = PrefixHash(data, seed)
     stretch = _stretch_hash(prefix, start, windows, offset)
     order = np.lexsort((ids, stretch))
@@ -248,15 +279,7 @@ def _smallest(tab: pa.Table, seed: int) -> pa.Table:
     heads = np.flatnonzero(head)
     run_len, run_id = np.diff(np.append(heads, len(least))), least[heads]
     runs = np.add.reduceat(head.astype(np.int64), first)
-    run_first = np.cumsum(runs) - runs
-    out = {"stretch": [], "runs": [], "lengths": [], "ids": []}
-    for k in np.split(distinct, np.cumsum(count)[:-1]):
-        r = spread(run_first[k], runs[k])
-        out["stretch"].append(packed(stretch[rep[k]]))
-        out["runs"].append(packed(runs[k].astype(np.uint8)))
-        out["lengths"].append(packed(run_len[r].astype(np.uint8)))
-        out["ids"].append(packed(run_id[r]))
-    return pa.table({"batch": tab.column("batch"), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+    return distinct, stretch[rep], runs, run_len.astype(np.uint8), run_id
 
 
 def _cut(docs: pa.Table, answers: pa.Table, seed: int) -> pa.Table:
@@ -291,14 +314,14 @@ def _cut(docs: pa.Table, answers: pa.Table, seed: int) -> pa.Table:
     body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(packed(kept))]).cast(pa.binary())
     return pa.table({
         "id": docs.column("id"), "n_bytes": pa.array(a.ends - a.starts), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
-        "body": body, **({"kept": docs.column("kept")} if "kept" in docs.column_names else {}),
+        "body": body, **({"kept": (k := docs.column("kept")).cast(pa.struct([f.with_nullable(True) for f in k.type]))} if "kept" in docs.column_names else {}),
     })
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), seed: int = 1, batch_bytes: int = BATCH) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, body, kept): body holds the bytes that stay, kept a struct of the columns keep."""
     n, total = batch_count(docs, batch_bytes, text)
-    bits = min(24, max(3, (max(1, total) >> 20).bit_length()))  # buckets for about 1 MB of text each
+    bits = min(30, max(3, (max(1, total) >> 20).bit_length()))  # buckets for about 1 MB of text each
     batched = in_batches(docs, n, key, text, keep)
     seen = batched.groupBy("batch").applyInArrow(lambda t: tidy(_seen(t, bits, seed)), "bucket int, batch int, body binary")
     shared = seen.groupBy("bucket").applyInArrow(_shared, "batch int, bucket int, body binary")
@@ -312,10 +335,10 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
 
 
 def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
-    """docs with the repeated bytes cut out of the text (and its length counted anew): what is left of a character that lost a byte goes too."""
-    rest = tuple(c for c in docs.columns if c not in (key, text, length))
+    """docs with the repeated bytes cut out of the text (and its length counted anew): what is left of a character that lost a byte goes too, null stays null."""
+    rest, none = tuple(c for c in docs.columns if c not in (key, text, length)), free_name("no_text", docs.columns)
     types = dict(docs.dtypes)
-    cut = suffix_dedup(docs, key, text, keep=rest) if rest else suffix_dedup(docs, key, text)
+    cut = suffix_dedup(docs.withColumn(none, F.col(text).isNull()), key, text, keep=(*rest, none))
 
     def whole(batches):
         for b in batches:
@@ -325,8 +348,9 @@ def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length:
     names = [c for c in cut.columns if c in ("id", "kept", "body")]
     schema = StructType([StructField(c, StringType()) if c == "body" else cut.schema[c] for c in names])
     out = cut.select(*names).mapInArrow(whole, schema)
-    at = {key: F.col("id").cast(types[key]), text: F.col("body"), length: F.char_length("body").cast(types.get(length, "long"))}
-    return out.select(*[at.get(c, F.col("kept").getField(c) if rest else F.lit(None)).alias(c) for c in docs.columns])
+    body = F.when(~F.col("kept").getField(none), F.col("body"))
+    at = {key: F.col("id").cast(types[key]), text: body, length: F.char_length(body).cast(types.get(length, "long"))}
+    return out.select(*[at[c].alias(c) if c in at else F.col("kept").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

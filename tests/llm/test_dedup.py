@@ -68,7 +68,7 @@ def test_cut_texts_keeps_columns_and_whole_characters(spark):
     out = suffix_dedup.cut_texts(docs)
     assert out.columns == docs.columns
     got = {r["doc_id"]: r for r in out.collect()}
-    assert got[1]["text"] == a and got[2]["text"] == "x" and got[2]["n_chars"] == 1 and got[2]["id"] == 2.5 and got[3]["text"] == ""
+    assert got[1]["text"] == a and got[2]["text"] == "x" and got[2]["n_chars"] == 1 and got[2]["id"] == 2.5 and got[3]["text"] is None
 
 
 def shingles(t: str | None) -> set:
