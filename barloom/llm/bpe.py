@@ -369,7 +369,10 @@ def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def bpe_encode(docs: DataFrame, lexicon: str, text: str = "text", name: str = "ids", decoded: str | None = None) -> DataFrame:
-    """docs with the token ids of the text and, if asked for, the text decoded from these ids again."""
+    """docs with the token ids of the text and, if asked for, the text decoded from these ids again; they replace columns of their names."""
+    if text in (name, decoded):
+        raise ValueError(f"the text's column {text} can't be replaced")
+    docs = docs.drop(*(c for c in (name, decoded) if c))
     schema = StructType([*docs.schema, StructField(name, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])])
 
     def run(batches):
@@ -384,7 +387,8 @@ def bpe_encode(docs: DataFrame, lexicon: str, text: str = "text", name: str = "i
 
 
 def bpe_decode(encoded: DataFrame, lexicon: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """The frame with the text that the ids stand for (null: none)."""
+    """The frame with the text that the ids stand for (null: none); it replaces a column of its name."""
+    encoded = encoded.drop(name)
 
     def run(batches):
         tok = _tokenizer(lexicon)

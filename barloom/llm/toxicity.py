@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import pieces, released, texts_of, tidy
+from .common import free_name, pieces, released, texts_of, tidy
 
 WINDOW, SPAN, DECAY, FLOOR, THRESHOLD = 12, 6, 0.6, -3.0, 0.3
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 4000, 8000
@@ -321,7 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
-    """docs with one more column: the probability of a toxic label."""
+    """docs with one more column, the probability of a toxic label; it replaces a column of its name."""
+    docs = docs.drop(name) if name != text else docs.withColumnRenamed(text, text := free_name("text", docs.columns))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
     schema = StructType([*docs.schema, StructField(name, DoubleType())])
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -248,3 +249,12 @@ def test_context_tree_weighting_beats_words_and_takes_empty(spark, data):
     bits = -sum(x["score"] for x in rows) / math.log10(2) / sum(x["n_bytes"] for x in rows)
     assert bits < 3.5  # a byte; of 0.3 MB of training text
     assert ctw.ctw_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_deep_and_long_pages_are_read_in_linear_time():
+    deep = "<div>" * 100_000 + "<article><p>" + "An article of some length, with words. " * 9 + "</p></article>" + "</div>" * 100_000
+    stray = "<div><p>" * 20_000 + "</b></i></li>" * 20_000 + "text" + "<li><td>" * 20_000
+    for source in (deep, stray, "<p>" * 200_000 + "x", "<p " * 50_000, "<b>" * 100_000 + "y" + "</u>" * 100_000):
+        began = time.process_time()
+        html_extract.Page(source)
+        assert time.process_time() - began < 20

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from barloom.llm import toxicity  # noqa: E402
@@ -73,3 +74,17 @@ def test_near_copies_share_four_fifths_of_their_five_word_strings(spark):
     assert kept == {1}
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs.where("doc_id <> 2"), "").collect()}
     assert kept == {1, 3}
+
+
+def test_stages_take_columns_with_their_helpers_names(spark, folder):
+    """Extra columns of any name, also those that stages use inside, come out as they went in; null texts stay null."""
+    names = ["toxicity", "toxicity_score", "gone", "found", "ids", "n_tokens", "round_trip", "decoded", "id", "body", "kept", "no_text", "batch", "sid", "label", "FOUND_"]
+    frame = spark.read.parquet(f"{folder[0]}/documents.parquet").where("doc_id >= 280")
+    frame = frame.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in names])
+    want = frame.columns
+    for name, stage in corpus_pipeline.STAGES:
+        rows, schema = (x := stage(spark, frame, folder[0])).collect(), x.schema
+        frame = spark.createDataFrame(rows, schema)
+        assert frame.columns[: len(want)] == want and (name == "bpe" or frame.columns == want)
+        assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in names)
+    assert {"ids_", "n_tokens_", "round_trip_"} <= set(frame.columns) and [r["text"] for r in rows if r["doc_id"] == 430] == [None]
