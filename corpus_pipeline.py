@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe, decontam, jaccard_join, suffix_dedup, toxicity
+from barloom.llm.common import free_name
 
 #: Near copies share NEAR_PERCENT % of their strings of NEAR_WORDS words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -20,15 +21,17 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.toxicity(docs, toxicity.fit(docs, labels), name="toxicity_score")
-    return scored.where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = free_name("toxicity", docs.columns)
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, labels), name=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays."""
     groups = jaccard_join.jaccard_join(docs, percent=NEAR_PERCENT, shingle=NEAR_WORDS)
-    gone = groups.where("n_shingles > 0 AND NOT (component_id <=> doc_id)").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    name = free_name("gone", docs.columns)
+    gone = groups.where("n_shingles > 0 AND NOT (component_id <=> doc_id)").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +42,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select(F.col("doc_id").alias("found")).distinct(), docs["doc_id"] == F.col("found"), "left_anti")
+    name = free_name("found", docs.columns)
+    return docs.join(found.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns, their token ids, how many there are, and whether the ids decode to the text."""
+    """The documents' columns, their token ids, how many there are, and whether the ids decode to the text (columns of these names keep theirs, the new ones get _)."""
     lexicon = bpe.build_lexicon(spark, docs, bpe.default_tokenizer())
-    out = bpe.bpe_encode(docs, lexicon, name="ids", decoded="decoded")
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    ids, size, same, decoded = (free_name(c, docs.columns) for c in ("ids", "n_tokens", "round_trip", "decoded"))
+    out = bpe.bpe_encode(docs, lexicon, name=ids, decoded=decoded)
+    return out.select(*docs.columns, ids, F.size(ids).cast("long").alias(size), (F.col(decoded) == F.coalesce("text", F.lit(""))).alias(same))
 
 
 STAGES = [
