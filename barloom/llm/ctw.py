@@ -1,9 +1,10 @@
 """Language-model scoring by context-tree weighting over bytes, and a word-unigram base score.
 
-Each byte is decomposed into eight binary decisions; the contexts of a decision are the bits of its byte so far and the
+A-Z are lower-cased, for words and model alike. Each byte is decomposed into eight binary decisions; the contexts of a decision are the bits of its byte so far and the
 0, 1, ... DEPTH bytes before it. A node of the tree mixes its Krichevsky-Trofimov estimate with the product of its
 children (contexts one byte longer), half and half; a prediction walks from the longest context that training has
-visited to the root, mixing the estimates of all depths by their posterior weights. The model's score is the base-10
+visited to the root, mixing the estimates of all depths by their posterior weights (a context that it hasn't visited
+predicts one half). The model's score is the base-10
 logarithm of the text's probability, -log10(2) times its code length in bits. A text starts in the context of DEPTH
 zero bytes and ends with one more zero byte as its end.
 
@@ -31,8 +32,6 @@ from .common import NO_ID, U, Words, batch_count, find, groups_of, in_batches, j
 DEPTH = 5
 BATCH, PIECE = 8 << 20, 1 << 20
 LN2, LN10 = math.log(2.0), math.log(10.0)
-#: Buckets that subtrees, and words, are dealt to.
-FINEST = 4096
 END_OF_TEXT = U(0x5851F42D4C957F2D)
 
 
@@ -77,18 +76,28 @@ def _context_bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
 
 class Batch:
     def __init__(self, tab: pa.Table):
-        self.data, self.starts, self.ends = texts_of(tab)
+        data, self.starts, self.ends = texts_of(tab)
+        self.data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.train = tab.column("train").to_numpy(zero_copy_only=False).astype(bool)
 
-    def parts(self):
-        """Pieces of whole texts: grams' distinct values, where each place has its own, text of each place."""
+    def parts(self, depth: int):
+        """Pieces of whole texts, few enough that a text's number fits beside a gram."""
+        most = 1 << (64 - 8 * (depth + 1))
         for i, j in pieces(self.starts, self.ends + 1, PIECE):
-            yield i, j
+            for k in range(i, j, most):
+                yield k, min(k + most, j)
+
+    def grams(self, i, j, depth):
+        """Sorted (gram, text) of all places, packed into 64 bits, and where each distinct gram starts."""
+        g, text = _grams(self.data, self.starts[i:j], self.ends[i:j], depth)
+        both = (g << U(64 - 8 * (depth + 1))) | text.astype(np.uint64)
+        both.sort()
+        return both, groups_of(both >> U(64 - 8 * (depth + 1)))
 
     def words(self, i, j):
         base = self.starts[i]
         w = Words(self.data[base : self.ends[j - 1]], self.starts[i:j] - base, self.ends[i:j] - base)
-        return w
+        return np.concatenate([w.hash, np.full(j - i, END_OF_TEXT)]), np.concatenate([w.text, np.arange(j - i)])
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]):
@@ -101,22 +110,18 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]):
 
 
 def _distinct(b: Batch, depth: int):
-    """Distinct grams and word hashes of the texts, with their counts in training rows."""
-    grams, gram_counts, words, word_counts = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for i, j in b.parts():
-        g, text = _grams(b.data, b.starts[i:j], b.ends[i:j], depth)
-        u, inv = np.unique(g, return_inverse=True)
-        grams.append(u)
-        gram_counts.append(np.bincount(inv, weights=b.train[i:j][text], minlength=len(u)).astype(np.int64))
-        w = b.words(i, j)
-        h = np.concatenate([w.hash, np.full(j - i, END_OF_TEXT)])
-        t = np.concatenate([b.train[i:j][w.text], b.train[i:j]])
-        u, inv = np.unique(h, return_inverse=True)
-        words.append(u)
-        word_counts.append(np.bincount(inv, weights=t, minlength=len(u)).astype(np.int64))
+    """Distinct grams and word hashes of the texts, with how often they occur."""
+    grams, gram_counts, words = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for i, j in b.parts(depth):
+        both, run = b.grams(i, j, depth)
+        grams.append(both[run] >> U(64 - 8 * (depth + 1)))
+        gram_counts.append(np.diff(np.append(run, len(both))))
+        words.append(b.words(i, j)[0])
         if len(grams) > 3:
             grams, gram_counts = ([x] for x in _merge(grams, gram_counts))
-    return _merge(grams, gram_counts), _merge(words, word_counts)
+    word = np.sort(np.concatenate(words))
+    run = groups_of(word)
+    return _merge(grams, gram_counts), (word[run], np.diff(np.append(run, len(word))))
 
 
 def _dealt(keys: tuple[np.ndarray, np.ndarray], kind: int, buckets: int):
@@ -135,7 +140,7 @@ def _count(batches, depth: int, buckets: int):
         for i in range(0, b.num_rows, 4096):
             found = _distinct(Batch(pa.Table.from_batches([b.slice(i, 4096)])), depth)
             for kind in (0, 1):
-                k, c, bucket, cut = _dealt(tuple(x[found[kind][1] > 0] for x in found[kind]), kind, buckets)
+                k, c, bucket, cut = _dealt(found[kind], kind, buckets)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(cut), kind), pa.int32()), pa.array(bucket, pa.int32()), *(pa.array([squeezed(y) for y in np.split(x, cut[1:])] if len(cut) else [], pa.binary()) for x in (_steps(k, cut), c.astype(np.uint32)))],
                     ["kind", "bucket", "keys", "counts"],
@@ -214,7 +219,7 @@ def _predict(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
     byte = (grams & U(255)).astype(np.int64)
     for bit in range(8):
         prefix, one = ((1 << bit) | (byte >> (8 - bit))).astype(np.uint64), ((byte >> (7 - bit)) & 1).astype(bool)
-        p = np.full(len(grams), np.nan)
+        p = np.full(len(grams), 0.5)  # a node that training has not visited: one half, as all below it
         for level in reversed(levels):
             context = (grams >> U(8)) & _ends(level.length) if level.length else np.zeros(len(grams), np.uint64)
             at = find(level.keys, (context << U(8)) | prefix)
@@ -228,9 +233,9 @@ def _predict(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
                 here = own
             else:  # posterior weight of this node's own estimate against its children
                 w = np.exp(level.kt[at] - LN2 - level.weighted[at])
-                here = np.where(np.isnan(p), own, w * own + (1 - w) * np.nan_to_num(p))
+                here = w * own + (1 - w) * p
             p = np.where(have, here, p)
-        out += np.log(np.where(np.isnan(p), 0.5, p))
+        out += np.log(p)
     return out
 
 
@@ -282,7 +287,7 @@ def _answer(asked: pa.Table, counts: pa.Table, depth: int, upper: list[Level]) -
         value = np.where(at >= 0, c[at] if len(c) else 0, 0).astype(np.int64)
     else:
         levels = upper + _subtree(have, c, depth)
-        value = np.concatenate([_predict(k[i : i + 100_000], levels) for i in range(0, len(k), 100_000)]).astype(np.float32)
+        value = np.concatenate([_predict(k[i : i + 100_000], levels) for i in range(0, len(k), 100_000)])
     return pa.table({"batch": asked.column("batch"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "answers": pa.array([squeezed(value[np.searchsorted(k, x)]) for x in keys], pa.binary())})
 
 
@@ -291,18 +296,18 @@ def _score(docs: pa.Table, answers: pa.Table, depth: int, buckets: int, n: int,
     b = Batch(docs)
     found = _distinct(b, depth)
     known = []
-    for kind, dtype in ((0, np.float32), (1, np.int64)):
+    for kind, dtype in ((0, np.float64), (1, np.int64)):
         part = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("bucket")
         k = _dealt(found[kind], kind, buckets)[0]
         order = np.argsort(k)
         known.append((k[order], joined(unsqueezed(part, "answers", dtype), dtype)[order]))
     score, base, tokens, hits = (np.zeros(len(b.starts)) for _ in range(4))
-    for i, j in b.parts():
-        g, text = _grams(b.data, b.starts[i:j], b.ends[i:j], depth)
-        score[i:j] = np.bincount(text, weights=known[0][1][np.searchsorted(known[0][0], g)].astype(np.float64), minlength=j - i) / LN10
-        w = b.words(i, j)
-        h = np.concatenate([w.hash, np.full(j - i, END_OF_TEXT)])
-        t = np.concatenate([w.text, np.arange(j - i)])
+    for i, j in b.parts(depth):
+        both, run = b.grams(i, j, depth)
+        value = known[0][1][np.searchsorted(known[0][0], both[run] >> U(64 - 8 * (depth + 1)))]
+        text = (both & U((1 << (64 - 8 * (depth + 1))) - 1)).view(np.int64)
+        score[i:j] = np.bincount(text, weights=np.repeat(value, np.diff(np.append(run, len(both)))), minlength=j - i) / LN10
+        h, t = b.words(i, j)
         c = known[1][1][np.searchsorted(known[1][0], h)]
         base[i:j] = np.bincount(t, weights=np.log10((c + 0.5) / (n + 0.5 * (v + 1))), minlength=j - i)
         tokens[i:j], hits[i:j] = np.bincount(t, minlength=j - i), np.bincount(t, weights=c > 0, minlength=j - i)
@@ -317,7 +322,7 @@ def ctw_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth:
     if not 2 <= depth <= 6:
         raise ValueError("depth is 2 to 6")
     n, total = batch_count(docs, batch_bytes, text)
-    buckets = min(FINEST, max(8, total >> 20))
+    buckets = max(8, total >> 20)  # of about 1 MB of text each
     held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     batched = in_batches(docs, n, key, text).withColumn("train", ~held_out)
     training = batched.where("train").select("text", "train")

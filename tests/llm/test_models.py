@@ -208,17 +208,20 @@ def brute_ctw(train: list[bytes], depth: int):
         weighted[c, p] = kt[c, p] if len(c) == depth else np.logaddexp(kt[c, p], sum(weighted[x] for x in children[c, p])) - math.log(2)
 
     def log_probability(t: bytes) -> float:
+        """Each decision's probability is what one more event does to the weighted probability of the whole tree."""
         t, out = b"\0" * depth + t + b"\0", 0.0
         for k in range(depth, len(t)):
             for bit in range(8):
-                p, one = None, (t[k] >> (7 - bit)) & 1
+                p, one, below, old = (1 << bit) | (t[k] >> (8 - bit)), (t[k] >> (7 - bit)) & 1, 0.0, 0.0
                 for d in range(depth, -1, -1):
-                    n = (t[k - d : k], (1 << bit) | (t[k] >> (8 - bit)))
-                    if n in counts:
-                        own = (counts[n][one] + 0.5) / (sum(counts[n]) + 1)
-                        w = math.exp(kt[n] - math.log(2) - weighted[n]) if d < depth else 1
-                        p = own if p is None else w * own + (1 - w) * p
-                out += math.log10(0.5 if p is None else p)
+                    n = (t[k - d : k], p)
+                    a, b = counts.get(n, [0, 0])
+                    a, b = (a, b + 1) if one else (a + 1, b)
+                    own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+                    rest = sum(weighted[x] for x in children.get(n, [])) - old
+                    below = own if d == depth else np.logaddexp(own, rest + below) - math.log(2)
+                    old = weighted.get(n, 0.0)
+                out += (below - old) / math.log(10)
         return out
 
     return log_probability
@@ -229,19 +232,20 @@ def test_context_tree_weighting_equals_brute_force(spark):
     rows = [(i, " ".join(r.choice(["ab", "abc", "Ba", "é", "cab\n"]) for _ in range(r.randint(0, 30)))) for i in range(60)] + [(70, None), (71, ""), (75, "twice"), (75, "twice")]
     got = ctw.ctw_scores(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, train int"), depth=2, batch_bytes=200).collect()
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    log_p = brute_ctw([(t or "").encode() for i, t in rows if not held(i)], 2)
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or ""))
+    log_p = brute_ctw([lower(t).encode() for i, t in rows if not held(i)], 2)
     words = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")).split()
     seen = Counter(w for i, t in rows if not held(i) for w in [*words(t), None])
     n, v = sum(seen.values()), len(seen)
     want = defaultdict(list)
     for i, t in rows:
         w = [*words(t), None]
-        want[i].append((held(i), len(w), sum(seen[x] > 0 for x in w), n, sum(math.log10((seen[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), log_p((t or "").encode())))
+        want[i].append((held(i), len(w), sum(seen[x] > 0 for x in w), n, sum(math.log10((seen[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), log_p(lower(t).encode())))
     assert len(got) == len(rows)
     for x in got:
         h, tokens, known, total, base, score = want[x["id"]][0]
         assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (h, tokens, known, total)
-        assert x["base_score"] == pytest.approx(base, abs=1e-6) and x["score"] == pytest.approx(score, abs=1e-3)
+        assert x["base_score"] == pytest.approx(base, abs=1e-6) and x["score"] == pytest.approx(score, abs=1e-6)
 
 
 def test_context_tree_weighting_beats_words_and_takes_empty(spark, data):
