@@ -3,7 +3,10 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from compare import difference
 
 from barloom.llm import quote_link, topk, url_filter
@@ -83,10 +86,52 @@ def test_quotes_link_to_their_messages(spark):
     got = quote_link.link_quotes(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
     at = {(r["conv_id"], r["turn"]): (r["body"], r["n_quoted"], r["n_linked"], r["reply_to"]) for r in got}
     assert len(got) == 8
-    assert at["c", 1] == ("Use sorted().", 2, 2, 0) and at["c", 2] == ("Thanks!", 2, 2, 1) and at["c", 3] == ("hm", 1, 0, 2)
+    assert at["c", 1] == ("Use sorted().", 1, 1, 0) and at["c", 2] == ("Thanks!", 2, 2, 1) and at["c", 3] == ("hm", 1, 0, 2)
     assert at["c", 0][3] is None and at["c", 4] == ("", 0, 0, 3) and at["d", 1][2] == 0 and at[None, None] == ("", 1, 0, None)
 
 
+def wrapped(r, text, prefix):
+    """The words in lines of a few words each, every one with the prefix."""
+    words, out = text.split(), []
+    while words:
+        n = r.randint(1, 6)
+        out.append(prefix + " ".join(words[:n]))
+        words = words[n:]
+    return "\n".join(out)
+
+
+def test_nested_and_wrapped_quotes_equal_their_sql(spark, tmp_path):
+    """Conversations with quotes of quotes, wrapped anew, of whole messages, passages and lines; equal rows, nulls, empty and long texts."""
+    r = random.Random(3)
+    word = lambda: r.choice(["alpha", "Beta", "gamma", "delta", "Eps", "zeta", "eta", "theta"]) + str(r.randint(0, 40))
+    rows, linked = [], 0
+    for conv in range(40):
+        said = []
+        for turn in range(r.randint(1, 9)):
+            own = "\n\n".join(wrapped(r, " ".join(word() for _ in range(r.randint(3, 14))), "") for _ in range(r.randint(1, 3)))
+            text = own
+            for level in range(1, r.choice([1, 2, 3]) + 1):
+                if said and r.random() < 0.8:
+                    old = r.choice(said)
+                    piece = r.choice([old, r.choice(old.split("\n\n")), r.choice(old.splitlines()), word()])
+                    mark = r.choice(["> ", ">", " > "]) * level
+                    text = "\n".join((mark + "\n").join(wrapped(r, x, mark) + "\n" for x in piece.split("\n\n")) for _ in (0,)) + r.choice(["", "\n"]) + text
+            said.append(own)
+            rows += [(conv, turn, "user", text)] * r.choice([1, 1, 1, 3])
+    rows += [(1, 3, "user", None), (None, 1, "user", "> alpha1"), (2, None, "user", "> x\ny"), (None, None, None, None), (3, 50, "user", "> a b\n" * 30_000 + "end"), (4, 0, "a", " \t>  > deep\r\n>\n\n")]
+    table = pa.Table.from_pylist([dict(zip(("conv_id", "turn", "role", "text"), x, strict=True)) | {"position": "p", "digest": 1} for x in rows])
+    pq.write_table(table, tmp_path / "conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet')")
+    assert difference(quote_link.query(spark, str(tmp_path)), con, ORACLE_SQL["op7_quote_link"]) == ""
+    got = quote_link.query(spark, str(tmp_path)).collect()
+    linked = sum(x["n_linked"] for x in got)
+    assert linked > 100 and sum(x["n_quoted"] for x in got) > linked
+    place = {(x["conv_id"], x["turn"]): x["position"] for x in got}
+    assert all(place[x["conv_id"], x["reply_to"]] < x["position"] for x in got if x["n_linked"])
+    assert quote_link.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
 def test_top_k_equals_brute_force_with_ties(spark):
     r = random.Random(6)
     vectors = [(k, [r.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(6)]) for k in range(300)]
