@@ -14,14 +14,15 @@ from .operators import backtest, composite, diagnostics, models, portfolio, pred
 from .plans.factors import build_factors, catalog_frame
 from .session import make_session
 from .sources import bars as B
-from .sources.sinks import tracked, write_table
+from .sources.sinks import fingerprint, settings_hash, tracked, write_table
 
 SEG = ["symbol", "factor", "segment"]
 
 
 def single(spark: SparkSession, s: Settings, bars: DataFrame, names: set[str], out: str) -> DataFrame:
     """Factors, backtests, rank and library of all symbols in one plan; tables by stage, so that a stage can be resumed."""
-    values = B.cached(spark, f"{out}/factors", lambda: build_factors(bars, names, zscore=s.factors.zscore_window, block_rows=s.factors.block_rows, batch=s.factors.batch))
+    key = fingerprint(settings_hash(s.factors), sorted(names), sorted(bars.columns), B.source_files(bars), bars.agg(F.count("*"), F.sum(F.xxhash64(*bars.columns).cast("decimal(38,0)"))).first())
+    values = B.cached(spark, f"{out}/factors", lambda: build_factors(bars, names, zscore=s.factors.zscore_window, block_rows=s.factors.block_rows, batch=s.factors.batch), key)
     rows = values.join(B.with_returns(bars), ["symbol", "ts"])
     rows = backtest.segments(rows, s.backtest.train_ratio, s.backtest.validation_ratio, ("symbol", "factor"))
     way = backtest.choose_direction(rows, SEG[:2], s.backtest, s.factors.signal_threshold).select("symbol", "factor", "direction")
@@ -45,9 +46,10 @@ def single(spark: SparkSession, s: Settings, bars: DataFrame, names: set[str], o
 
 def composed(spark: SparkSession, s: Settings, bars: DataFrame, out: str) -> DataFrame:
     """Rolling models of the active factors, their signal and its backtest, symbol by symbol in one plan."""
-    active = spark.read.parquet(f"{out}/factor_library").where("status = 'active'").select("symbol", "factor")
-    place = F.row_number().over(Window.partitionBy("symbol").orderBy("factor"))
-    values = spark.read.parquet(f"{out}/factors").join(active.withColumn("slot", place).where(F.col("slot") <= s.model.best), ["symbol", "factor"])
+    ranks = spark.read.parquet(f"{out}/single_factor_summary").select("symbol", "factor", "rank")
+    active = spark.read.parquet(f"{out}/factor_library").where("status = 'active'").select("symbol", "factor").join(ranks, ["symbol", "factor"])
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("rank", "factor"))  # the best by rank, not by name
+    values = spark.read.parquet(f"{out}/factors").join(active.withColumn("slot", place).drop("rank").where(F.col("slot") <= s.model.best), ["symbol", "factor"])
     names = [f"f{k}" for k in range(1, s.model.best + 1)]  # a symbol's k-th factor is its k-th feature
     wide = values.groupBy("symbol", "ts").agg(*[F.max(F.when(F.col("slot") == k, F.col("value"))).alias(f) for k, f in enumerate(names, 1)])
     rows = composite.market_state(composite.with_labels(B.with_returns(bars), s.model.horizon, s.model.neutral_bps), s.model)

@@ -209,6 +209,10 @@ class Frames:
         """Linear between the two nearest values."""
         return self.moving(f"percentile({{}}, {q!r}D)", w, least, term(x))
 
+    def quantiles(self, x, w: int, shares: list[float], least: int | None = None) -> Term:
+        """Several of them as an array: the frame is sorted once."""
+        return self.moving(f"percentile({{}}, array({', '.join(f'{q!r}D' for q in shares)}))", w, least, term(x))
+
     def median(self, x, w: int, least: int | None = None) -> Term:
         return self.quantile(x, w, 0.5, least)
 

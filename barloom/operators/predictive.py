@@ -49,16 +49,12 @@ def qcut_labels(scores: DataFrame, keys: list[str], settings: BacktestSettings =
     """
     frames = Frames(tuple(keys))
     w, least, groups = settings.qcut_window, min(settings.qcut_least, settings.qcut_window), settings.qcut_groups
-    cuts = {f"_q{k}": frames.quantile(score, w, k / groups, least) for k in range(1, groups)}
-    out = frames.apply(scores, cuts | {"_std": frames.std(score, w, least)}, scores.columns)
-    label = F.lit(1.0)
-    for q in cuts:
-        label = label + F.when(F.col(score) > F.col(q), 1.0).otherwise(0.0)
-    good = F.col(score).isNotNull() & (F.col("_std") > 0)
-    for q in cuts:
-        good = good & F.col(q).isNotNull()
+    cuts = frames.quantiles(score, w, [k / groups for k in range(1, groups)], least)
+    out = frames.apply(scores, {"_cuts": cuts, "_std": frames.std(score, w, least)}, scores.columns)
+    label = F.lit(1.0) + F.size(F.filter("_cuts", lambda q: F.col(score) > q))
+    good = F.col(score).isNotNull() & (F.col("_std") > 0) & F.col("_cuts").isNotNull()
     out = out.withColumn("qcut_label", F.when(good, label))
-    return out.withColumn("effective_group", F.lag("qcut_label").over(Window.partitionBy(*keys).orderBy("ts"))).drop(*cuts, "_std")
+    return out.withColumn("effective_group", F.lag("qcut_label").over(Window.partitionBy(*keys).orderBy("ts"))).drop("_cuts", "_std")
 
 
 def qcut_nav(labelled: DataFrame, keys: list[str], groups: int = 5) -> DataFrame:

@@ -149,7 +149,11 @@ def quality_report(spark, d):
     return quality.quality_report(dirty(spark, d), expected=30, extreme=0.02)
 
 
-@query()
+MACRO_BARS = f"SELECT symbol, date::TIMESTAMP AS ts, close AS open, close AS high, close AS low, close, NULL::DOUBLE AS volume FROM ({O.MACRO})"
+MACRO_QUALITY = f"SELECT * REPLACE (NULL::DOUBLE AS missing_volume_share, NULL::DOUBLE AS zero_volume_share, NULL::BIGINT AS ohlc_violations, NULL::DOUBLE AS ohlc_violation_share) FROM ({quality_sql(MACRO_BARS, 'macro_daily', 'u.inferred_minutes', 0.05)})"
+
+
+@query(rounded(MACRO_QUALITY, QUALITY_PLAIN, QUALITY_SHARES))
 def macro_quality(spark, d):
     return quality.macro_quality(macro_1d(spark, d))
 
@@ -476,7 +480,8 @@ def split_segments(spark, d):
     return backtest.segments(score_rows(spark, d), keys=tuple(SF)).select("symbol", "factor", "ts", "segment")
 
 
-@query()
+@query(f"""SELECT symbol, ts, CASE WHEN row_number() OVER ({O.P}) - 1 < least(greatest(floor(count(*) OVER (PARTITION BY symbol) * 0.7::DOUBLE), 1), count(*) OVER (PARTITION BY symbol) - 1)
+    THEN 'train' ELSE 'test' END AS segment FROM ({O.DAILY})""")
 def split_train_test(spark, d):
     return backtest.two_segments(bars_1d(spark, d)).select("symbol", "ts", "segment")
 
@@ -853,7 +858,10 @@ def robustness_segments(spark, d):
     return diagnostics.robustness(strategy(spark, d), S2)
 
 
-@query()
+TREND = chain(O.bars(120), {"cc": pct("close")}, {"trend_strength": f"abs({pct('close', 120)}) / nullif({total('abs(cc)', 120)}, 0)"}, {"market_regime": "CASE WHEN trend_strength >= 0.25 THEN 'trend' WHEN trend_strength IS NOT NULL THEN 'range' END"})
+
+
+@query(rounded(TREND, (*ROWS, "market_regime"), ("trend_strength",)))
 def trend_regime(spark, d):
     return composite.trend_strength(B.with_returns(bars_2h(spark, d))).select(*ROWS, "trend_strength", "market_regime")
 

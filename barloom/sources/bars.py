@@ -91,14 +91,33 @@ def write_bars(bars: DataFrame, path: str) -> None:
     bars.repartition("symbol").sortWithinPartitions("symbol", "ts").write.mode("overwrite").partitionBy("symbol").parquet(path)
 
 
-def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at the path; made and written first if it is not there."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-        make().write.mode("overwrite").parquet(path)
+def cached(spark: SparkSession, path: str, make, fingerprint: str = "") -> DataFrame:
+    """The table at the path, if it was written under the fingerprint; else made and written. Its fingerprint lies beside it."""
+    key = f"{path}.fingerprint"
+    if _exists(spark, f"{path}/_SUCCESS") and _exists(spark, f"{key}/_SUCCESS") and [r["value"] for r in spark.read.text(key).collect()] == [fingerprint]:
+        return spark.read.parquet(path)
+    note = lambda what: spark.createDataFrame([(what,)], "value string").coalesce(1).write.mode("overwrite").text(key)
+    note("being written")
+    make().write.mode("overwrite").parquet(path)
+    note(fingerprint)
     return spark.read.parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def source_files(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Name, size and time of each file that the frame is read from."""
+    spark, out = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
+
+
 def time_range(bars: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     if start is not None:
         bars = bars.where(F.col("ts") >= F.to_timestamp_ntz(F.lit(start)))

@@ -43,6 +43,11 @@ def formulas_hash() -> str:
     return hashlib.sha256(json.dumps(tables, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+def fingerprint(*parts: Any) -> str:
+    """Of a table: the formulas and whatever else its rows follow from."""
+    return hashlib.sha256(json.dumps([formulas_hash(), *parts], sort_keys=True, default=str).encode()).hexdigest()[:32]
+
+
 def run_id(now: datetime | None = None) -> str:
     return (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
 

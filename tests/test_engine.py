@@ -283,3 +283,11 @@ def test_entry(spark):
 def test_rest_works_without_the_text_operators():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'bars_ohlcv' in e.queries() and not any(n.startswith('op') and '_' in n and n[2].isdigit() for n in e.queries()); assert 'barloom.llm' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_cached_tables_are_made_anew_when_their_fingerprint_changes(spark, tmp_path):
+    made = []
+    make = lambda n: lambda: made.append(n) or spark.range(n)
+    path = str(tmp_path / "table")
+    assert B.cached(spark, path, make(3), "a").count() == 3 and B.cached(spark, path, make(4), "a").count() == 3
+    assert B.cached(spark, path, make(5), "b").count() == 5 and made == [3, 5]
