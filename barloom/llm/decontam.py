@@ -28,7 +28,7 @@ from .common import U, pieces, released, spread, texts_of
 
 SIMILARITY, TARGET = 0.8, 0.97
 #: Bytes of items in a broadcast (their tables take some 300 times as much), of texts handled at once, windows walked at once.
-BLOCK, PIECE, STEP = 1 << 18, 1 << 20, 1 << 15
+BLOCK, PIECE, STEP = 1 << 18, 1 << 20, 1 << 13
 #: Largest size class, samples of each walk, edited items that the recall is measured on, bits of a filter per key.
 WIDEST, TABLES, TRIALS, FILTER = 6, 4, 48, 32
 #: Bytes of a block at most (a machine word holds its columns); items up to that are verified many at once.
@@ -119,7 +119,7 @@ class Items:
                 self.classes = [(windows, self._tables(windows, mine))]
                 if min(self._recall(mine, way) for way in range(3)) >= target:
                     break
-                walks *= 2
+                walks += 1
             self.classes += done
 
     def _recall(self, mine: np.ndarray, way: int) -> float:
@@ -221,7 +221,7 @@ def block_distances(data: np.ndarray, begin: np.ndarray, end: np.ndarray, block:
     """The same for blocks of items and many stretches [begin, end) at once."""
     out = np.zeros(len(block), np.int64)
     one, padded = U(1), np.concatenate([data, np.zeros(1, np.uint8)])
-    for some in np.split(np.argsort(end - begin, kind="stable"), np.arange(STEP // 4, len(block), STEP // 4)):
+    for some in np.split(np.argsort(end - begin, kind="stable"), np.arange(STEP // 2, len(block), STEP // 2)):
         row, place, stop = block[some] * 256, begin[some], end[some]
         score = items.block_size[block[some]]
         top, best = (score - 1).astype(np.uint64), score.copy()
