@@ -3,7 +3,8 @@
 Spark takes no window function inside another. A Term therefore knows how many window passes lie below it: the argument
 of a moving function is held as a column of its own, and apply() adds the columns pass by pass. Equal functions of equal
 arguments are one column, and all functions of a pass share one partitioning and order, so each pass is one Window
-operator and all of them need one exchange together.
+operator and all of them need one exchange together. Over bars that are cut into blocks, the moving functions of a pass
+are worked out on the blocks' arrays instead (kernels.py): a Window operator starts anew for every row's frame.
 
 Missing values are NULL, never NaN. A moving function is NULL until `least` values that are not missing lie in its frame
 (by default all of them). Every division gives NULL where the divisor is 0.
@@ -14,10 +15,15 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.window import Window
+
+from . import kernels
 
 
 class Term:
@@ -161,6 +167,9 @@ class Frames:
         self.windows: dict[int, dict[str, str]] = defaultdict(dict)
         self.decays: dict[int, dict[tuple[str, int, int], str]] = defaultdict(dict)
         self.totals: dict[int, dict[str, str]] = defaultdict(dict)
+        self.frames: dict[int, dict[tuple[str, int, tuple[str, ...]], str]] = defaultdict(dict)
+        self.carries: dict[int, dict[str, str]] = defaultdict(dict)
+        self.blocks = "block" in keys
 
     @staticmethod
     def _named(table: dict, what, prefix: str) -> str:
@@ -178,14 +187,20 @@ class Frames:
 
     def moving(self, template: str, w: int, least: int | None, *xs: Term) -> Term:
         """The aggregate over w rows, where the first argument has enough values."""
-        rows = f"{w - 1} PRECEDING AND CURRENT ROW"
-        n, value = self.over("count({0})", rows, xs[0]), self.over(template, rows, *xs)
+        n, value = self.framed("count({0})", w, xs[0]), self.framed(template, w, *xs)
         return Term(f"(CASE WHEN {n.sql} >= {w if least is None else least} THEN {value.sql} END)", value.depth)
 
+    def framed(self, template: str, w: int, *xs: Term) -> Term:
+        """The aggregate over w rows: by kernels over blocks, else by a Window."""
+        if not self.blocks or not kernels.known(template):
+            return self.over(template, f"{w - 1} PRECEDING AND CURRENT ROW", *xs)
+        depth = max(x.depth for x in xs) + 1
+        return Term(self._named(self.frames[depth], (template, w, tuple(map(self.held, xs))), f"_k{depth}"), depth)
+
     # moving functions
 
     def count(self, x, w: int) -> Term:
-        return self.over("count({})", f"{w - 1} PRECEDING AND CURRENT ROW", term(x))
+        return self.framed("count({0})", w, term(x))
 
     def mean(self, x, w: int, least: int | None = None) -> Term:
         return self.moving("avg({})", w, least, term(x))
@@ -219,6 +234,8 @@ class Frames:
     def rank(self, x, w: int, least: int | None = None) -> Term:
         """The current value's average rank among the frame's values, as a share."""
         x = term(x)
+        if self.blocks:
+            return self.moving("pct_rank({})", w, least, x)
         a, now = self.over("collect_list({})", f"{w - 1} PRECEDING AND CURRENT ROW", x), self.held(x)
         below, same = f"size(filter({a.sql}, e -> e < {now}))", f"size(filter({a.sql}, e -> e = {now}))"
         guard = f"size({a.sql}) >= {w if least is None else least} AND {now} IS NOT NULL"
@@ -271,7 +288,11 @@ class Frames:
 
     def last(self, x, n: int = 0) -> Term:
         """The last value that is not missing, n rows ago or earlier."""
-        return self.over("last({}, true)", f"UNBOUNDED PRECEDING AND {f'{n} PRECEDING' if n else 'CURRENT ROW'}", term(x))
+        x = term(x)
+        value = self.over("last({}, true)", f"UNBOUNDED PRECEDING AND {f'{n} PRECEDING' if n else 'CURRENT ROW'}", x)
+        if not self.blocks:
+            return value
+        return Term(f"coalesce({value.sql}, {self._named(self.carries[value.depth], self.held(x), f'_l{value.depth}')})", value.depth)
 
     def pct(self, x, n: int = 1) -> Term:
         """Relative change against n rows ago; gaps are filled with the last value first."""
@@ -291,20 +312,55 @@ class Frames:
 
     def apply(self, df: DataFrame, outputs: dict[str, Term], keep: list[str]) -> DataFrame:
         """The kept columns of df and the outputs."""
-        for depth in range(max((t.depth for t in outputs.values()), default=0) + 1):
+        top = max((t.depth for t in outputs.values()), default=0) + 1
+        for depth in range(top):
             new = [F.expr(sql).alias(name) for sql, name in self.windows[depth].items()]
             df = df.select("*", *new) if new else df
+            if self.frames[depth]:
+                later = [x for table in (self.frames, self.decays, self.totals, self.carries) for d in range(depth, top) for x in table[d]]
+                later += [x for table in (self.windows, self.scalars) for d in range(depth, top) for x in table[d]]
+                used = set(re.findall(r"\w+", " ".join([*map(str, later), *(t.sql for t in outputs.values()), *keep, *self.keys, self.order, "own tail"])))
+                df = self._by_arrays(df.select(*[c for c in df.columns if c in used]), self.frames[depth])
+            df = self._carried(df, self.carries[depth]) if self.carries[depth] else df
             df = self._running(df, self.totals[depth]) if self.totals[depth] else df
             df = self._decayed(df, self.decays[depth]) if self.decays[depth] else df
             new = [F.expr(sql).alias(name) for sql, name in self.scalars[depth].items()]
             df = df.select("*", *new) if new else df
         return df.select(*keep, *[F.expr(t.sql).alias(name) for name, t in outputs.items()])
 
+    def _by_arrays(self, df: DataFrame, wanted: dict[tuple[str, int, tuple[str, ...]], str]) -> DataFrame:
+        """df with the moving functions; a group is a block and the rows before it, whatever the series' length."""
+        order = self.order
+        whole = {name for (template, _, _), name in wanted.items() if template.startswith("count(")}
+        schema = StructType([*df.schema, *[StructField(name, LongType() if name in whole else DoubleType()) for name in wanted.values()]])
+
+        def run(part: pa.Table) -> pa.Table:
+            at = part[order].to_numpy()
+            if not (at[1:] >= at[:-1]).all():
+                part = part.take(pa.array(np.argsort(at, kind="stable")))
+            column = lambda c: part[c].cast(pa.float64()).to_numpy()
+            for name, values in kernels.evaluate(column, wanted).items():
+                part = part.append_column(name, pa.array(values) if name in whole else pa.array(values, from_pandas=True))
+            return part.select([f.name for f in schema])
+
+        return df.groupBy(*self.keys).applyInArrow(run, schema)
+
+    def _carried(self, df: DataFrame, carries: dict[str, str]) -> DataFrame:
+        """The last value that is not missing before each block's first row (which the block before repeats in its tail)."""
+        series = [k for k in self.keys if k != "block"]
+        newest = lambda x, rows: F.max_by(F.when(rows, F.col(x)), F.when(rows & F.col(x).isNotNull(), F.col(self.order)))
+        own, head = F.col("own"), F.col("own") & ~F.col("tail")
+        blocks = df.groupBy(*self.keys).agg(*[newest(x, rows).alias(f"{name}_{kind}") for x, name in carries.items() for kind, rows in (("own", own), ("head", head))])
+        before = Window.partitionBy(*series).orderBy("block")  # a row for each block
+        earlier = before.rowsBetween(Window.unboundedPreceding, -2)
+        cells = [F.coalesce(F.lag(f"{name}_head").over(before), F.last(f"{name}_own", ignorenulls=True).over(earlier)).alias(name) for name in carries.values()]
+        return df.join(blocks.select(*self.keys, *cells), list(self.keys))
+
     def _running(self, df: DataFrame, totals: dict[str, str]) -> DataFrame:
         """Running sums. Where bars are cut into blocks, a block starts from the sum of all blocks before it."""
         by = f"OVER (PARTITION BY {', '.join(self.keys)} ORDER BY {self.order} ROWS UNBOUNDED PRECEDING)"
         out = df.select("*", *[F.expr(f"sum({x}) {by}").alias(name) for x, name in totals.items()])
-        if "block" not in self.keys:
+        if not self.blocks:
             return out
         series = [k for k in self.keys if k != "block"]
         sums = [F.coalesce(F.sum(F.when(F.col("own") == own, F.col(x))), F.lit(0.0)).alias(f"{name}_{own}") for x, name in totals.items() for own in (True, False)]
@@ -328,10 +384,10 @@ class Frames:
 
 
 def in_blocks(bars: DataFrame, rows: int = 65536, halo: int = 4608, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
-    """bars cut into blocks of consecutive rows of a symbol, with `block` and `own`.
+    """bars cut into blocks of consecutive rows of a symbol, with `block`, `own` and `tail`.
 
     A symbol may hold a third of all rows; blocks spread it over many tasks. Each block also gets the `halo` rows before
-    it (own is false there), which covers every frame in use and, for exponentially weighted means of spans up to 240,
+    it (own is false there; they are the tail of the block before), which covers every frame in use and, for exponentially weighted means of spans up to 240,
     all weight above double precision. A row's place is the count of rows in earlier months plus its place in its month.
     """
     if halo > rows:
@@ -343,6 +399,7 @@ def in_blocks(bars: DataFrame, rows: int = 65536, halo: int = 4608, keys: tuple[
     placed = months.withColumn("_row", F.expr(f"row_number() OVER (PARTITION BY {by}, _month ORDER BY {order}) - 1")).join(starts, [*keys, "_month"])
     placed = placed.withColumn("_place", F.col("_start") + F.col("_row"))
     block = F.floor(F.col("_place") / rows).cast("long")
-    again = F.when(F.col("_place") % rows >= rows - halo, F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own"))))
-    cut = placed.withColumn("_b", F.explode(F.coalesce(again, F.array(F.struct(block.alias("block"), F.lit(True).alias("own"))))))
-    return cut.select(*bars.columns, "_b.block", "_b.own")
+    tail = F.col("_place") % rows >= rows - halo
+    again = F.when(tail, F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own"))))
+    cut = placed.withColumn("tail", tail).withColumn("_b", F.explode(F.coalesce(again, F.array(F.struct(block.alias("block"), F.lit(True).alias("own"))))))
+    return cut.select(*bars.columns, "_b.block", "_b.own", "tail")

@@ -104,7 +104,7 @@ def wide(bars: DataFrame, factors: list[C.Factor], kind: str = "own", zscore: in
     return out.where("own").drop("own") if block_rows else out
 
 
-def long(bars: DataFrame, factors: list[C.Factor], kind: str = "own", zscore: int = 120, block_rows: int | None = 65536, batch: int = 150) -> DataFrame:
+def long(bars: DataFrame, factors: list[C.Factor], kind: str = "own", zscore: int = 120, block_rows: int | None = 32768, batch: int = 150) -> DataFrame:
     """(symbol, ts, factor, value), in batches of so many factors a plan; the last key's name goes into the factor's."""
     keys = KEYS[kind]
     parts = []
@@ -118,7 +118,7 @@ def long(bars: DataFrame, factors: list[C.Factor], kind: str = "own", zscore: in
 
 
 def build_factors(bars: DataFrame, names: set[str] | None = None, pairs: DataFrame | None = None, macro: DataFrame | None = None,
-                  related: tuple[str, ...] = (), macro_symbols: tuple[str, ...] = (), pruned: set[str] = frozenset(), zscore: int = 120, block_rows: int | None = 65536, batch: int = 150) -> DataFrame:
+                  related: tuple[str, ...] = (), macro_symbols: tuple[str, ...] = (), pruned: set[str] = frozenset(), zscore: int = 120, block_rows: int | None = 32768, batch: int = 150) -> DataFrame:
     """(symbol, ts, factor, value) of the named factors (None: all of the catalogue), without pruned ones.
 
     bars: normalised bars. pairs: bars joined with those of related symbols. macro: bars joined with daily series. Only

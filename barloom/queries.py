@@ -293,7 +293,7 @@ def factor_query(name: str, factors: dict[str, str], steps: list[dict[str, str]]
     SQL[f"factor_{name}"] = rounded(chain(base, *steps, {k.replace("{s}", "s") + "_raw": v for k, v in factors.items()}, {k: z(f"{k}_raw", by=by) for k in plain}), (*keys, "ts"), tuple(plain))
 
     def run(spark, d):
-        out = wide((bars or (lambda s, p: B.with_returns(bars_1d(s, p))))(spark, d), [listed[n] for n in factors], kind, block_rows=65536 if kind == "own" else None)
+        out = wide((bars or (lambda s, p: B.with_returns(bars_1d(s, p))))(spark, d), [listed[n] for n in factors], kind, block_rows=32768 if kind == "own" else None)
         return tidy(out.select(*keys, "ts", *[F.col(f"`{n}`").alias(k) for k, n in plain.items()]))
 
     QUERIES[f"factor_{name}"] = run

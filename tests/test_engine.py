@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 import __spark_entry__ as entry_point
 from barloom import cli, config
@@ -86,6 +87,24 @@ def test_blocks_change_nothing(spark, bars):
     pd.testing.assert_frame_equal(a, b)
 
 
+def test_moving_functions_over_blocks_equal_windows(spark, bars):
+    """Gaps, constant stretches, and a run of missing values longer than the rows that a block repeats."""
+    rows = B.with_returns(bars).withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")))
+    rows = rows.withColumns({"x": F.when(F.col("n") % 7 != 3, F.when(F.col("n").between(40, 90), 1.1).otherwise(F.col("close"))), "y": F.when(F.col("n") % 5 != 1, F.col("volume")), "v": F.when(~F.col("n").between(20, 150), F.col("close"))})
+
+    def terms(f: Frames) -> dict[str, Term]:
+        out = {"pct": f.pct("v"), "pct9": f.pct("v", 9), "later": f.mean(f.pct("v", 3), 6), "cov": f.cov("x", "y", 9, 4), "corr": f.corr("x", "y", 9, 4), "n": f.count("x", 6), "nested": f.std(f.std("x", 5, 2), 6, 3), "rank": f.rank("x", 11, 3)}
+        out |= {name: getattr(f, name)("x", 11, 4) for name in ("mean", "total", "std", "var", "peak", "trough", "median", "skew", "kurt")}
+        return out | {"low": f.quantile("x", 11, 0.2, 2), "one": f.mean("x", 1), "flat": f.std("x", 11, 1)}
+
+    cut, whole = Frames(("symbol", "block")), Frames()
+    a = cut.apply(in_blocks(rows, 64, 32), terms(cut), ["symbol", "ts", "own"]).where("own").drop("own")
+    b = whole.apply(rows, terms(whole), ["symbol", "ts"])
+    a, b = (x.toPandas().sort_values(["symbol", "ts"], ignore_index=True) for x in (a, b))
+    assert len(b) > 300 and b.notna().sum().min() > 50
+    pd.testing.assert_frame_equal(a, b, rtol=1e-9, atol=1e-9)
+
+
 def test_factors_know_nothing_of_later_bars(spark, bars):
     cut = datetime(2024, 1, 5)
     early = pivot(build_factors(bars.where(F.col("ts") <= F.lit(cut)), NAMES, block_rows=None))
