@@ -41,29 +41,65 @@ def single(spark: SparkSession, s: Settings, bars: DataFrame, names: set[str], o
     passed = values.join(ranked.where("reason IS NULL").select("symbol", "factor"), SEG[:2], "left_semi")
     library = selection.admit(ranked, selection.library_correlations(passed, ["symbol"], s.factors.signal_threshold), s.library)
     write_table(library, f"{out}/factor_library")
+    figures = ranked.drop("status").join(spark.read.parquet(f"{out}/factor_library").select("symbol", "factor", "status"), SEG[:2])
+    write_table(selection.family_summary(figures), f"{out}/family_summary")
+    write_table(selection.active_summary(figures), f"{out}/active_summary")
+    write_table(diagnostics.validation_gap(facts.select(*SEG, "sharpe"), SEG[:2]), f"{out}/factor_gap")
     return spark.read.parquet(f"{out}/factor_library")
 
 
 def composed(spark: SparkSession, s: Settings, bars: DataFrame, out: str) -> DataFrame:
-    """Rolling models of the active factors, their signal and its backtest, symbol by symbol in one plan."""
-    ranks = spark.read.parquet(f"{out}/single_factor_summary").select("symbol", "factor", "rank")
+    """Rolling models of the active factors, their signal and its backtest, symbol by symbol in one plan.
+
+    Thresholds and direction come from the validation bars' predictions. The model is compared, segment by segment, with
+    an equal vote of the same factors.
+    """
+    key = ["symbol"]
+    ranks = spark.read.parquet(f"{out}/single_factor_summary").select("symbol", "factor", "rank", F.col("direction").alias("way"))
     active = spark.read.parquet(f"{out}/factor_library").where("status = 'active'").select("symbol", "factor").join(ranks, ["symbol", "factor"])
     place = F.row_number().over(Window.partitionBy("symbol").orderBy("rank", "factor"))  # the best by rank, not by name
     values = spark.read.parquet(f"{out}/factors").join(active.withColumn("slot", place).drop("rank").where(F.col("slot") <= s.model.best), ["symbol", "factor"])
     names = [f"f{k}" for k in range(1, s.model.best + 1)]  # a symbol's k-th factor is its k-th feature
     wide = values.groupBy("symbol", "ts").agg(*[F.max(F.when(F.col("slot") == k, F.col("value"))).alias(f) for k, f in enumerate(names, 1)])
     rows = composite.market_state(composite.with_labels(B.with_returns(bars), s.model.horizon, s.model.neutral_bps), s.model)
-    chances = models.rolling_predictions(rows.join(wide, ["symbol", "ts"], "left").select("symbol", "ts", "target_direction", *names), names, s.model)
-    rows = rows.join(chances, ["symbol", "ts"], "left").withColumn("edge", F.col("prob_up") - F.col("prob_down"))
-    rows = composite.confidence_rank(rows, s.model).withColumns({"direction": F.lit(1.0), "min_edge": F.lit(s.model.min_edge), "min_probability": F.lit(s.model.min_probability)})
-    detail = backtest.backtest(composite.composite_signal(rows, ["symbol"], s.model), ["symbol"], s.backtest.cost)
-    write_table(detail, f"{out}/composite_detail")
+    chances = models.rolling_predictions(rows.join(wide, ["symbol", "ts"], "left").select("symbol", "ts", "target_direction", *names), names, s.model, importance=True)
+    write_table(chances, f"{out}/predictions")
+    chances = spark.read.parquet(f"{out}/predictions")
+    rows = rows.join(chances.drop("importance"), ["symbol", "ts"], "left").withColumn("edge", F.col("prob_up") - F.col("prob_down"))
+    rows = backtest.segments(composite.confidence_rank(rows, s.model), s.backtest.train_ratio, s.backtest.validation_ratio)
+    held = rows.where("segment = 'validation'")
+    rows = rows.join(composite.calibrated_thresholds(held, key, s.model), key, "left")
+    held = rows.where("segment = 'validation'").withColumn("raw_signal", composite.trade_signal(F.col("min_edge"), F.col("min_probability")))
+    rows = rows.join(composite.signal_direction(held, key), key, "left").withColumn("direction", F.coalesce("direction", F.lit(1.0)))
+    signal = composite.composite_signal(rows, key, s.model)
+    write_table(backtest.backtest(signal, key, s.backtest.cost), f"{out}/composite_detail")
+    compared(s, rows, signal, values.withColumn("value", F.col("value") * F.coalesce("way", F.lit(1.0))), out)
+    weights = chances.where("importance IS NOT NULL").select("symbol", "ts", F.posexplode("importance").alias("_k", "importance")).groupBy("symbol", (F.col("_k") + 1).alias("slot")).agg(F.avg("importance").alias("importance"))
+    weights = weights.join(values.select("symbol", "slot", F.col("factor").alias("feature")).distinct(), ["symbol", "slot"])
+    write_table(weights.select("symbol", "feature", "importance"), f"{out}/feature_importance")
+    write_table(diagnostics.importance_share(weights, key), f"{out}/factor_contribution")
     detail = spark.read.parquet(f"{out}/composite_detail")
     write_table(diagnostics.robustness(detail, ["symbol"], s.backtest.annual_days), f"{out}/robustness")
     write_table(backtest.cost_stress(detail, ["symbol"], s.backtest.cost_stress_bps, s.backtest.annual_days), f"{out}/cost_stress")
     return detail
 
 
+def compared(s: Settings, rows: DataFrame, signal: DataFrame, values: DataFrame, out: str) -> None:
+    """Tables of the model against the vote by segment, of the gap between validation and test, and of the predictions."""
+    votes = composite.vote(backtest.signals(values, SEG[:2], s.factors.signal_threshold).withColumn("signal", F.col("raw_signal")))
+    vote = rows.join(votes, ["symbol", "ts"], "left").withColumn("raw_signal", F.coalesce("vote_signal", F.lit(0.0))).withColumn("composite_score", F.coalesce("vote_score", F.lit(0.0)))
+    vote = vote.withColumn("position", F.lag("raw_signal", 1, 0.0).over(Window.partitionBy("symbol").orderBy("ts")))
+    columns = ["symbol", "segment", "ts", "close", "oc", "raw_signal", "position", "composite_score"]
+    both = signal.select(*columns, F.lit("rolling_logistic").alias("model")).unionByName(vote.select(*columns, F.lit("equal_vote_benchmark").alias("model")))
+    keys = ["symbol", "model", "segment"]
+    figures = backtest.performance(backtest.backtest(both, keys, s.backtest.cost), keys, s.backtest.annual_days)
+    write_table(backtest.with_status(figures, both, keys), f"{out}/model_comparison")
+    write_table(diagnostics.validation_gap(figures, keys[:2]), f"{out}/model_gap")
+    told = signal.withColumn("predicted_direction", composite.likeliest()).withColumn("calibrated_direction", F.col("predicted_direction") * F.col("direction"))
+    for name, report in (("prediction_diagnostics", diagnostics.prediction_diagnostics), ("confusion_matrix", diagnostics.confusion_matrix), ("edge_buckets", diagnostics.edge_buckets)):
+        write_table(report(told, ["symbol"]), f"{out}/{name}")
+
+
 def multi(spark: SparkSession, s: Settings, out: str) -> DataFrame:
     detail = spark.read.parquet(f"{out}/composite_detail").withColumn("strategy_return", F.col("net_return"))
     result, weights = portfolio.portfolio(detail, s.portfolio)

@@ -106,6 +106,12 @@ def performance(detail: DataFrame, keys: list[str], annual_days: int = 252, net:
     return out.withColumn("sharpe", F.when(F.col("annual_vol") > 0, F.col("annual_return") / F.col("annual_vol"))).select(*keys, *METRICS)
 
 
+def with_status(metrics: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for every key, `status` ok or no_bars: a series that could not be tested does not stop the others and is not lost."""
+    out = every.select(*keys).distinct().join(metrics, keys, "left")
+    return out.withColumn("status", F.when(F.col("bar_count").isNull(), "no_bars").otherwise("ok"))
+
+
 def coverage(detail: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, signal_coverage, position_coverage): shares of bars with a signal, with a position."""
     share = lambda c: F.avg(F.coalesce(F.col(c) != 0, F.lit(False)).cast("double"))

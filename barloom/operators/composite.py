@@ -132,6 +132,12 @@ def position_size(min_edge: Column, min_probability: Column, s: ModelSettings =
     return F.when(_unknown(), None).otherwise(size)
 
 
+def likeliest() -> Column:
+    """1, -1 or 0: the class of the largest probability, up before down before flat; NULL without probabilities."""
+    up, down, flat = F.col("prob_up"), F.col("prob_down"), F.col("prob_flat")
+    return F.when(up.isNull(), None).when((up >= flat) & (up >= down), 1.0).when(down >= flat, -1.0).otherwise(0.0)
+
+
 def threshold_grid(s: ModelSettings) -> list[tuple[float, float]]:
     edges = sorted({s.min_edge, *(max(s.min_edge, x) for x in s.edge_grid)})
     chances = sorted({s.min_probability, *(max(s.min_probability, x) for x in s.probability_grid)})

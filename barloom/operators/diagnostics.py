@@ -67,7 +67,7 @@ def robustness(detail: DataFrame, keys: list[str], annual_days: int = 252) -> Da
     ranks = {"_vol": frames.rank(absolute("benchmark_return"), 120, 20)}
     if "calibrated_prob_edge" in detail.columns:
         ranks["_conf"] = frames.rank(absolute("calibrated_prob_edge"), 120, 20)
-    ranked = frames.apply(detail, ranks, detail.columns)
+    ranked = frames.apply(detail, ranks, detail.columns).drop("segment", "segment_type")  # the report has its own
     day = F.to_date("ts")
     tag = lambda kind, name: F.struct(F.lit(kind).alias("segment_type"), name.alias("segment"))
     tercile = lambda c: F.when(F.col(c) <= TERCILES[0], "low").when(F.col(c) <= TERCILES[1], "middle").when(F.col(c) > TERCILES[1], "high")

@@ -37,7 +37,7 @@ def fit(train: DataFrame, features: list[str], kind: str = "logistic", s: ModelS
     if kind == "logistic":
         steps = [assemble, StandardScaler(inputCol="raw", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", weightCol="weight", family="multinomial", regParam=1e-3, maxIter=100)]
     elif kind == "forest":
-        steps = [assemble, RandomForestClassifier(featuresCol="raw", weightCol="weight", numTrees=30, maxDepth=5, seed=seed)]
+        steps = [assemble, RandomForestClassifier(featuresCol="raw", weightCol="weight", numTrees=s.trees, maxDepth=s.tree_depth, seed=seed)]
     else:
         raise ValueError("kind is logistic or forest")
     return Pipeline(stages=steps).fit(rows)
@@ -86,11 +86,12 @@ def softmax_predict(model, x: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def rolling_predictions(rows: DataFrame, features: list[str], s: ModelSettings = ModelSettings(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def rolling_predictions(rows: DataFrame, features: list[str], s: ModelSettings = ModelSettings(), keys: tuple[str, ...] = ("symbol",), importance: bool = False) -> DataFrame:
     """(keys, ts, prob_down, prob_flat, prob_up) of bars from min_samples on. rows: features, target_direction, by key and time.
 
     A model made at bar t learns from labelled bars of [t - train_window, t - horizon]: their labels end before t. With
-    too few bars, directional labels or classes no model is made and the bars of its turn have no prediction.
+    too few bars, directional labels or classes no model is made and the bars of its turn have no prediction. importance:
+    the first bar of a model's turn also holds the features' shares of its mean absolute weights.
     """
     first, k, w, h = s.min_samples, s.retrain_every, s.train_window, s.horizon
     span = EPOCHS * k
@@ -99,7 +100,7 @@ def rolling_predictions(rows: DataFrame, features: list[str], s: ModelSettings =
     own = F.floor((F.col("_row") - first) / span)  # the stretch that predicts the bar; below 0: none
     reach = F.floor((F.col("_row") + w - first) / span)  # the last stretch whose windows reach back to it
     each = placed.withColumn("_stretch", F.explode(F.sequence(F.greatest(own, F.lit(0)), F.greatest(reach, own, F.lit(0))))).withColumn("_own", F.col("_stretch") == own)
-    schema = ", ".join([*[f"{c} {dict(rows.dtypes)[c]}" for c in keys], "ts timestamp_ntz", *[f"{name} double" for name, _ in CLASSES]])
+    schema = ", ".join([*[f"{c} {dict(rows.dtypes)[c]}" for c in keys], "ts timestamp_ntz", *[f"{name} double" for name, _ in CLASSES], *(["importance array<double>"] if importance else [])])
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_row", ignore_index=True)
@@ -107,15 +108,18 @@ def rolling_predictions(rows: DataFrame, features: list[str], s: ModelSettings =
         y = part["target_direction"].to_numpy(float)
         labelled = np.isfinite(y)
         weight = np.where(y == 0, s.neutral_weight, s.directional_weight)
-        out = np.full((len(part), 3), np.nan)
+        out, shares = np.full((len(part), 3), np.nan), np.full(len(part), None, object)
         begin = first + int(key[-1]) * span
         for t in range(begin, begin + span, k):
             turn = part["_own"].to_numpy() & (at >= t) & (at < t + k)
             learn = labelled & (at >= t - w) & (at < t - h + 1)
             if turn.any() and learn.sum() >= s.min_samples and (y[learn] != 0).sum() >= s.min_directional and len(np.unique(y[learn])) > 1:
-                out[turn] = softmax_predict(softmax_fit(x[learn], (y[learn] + 1).astype(int), weight[learn]), x[turn])
+                model = softmax_fit(x[learn], (y[learn] + 1).astype(int), weight[learn])
+                out[turn] = softmax_predict(model, x[turn])
+                size = np.abs(model[2][:-1][:, model[3]]).mean(1)
+                shares[turn.argmax()] = list(size / size.sum() if size.sum() > 0 else np.full(len(size), 1 / len(size)))
         done = np.isfinite(out[:, 0])
-        return pd.DataFrame({c: part[c][done] for c in [*keys, "ts"]} | {name: out[done, i] for name, i in CLASSES})
+        return pd.DataFrame({c: part[c][done] for c in [*keys, "ts"]} | {name: out[done, i] for name, i in CLASSES} | ({"importance": shares[done]} if importance else {}))
 
     want = each.select(*keys, "ts", "_row", "_own", "_stretch", "target_direction", *features)
     return want.groupBy(*keys, "_stretch").applyInPandas(run, schema)

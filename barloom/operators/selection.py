@@ -157,6 +157,13 @@ def family_summary(library: DataFrame) -> DataFrame:
     )
 
 
+def active_summary(library: DataFrame) -> DataFrame:
+    """(symbol, active_factors, mean_active_sharpe, max_active_sharpe) of every symbol; validation figures where no active factor has a selection figure. library: status, selection_sharpe, validation_sharpe."""
+    active = F.col("status") == "active"
+    figure = lambda f: F.coalesce(f(F.when(active, F.col("selection_sharpe"))), f(F.when(active, F.col("validation_sharpe"))))
+    return library.groupBy("symbol").agg(F.count_if(active).alias("active_factors"), figure(F.avg).alias("mean_active_sharpe"), figure(F.max).alias("max_active_sharpe"))
+
+
 def prune_candidates(summary: DataFrame, active: DataFrame, s: LibrarySettings = LibrarySettings()) -> DataFrame:
     """Factors tested on enough symbols that show promise on none and are active nowhere. summary: symbol, factor, selection_sharpe, selection_return."""
     tested = summary.groupBy("factor").agg(

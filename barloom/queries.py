@@ -652,6 +652,44 @@ def signal_corr_pairs(spark, d):
     return selection.correlations(backtest.signals(score_rows(spark, d), SF), ["symbol"], "raw_signal")
 
 
+@query(rounded(f"SELECT symbol, 'basic' AS family, count(*) AS n, count(*) FILTER (rank <= 2) AS active, avg(selection_sharpe) AS mean_selection_sharpe, max(selection_sharpe) AS max_selection_sharpe FROM ({RANK_SQL}) GROUP BY 1", ("symbol", "family", "n", "active"), ("mean_selection_sharpe", "max_selection_sharpe")))
+def family_summary(spark, d):
+    return selection.family_summary(selection.rank_summary(summary_rows(spark, d), 2))
+
+
+@query(rounded(f"""SELECT symbol, count(*) FILTER (rank <= 2) AS active_factors, coalesce(avg(selection_sharpe) FILTER (rank <= 2), avg(validation_sharpe) FILTER (rank <= 2)) AS mean_active_sharpe,
+    coalesce(max(selection_sharpe) FILTER (rank <= 2), max(validation_sharpe) FILTER (rank <= 2)) AS max_active_sharpe FROM ({RANK_SQL}) GROUP BY 1""", ("symbol", "active_factors"), ("mean_active_sharpe", "max_active_sharpe")))
+def active_library_summary(spark, d):
+    return selection.active_summary(selection.rank_summary(summary_rows(spark, d), 2))
+
+
+@query(rounded(f"SELECT symbol, factor, place::INT AS place, train_sharpe FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY train_sharpe DESC, train_total_return DESC, factor_id) AS place FROM ({summary_sql()}) WHERE train_sharpe >= -2.0 AND train_total_return >= -0.9) WHERE place <= 3", ("symbol", "factor", "place"), ("train_sharpe",)))
+def best_on_training(spark, d):
+    train = summary_rows(spark, d).select(*SF, "factor_id", F.col("train_sharpe").alias("sharpe"), F.col("train_total_return").alias("total_return"))
+    return selection.best_on_training(train, -2.0, -0.9, 3).select(*SF, "place", F.col("sharpe").alias("train_sharpe"))
+
+
+@query(rounded(f"""SELECT symbol, factor, CASE WHEN factor IN ('momentum', 'breakout') THEN validation_sharpe ELSE train_sharpe END AS sharpe, CASE WHEN factor IN ('momentum', 'breakout') THEN validation_total_return END AS total_return FROM ({summary_sql()})""", tuple(SF), ("sharpe", "total_return")))
+def history_merge(spark, d):
+    rows = summary_rows(spark, d)
+    new = rows.where(F.col("factor").isin("momentum", "breakout")).select(*SF, F.col("validation_sharpe").alias("sharpe"), F.col("validation_total_return").alias("total_return"))
+    return selection.merge_history(rows.select(*SF, F.col("train_sharpe").alias("sharpe")), new, SF)
+
+
+@query(rounded(f"""SELECT *, test_sharpe / nullif(validation_sharpe, 0) AS ratio, coalesce(test_sharpe / nullif(validation_sharpe, 0) < 0.5, false) AS warned FROM (
+    SELECT symbol, factor, max(sharpe) FILTER (segment = 'validation') AS validation_sharpe, max(sharpe) FILTER (segment = 'test') AS test_sharpe FROM ({O.metrics(O.detail(COST.cost), 'symbol, factor, segment')}) GROUP BY 1, 2)""", ("symbol", "factor", "warned"), ("validation_sharpe", "test_sharpe", "ratio")))
+def validation_gap(spark, d):
+    return diagnostics.validation_gap(backtest.performance(tested(spark, d), SEG), SF)
+
+
+@query(rounded(f"""SELECT s.symbol, s.factor, s.segment, total_return, sharpe, bar_count, CASE WHEN bar_count IS NULL THEN 'no_bars' ELSE 'ok' END AS status FROM (SELECT DISTINCT symbol, factor, segment FROM ({O.detail(COST.cost)})) s
+    LEFT JOIN (SELECT * FROM ({O.metrics(O.detail(COST.cost), 'symbol, factor, segment')}) WHERE symbol <> 'A') USING (symbol, factor, segment)""", (*SEG, "status"), ("total_return", "sharpe", "bar_count")))
+def backtest_status(spark, d):
+    """One symbol's tests are taken away: its keys stay, as not tested."""
+    rows = tested(spark, d)
+    return backtest.with_status(backtest.performance(rows.where("symbol <> 'A'"), SEG), rows, SEG).select(*SEG, "total_return", "sharpe", "bar_count", "status")
+
+
 @query()
 def library_admission(spark, d):
     ranked = selection.rank_summary(summary_rows(spark, d), 2).withColumn("reason", selection.reject_reason(LOOSE))
@@ -802,8 +840,7 @@ def threshold_grid(spark, d):
 
 def predictions(spark, d) -> DataFrame:
     rows = composite.confidence_rank(composite.market_state(composite.with_labels(surrogate(spark, d), 3), STRICT), STRICT)
-    best = F.when(F.col("prob_up").isNull(), None).when((F.col("prob_up") >= F.col("prob_flat")) & (F.col("prob_up") >= F.col("prob_down")), 1.0).when(F.col("prob_down") >= F.col("prob_flat"), -1.0).otherwise(0.0)
-    rows = rows.withColumn("predicted_direction", best).withColumn("calibrated_direction", F.col("predicted_direction") * -1)
+    rows = rows.withColumn("predicted_direction", composite.likeliest()).withColumn("calibrated_direction", F.col("predicted_direction") * -1)
     return rows.withColumn("raw_signal", F.coalesce(composite.trade_signal(F.lit(0.2), F.lit(0.5)), F.lit(0.0))).withColumn("calibrated_prob_edge", F.col("edge") * -1)
 
 
@@ -968,7 +1005,11 @@ def strategy_corr(spark, d):
     return portfolio.strategy_correlation(portfolio_detail(spark, d))
 
 
-@query()
+SECTOR = "CASE WHEN symbol < 'l' THEN 'a' ELSE 'b' END"
+SECTORS = cap_sql(f"SELECT method, ts, {SECTOR} AS sector, sum(base_weight) AS raw FROM ({BASE_W}) GROUP BY ALL", "raw > 0", "raw", 0.6, "cap", 5)
+
+
+@query(rounded(f"SELECT w.method, w.ts, w.symbol, s.sector, coalesce(w.base_weight * s.cap / nullif(s.raw, 0), 0) AS base_weight FROM (SELECT *, {SECTOR} AS sector FROM ({BASE_W})) w JOIN ({SECTORS}) s USING (method, ts, sector)", ("method", "ts", "symbol", "sector"), ("base_weight",)))
 def sector_budget(spark, d):
     detail = portfolio_detail(spark, d)
     grid = portfolio.rolling_weights(portfolio.opportunity_scores(portfolio.spine(detail), PF), PF)
@@ -976,6 +1017,14 @@ def sector_budget(spark, d):
     return portfolio.group_budget(grid, sectors, 0.6, "base_weight").select("method", "ts", "symbol", "sector", "base_weight")
 
 
+@query(rounded(f"SELECT *, total / nullif(sum(total) OVER (PARTITION BY symbol), 0) AS share FROM (SELECT symbol, factor, sum(m * w) AS total, avg(m * w) AS mean, count(*) AS n FROM (SELECT symbol, factor, avg(abs(value)) AS m FROM ({O.scores()}) GROUP BY 1, 2), (VALUES (1.0::DOUBLE), (0.5::DOUBLE)) AS u(w) GROUP BY 1, 2)", ("symbol", "factor", "n"), ("total", "mean", "share")))
+def factor_contribution(spark, d):
+    """A value and a signal feature of each factor, the signal weighing half."""
+    mean = score_rows(spark, d).groupBy(*SF).agg(F.avg(F.abs("value")).alias("m"))
+    both = mean.withColumn("u", F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in (("_value", 1.0), ("_signal", 0.5))])))
+    return diagnostics.importance_share(both.select("symbol", F.concat("factor", "u.x").alias("feature"), (F.col("m") * F.col("u.w")).alias("importance")), S2)
+
+
 # models: no SQL; tests compare with brute force
 
 FEATURES = ["f_value", "f_edge", "f_cc", "f_oc"]

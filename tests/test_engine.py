@@ -285,6 +285,11 @@ def test_single_composite_multi_end_to_end(spark, bars, tmp_path):
     library = cli.single(spark, s, bars, {"momentum", "reversal", "volume_confirm"}, out)
     assert library.where("status = 'active'").count() >= 2
     assert cli.composed(spark, s, bars, out).where("position <> 0").count() > 0
+    table = lambda name: spark.read.parquet(f"{out}/{name}")
+    compared = table("model_comparison")
+    assert {(r["model"], r["segment"]) for r in compared.where("status = 'ok'").collect()} >= {(m, p) for m in ("rolling_logistic", "equal_vote_benchmark") for p in ("validation", "test")}
+    assert all(abs(r["s"] - 1) < 1e-9 for r in table("factor_contribution").groupBy("symbol").agg(F.sum("share").alias("s")).collect())
+    assert all(table(name).count() > 0 for name in ("family_summary", "active_summary", "factor_gap", "model_gap", "feature_importance", "prediction_diagnostics", "confusion_matrix", "edge_buckets"))
     assert cli.multi(spark, s, out).select("method").distinct().count() == 3
 
 
