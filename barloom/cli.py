@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +50,10 @@ def single(spark: SparkSession, s: Settings, bars: DataFrame, names: set[str], o
 
 
 def composed(spark: SparkSession, s: Settings, bars: DataFrame, out: str) -> DataFrame:
-    """Rolling models of the active factors, their signal and its backtest, symbol by symbol in one plan.
+    """Rolling models of the active factors, their signals and backtests, all symbols in one plan for each kind of model.
 
-    Thresholds and direction come from the validation bars' predictions. The model is compared, segment by segment, with
-    an equal vote of the same factors.
+    Thresholds and direction come from the validation bars' predictions. The models are compared, segment by segment,
+    with an equal vote of the same factors; the first of them trades.
     """
     key = ["symbol"]
     ranks = spark.read.parquet(f"{out}/single_factor_summary").select("symbol", "factor", "rank", F.col("direction").alias("way"))
@@ -62,18 +63,16 @@ def composed(spark: SparkSession, s: Settings, bars: DataFrame, out: str) -> Dat
     names = [f"f{k}" for k in range(1, s.model.best + 1)]  # a symbol's k-th factor is its k-th feature
     wide = values.groupBy("symbol", "ts").agg(*[F.max(F.when(F.col("slot") == k, F.col("value"))).alias(f) for k, f in enumerate(names, 1)])
     rows = composite.market_state(composite.with_labels(B.with_returns(bars), s.model.horizon, s.model.neutral_bps), s.model)
-    chances = models.rolling_predictions(rows.join(wide, ["symbol", "ts"], "left").select("symbol", "ts", "target_direction", *names), names, s.model, importance=True)
-    write_table(chances, f"{out}/predictions")
-    chances = spark.read.parquet(f"{out}/predictions")
-    rows = rows.join(chances.drop("importance"), ["symbol", "ts"], "left").withColumn("edge", F.col("prob_up") - F.col("prob_down"))
-    rows = backtest.segments(composite.confidence_rank(rows, s.model), s.backtest.train_ratio, s.backtest.validation_ratio)
-    held = rows.where("segment = 'validation'")
-    rows = rows.join(composite.calibrated_thresholds(held, key, s.model), key, "left")
-    held = rows.where("segment = 'validation'").withColumn("raw_signal", composite.trade_signal(F.col("min_edge"), F.col("min_probability")))
-    rows = rows.join(composite.signal_direction(held, key), key, "left").withColumn("direction", F.coalesce("direction", F.lit(1.0)))
-    signal = composite.composite_signal(rows, key, s.model)
-    write_table(backtest.backtest(signal, key, s.backtest.cost), f"{out}/composite_detail")
-    compared(s, rows, signal, values.withColumn("value", F.col("value") * F.coalesce("way", F.lit(1.0))), out)
+    rows = backtest.segments(rows, s.backtest.train_ratio, s.backtest.validation_ratio)
+    features = rows.join(wide, ["symbol", "ts"], "left").select("symbol", "ts", "target_direction", *names)
+    told: dict[str, DataFrame] = {}
+    for kind in s.model.kinds:
+        write_table(models.rolling_predictions(features, names, s.model, importance=True, kind=kind), f"{out}/predictions/{kind}")
+        told[kind] = calibrated(s, rows, spark.read.parquet(f"{out}/predictions/{kind}").drop("importance"))
+    first = s.model.kinds[0]
+    write_table(backtest.backtest(told[first], key, s.backtest.cost), f"{out}/composite_detail")
+    chances = spark.read.parquet(f"{out}/predictions/{first}")
+    compared(s, rows, told, values.withColumn("value", F.col("value") * F.coalesce("way", F.lit(1.0))), out)
     weights = chances.where("importance IS NOT NULL").select("symbol", "ts", F.posexplode("importance").alias("_k", "importance")).groupBy("symbol", (F.col("_k") + 1).alias("slot")).agg(F.avg("importance").alias("importance"))
     weights = weights.join(values.select("symbol", "slot", F.col("factor").alias("feature")).distinct(), ["symbol", "slot"])
     write_table(weights.select("symbol", "feature", "importance"), f"{out}/feature_importance")
@@ -84,20 +83,32 @@ def composed(spark: SparkSession, s: Settings, bars: DataFrame, out: str) -> Dat
     return detail
 
 
-def compared(s: Settings, rows: DataFrame, signal: DataFrame, values: DataFrame, out: str) -> None:
-    """Tables of the model against the vote by segment, of the gap between validation and test, and of the predictions."""
+def calibrated(s: Settings, rows: DataFrame, chances: DataFrame) -> DataFrame:
+    """A model's signal, its thresholds and direction from its predictions of the validation bars."""
+    key = ["symbol"]
+    rows = rows.join(chances, ["symbol", "ts"], "left").withColumn("edge", F.col("prob_up") - F.col("prob_down"))
+    rows = composite.confidence_rank(rows, s.model)
+    rows = rows.join(composite.calibrated_thresholds(rows.where("segment = 'validation'"), key, s.model), key, "left")
+    held = rows.where("segment = 'validation'").withColumn("raw_signal", composite.trade_signal(F.col("min_edge"), F.col("min_probability")))
+    rows = rows.join(composite.signal_direction(held, key), key, "left").withColumn("direction", F.coalesce("direction", F.lit(1.0)))
+    return composite.composite_signal(rows, key, s.model)
+
+
+def compared(s: Settings, rows: DataFrame, told: dict[str, DataFrame], values: DataFrame, out: str) -> None:
+    """Tables of the models against the vote by segment, of the gap between validation and test, and of the predictions."""
     votes = composite.vote(backtest.signals(values, SEG[:2], s.factors.signal_threshold).withColumn("signal", F.col("raw_signal")))
     vote = rows.join(votes, ["symbol", "ts"], "left").withColumn("raw_signal", F.coalesce("vote_signal", F.lit(0.0))).withColumn("composite_score", F.coalesce("vote_score", F.lit(0.0)))
     vote = vote.withColumn("position", F.lag("raw_signal", 1, 0.0).over(Window.partitionBy("symbol").orderBy("ts")))
     columns = ["symbol", "segment", "ts", "close", "oc", "raw_signal", "position", "composite_score"]
-    both = signal.select(*columns, F.lit("rolling_logistic").alias("model")).unionByName(vote.select(*columns, F.lit("equal_vote_benchmark").alias("model")))
+    named = {f"rolling_{kind}": signal for kind, signal in told.items()} | {"equal_vote_benchmark": vote}
+    both = reduce(DataFrame.unionByName, [signal.select(*columns, F.lit(name).alias("model")) for name, signal in named.items()])
     keys = ["symbol", "model", "segment"]
     figures = backtest.performance(backtest.backtest(both, keys, s.backtest.cost), keys, s.backtest.annual_days)
     write_table(backtest.with_status(figures, both, keys), f"{out}/model_comparison")
     write_table(diagnostics.validation_gap(figures, keys[:2]), f"{out}/model_gap")
-    told = signal.withColumn("predicted_direction", composite.likeliest()).withColumn("calibrated_direction", F.col("predicted_direction") * F.col("direction"))
+    first = told[s.model.kinds[0]].withColumn("predicted_direction", composite.likeliest()).withColumn("calibrated_direction", F.col("predicted_direction") * F.col("direction"))
     for name, report in (("prediction_diagnostics", diagnostics.prediction_diagnostics), ("confusion_matrix", diagnostics.confusion_matrix), ("edge_buckets", diagnostics.edge_buckets)):
-        write_table(report(told, ["symbol"]), f"{out}/{name}")
+        write_table(report(first, ["symbol"]), f"{out}/{name}")
 
 
 def multi(spark: SparkSession, s: Settings, out: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import ModelSettings
+from . import trees
 from .composite import sample_weight
 
 EPOCHS = 48
@@ -86,13 +87,21 @@ def softmax_predict(model, x: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def rolling_predictions(rows: DataFrame, features: list[str], s: ModelSettings = ModelSettings(), keys: tuple[str, ...] = ("symbol",), importance: bool = False) -> DataFrame:
+def weight_shares(model) -> np.ndarray:
+    size = np.abs(model[2][:-1][:, model[3]]).mean(1)
+    return size / size.sum() if size.sum() > 0 else np.full(len(size), 1 / len(size))
+
+
+def rolling_predictions(rows: DataFrame, features: list[str], s: ModelSettings = ModelSettings(), keys: tuple[str, ...] = ("symbol",), importance: bool = False, kind: str = "logistic") -> DataFrame:
     """(keys, ts, prob_down, prob_flat, prob_up) of bars from min_samples on. rows: features, target_direction, by key and time.
 
     A model made at bar t learns from labelled bars of [t - train_window, t - horizon]: their labels end before t. With
     too few bars, directional labels or classes no model is made and the bars of its turn have no prediction. importance:
-    the first bar of a model's turn also holds the features' shares of its mean absolute weights.
+    the first bar of a model's turn also holds the features' shares of its mean absolute weights or of its splits' gains.
+    kind: logistic, boosted, forest or extra.
     """
+    if kind not in ("logistic", "boosted", "forest", "extra"):
+        raise ValueError("kind is logistic, boosted, forest or extra")
     first, k, w, h = s.min_samples, s.retrain_every, s.train_window, s.horizon
     span = EPOCHS * k
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1
@@ -114,10 +123,14 @@ def rolling_predictions(rows: DataFrame, features: list[str], s: ModelSettings =
             turn = part["_own"].to_numpy() & (at >= t) & (at < t + k)
             learn = labelled & (at >= t - w) & (at < t - h + 1)
             if turn.any() and learn.sum() >= s.min_samples and (y[learn] != 0).sum() >= s.min_directional and len(np.unique(y[learn])) > 1:
-                model = softmax_fit(x[learn], (y[learn] + 1).astype(int), weight[learn])
-                out[turn] = softmax_predict(model, x[turn])
-                size = np.abs(model[2][:-1][:, model[3]]).mean(1)
-                shares[turn.argmax()] = list(size / size.sum() if size.sum() > 0 else np.full(len(size), 1 / len(size)))
+                seen = x[learn], (y[learn] + 1).astype(int), weight[learn]
+                if kind == "logistic":
+                    model = softmax_fit(*seen)
+                    out[turn], share = softmax_predict(model, x[turn]), weight_shares(model)
+                else:
+                    model = trees.fit(*seen, kind, s)
+                    out[turn], share = trees.predict(model, x[turn]), model.shares()
+                shares[turn.argmax()] = list(share)
         done = np.isfinite(out[:, 0])
         return pd.DataFrame({c: part[c][done] for c in [*keys, "ts"]} | {name: out[done, i] for name, i in CLASSES} | ({"importance": shares[done]} if importance else {}))
 

@@ -7,6 +7,7 @@ lineitem by return flag, a daily series of orders. Doubles are rounded to six pl
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1041,6 +1042,13 @@ def model_rolling_logistic(spark, d):
     return models.rolling_predictions(model_rows(spark, d), FEATURES, SMALL)
 
 
+def _trees(kind: str) -> Callable:
+    return lambda spark, d: tidy(models.rolling_predictions(model_rows(spark, d), FEATURES, replace(SMALL, trees=20), kind=kind))
+
+
+QUERIES |= {f"model_rolling_{kind}": _trees(kind) for kind in ("boosted", "forest", "extra")}
+
+
 def _static(kind: str) -> Callable:
     def run(spark, d):
         rows = backtest.segments(model_rows(spark, d))

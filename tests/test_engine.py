@@ -20,7 +20,7 @@ from barloom import cli, config
 from barloom import queries as Q
 from barloom.config import LibrarySettings, ModelSettings
 from barloom.functions.frames import Frames, Term, in_blocks
-from barloom.operators import backtest, composite, models, portfolio, selection
+from barloom.operators import backtest, composite, models, portfolio, selection, trees
 from barloom.plans import catalog, checks
 from barloom.plans.factors import build_factors, scoped, wide
 from barloom.sources import bars as B
@@ -278,6 +278,36 @@ def test_settings(tmp_path):
     assert '"status": "failed"' in (tmp_path / "manifest.json").read_text() and len(sinks.formulas_hash()) == 16
 
 
+@pytest.mark.parametrize("kind", ["boosted", "forest", "extra"])
+def test_tree_models_learn_what_lines_cannot(kind):
+    """A class in two opposite corners: no linear model tells it; unseen classes get 0; gains name the features."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 4))
+    y = np.where(x[:, 0] * x[:, 2] > 0, 2, 0)
+    s = config.ModelSettings(trees=60, tree_depth=6, boost_rate=0.3)
+    m = trees.fit(x[:600], y[:600], np.ones(600), kind, s)
+    p = trees.predict(m, x[600:])
+    np.testing.assert_allclose(p.sum(1), 1)
+    assert (p[:, 1] == 0).all() and (p.argmax(1) == y[600:]).mean() > 0.85
+    assert set(np.argsort(-m.shares())[:2]) == {0, 2} and abs(m.shares().sum() - 1) < 1e-9
+
+
+def test_a_tree_is_the_best_of_all_splits():
+    """Depth 1, against every feature and bin by hand."""
+    rng = np.random.default_rng(6)
+    codes, g, h = rng.integers(0, 6, (80, 3)), rng.normal(size=(80, 1)), rng.random((80, 1)) + 0.1
+    feature, cut, value, _ = trees.grow(codes, g, h, 1, rng, lambda n: np.ones((n, 3), bool), 2.0, 0.0, 1.0)
+    def gain(f, b):
+        side = codes[:, f] <= b
+        parts = [(g[m].sum(), h[m].sum()) for m in (side, ~side, side | True)]
+        return -np.inf if min(parts[0][1], parts[1][1]) < 1 else 0.5 * sum(k * a * a / (c + 2) for k, (a, c) in zip((1, 1, -1), parts, strict=True))
+
+    best = max(((gain(f, b), -f, -b) for f in range(3) for b in range(6)))
+    assert (feature[0], cut[0]) == (-best[1], -best[2])
+    side = codes[:, feature[0]] <= cut[0]
+    np.testing.assert_allclose(value[:, 0], [-g[m].sum() / (h[m].sum() + 2) for m in (side, ~side)])
+
+
 def test_single_composite_multi_end_to_end(spark, bars, tmp_path):
     out = str(tmp_path / "run")
     s = config.with_values(config.Settings(), {"library": {"min_sharpe": -1e9, "min_total_return": -1.0, "min_train_sharpe": -1e9, "min_train_total_return": -1.0, "min_train_win_rate": -1.0, "min_selection_win_rate": -1.0},
@@ -287,7 +317,7 @@ def test_single_composite_multi_end_to_end(spark, bars, tmp_path):
     assert cli.composed(spark, s, bars, out).where("position <> 0").count() > 0
     table = lambda name: spark.read.parquet(f"{out}/{name}")
     compared = table("model_comparison")
-    assert {(r["model"], r["segment"]) for r in compared.where("status = 'ok'").collect()} >= {(m, p) for m in ("rolling_logistic", "equal_vote_benchmark") for p in ("validation", "test")}
+    assert {(r["model"], r["segment"]) for r in compared.where("status = 'ok'").collect()} >= {(m, p) for m in ("rolling_boosted", "rolling_logistic", "equal_vote_benchmark") for p in ("validation", "test")}
     assert all(abs(r["s"] - 1) < 1e-9 for r in table("factor_contribution").groupBy("symbol").agg(F.sum("share").alias("s")).collect())
     assert all(table(name).count() > 0 for name in ("family_summary", "active_summary", "factor_gap", "model_gap", "feature_importance", "prediction_diagnostics", "confusion_matrix", "edge_buckets"))
     assert cli.multi(spark, s, out).select("method").distinct().count() == 3
