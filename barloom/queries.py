@@ -1043,7 +1043,7 @@ def model_rolling_logistic(spark, d):
 
 
 def _trees(kind: str) -> Callable:
-    return lambda spark, d: tidy(models.rolling_predictions(model_rows(spark, d), FEATURES, replace(SMALL, trees=20), kind=kind))
+    return lambda spark, d: tidy(models.rolling_predictions(model_rows(spark, d), FEATURES, replace(SMALL, trees=20, boost_rounds=20), kind=kind))
 
 
 QUERIES |= {f"model_rolling_{kind}": _trees(kind) for kind in ("boosted", "forest", "extra")}
