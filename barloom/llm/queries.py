@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, byte_bpe, ctw, decontam, divergence, html_extract, jaccard_join, quote_link, suffix_dedup, topk, toxicity, url_filter
+from . import bpe, byte_bpe, collocations, ctw, decontam, divergence, html_extract, jaccard_join, quote_link, suffix_dedup, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_top_k": topk.query,
     "op9_bpe": bpe.query,
     "op10_context_tree_weighting": ctw.query,
+    "op11_collocations": collocations.query,
     "op12_source_divergence": divergence.query,
     "op13_byte_bpe": byte_bpe.query,
 }
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": jaccard_join.SQL,
     "op7_quote_link": quote_link.SQL,
     "op8_top_k": topk.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_source_divergence": divergence.SQL,
 }
