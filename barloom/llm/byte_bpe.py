@@ -8,7 +8,7 @@ more than LONG bytes are cut where no token spans the two bytes, and what is sti
 all its places in one step, unless a pair made on the way has a lesser rank (then only the leftmost place). Decoding
 joins (text, position, id) with the tokens' bytes and aggregates them in order.
 
-Only the vocabulary (bounded by its file) is broadcast; a worker remembers at most KNOWN words; texts are worked on whole,
+Only the vocabulary (bounded by its file) is broadcast; a query takes WORDS words, a worker remembers some KNOWN words; texts are worked on whole,
 CHUNK bytes of them at a time.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; texts of any length count whole; rows are
@@ -22,11 +22,13 @@ import base64
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from .common import free_name, pieces, released, spread, table, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK, LONG, KNOWN = 4 << 20, 64, 600_000
+CHUNK, LONG, KNOWN, WORDS = 4 << 20, 64, 400_000, 65_536
 
 #: Words of at most LONG bytes: k is word << 20 | position; one pair of every word goes in each step.
 MERGE_SHORT = """
@@ -51,9 +53,8 @@ WITH RECURSIVE state(k, tok, step) AS (
     SELECT k, CASE WHEN k = (word << 20 | (b & 1048575)) THEN (b >> 20)::INT ELSE tok END, step + 1
     FROM near JOIN best ON k >> 20 = word WHERE before IS DISTINCT FROM (word << 20 | (b & 1048575))
   )
-),
-last AS (SELECT k >> 20 AS word, max(step) AS step FROM state GROUP BY 1)
-SELECT word, list(tok ORDER BY k) AS ids FROM state JOIN last ON k >> 20 = word AND state.step = last.step GROUP BY word ORDER BY word
+)
+SELECT k, tok, step FROM state
 """
 #: Words of any length: all places of the word's best pair go in one step where that is safe. A row without token is gone.
 MERGE_LONG = """
@@ -78,7 +79,7 @@ WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
     WHERE r.best IS NOT NULL
   )
 )
-SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE tok IS NOT NULL GROUP BY word ORDER BY word
+SELECT word, pos, tok FROM state WHERE tok IS NOT NULL
 """
 DECODE = "SELECT doc, from_hex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM ids JOIN token USING (id) GROUP BY doc ORDER BY doc"
 
@@ -103,7 +104,7 @@ class Vocabulary:
         inside[np.cumsum([len(t) for t in ranks])[:-1] - 1] = False
         self.spanned[(whole[:-1] * 256 + whole[1:])[inside]] = True
         pairs = np.array([(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int64).reshape(-1, 2)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
         self._table("pair", lr=pairs[:, 0], id=pairs[:, 1].astype(np.int32))
         self._table("token", id=np.array(list(ranks.values()), np.int32), hex=[t.hex() for t in ranks])
 
@@ -118,9 +119,17 @@ class Vocabulary:
         word, pos = np.repeat(np.arange(len(words)), length), spread(np.zeros(len(words)), length)
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         self._table("letters", tok=tok, **({"k": word << 20 | pos} if query is MERGE_SHORT else {"word": word, "pos": pos}))
-        out = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
-        flat, ends = np.asarray(out.values, np.int32).tobytes(), np.asarray(out.offsets, np.int64) * 4
-        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        got = self.db.sql(query).fetchnumpy()
+        word, pos, tok = (got["k"] >> 20, got["k"], got["tok"]) if query is MERGE_SHORT else (got["word"], got["pos"], got["tok"])
+        if query is MERGE_SHORT:  # a word's last step is its fixpoint
+            last = np.zeros(len(words), got["step"].dtype)
+            np.maximum.at(last, word, got["step"])
+            here = got["step"] == last[word]
+            word, pos, tok = word[here], pos[here], tok[here]
+        order = np.lexsort((pos, word))
+        flat = np.asarray(tok[order], np.int32).tobytes()
+        ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]) * 4
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def _cut(self, word: bytes) -> list[bytes]:
         """The parts of a word between which no token lies."""
@@ -140,8 +149,8 @@ class Vocabulary:
                 for part in [b] if len(b) <= LONG else self._cut(b):
                     parts[part] = b""
         for some, query in (([p for p in parts if len(p) <= LONG], MERGE_SHORT), ([p for p in parts if len(p) > LONG], MERGE_LONG)):
-            if some:
-                parts.update(zip(some, self._merged(some, query), strict=True))
+            for i in range(0, len(some), WORDS):
+                parts.update(zip(some[i : i + WORDS], self._merged(some[i : i + WORDS], query), strict=True))
         here = {}
         for w, b in zip(new, raw, strict=True):
             rank = self.ranks.get(b)
@@ -204,18 +213,26 @@ def _lots(batch: pa.RecordBatch, text: str) -> Iterator[pa.Table]:
 def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", name: str = "ids") -> DataFrame:
     """docs with an array column of token ids."""
     name = free_name(name, docs.columns)
-    schema = T.StructType(docs.schema.fields + [T.StructField(name, T.ArrayType(T.IntegerType()))])
+    return _added(docs, tokenizer, text, [T.StructField(name, T.ArrayType(T.IntegerType()))], lambda v, texts: [_lists(*v.encode(texts))])
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _added(docs: DataFrame, tokenizer: Tokenizer, text: str, fields: list[T.StructField], work) -> DataFrame:
+    """docs with columns that follow from the texts of a lot."""
 
     @released
     def run(batches):
         vocabulary = tokenizer.open()
         for batch in batches:
             for tab in _lots(batch, text):
-                ids, ends = vocabulary.encode([t or "" for t in tab.column(text).to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield from tab.append_column(name, lists).to_batches()
+                for field, column in zip(fields, work(vocabulary, [t or "" for t in tab.column(text).to_pylist()]), strict=True):
+                    tab = tab.append_column(field.name, column)
+                yield from tab.to_batches()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields + fields))
 
 
 def decode(docs: DataFrame, tokenizer: Tokenizer, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -239,14 +256,20 @@ def decode(docs: DataFrame, tokenizer: Tokenizer, ids: str = "ids", name: str =
     return docs.mapInArrow(run, schema)
 
 
+def both_ways(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
+    """docs with n_tokens, and digests of the ids (decimal, joined by commas) and of the bytes that they decode to; both ways in one task."""
+    names = [free_name(c, docs.columns) for c in ("n_tokens", "ids_sha256", "decoded_sha256")]
+
+    def digests(vocabulary: Vocabulary, texts: list[str]) -> list[pa.Array]:
+        ids, ends = vocabulary.encode(texts)
+        numbers = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids).cast(pa.string())), ",")
+        sha = lambda rows: pa.array([sha256(x).hexdigest() for x in rows])
+        return [pa.array(np.diff(ends), pa.int64()), sha(numbers.cast(pa.binary()).to_pylist()), sha(vocabulary.decode(ids, ends))]
+
+    return _added(docs, tokenizer, text, [T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.StringType(), T.StringType()), strict=True)], digests)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens each whole text of documents has, and digests of its ids and of what they decode to."""
-    tokenizer = Tokenizer(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, tokenizer).drop("text"), tokenizer)
-    return both.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return both_ways(docs, Tokenizer(spark)).drop("text")
