@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U, find, groups_of, joined, mix, packed, released, saved, squeezed, table, texts_of, unsqueezed
-from .divergence import lots
+from .divergence import lots, words_in
 
 #: A phrase counts from LEAST occurrences on; it goes where a longer one has SHARE % of them; each language lists TOP.
 LEAST, SHARE, TOP = 10, 50, 2000
 #: Bytes of text in a lot; words for each shard; buckets of a shard; lots or arrays that one task adds up.
-LOT, SHARD, BUCKETS, LOTS = 16 << 20, 4 << 20, 1 << 22, 64
+LOT, SHARD, BUCKETS, LOTS = 12 << 20, 4 << 20, 1 << 22, 64
 LOT_ROWS = "lot string, lang string, words array<string>, counts array<long>, ids binary"
 KEY_ROWS = "lot string, shard int, part int, keys binary, counts binary"
 ARRAY_ROWS = "shard int, part int, data binary"
@@ -109,17 +109,8 @@ def _words(tab: pa.Table) -> tuple[pa.Array, np.ndarray]:
     """The words of texts, lower-cased, and which of them begin a piece."""
     data, starts, ends = texts_of(tab)
     stop = np.isin(data, np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", np.uint8))
-    inside = ~(stop | (data == 32) | (data == 9))
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    full = starts[ends > starts]
-    begin[full] = inside[full]
-    place = np.flatnonzero(begin)
-    letters = data[inside]
-    letters[(letters >= 65) & (letters <= 90)] += 32
-    offsets = np.append(np.cumsum(inside)[place] - 1, len(letters)).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_string(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
-    piece = np.cumsum(stop)[place] + np.searchsorted(starts, place, "right")  # grows with each stop and each text
+    place, words = words_in(data, starts, ends, ~(stop | (data == 32) | (data == 9)))
+    piece = np.searchsorted(np.flatnonzero(stop), place) + np.searchsorted(starts, place, "right")  # grows with each stop and each text
     return words, np.concatenate([[True], piece[1:] != piece[:-1]]) if len(place) else np.zeros(0, bool)
 
 

@@ -33,7 +33,7 @@ from .common import groups_of, pieces, released, saved, spread, table, texts_of
 #: A term is kept with so many documents; a source's terms are listed to this rank; shares are in billionths.
 LEAST, TOP, UNIT = 3, 200, 10**9
 #: Bytes of text counted at once, and entries after which a scan hands its sums on.
-LOT, BUFFER = 16 << 20, 1 << 20
+LOT, BUFFER = 12 << 20, 1 << 20
 PARTIAL = "lang string, term string, source string, document long, df long, n long"
 KEPT = "lang string, term string, source string, n long, total long"
 
@@ -49,19 +49,26 @@ def _codes(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(col.indices, np.int64), col.dictionary
 
 
-def count_lot(tab: pa.Table, first: int) -> pa.RecordBatch:
-    """A lot's rows (lang, term, source, document, df, n): in how many of its documents a term occurs and how often, for each source; document is the lot's first."""
-    data, starts, ends = texts_of(tab)
-    inside = term_bytes(data)
+def words_in(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Where the runs of bytes inside begin, which never cross texts, and the runs with A-Z lower-cased."""
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     full = starts[ends > starts]
     begin[full] = inside[full]
     place = np.flatnonzero(begin)
+    del begin
     letters = data[inside]
     letters[(letters >= 65) & (letters <= 90)] += 32
-    offsets = np.append(np.cumsum(inside)[place] - 1, len(letters)).astype(np.int64)
-    terms = pa.Array.from_buffers(pa.large_string(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    gaps = np.flatnonzero(~inside)  # a run's letters come after all letters before it
+    offsets = np.append(place - np.searchsorted(gaps, place), len(letters))
+    return place, pa.Array.from_buffers(pa.large_string(), len(place), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters)])
+
+
+def count_lot(tab: pa.Table, first: int) -> pa.RecordBatch:
+    """A lot's rows (lang, term, source, document, df, n): in how many of its documents a term occurs and how often, for each source; document is the lot's first."""
+    data, starts, ends = texts_of(tab)
+    place, terms = words_in(data, starts, ends, term_bytes(data))
+    terms = terms.dictionary_encode()
     term, names = np.asarray(terms.indices, np.int64), terms.dictionary
     doc = np.searchsorted(starts, place, "right") - 1
     lang, langs = _codes(tab.column("lang"))
