@@ -16,7 +16,6 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -371,24 +370,73 @@ class Frames:
         return out.select(*df.columns, *[(F.col(name) + F.col(f"{name}_start")).alias(name) for name in totals.values()])
 
     def _decayed(self, df: DataFrame, decays: dict[tuple[str, int, int], str]) -> DataFrame:
-        """Exponentially weighted means are recursive: pandas, one group of rows (a block) at a time."""
+        """Exponentially weighted means. A block goes on from the state after all blocks before it, composed from what each of them does to a state."""
         order, todo = self.order, list(decays.items())
         schema = StructType([*df.schema, *[StructField(name, DoubleType()) for _, name in todo]])
 
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(order, ignore_index=True)
-            new = {name: group[x].astype("float64").ewm(span=span, adjust=False, min_periods=least).mean() for (x, span, least), name in todo}
-            return pd.concat([group, pd.DataFrame(new, index=group.index)], axis=1)
+        def in_order(part: pa.Table) -> pa.Table:
+            at = part[order].to_numpy()
+            return part if (at[1:] >= at[:-1]).all() else part.take(pa.array(np.argsort(at, kind="stable")))
+
+        def values(part: pa.Table, x: str) -> np.ndarray:
+            return part[x].cast(pa.float64()).to_numpy()
+
+        def added(part: pa.Table, new: list[np.ndarray]) -> pa.Table:
+            for (_, name), y in zip(todo, new, strict=True):
+                part = part.append_column(name, pa.array(y, from_pandas=True))
+            return part.select([f.name for f in schema])
 
-        return df.groupBy(*self.keys).applyInPandas(run, schema)
+        def whole(part: pa.Table) -> pa.Table:
+            part = in_order(part)
+            return added(part, [kernels.decayed(values(part, x), span, least) for (x, span, least), _ in todo])
+
+        if not self.blocks:
+            return df.groupBy(*self.keys).applyInArrow(whole, schema)
+        series = [k for k in self.keys if k != "block"]
+        kinds = dict(df.dtypes)
+        head = ", ".join(f"`{k}` {kinds[k]}" for k in self.keys)
+
+        def summed(part: pa.Table) -> pa.Table:
+            """Of a block's own rows: what those that the next block does not repeat do, and those that it does."""
+            part = in_order(part)
+            own, tail = part["own"].to_numpy(), part["tail"].to_numpy()
+            rows = [[kernels.summary(values(part, x)[mask], span) for (x, span, _), _ in todo] for mask in (own & ~tail, own & tail)]
+            return part.select(self.keys).slice(0, 1).append_column("does", pa.array([[[list(r) for r in half] for half in rows]], pa.list_(pa.list_(pa.list_(pa.float64())))))
+
+        def folded(part: pa.Table) -> pa.Table:
+            """A series' blocks in order: the states before a block's repeated rows and before its own. A row for each block."""
+            part = part.sort_by("block")
+            last, now, out = [kernels.NOTHING] * len(todo), [kernels.NOTHING] * len(todo), []
+            for early, late in part["does"].to_pylist():
+                out.append([[list(x) for x in last], [list(x) for x in now]])
+                last = [kernels.advanced(x, r, span) for x, r, ((_, span, _), _) in zip(now, early, todo, strict=True)]
+                now = [kernels.advanced(x, r, span) for x, r, ((_, span, _), _) in zip(last, late, todo, strict=True)]
+            return part.select(self.keys).append_column("before", pa.array(out, pa.list_(pa.list_(pa.list_(pa.float64())))))
+
+        def run(part: pa.Table, state: pa.Table) -> pa.Table:
+            part = in_order(part)
+            own = part["own"].to_numpy()
+            before = state["before"][0].as_py()
+            new = []
+            for i, ((x, span, least), _) in enumerate(todo):
+                v, y = values(part, x), np.empty(len(part))
+                for mask, at in zip((~own, own), before, strict=True):
+                    y[mask] = kernels.decayed(v[mask], span, least, tuple(at[i]))
+                new.append(y)
+            return added(part, new)
+
+        cells = "array<array<array<double>>>"
+        does = df.select(*self.keys, order, "own", "tail", *dict.fromkeys(x for (x, _, _), _ in todo)).groupBy(*self.keys).applyInArrow(summed, f"{head}, does {cells}")
+        before = does.groupBy(*series).applyInArrow(folded, f"{head}, before {cells}")
+        return df.groupBy(*self.keys).cogroup(before.groupBy(*self.keys)).applyInArrow(run, schema)
 
 
 def in_blocks(bars: DataFrame, rows: int = 65536, halo: int = 4608, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
     """bars cut into blocks of consecutive rows of a symbol, with `block`, `own` and `tail`.
 
     A symbol may hold a third of all rows; blocks spread it over many tasks. Each block also gets the `halo` rows before
-    it (own is false there; they are the tail of the block before), which covers every frame in use and, for exponentially weighted means of spans up to 240,
-    all weight above double precision. A row's place is the count of rows in earlier months plus its place in its month.
+    it (own is false there; they are the tail of the block before), which covers every frame in use; exponentially weighted
+    means, running sums and last values go on from the block before. A row's place is the count of rows in earlier months plus its place in its month.
     """
     if halo > rows:
         raise ValueError("a halo comes from one block")

@@ -11,7 +11,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..config import ModelSettings
-from ..functions.frames import Frames, absolute, nz, term
+from ..functions.frames import Frames, absolute, in_blocks, nz, term
+from ..sources.sinks import saved
 from .backtest import threshold_signal
 
 # labels and features
@@ -41,10 +42,10 @@ def streak(signals: DataFrame, keys: list[str], signal: str = "signal") -> DataF
     return out.withColumn("signal_streak", F.when(clean != 0, place.cast("double")).otherwise(0.0)).drop("_new", "_island")
 
 
-def state_features(values: DataFrame, keys: list[str], threshold: float = 0.7) -> DataFrame:
+def state_features(values: DataFrame, keys: list[str], threshold: float = 0.7, signal: Column | None = None) -> DataFrame:
     """values with the factor's signal and how both change: value_diff_1, value_lag_1, signal_lag_1, signal_change_1, signal_streak."""
     w = Window.partitionBy(*keys).orderBy("ts")
-    out = values.withColumn("signal", threshold_signal(F.col("value"), threshold))
+    out = values.withColumn("signal", signal if signal is not None else threshold_signal(F.col("value"), threshold))
     out = out.withColumns({
         "value_diff_1": F.col("value") - F.lag("value").over(w), "value_lag_1": F.lag("value").over(w),
         "signal_lag_1": F.lag("signal").over(w), "signal_change_1": F.col("signal") - F.lag("signal").over(w),
@@ -180,8 +181,49 @@ def scan(df: DataFrame, keys: list[str], inputs: list[str], output: str, start:
     return ordered.mapInPandas(run, StructType([*df.schema, StructField(output, DoubleType())]))
 
 
-def position_rules(df: DataFrame, keys: list[str], target: str = "target_position", s: ModelSettings = ModelSettings(), output: str = "ruled_position") -> DataFrame:
-    """df with the position after the rules: hold at least min_holding bars, wait cooldown bars after an exit, skip changes below min_change, smooth."""
+def scan_blocks(df: DataFrame, keys: list[str], inputs: list[str], output: str, start: Callable[[], list], step: Callable[[list, tuple], float], alike: Callable[[list], list], block_rows: int) -> DataFrame:
+    """scan() with a series cut into blocks, all of which run at once.
+
+    Every block first runs from the start state. A block whose state before it turns out to be another runs again from
+    that one, until no block's does; rules that forget need one such round or two, and only for the blocks concerned. The
+    first block's state is right, so each round settles one more block at least. alike: the state as far as it matters;
+    it is an array of doubles. The rows are written once; between rounds a block is one row.
+    """
+    cut = saved(in_blocks(df, block_rows, 0, tuple(keys)).drop("own", "tail"))
+    by = [*keys, "block"]
+    kinds = dict(cut.dtypes)
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in by)
+
+    def run(part: pd.DataFrame, before: list) -> tuple[list[float], list]:
+        state = [float(x) for x in before]
+        out = [step(state, row) for row in part[inputs].itertuples(index=False, name=None)]
+        return out, alike(state)
+
+    def ends(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        before = list(told["before"].iloc[0])
+        after = run(part.sort_values("ts"), before)[1]
+        return pd.DataFrame([(*key, before, after)], columns=[*by, "before", "after"])
+
+    def outputs(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ts", ignore_index=True)
+        return part.assign(**{output: pd.Series(run(part, list(told["before"].iloc[0]))[0], index=part.index, dtype="float64")}).drop(columns="block")
+
+    flat = F.array(*[F.lit(float(x)) for x in start()])
+    rows = cut.select(*by, "ts", *inputs).groupBy(*by)
+    todo = saved(cut.select(*by).distinct().withColumn("before", flat))
+    states = None
+    while True:
+        ran = rows.cogroup(todo.groupBy(*by)).applyInPandas(lambda k, a, b: ends(k, a, b) if len(b) else pd.DataFrame(columns=[*by, "before", "after"]), f"{head}, before array<double>, after array<double>")
+        states = saved(ran if states is None else ran.unionByName(states.join(todo.select(*by), by, "left_anti")))
+        want = F.coalesce(F.lag("after").over(Window.partitionBy(*keys).orderBy("block")), flat)
+        todo = saved(states.withColumn("want", want).where("want <> before").select(*by, F.col("want").alias("before")))
+        if todo.isEmpty():
+            break
+    return cut.groupBy(*by).cogroup(states.select(*by, "before").groupBy(*by)).applyInPandas(outputs, StructType([*df.schema, StructField(output, DoubleType())]))
+
+
+def rule_step(s: ModelSettings) -> Callable[[list, tuple], float]:
+    """The rules as a step: from the state (position held, bars since it was taken, bars to wait) and a target to the next position."""
     min_holding, cooldown, min_change, alpha = s.min_holding, s.cooldown, s.min_change, s.smoothing
 
     def step(state: list, row: tuple) -> float:
@@ -208,17 +250,29 @@ def position_rules(df: DataFrame, keys: list[str], target: str = "target_positio
         state[:] = after, 0 if now == 0 else bars + 1 if now == side else 1, wait
         return after
 
-    return scan(df, keys, [target], output, lambda: [0.0, 0, 0], step)
+    return step
+
+
+def position_rules(df: DataFrame, keys: list[str], target: str = "target_position", s: ModelSettings = ModelSettings(), output: str = "ruled_position", block_rows: int | None = None) -> DataFrame:
+    """df with the position after the rules: hold at least min_holding bars, wait cooldown bars after an exit, skip changes below min_change, smooth.
+
+    block_rows: cut series into blocks of so many rows that run side by side.
+    """
+    step = rule_step(s)
+    if block_rows is None:
+        return scan(df, keys, [target], output, lambda: [0.0, 0, 0], step)
+    alike = lambda state: [float(state[0]), float(min(state[1], s.min_holding)), float(state[2])]
+    return scan_blocks(df, keys, [target], output, lambda: [0.0, 0, 0], step, alike, block_rows)
 
 
-def composite_signal(rows: DataFrame, keys: list[str], s: ModelSettings = ModelSettings()) -> DataFrame:
+def composite_signal(rows: DataFrame, keys: list[str], s: ModelSettings = ModelSettings(), block_rows: int | None = None) -> DataFrame:
     """The tradeable signal out of probabilities. rows: prob_up, prob_down, direction, min_edge, min_probability, trade_allowed, confidence_trade_allowed."""
     edge, chance = F.coalesce("min_edge", F.lit(s.min_edge)), F.coalesce("min_probability", F.lit(s.min_probability))
     out = rows.withColumn("calibrated_prob_edge", (F.col("prob_up") - F.col("prob_down")) * F.col("direction")).withColumn("directional_probability", F.greatest("prob_up", "prob_down"))
     open_ = (F.coalesce("trade_allowed", F.lit(0.0)) > 0) & (F.coalesce("confidence_trade_allowed", F.lit(0.0)) > 0)
     raw = F.when(open_, F.coalesce(trade_signal(edge, chance) * F.col("direction"), F.lit(0.0))).otherwise(0.0)
     out = out.withColumn("position_size", position_size(edge, chance, s)).withColumn("target_position", F.coalesce(raw * F.col("position_size"), F.lit(0.0)))
-    out = position_rules(out, keys, "target_position", s)
+    out = position_rules(out, keys, "target_position", s, block_rows=block_rows)
     w = Window.partitionBy(*keys).orderBy("ts")
     return out.withColumn("raw_signal", F.signum("ruled_position")).withColumn("position", F.lag("ruled_position", 1, 0.0).over(w)).withColumn("composite_score", F.col("calibrated_prob_edge"))
 

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import ModelSettings
-from . import trees
+from . import trees, walkforward
 from .composite import sample_weight
+from .walkforward import WindowMoments, choose
 
 EPOCHS = 48
 #: Labels -1, 0, 1 as classes 0, 1, 2.
@@ -92,13 +93,22 @@ def weight_shares(model) -> np.ndarray:
     return size / size.sum() if size.sum() > 0 else np.full(len(size), 1 / len(size))
 
 
-def rolling_predictions(rows: DataFrame, features: list[str], s: ModelSettings = ModelSettings(), keys: tuple[str, ...] = ("symbol",), importance: bool = False, kind: str = "logistic") -> DataFrame:
+def rolling_predictions(
+    rows: DataFrame, features: list[str], s: ModelSettings = ModelSettings(), keys: tuple[str, ...] = ("symbol",), importance: bool = False, kind: str = "logistic",
+    factors: dict[str, list[str]] | None = None, calibrate: bool = False,
+) -> DataFrame:
     """(keys, ts, prob_down, prob_flat, prob_up) of bars from min_samples on. rows: features, target_direction, by key and time.
 
     A model made at bar t learns from labelled bars of [t - train_window, t - horizon]: their labels end before t. With
     too few bars, directional labels or classes no model is made and the bars of its turn have no prediction. importance:
     the first bar of a model's turn also holds the features' shares of its mean absolute weights or of its splits' gains.
     kind: logistic, boosted, forest or extra.
+
+    factors: the feature columns of each factor, by the column of the factor's signal. With select_in_window each model
+    takes the factors that its window's labelled bars choose (`selected` on the first bar of its turn), else all; the
+    factors' equal vote, its direction learned from the window, is `vote_score`. calibrate: rows also hold next_return and
+    trade_allowed, and min_edge, min_probability and direction are learned from the window's predictions too.
+    train_market_filter: models learn from bars with trade_allowed only.
     """
     if kind not in ("logistic", "boosted", "forest", "extra"):
         raise ValueError("kind is logistic, boosted, forest or extra")
@@ -109,30 +119,62 @@ def rolling_predictions(rows: DataFrame, features: list[str], s: ModelSettings =
     own = F.floor((F.col("_row") - first) / span)  # the stretch that predicts the bar; below 0: none
     reach = F.floor((F.col("_row") + w - first) / span)  # the last stretch whose windows reach back to it
     each = placed.withColumn("_stretch", F.explode(F.sequence(F.greatest(own, F.lit(0)), F.greatest(reach, own, F.lit(0))))).withColumn("_own", F.col("_stretch") == own)
-    schema = ", ".join([*[f"{c} {dict(rows.dtypes)[c]}" for c in keys], "ts timestamp_ntz", *[f"{name} double" for name, _ in CLASSES], *(["importance array<double>"] if importance else [])])
+    signals = list(factors or {})
+    if s.select_in_window and not signals:
+        raise ValueError("to choose factors takes their signals")
+    told = ["min_edge", "min_probability", "direction"] * calibrate + ["vote_score"] * bool(signals)
+    extra = [*(f"{c} double" for c in told), *(["importance array<double>"] if importance else []), *(["selected array<string>"] if s.select_in_window else [])]
+    schema = ", ".join([*[f"{c} {dict(rows.dtypes)[c]}" for c in keys], "ts timestamp_ntz", *[f"{name} double" for name, _ in CLASSES], *extra])
+    of = [[features.index(c) for c in (factors or {})[x]] for x in signals]
+    market = ["next_return", "trade_allowed"] if calibrate else ["trade_allowed"] if s.train_market_filter else []
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_row", ignore_index=True)
         at, x = part["_row"].to_numpy(), part[features].fillna(0.0).to_numpy(float)
         y = part["target_direction"].to_numpy(float)
         labelled = np.isfinite(y)
+        allowed = part["trade_allowed"].fillna(0.0).to_numpy(float) > 0 if market else np.ones(len(part), bool)
+        ahead = part["next_return"].to_numpy(float) if calibrate else None
+        signal = part[signals].to_numpy(float) if signals else None
         weight = np.where(y == 0, s.neutral_weight, s.directional_weight)
-        out, shares = np.full((len(part), 3), np.nan), np.full(len(part), None, object)
+        window = WindowMoments(np.where(labelled[:, None], np.column_stack([signal, y]), np.nan)) if s.select_in_window else None
+        out, shares, picked = np.full((len(part), 3), np.nan), np.full(len(part), None, object), np.full(len(part), None, object)
+        more = {c: np.full(len(part), np.nan) for c in told}
         begin = first + int(key[-1]) * span
         for t in range(begin, begin + span, k):
             turn = part["_own"].to_numpy() & (at >= t) & (at < t + k)
-            learn = labelled & (at >= t - w) & (at < t - h + 1)
-            if turn.any() and learn.sum() >= s.min_samples and (y[learn] != 0).sum() >= s.min_directional and len(np.unique(y[learn])) > 1:
-                seen = x[learn], (y[learn] + 1).astype(int), weight[learn]
-                if kind == "logistic":
-                    model = softmax_fit(*seen)
-                    out[turn], share = softmax_predict(model, x[turn]), weight_shares(model)
-                else:
-                    model = trees.fit(*seen, kind, s)
-                    out[turn], share = trees.predict(model, x[turn]), model.shares()
-                shares[turn.argmax()] = list(share)
+            if not turn.any():
+                continue
+            low, high = np.searchsorted(at, (t - w, t - h + 1))
+            taken = list(range(len(signals)))
+            if window is not None:
+                taken = choose(*window.correlations(low, max(low, high)), s)
+            use = [i for f in taken for i in of[f]] if signals else list(range(len(features)))
+            learn = labelled & (at >= t - w) & (at < t - h + 1) & (allowed | (not s.train_market_filter))
+            if not use or learn.sum() < s.min_samples or (y[learn] != 0).sum() < s.min_directional or len(np.unique(y[learn])) < 2:
+                continue
+            seen = x[np.ix_(learn, use)], (y[learn] + 1).astype(int), weight[learn] * walkforward.age_weight(t - at[learn], s.half_life)
+            model = softmax_fit(*seen) if kind == "logistic" else trees.fit(*seen, kind, s)
+            chances = softmax_predict if kind == "logistic" else trees.predict
+            out[turn] = chances(model, x[np.ix_(turn, use)])
+            head = turn.argmax()
+            if importance:
+                share = np.zeros(len(features))
+                share[use] = weight_shares(model) if kind == "logistic" else model.shares()
+                shares[head] = list(share)
+            if window is not None:
+                picked[head] = [signals[i] for i in taken]
+            if calibrate:
+                found = walkforward.calibrate(chances(model, seen[0]), ahead[learn], allowed[learn], s)
+                for c, v in zip(told, found, strict=False):
+                    more[c][turn] = v
+            if signals:
+                score = walkforward.mean_of(signal[:, taken])
+                side = walkforward.way(np.where(allowed[learn], np.sign(np.nan_to_num(score[learn])), 0.0), ahead[learn]) if calibrate else 1.0
+                more["vote_score"][turn] = side * score[turn]
         done = np.isfinite(out[:, 0])
-        return pd.DataFrame({c: part[c][done] for c in [*keys, "ts"]} | {name: out[done, i] for name, i in CLASSES} | ({"importance": shares[done]} if importance else {}))
+        cells = {c: part[c][done] for c in [*keys, "ts"]} | {name: out[done, i] for name, i in CLASSES} | {c: v[done] for c, v in more.items()}
+        return pd.DataFrame(cells | ({"importance": shares[done]} if importance else {}) | ({"selected": picked[done]} if s.select_in_window else {}))
 
-    want = each.select(*keys, "ts", "_row", "_own", "_stretch", "target_direction", *features)
+    want = each.select(*keys, "ts", "_row", "_own", "_stretch", "target_direction", *market, *dict.fromkeys([*features, *signals]))
     return want.groupBy(*keys, "_stretch").applyInPandas(run, schema)

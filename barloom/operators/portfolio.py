@@ -149,10 +149,11 @@ def risk_multiplier(returns: DataFrame, periods: DataFrame, s: PortfolioSettings
     return out.withColumn("risk_multiplier", F.col("vol_multiplier") * F.col("drawdown_multiplier")).drop("_std", "_nav", "_dd", "_before")
 
 
-def portfolio(detail: DataFrame, s: PortfolioSettings = PortfolioSettings(), methods: tuple[str, ...] = METHODS) -> tuple[DataFrame, DataFrame]:
-    """(portfolio by method and time, weights by method, time and symbol). detail: symbol, ts, strategy_return, benchmark_return, position."""
+def portfolio(detail: DataFrame, s: PortfolioSettings = PortfolioSettings(), methods: tuple[str, ...] = METHODS, sectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(portfolio by method and time, weights by method, time and symbol). detail: symbol, ts, strategy_return, benchmark_return, position. sectors: symbol, sector, which share at most sector_cap."""
     grid = opportunity_scores(spine(detail), s)
     weights = opportunity_selection(rolling_weights(grid, s, methods), s)
+    weights = group_budget(weights, sectors, s.sector_cap) if sectors is not None else weights
     out = risk_multiplier(portfolio_returns(weights), periods_of(detail, s.annual_days), s)
     out = out.withColumn("strategy_return", F.col("raw_return") * F.col("risk_multiplier")).withColumn("avg_abs_position", F.col("raw_abs_position") * F.col("risk_multiplier"))
     return with_nav(out, ["method"], "strategy_return"), weights

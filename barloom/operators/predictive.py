@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import BacktestSettings
-from ..functions.frames import Frames
+from ..functions.frames import Frames, in_blocks
 
 
 def average_rank(x: str, keys: list[str]) -> Column:
@@ -42,19 +44,21 @@ def monthly_information(frame: DataFrame, keys: list[str]) -> DataFrame:
     return monthly.groupBy(*keys).agg(ratio("ic").alias("icir"), ratio("rank_ic").alias("rank_icir"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_win_rate"), F.count("*").cast("double").alias("ic_month_count"))
 
 
-def qcut_labels(scores: DataFrame, keys: list[str], settings: BacktestSettings = BacktestSettings(), score: str = "value") -> DataFrame:
+def qcut_labels(scores: DataFrame, keys: list[str], settings: BacktestSettings = BacktestSettings(), score: str = "value", block_rows: int = 32768) -> DataFrame:
     """scores with qcut_label: 1 + how many of the past window's quantiles the score exceeds; effective_group: the label before.
 
     NULL without enough history, for constant history and for missing scores.
     """
-    frames = Frames(tuple(keys))
     w, least, groups = settings.qcut_window, min(settings.qcut_least, settings.qcut_window), settings.qcut_groups
-    cuts = frames.quantiles(score, w, [k / groups for k in range(1, groups)], least)
-    out = frames.apply(scores, {"_cuts": cuts, "_std": frames.std(score, w, least)}, scores.columns)
-    label = F.lit(1.0) + F.size(F.filter("_cuts", lambda q: F.col(score) > q))
-    good = F.col(score).isNotNull() & (F.col("_std") > 0) & F.col("_cuts").isNotNull()
+    frames = Frames((*keys, "block"))
+    cuts = {f"_q{k}": frames.quantile(score, w, k / groups, least) for k in range(1, groups)}
+    cut = in_blocks(scores, max(block_rows, w + 1), w + 1, tuple(keys))  # the label before a block's first row needs its frame too
+    out = frames.apply(cut, cuts | {"_std": frames.std(score, w, least)}, [*scores.columns, "block", "own"])
+    label = sum((F.when(F.col(score) > F.col(c), 1.0).otherwise(0.0) for c in cuts), F.lit(1.0))
+    good = F.col(score).isNotNull() & (F.col("_std") > 0) & reduce(Column.__and__, [F.col(c).isNotNull() for c in cuts], F.lit(True))
     out = out.withColumn("qcut_label", F.when(good, label))
-    return out.withColumn("effective_group", F.lag("qcut_label").over(Window.partitionBy(*keys).orderBy("ts"))).drop("_cuts", "_std")
+    out = out.withColumn("effective_group", F.lag("qcut_label").over(Window.partitionBy(*keys, "block").orderBy("ts")))
+    return out.where("own").drop(*cuts, "_std", "block", "own")
 
 
 def qcut_nav(labelled: DataFrame, keys: list[str], groups: int = 5) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import LibrarySettings
 from ..functions import names
+from ..sources.sinks import saved, scratch
 from .backtest import threshold_signal
+from .pairs import SPAN, columns_of, correlation, correlations, moments, packed, types, unpacked
 
 ORDER = ("selection_valid", "selection_sharpe", "selection_rank_ic", "selection_monotonicity", "selection_return")
 
@@ -70,36 +76,6 @@ def reject_reason(s: LibrarySettings, available: Column | None = None) -> Column
     return out
 
 
-MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-
-def correlations(values: DataFrame, keys: list[str], value: str = "value", bucket: Column | None = None) -> DataFrame:
-    """(keys, factor_a, factor_b, corr): over the bars where both factors have a value, factor_a < factor_b.
-
-    Bars are cut into buckets of time; a bucket is a matrix whose products give all pairs' sums at once. So no row meets
-    another in a join, and a task holds one bucket's matrix.
-    """
-    bucket = bucket if bucket is not None else F.trunc(F.to_date("ts"), "month")
-    rows = values.where(F.col(value).isNotNull()).select(*keys, bucket.alias("_bucket"), "ts", "factor", F.col(value).alias("_v"))
-    schema = ", ".join([*[f"{k} {dict(values.dtypes)[k]}" for k in keys], "factor_a string", "factor_b string", *[f"{m} double" for m in MOMENTS]])
-
-    def sums(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot(index="ts", columns="factor", values="_v").sort_index(axis=1)
-        x, have = wide.fillna(0.0).to_numpy(), wide.notna().to_numpy().astype(float)
-        tables = {"n": have.T @ have, "sx": x.T @ have, "sy": have.T @ x, "sxx": (x * x).T @ have, "syy": have.T @ (x * x), "sxy": x.T @ x}
-        a, b = (tables["n"] > 0).nonzero()
-        a, b = a[a < b], b[a < b]
-        label = wide.columns.to_numpy()
-        return pd.DataFrame({k: key[i] for i, k in enumerate(keys)} | {"factor_a": label[a], "factor_b": label[b]} | {m: t[a, b] for m, t in tables.items()}, index=range(len(a)))
-
-    parts = rows.groupBy(*keys, "_bucket").applyInPandas(sums, schema)
-    s = parts.groupBy(*keys, "factor_a", "factor_b").agg(*[F.sum(m).alias(m) for m in MOMENTS])
-    dx, dy = F.expr("sxx - sx * sx / n"), F.expr("syy - sy * sy / n")
-    flat = 1e-12  # of the sum of squares: rounding, not spread
-    varied = (F.col("n") >= 2) & (dx > flat * F.col("sxx")) & (dy > flat * F.col("syy"))
-    return s.select(*keys, "factor_a", "factor_b", F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.expr("sxy - sx * sy / n") / F.sqrt(dx * dy)))).alias("corr"))
-
-
 def library_correlations(values: DataFrame, keys: list[str], threshold: float = 0.7) -> DataFrame:
     """(keys, factor_a, factor_b, value_corr, signal_corr): absolute correlations of values and of their signals."""
     one = correlations(values, keys).withColumn("value_corr", F.abs("corr")).drop("corr")
@@ -151,6 +127,128 @@ def admit(ranked: DataFrame, pairs: DataFrame, s: LibrarySettings = LibrarySetti
     return want.groupBy("symbol").cogroup(near.groupBy("symbol")).applyInPandas(greedy, schema)
 
 
+DECIDED = "symbol string, factor string, family string, rank int, status string, reason string, max_value_corr double, max_signal_corr double, max_library_corr double, slot int"
+
+
+def admit_in_rounds(ranked: DataFrame, values: DataFrame, s: LibrarySettings = LibrarySettings(), threshold: float = 0.7, lot: int = 128) -> DataFrame:
+    """admit() for any number of candidates: their values, not all pairs, come in.
+
+    Those that passed the gates are dealt to lots by rank; a round takes every symbol's next lot and multiplies it with
+    itself and with what is admitted so far (at most `keep`), span by span of time, for values and signals at once. A task
+    holds the bars of one span for lot + keep factors, or a symbol's sums of that size; each lot's values are written and
+    read once. Symbols whose library is full take no part in later rounds. The driver sees one number a symbol.
+    """
+    spark, keep = ranked.sparkSession, max(1, s.keep)
+    want = ranked.select("symbol", "factor", "family", F.col("rank").cast("int").alias("rank"), "reason")
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("rank", "factor")) - 1
+    passed = saved(want.where("reason IS NULL").drop("reason").withColumn("_p", place).selectExpr("*", f"CAST(_p DIV {lot} AS INT) lot", f"CAST(_p % {lot} AS INT) col").drop("_p"))
+    folder = scratch(spark)
+    rows = values.join(passed.select("symbol", "factor", "lot", "col"), ["symbol", "factor"])
+    rows.select("symbol", "factor", "ts", "value", "lot", "col").repartition("lot", "symbol", "factor").write.partitionBy("lot").parquet(f"{folder}/values")
+    pool = spark.read.parquet(f"{folder}/values")
+    sizes = {r["symbol"]: r["lots"] for r in passed.groupBy("symbol").agg((F.max("lot") + 1).alias("lots")).collect()}  # one row a symbol
+    held: dict[str, int] = {}
+    rounds: list[DataFrame] = []
+    for k in range(max(sizes.values(), default=0)):
+        open_ = [x for x, lots in sizes.items() if lots > k and held.get(x, 0) < keep]
+        if not open_:
+            break
+        mine = passed.where((F.col("lot") == k) & F.col("symbol").isin(open_))
+        new = pool.where((F.col("lot") == k) & F.col("symbol").isin(open_)).select("symbol", "ts", "value", "col", F.lit(True).alias("new"))
+        chosen = rounds and [r.where("status = 'active'").select("symbol", "factor", "family", "slot") for r in rounds]
+        if any(held.values()):
+            old = spark.read.parquet(f"{folder}/chosen").where(F.col("symbol").isin(open_)).select("symbol", "ts", "value", F.col("slot").alias("col"), F.lit(False).alias("new"))
+            new = new.unionByName(old)
+        families = _all(chosen).groupBy("symbol", "family").agg(F.count("*").cast("int").alias("had")) if chosen else None
+        mine = mine.join(families, ["symbol", "family"], "left") if chosen else mine.withColumn("had", F.lit(0))
+        sums = _lot_sums(new, lot, max(held.values(), default=0), threshold)
+        before = F.create_map(*[F.lit(x) for pair in held.items() for x in pair])[F.col("symbol")] if held else F.lit(0)
+        mine = mine.withColumn("held", F.coalesce(before, F.lit(0)).cast("int")).withColumn("had", F.coalesce("had", F.lit(0)))
+        decided = saved(mine.groupBy("symbol").cogroup(sums.groupBy("symbol")).applyInArrow(_greedy(s, lot), DECIDED))
+        active = decided.where("status = 'active'").select("symbol", "factor", "slot")
+        pool.where(F.col("lot") == k).join(active, ["symbol", "factor"]).select("symbol", "ts", "value", "slot").write.mode("append").parquet(f"{folder}/chosen")
+        held |= {r["symbol"]: r["n"] for r in active.groupBy("symbol").agg((F.max("slot") + 1).alias("n")).collect()}  # one row a symbol
+        rounds.append(decided)
+    seen = _all(rounds).drop("slot") if rounds else spark.createDataFrame([], DECIDED).drop("slot")
+    # what is left: gates not passed, or a full library
+    rest = want.join(seen.select("symbol", "factor"), ["symbol", "factor"], "left_anti")
+    late = F.col("reason").isNull()
+    full = seen.where("status = 'active'").groupBy("symbol", "family").agg(F.count("*").alias("had"))
+    quota = F.create_map(*[F.lit(x) for pair in s.family_quota.items() for x in pair])[F.col("family")] if s.family_quota else F.lit(None).cast("int")
+    rest = rest.join(full, ["symbol", "family"], "left").withColumn("why", F.when(F.coalesce("had", F.lit(0)) >= quota, "family_quota_exceeded").otherwise("rank_outside_top_n"))
+    none = F.lit(None).cast("double")
+    rest = rest.select("symbol", "factor", "family", "rank", F.when(late, "retired").otherwise("rejected").alias("status"), F.when(late, F.col("why")).otherwise(F.col("reason")).alias("reason"), *[none.alias(c) for c in ("max_value_corr", "max_signal_corr", "max_library_corr")])
+    every = seen.unionByName(rest)
+    earlier = Window.partitionBy("symbol", "family").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    every = every.withColumn("family_count", F.count_if(F.col("status") == "active").over(earlier).cast("int"))
+    return every.select("symbol", "factor", "status", "reason", "family_count", "max_value_corr", "max_signal_corr", "max_library_corr")
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _lot_sums(rows: DataFrame, lot: int, held: int, threshold: float) -> DataFrame:
+    """(symbol, sums): moments of a lot's values and signals with those of the lot and of what is admitted. rows: symbol, ts, value, col, new."""
+    rows = rows.withColumn("span", F.date_trunc(SPAN, F.col("ts").cast("timestamp"))).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+
+    def products(part: pa.Table) -> pa.Table:
+        col = part["col"].to_numpy() + np.where(part["new"].to_numpy(), 0, lot)
+        _, x = columns_of(part["at"].to_numpy(), col, part["value"].cast(pa.float64()).to_numpy(), lot + held)
+        _, there = columns_of(part["at"].to_numpy(), col, np.ones(len(part)), lot + held)
+        signal = np.where(np.isnan(there), np.nan, np.where(x > threshold, 1.0, np.where(x < -threshold, -1.0, 0.0)))  # a bar without value has no signal: 0
+        data = np.stack([moments(x[:, :lot], x), moments(signal[:, :lot], signal)])
+        return part.select(["symbol", "span"]).slice(0, 1).append_column("sums", pa.array([packed(data)], pa.binary()))
+
+    def add(part: pa.Table) -> pa.Table:
+        total = 0.0
+        for x in part["sums"]:
+            total = total + unpacked(x.as_py())
+        return part.select(["symbol"]).slice(0, 1).append_column("sums", pa.array([packed(total)], pa.binary()))
+
+    parts = rows.select("symbol", "span", "at", "value", "col", "new").groupBy("symbol", "span").applyInArrow(products, f"{types(rows, ['symbol', 'span'])}, sums binary")
+    for by in ([F.year("span").alias("part")], []):  # years, then all
+        parts = parts.select("symbol", *by, "sums", *(["span"] if by else [])).groupBy("symbol", *(["part"] if by else [])).applyInArrow(lambda t: add(t), "symbol string, sums binary")
+    return parts
+
+
+def _greedy(s: LibrarySettings, lot: int):
+    def run(candidates: pa.Table, sums: pa.Table) -> pa.Table:
+        """A symbol's lot in rank order against what is admitted, and what this lot admits."""
+        rows = sorted(candidates.to_pylist(), key=lambda r: r["col"])
+        if sums.num_rows:
+            t = unpacked(sums["sums"][0].as_py()).reshape(2, 6, lot, -1)
+            both = [np.abs(correlation(x)) for x in t]
+        else:  # no values at all
+            both = [np.full((lot, lot), np.nan)] * 2
+        held = rows[0]["held"] if rows else 0
+        chosen, more, out = [lot + i for i in range(held)], {}, []
+        for r in rows:
+            count, quota = r["had"] + more.get(r["family"], 0), s.family_quota.get(r["family"])
+            status, reason, most, slot = "retired", None, [None, None, None], None
+            if quota is not None and count >= quota:
+                reason = "family_quota_exceeded"
+            elif len(chosen) >= max(1, s.keep):
+                reason = "rank_outside_top_n"
+            else:
+                near = [c[r["col"], [i for i in chosen if i < c.shape[1]]] for c in both]
+                near = [x[~np.isnan(x)] for x in near]
+                most = [float(x.max()) if len(x) else None for x in near]
+                most.append(max((x for x in most if x is not None), default=None))
+                if most[2] is not None and most[2] >= s.max_corr:
+                    status, reason = "rejected", "high_corr"
+                else:
+                    status, slot = "active", len(chosen)
+                    chosen.append(r["col"])
+                    more[r["family"]] = more.get(r["family"], 0) + 1
+            out.append((r["symbol"], r["factor"], r["family"], r["rank"], status, reason, *most, slot))
+        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+        fields = [c.split() for c in DECIDED.split(", ")]
+        return pa.table({name: pa.array([o[i] for o in out], kinds[kind]) for i, (name, kind) in enumerate(fields)})
+
+    return run
+
+
 def family_summary(library: DataFrame) -> DataFrame:
     return library.groupBy("symbol", "family").agg(
         F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"), F.avg("selection_sharpe").alias("mean_selection_sharpe"), F.max("selection_sharpe").alias("max_selection_sharpe"),

@@ -145,12 +145,22 @@ def build_factors(bars: DataFrame, names: set[str] | None = None, pairs: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def catalog_frame(spark, related: tuple[str, ...] = (), macro_symbols: tuple[str, ...] = ()) -> DataFrame:
-    """(factor_id, factor, label, source, template, input, window, related): the catalogue as a table."""
-    rows = [(n, name, f"{n}_{name}", f.source, f.template, f.input, f.window, s or None) for n, name, f, s in C.catalog(related, macro_symbols)]
+def catalog_frame(spark, related: tuple[str, ...] = (), macro_symbols: tuple[str, ...] = (), names: set[str] | None = None) -> DataFrame:
+    """(factor_id, factor, label, source, template, input, window, related): the catalogue as a table, or the named rows of it."""
+    rows = [(n, name, f"{n}_{name}", f.source, f.template, f.input, f.window, s or None) for n, name, f, s in C.catalog(related, macro_symbols) if names is None or name in names]
     return spark.createDataFrame(rows, "factor_id long, factor string, label string, source string, template string, input string, window int, related string")
 
 
+def names_in_scope(related: tuple[str, ...], macro_symbols: tuple[str, ...], scope: str, new_from: int = 1, selected: tuple[str, ...] = ()) -> set[str]:
+    """scoped(), of the catalogue itself: names, without a table."""
+    every = {name: n for n, name, _, _ in C.catalog(related, macro_symbols)}
+    if scope == "selected" and (unknown := set(selected) - every.keys()):
+        raise ValueError(f"unknown factors: {sorted(unknown)}")
+    if scope not in ("all", "new", "selected"):
+        raise ValueError("scope is all, new or selected")
+    return set(selected) if scope == "selected" else {name for name, n in every.items() if scope == "all" or n >= new_from}
+
+
 def scoped(catalog: DataFrame, scope: str, new_from: int = 1, selected: tuple[str, ...] = ()) -> DataFrame:
     """The catalogue's rows in scope: all, new (from a number on) or selected (an unknown name is an error)."""
     if scope == "all":

@@ -17,11 +17,12 @@ from . import oracle as O
 from .config import BacktestSettings, LibrarySettings, ModelSettings, PortfolioSettings
 from .functions import names
 from .functions.frames import Frames, Term, absolute, nz, sign0
-from .operators import align, backtest, composite, diagnostics, models, portfolio, predictive, quality, selection
+from .operators import align, backtest, boosting, composite, diagnostics, models, portfolio, predictive, quality, selection
 from .oracle import chain, corr, cov, lag, mean, pct, peak, quantile, r, rank, rounded, std, total, trough, values, var, z
 from .plans import catalog
 from .plans.factors import build_factors, catalog_frame, wide
 from .sources import bars as B
+from .sources.sinks import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -287,6 +288,10 @@ def zscore_clip(spark, d):
 # factors: some of each family, written out in SQL
 
 
+#: Rows of a block in these queries: few enough that series are cut, so that block edges are compared too.
+BLOCK = 1200
+
+
 def factor_query(name: str, factors: dict[str, str], steps: list[dict[str, str]], kind: str = "own", base: str = O.DAILY, bars: Callable = None, by: str = O.P, keys: tuple[str, ...] = ("symbol",)) -> None:
     """Register factor_<name>: the factors' values, from the catalogue on one side and from SQL on the other."""
     listed = {f.name: f for _, _, f, _ in catalog.catalog(("R",), ("M",))}
@@ -294,7 +299,7 @@ def factor_query(name: str, factors: dict[str, str], steps: list[dict[str, str]]
     SQL[f"factor_{name}"] = rounded(chain(base, *steps, {k.replace("{s}", "s") + "_raw": v for k, v in factors.items()}, {k: z(f"{k}_raw", by=by) for k in plain}), (*keys, "ts"), tuple(plain))
 
     def run(spark, d):
-        out = wide((bars or (lambda s, p: B.with_returns(bars_1d(s, p))))(spark, d), [listed[n] for n in factors], kind, block_rows=32768 if kind == "own" else None)
+        out = wide((bars or (lambda s, p: B.with_returns(bars_1d(s, p))))(spark, d), [listed[n] for n in factors], kind, block_rows=BLOCK)
         return tidy(out.select(*keys, "ts", *[F.col(f"`{n}`").alias(k) for k, n in plain.items()]))
 
     QUERIES[f"factor_{name}"] = run
@@ -431,16 +436,18 @@ def factor_long(spark, d):
 RELATED_DEFAULT, MACRO_DEFAULT = ("CS.DCE", "M.DCE", "Y.DCE", "P.DCE"), ("000300.SH", "000001.SH", "399006.SZ", "USDCNY.IB", "CBA00101.CS")
 
 
-@query("SELECT * FROM (VALUES ('basic', 4::BIGINT, 1::BIGINT, 4::BIGINT), ('parametric', 16400, 5, 16404), ('cross_asset', 50480, 16405, 106884), ('non_cross_complex', 40000, 26885, 86884), ('calendar', 20093, 106885, 126977), ('macro_state', 390, 126978, 127367)) t(family, n, first_id, last_id)")
+@query(f"SELECT t.*, coalesce(v.n_values, 0) AS n_values FROM (VALUES ('basic', 4::BIGINT, 1::BIGINT, 4::BIGINT), ('parametric', 16400, 5, 16404), ('cross_asset', 50480, 16405, 106884), ('non_cross_complex', 40000, 26885, 86884), ('calendar', 20093, 106885, 126977), ('macro_state', 390, 126978, 127367)) t(family, n, first_id, last_id) LEFT JOIN (SELECT 'basic' AS family, count(value) AS n_values FROM ({O.scores()})) v USING (family)")
 def factor_taxonomy(spark, d):
     c = catalog_frame(spark, RELATED_DEFAULT, MACRO_DEFAULT)
-    return c.groupBy(names.family(F.col("factor")).alias("family")).agg(F.count("*").alias("n"), F.min("factor_id").alias("first_id"), F.max("factor_id").alias("last_id"))
+    c = c.join(score_rows(spark, d).groupBy("factor").agg(F.count("value").alias("n")).withColumnRenamed("n", "_n"), "factor", "left")
+    return c.groupBy(names.family(F.col("factor")).alias("family")).agg(F.count("*").alias("n"), F.min("factor_id").alias("first_id"), F.max("factor_id").alias("last_id"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_values"))
 
 
 @query()
 def factor_metadata(spark, d):
     c, f = catalog_frame(spark, RELATED_DEFAULT, MACRO_DEFAULT), F.col("factor")
-    return c.select("factor_id", "factor", names.family(f).alias("family"), names.window(f).alias("estimated_window"), names.token_count(f).alias("tokens"), names.complexity(f).alias("complexity"))
+    have = score_rows(spark, d).groupBy("factor").agg(F.count("value").alias("n_values"), F.min(F.when(F.col("value").isNotNull(), F.col("ts"))).alias("first_ts"))
+    return c.join(have, "factor", "left").select("factor_id", "factor", names.family(f).alias("family"), names.window(f).alias("estimated_window"), names.token_count(f).alias("tokens"), names.complexity(f).alias("complexity"), "n_values", "first_ts")
 
 
 # single-factor tests on daily bars and the four basic factors
@@ -492,7 +499,8 @@ DETAIL_DOUBLES = ("position", "turnover", "trading_cost", "gross_return", "net_r
 
 @query(rounded(O.detail(COST.cost), ("symbol", "factor", "segment", "ts"), DETAIL_DOUBLES))
 def backtest_detail(spark, d):
-    return tested(spark, d).select("symbol", "factor", "segment", "ts", *DETAIL_DOUBLES)
+    """Running figures go from year to year."""
+    return backtest.backtest(segmented(spark, d), SEG, COST.cost, "year").select("symbol", "factor", "segment", "ts", *DETAIL_DOUBLES)
 
 
 @query(rounded(O.metrics(O.detail(COST.cost), "symbol, factor, segment"), tuple(SEG), O.METRICS))
@@ -500,6 +508,9 @@ def backtest_metrics(spark, d):
     return backtest.performance(tested(spark, d), SEG)
 
 
+QUERIES["backtest_metrics_spans"], SQL["backtest_metrics_spans"] = lambda spark, d: tidy(backtest.performance(tested(spark, d), SEG, block="year")), SQL["backtest_metrics"]
+
+
 @query(rounded(f"SELECT symbol, factor, segment, trade, sum(net_return) AS pnl, count(*) AS bars FROM (SELECT *, CASE WHEN position <> 0 THEN sum(new) OVER ({(by := 'PARTITION BY symbol, factor, segment ORDER BY ts')} ROWS UNBOUNDED PRECEDING) END::BIGINT AS trade FROM (SELECT *, CASE WHEN position <> 0 AND position <> coalesce(lag(position) OVER ({by}), 0) THEN 1 ELSE 0 END AS new FROM ({O.detail(COST.cost)}))) WHERE trade IS NOT NULL GROUP BY ALL", ("symbol", "factor", "segment", "trade", "bars"), ("pnl",)))
 def trade_stats(spark, d):
     return backtest.with_trades(tested(spark, d), SEG).where("trade IS NOT NULL").groupBy(*SEG, "trade").agg(F.sum("net_return").alias("pnl"), F.count("*").alias("bars"))
@@ -691,10 +702,54 @@ def backtest_status(spark, d):
     return backtest.with_status(backtest.performance(rows.where("symbol <> 'A'"), SEG), rows, SEG).select(*SEG, "total_return", "sharpe", "bar_count", "status")
 
 
-@query()
+PAIRS_SQL = f"""pairs AS (SELECT symbol, factor_a, factor_b, abs(v.corr) AS v, abs(g.corr) AS s FROM (WITH src AS ({O.scores()}) {corr_sql('value')}) v FULL JOIN (WITH src AS ({chain(O.scores(), O.SIGNAL)}) {corr_sql('raw_signal')}) g USING (symbol, factor_a, factor_b)),
+    near AS (SELECT symbol, factor, list({{'o': other, 'v': v, 's': s}}) AS near FROM (SELECT symbol, factor_a AS factor, factor_b AS other, v, s FROM pairs UNION ALL SELECT symbol, factor_b, factor_a, v, s FROM pairs) GROUP BY ALL)"""
+CHOSEN = "list_filter(c.near, lambda x: list_contains(w.chosen, x.o))"
+ADMITTED = f"""WITH RECURSIVE ranked AS MATERIALIZED (SELECT symbol, factor, rank, {REASON} AS reason FROM ({RANK_SQL})), {PAIRS_SQL},
+    cand AS MATERIALIZED (SELECT r.*, coalesce(n.near, []) AS near FROM ranked r LEFT JOIN near n USING (symbol, factor)),
+    walk AS (
+      SELECT DISTINCT symbol, 0::BIGINT AS rank, NULL::VARCHAR AS factor, []::VARCHAR[] AS chosen, NULL::VARCHAR AS status, NULL::VARCHAR AS reason, NULL::DOUBLE AS mv, NULL::DOUBLE AS ms FROM ranked
+      UNION ALL
+      SELECT symbol, rank, factor, CASE WHEN status = 'active' THEN list_append(chosen, factor) ELSE chosen END, status, coalesce(early, CASE WHEN status = 'rejected' THEN 'high_corr' END), CASE WHEN early IS NULL THEN mv END, CASE WHEN early IS NULL THEN ms END FROM (
+        SELECT *, CASE WHEN gate IS NOT NULL THEN 'rejected' WHEN early IS NOT NULL THEN 'retired' WHEN greatest(mv, ms) >= 0.8 THEN 'rejected' ELSE 'active' END AS status FROM (
+          SELECT c.symbol, c.rank, c.factor, w.chosen, c.reason AS gate, coalesce(c.reason, CASE WHEN len(w.chosen) >= 3 THEN 'family_quota_exceeded' WHEN len(w.chosen) >= 2 THEN 'rank_outside_top_n' END) AS early,
+            list_max(list_transform({CHOSEN}, lambda x: x.v)) AS mv, list_max(list_transform({CHOSEN}, lambda x: x.s)) AS ms
+          FROM walk w JOIN cand c ON c.symbol = w.symbol AND c.rank = w.rank + 1)))
+    SELECT symbol, factor, status, reason, len(chosen)::INT AS family_count, mv AS max_value_corr, ms AS max_signal_corr, greatest(mv, ms) AS max_library_corr FROM walk WHERE rank > 0"""
+
+
+@query(rounded(ADMITTED, ("symbol", "factor", "status", "reason", "family_count"), ("max_value_corr", "max_signal_corr", "max_library_corr")))
 def library_admission(spark, d):
+    """Lots of three candidates: the fourth meets what an earlier round admitted."""
     ranked = selection.rank_summary(summary_rows(spark, d), 2).withColumn("reason", selection.reject_reason(LOOSE))
-    return selection.admit(ranked, selection.library_correlations(score_rows(spark, d), ["symbol"]), LOOSE)
+    return selection.admit_in_rounds(ranked, score_rows(spark, d), LOOSE, lot=3)
+
+
+LAGS = 160
+LAGGED = f"""SELECT symbol, ts, 'lag_' || lpad(k::VARCHAR, 3, '0') AS factor, close / nullif(before, 0) - 1 AS value FROM (
+    SELECT b.symbol, b.ts, k, b.close, p.close AS before FROM (SELECT *, row_number() OVER ({O.P}) AS n FROM ({O.DAILY})) b, unnest(range(1, {LAGS + 1})) AS u(k) JOIN (SELECT symbol, close, row_number() OVER ({O.P}) AS n FROM ({O.DAILY})) p ON p.symbol = b.symbol AND p.n = b.n - k)"""
+
+
+def lagged_returns(spark, d) -> DataFrame:
+    """A family of many like factors: returns over 1 to LAGS bars."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    names_ = [f"lag_{k:03d}" for k in range(1, LAGS + 1)]
+    rows = bars_1d(spark, d).select(*KEY, *[(F.col("close") / F.nullif(F.lag("close", k).over(w), F.lit(0.0)) - 1).alias(n) for k, n in enumerate(names_, 1)])
+    return rows.unpivot(KEY, names_, "factor", "value").where("value IS NOT NULL")
+
+
+CLOSE = f"SELECT * FROM (WITH src AS MATERIALIZED ({LAGGED}) {corr_sql('value')}) WHERE abs(corr) >= 0.9"
+
+
+@query(rounded(CLOSE, ("symbol", "factor_a", "factor_b"), ("corr",)))
+def corr_tiles(spark, d):
+    return selection.correlations(lagged_returns(spark, d), ["symbol"], at_least=0.9)
+
+
+@query(rounded(CLOSE, ("symbol", "factor_a", "factor_b"), ("corr",)))
+def corr_screened(spark, d):
+    """Sketches rule tiles out before their products."""
+    return selection.correlations(lagged_returns(spark, d), ["symbol"], at_least=0.9, screen=True)
 
 
 @query(rounded(f"SELECT factor, tested_symbols, active_symbols, best_sharpe, best_return, symbols FROM (SELECT factor, count(DISTINCT symbol) AS tested_symbols, 0 AS active_symbols, max(selection_sharpe) AS best_sharpe, max(selection_return) AS best_return, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM ({RANK_SQL}) GROUP BY 1) WHERE tested_symbols >= 2 AND NOT coalesce(best_sharpe >= 3.0, false) AND NOT coalesce(best_return >= 2.0, false) AND factor NOT IN (SELECT factor FROM ({RANK_SQL}) WHERE rank = 1)", ("factor", "tested_symbols", "active_symbols::BIGINT AS active_symbols", "symbols"), ("best_sharpe", "best_return")))
@@ -709,7 +764,20 @@ def target_correlation(spark, d):
     return selection.target_correlation(score_rows(spark, d).withColumn("target", F.when(ahead > 0, 1.0).otherwise(-1.0)))
 
 
-@query()
+AIMED = f"SELECT *, sign(lead(oc) OVER (PARTITION BY symbol, factor ORDER BY ts)) AS t FROM ({O.scores()})"
+SELECTED = f"""WITH RECURSIVE src AS MATERIALIZED ({AIMED}), pairs AS ({corr_sql('value')}),
+    near AS (SELECT symbol, factor, list(other) AS near FROM (SELECT symbol, factor_a AS factor, factor_b AS other, corr FROM pairs UNION ALL SELECT symbol, factor_b, factor_a, corr FROM pairs) WHERE abs(corr) >= 0.85 GROUP BY ALL),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(c) DESC, factor) AS place FROM (SELECT symbol, factor, corr(value, t) AS c FROM src WHERE value IS NOT NULL AND t IS NOT NULL GROUP BY ALL HAVING count(*) >= 600)),
+    cand AS MATERIALIZED (SELECT r.*, coalesce(n.near, []) AS near FROM ranked r LEFT JOIN near n USING (symbol, factor)),
+    walk AS (
+      SELECT DISTINCT symbol, 0::BIGINT AS place, NULL::VARCHAR AS factor, []::VARCHAR[] AS chosen, false AS took FROM ranked
+      UNION ALL
+      SELECT c.symbol, c.place, c.factor, CASE WHEN len(w.chosen) < 3 AND NOT list_has_any(c.near, w.chosen) THEN list_append(w.chosen, c.factor) ELSE w.chosen END, len(w.chosen) < 3 AND NOT list_has_any(c.near, w.chosen)
+      FROM walk w JOIN cand c ON c.symbol = w.symbol AND c.place = w.place + 1)
+    SELECT symbol, factor, place::INT AS place FROM walk WHERE took"""
+
+
+@query(SELECTED)
 def select_in_window(spark, d):
     ahead = F.lead("oc").over(Window.partitionBy(*SF).orderBy("ts"))
     return selection.select_in_window(score_rows(spark, d).withColumn("target", F.signum(ahead)), best=3)
@@ -796,9 +864,9 @@ def position_size(spark, d):
     return surrogate(spark, d).select(*ROWS, size(ModelSettings()).alias("fixed_size"), size(ModelSettings(dynamic_size=True)).alias("dynamic_size"))
 
 
-def rules_sql() -> str:
+def rules_sql(source: str = f"SELECT *, {signal_sql('0.2', '0.5')} * (0.5 + 0.5 * {SIZE}) AS t FROM ({TWO_HOURS})") -> str:
     """The state machine as a recursion over numbered bars: hold 2, wait 1, smallest change 0.1."""
-    return f"""WITH RECURSIVE b AS (SELECT symbol, ts, coalesce(t, 0) AS t, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM (SELECT *, {signal_sql('0.2', '0.5')} * (0.5 + 0.5 * {SIZE}) AS t FROM ({TWO_HOURS}))),
+    return f"""WITH RECURSIVE b AS (SELECT symbol, ts, coalesce(t, 0) AS t, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM ({source})),
       s AS (SELECT symbol, ts, 0::BIGINT AS n, 0.0::DOUBLE AS cur, 0 AS hold, 0 AS cool FROM b WHERE n = 1
         UNION ALL SELECT symbol, ts, n, nxt, CASE WHEN sign(nxt) = 0 THEN 0 WHEN sign(nxt) = sign(cur) THEN hold + 1 ELSE 1 END, wait FROM (
           SELECT symbol, ts, n, cur, hold, CASE WHEN sign(cur) = 0 THEN CASE WHEN cool > 0 THEN 0.0 ELSE t END WHEN hold < 2 AND (sign(t) <> sign(cur)) THEN cur WHEN sign(t) <> sign(cur) THEN 0.0 WHEN abs(t - cur) < 0.1 THEN cur ELSE t END::DOUBLE AS nxt,
@@ -807,11 +875,20 @@ def rules_sql() -> str:
       SELECT symbol, ts, cur AS ruled_position FROM s WHERE n > 0"""
 
 
+def targets(spark, d) -> DataFrame:
+    target = composite.trade_signal(F.lit(0.2), F.lit(0.5)) * composite.position_size(F.lit(0.2), F.lit(0.5), ModelSettings(dynamic_size=True))
+    return surrogate(spark, d).select(*ROWS, target.alias("target_position"))
+
+
 @query(rounded(rules_sql(), ROWS, ("ruled_position",)))
 def position_rules(spark, d):
-    target = composite.trade_signal(F.lit(0.2), F.lit(0.5)) * composite.position_size(F.lit(0.2), F.lit(0.5), ModelSettings(dynamic_size=True))
-    rows = surrogate(spark, d).select(*ROWS, target.alias("target_position"))
-    return composite.position_rules(rows, S2).select(*ROWS, "ruled_position")
+    return composite.position_rules(targets(spark, d), S2).select(*ROWS, "ruled_position")
+
+
+@query(rounded(rules_sql(), ROWS, ("ruled_position",)))
+def position_rules_blocks(spark, d):
+    """Blocks of 100 rows, all at once; those that started from a wrong state run again."""
+    return composite.position_rules(targets(spark, d), S2, block_rows=100).select(*ROWS, "ruled_position")
 
 
 @query(rounded(f"SELECT symbol, ts, avg(raw_signal) AS vote_score, CASE WHEN avg(raw_signal) > 0.3 THEN 1.0 WHEN avg(raw_signal) < -0.3 THEN -1.0 ELSE 0.0 END::DOUBLE AS vote_signal FROM ({chain(O.scores(), O.SIGNAL)}) GROUP BY 1, 2", ROWS, ("vote_score", "vote_signal")))
@@ -865,7 +942,8 @@ def confusion_matrix(spark, d):
     return diagnostics.confusion_matrix(predictions(spark, d), S2)
 
 
-BUCKET = "CASE " + " ".join(f"WHEN calibrated_prob_edge <= {e} THEN '{n}'" for e, n in zip(diagnostics.EDGES, diagnostics.LABELS, strict=False)) + f" ELSE '{diagnostics.LABELS[-1]}' END"
+BUCKET = """CASE WHEN calibrated_prob_edge <= -0.2 THEN '<=-0.20' WHEN calibrated_prob_edge <= -0.1 THEN '-0.20~-0.10' WHEN calibrated_prob_edge <= -0.05 THEN '-0.10~-0.05' WHEN calibrated_prob_edge <= 0 THEN '-0.05~0'
+    WHEN calibrated_prob_edge <= 0.05 THEN '0~0.05' WHEN calibrated_prob_edge <= 0.1 THEN '0.05~0.10' WHEN calibrated_prob_edge <= 0.2 THEN '0.10~0.20' ELSE '>0.20' END"""
 
 
 @query(rounded(f"SELECT symbol, {BUCKET} AS edge_bucket, count(*) AS n, avg(calibrated_prob_edge) AS mean_edge, avg(future_return) AS mean_future_return, avg((future_return > 0)::INT) AS up_share, avg((future_return < 0)::INT) AS down_share, avg(target_direction) AS mean_target, avg((raw_signal <> 0)::INT) AS traded_share FROM ({PREDICTIONS}) GROUP BY 1, 2", ("symbol", "edge_bucket", "n"), ("mean_edge", "mean_future_return", "up_share", "down_share", "mean_target", "traded_share")))
@@ -1043,12 +1121,38 @@ def model_rolling_logistic(spark, d):
 
 
 def _trees(kind: str) -> Callable:
-    return lambda spark, d: tidy(models.rolling_predictions(model_rows(spark, d), FEATURES, replace(SMALL, trees=20, boost_rounds=20), kind=kind))
+    return lambda spark, d: tidy(models.rolling_predictions(model_rows(spark, d), FEATURES, SMALL, kind=kind))
 
 
 QUERIES |= {f"model_rolling_{kind}": _trees(kind) for kind in ("boosted", "forest", "extra")}
 
 
+#: Six factors' signals and values of daily bars: each refit chooses two factors in its own window.
+CHOOSING = replace(SMALL, train_window=400, min_samples=200, retrain_every=50, best=2, select_in_window=True)
+
+
+@query()
+def model_rolling_selected(spark, d):
+    """Walk-forward refits: factors, thresholds and direction from each window."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    rows = composite.market_state(composite.with_labels(B.with_returns(bars_1d(spark, d)), 1), CHOOSING)
+    wide_ = composite.feature_matrix(score_rows(spark, d), list(O.NAMES))
+    extra = {f"back_{k}_value": F.col("close") / F.nullif(F.lag("close", k).over(w), F.lit(0.0)) - 1 for k in (3, 20)}
+    rows = rows.join(wide_, KEY, "left").withColumns(extra).withColumns({f"back_{k}_signal": F.signum(f"back_{k}_value") for k in (3, 20)})
+    named = [*O.NAMES, "back_3", "back_20"]
+    factors = {f"{n}_signal": [f"{n}_value", f"{n}_signal"] for n in named}
+    out = models.rolling_predictions(rows, [c for some in factors.values() for c in some], CHOOSING, factors=factors, calibrate=True)
+    return out.withColumn("selected", F.array_join("selected", ","))
+
+
+@query()
+def model_pooled_boosted(spark, d):
+    """One boosted model of all symbols' training bars, its probabilities on the others."""
+    rows = backtest.segments(model_rows(spark, d))
+    model = boosting.fit_pooled(rows.where("segment = 'train'"), FEATURES)
+    return tidy(boosting.predict_pooled(model, rows.where("segment <> 'train'").select(*ROWS, "segment", *FEATURES), FEATURES).select(*ROWS, "segment", "prob_down", "prob_flat", "prob_up"))
+
+
 def _static(kind: str) -> Callable:
     def run(spark, d):
         rows = backtest.segments(model_rows(spark, d))
@@ -1060,23 +1164,43 @@ def _static(kind: str) -> Callable:
 QUERIES["model_logistic"], QUERIES["model_forest"] = _static("logistic"), _static("forest")
 
 
+def streamed(spark, d, events_of: Callable, folder: str) -> str:
+    """Closed bars of a stream that ends, as a table: a run over the events, and one that closes what is open."""
+    from .streaming.bars import close_stream, read_events, streaming_bars, write_bars
+
+    path = f"{d}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    events = read_events(spark, path + "*" if not path.endswith("/") else path, schema, f"{folder}/marks")
+    for last in (False, True):
+        if last:
+            close_stream(spark, schema, f"{folder}/marks")
+        write_bars(streaming_bars(events_of(events), 30, "1 hour"), f"{folder}/bars", f"{folder}/state").awaitTermination()
+    return f"{folder}/bars"
+
+
 @query(rounded(O.bars(30), KEY, BAR))
 def stream_bars(spark, d):
-    """The events as a stream, bars written by a query that ends with its input."""
-    import uuid
+    """The events as a stream; a mark at its end lets the watermark pass the last windows."""
+    return spark.read.schema(B.BAR_SCHEMA).parquet(streamed(spark, d, lambda e: e, scratch(spark))).select(*KEY, *BAR)
 
-    from .streaming.bars import streaming_bars, write_bars
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/barloom-stream'}/stream-{uuid.uuid4().hex}"
-    path = f"{d}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*" if not path.endswith("/") else path)
-    closed = streaming_bars(events, 30, "1 hour")
-    write_bars(closed, f"{folder}/bars", f"{folder}/state").awaitTermination()
-    done = spark.read.schema(closed.schema).parquet(f"{folder}/bars")
-    # the watermark never passes the last windows of a stream that ends: they come from the rows since then
-    last = done.agg(F.max("ts").alias("t"))
-    rest = bars_30m(spark, d).join(last).where("t IS NULL OR ts > t").select(*KEY, *BAR)
-    return done.select(*KEY, *BAR).unionByName(rest)
+STREAMED = chain(O.bars(30), {"m": mean("close", 20)}, "SELECT *, CASE WHEN close / m - 1 > 0.01 THEN 1.0 WHEN close / m - 1 < -0.01 THEN -1.0 ELSE 0.0 END::DOUBLE AS t FROM {prev}")
+
+
+@query(rounded(rules_sql(f"SELECT symbol, ts, t FROM ({STREAMED})"), ROWS, ("ruled_position",)))
+def stream_positions(spark, d):
+    """A moving factor and the position rules in the state of a stream of bars, fed in two runs."""
+    from .streaming.positions import streamed_positions
+
+    folder = scratch(spark)
+    bars = bars_30m(spark, d).select("symbol", "ts", "close")
+    half = bars.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5).alias("t")).first()["t"]
+    early = F.unix_micros(F.col("ts").cast("timestamp")) <= F.lit(half)
+    for part in (early, ~early):
+        bars.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        out = streamed_positions(spark.readStream.schema(bars.schema).parquet(f"{folder}/in"))
+        out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "ruled_position")
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:

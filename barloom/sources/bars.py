@@ -94,7 +94,7 @@ def write_bars(bars: DataFrame, path: str) -> None:
 def cached(spark: SparkSession, path: str, make, fingerprint: str = "") -> DataFrame:
     """The table at the path, if it was written under the fingerprint; else made and written. Its fingerprint lies beside it."""
     key = f"{path}.fingerprint"
-    if _exists(spark, f"{path}/_SUCCESS") and _exists(spark, f"{key}/_SUCCESS") and [r["value"] for r in spark.read.text(key).collect()] == [fingerprint]:
+    if exists(spark, f"{path}/_SUCCESS") and exists(spark, f"{key}/_SUCCESS") and [r["value"] for r in spark.read.text(key).collect()] == [fingerprint]:
         return spark.read.parquet(path)
     note = lambda what: spark.createDataFrame([(what,)], "value string").coalesce(1).write.mode("overwrite").text(key)
     note("being written")
@@ -103,7 +103,7 @@ def cached(spark: SparkSession, path: str, make, fingerprint: str = "") -> DataF
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import tempfile
 import time
 import traceback
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..plans import catalog
 
@@ -33,6 +35,20 @@ def write_json(value: Any, path: str) -> None:
     file.write_text(json.dumps(value, indent=2, default=str, ensure_ascii=False), encoding="utf-8")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one of spark.checkpoint.dir; a temporary one only where that setting is absent (tests)."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-"))
+    return f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage: df written to a scratch folder, and read again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settings_hash(settings: Any) -> str:
     return hashlib.sha256(json.dumps(dataclasses.asdict(settings), sort_keys=True, default=str).encode()).hexdigest()[:16]
 
