@@ -19,18 +19,22 @@ each give rows; the distance is the least of the stretches found; order does not
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, pieces, released, spread, texts_of
+from .common import U, groups_of, pieces, released, spread, texts_of
 
 SIMILARITY, TARGET = 0.8, 0.97
 #: Bytes of items in a broadcast (their tables take some 300 times as much), of texts handled at once, windows walked at once.
 BLOCK, PIECE, STEP = 1 << 18, 1 << 20, 1 << 13
 #: Largest size class, samples of each walk, edited items that the recall is measured on, bits of a filter per key.
-WIDEST, TABLES, TRIALS, FILTER = 6, 4, 48, 32
+WIDEST, TABLES, TRIALS, FILTER = 6, 4, 300, 32
+#: Collisions that are held at once, before those on one diagonal become one and all are verified.
+HELD = 1 << 20
 #: Bytes of a block at most (a machine word holds its columns); items up to that are verified many at once.
 WORD = 63
 #: Blocks of longer items begin every GAP bytes; edits they may have in proportion to the item's.
@@ -56,24 +60,31 @@ def normalised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 class Windows:
-    """Random walks over windows and the places of their embeddings that the tables sample."""
+    """Random walks over windows and the places of their embeddings that the tables sample.
+
+    Walks and samples of short windows are longer where many windows of items crowd the keys (a step that reads a new byte
+    every other time tells some five apart), so that a text's window meets few of them by chance, whatever their number;
+    the recall that this costs is made up for by more walks.
+    """
 
-    def __init__(self, size_class: int, walks: int):
+    def __init__(self, size_class: int, walks: int, crowd: int):
         size = 1 << size_class
-        self.steps, self.stride = max(4, 5 * size // 8), max(1, size // 16)
-        sampled = max(3, self.steps // 4)
+        least = math.ceil(math.log2(max(crowd, 2)) / 2.3)
+        self.steps, self.stride = max(4, 5 * size // 8, min(2 * size, least)), max(1, size // 16)
+        sampled = min(self.steps, max(3, self.steps // 4, least))
+        self.tables = min(TABLES, math.comb(self.steps - 1, sampled - 1))
         rng = np.random.default_rng(size_class)
         self.walks = []
         for _ in range(walks):  # more walks begin with the same ones
             factor, shift = rng.integers(0, 128, self.steps) * 2 + 1, rng.integers(0, 256, self.steps)
-            places = [[*rng.choice(self.steps - 1, sampled - 1, replace=False).tolist(), self.steps - 1] for _ in range(TABLES)]
-            self.walks.append((factor.astype(np.uint8), shift.astype(np.uint8), [[t for t in range(TABLES) if j in places[t]] for j in range(self.steps)]))
+            places = [[*rng.choice(self.steps - 1, sampled - 1, replace=False).tolist(), self.steps - 1] for _ in range(self.tables)]
+            self.walks.append((factor.astype(np.uint8), shift.astype(np.uint8), [[t for t in range(self.tables) if j in places[t]] for j in range(self.steps)]))
 
     def keys(self, data: np.ndarray, at: np.ndarray):
         """Per walk: the hash of each table's sample for the windows that begin at `at`, and where they end. data: steps bytes longer than its texts."""
         for factor, shift, samples in self.walks:
             place = at.copy()
-            keys = [np.full(len(at), t, np.uint64) for t in range(TABLES)]
+            keys = [np.full(len(at), t, np.uint64) for t in range(self.tables)]
             for j in range(self.steps):
                 byte = data.take(place)
                 for t in samples[j]:
@@ -115,7 +126,7 @@ class Items:
             mine = np.flatnonzero((of == c) & (self.most > 0))
             walks, done = 1, self.classes
             while True:
-                windows = Windows(c, walks)
+                windows = Windows(c, walks, int(self.lengths[mine].sum()))
                 self.classes = [(windows, self._tables(windows, mine))]
                 if min(self._recall(mine, way) for way in range(3)) >= target:
                     break
@@ -136,6 +147,7 @@ class Items:
         n = np.where(self.lengths > WORD, -(-(self.lengths - WORD) // GAP) + 1, 1)
         self.block_first = np.cumsum(n) - n
         item = np.repeat(np.arange(len(n)), n)
+        self.block_item = item
         self.block_begin = np.minimum((np.arange(len(item)) - self.block_first[item]) * GAP, np.maximum(0, self.lengths[item] - WORD))
         self.block_size = np.minimum(self.lengths[item], WORD)
         self.block_edits = np.where(self.lengths[item] > WORD, int(WORD * (1 - similarity) * NEAR), self.most[item])
@@ -166,9 +178,8 @@ class Items:
         return out
 
 
-def collisions(data: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, item, offset): places of the text and the item whose windows collide."""
-    found = []
+def collisions(data: np.ndarray, items: Items):
+    """(place, item, offset): places of the text and the item whose windows collide, at most HELD and a window's at once."""
     for windows, tables in items.classes:
         padded = np.concatenate([data, np.zeros(windows.steps + 1, np.uint8)])
         for low in range(0, len(data), STEP * windows.stride):
@@ -185,9 +196,9 @@ def collisions(data: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray,
                     same[same] = known[first[same]] == key[hit[same]]
                     hit, first = hit[same], first[same]
                     n = np.searchsorted(known, key[hit], "right") - first
-                    entry, place = spread(first, n), np.repeat(at[hit], n)
-                    found.append((place, item[entry].astype(np.int64), offset[entry].astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+                    for i, j in pieces(np.cumsum(n) - n, np.cumsum(n), HELD):
+                        entry, place = spread(first[i:j], n[i:j]), np.repeat(at[hit[i:j]], n[i:j])
+                        yield place, item[entry].astype(np.int64), offset[entry].astype(np.int64)
 
 
 def edit_distance(item: bytes, text: bytes) -> int:
@@ -242,26 +253,45 @@ def block_distances(data: np.ndarray, begin: np.ndarray, end: np.ndarray, block:
 
 
 def candidates(data, starts, ends, items: Items):
-    """(text, item, begin, end, distance) of stretches that a block is near to: distance -1 where the item is longer than its block."""
-    place, item, offset = collisions(data, items)
-    text = np.searchsorted(starts, place, "right") - 1
-    block = items.block_first[item] + np.maximum(0, np.minimum((offset - GAP) // GAP, -(-(items.lengths[item] - WORD) // GAP)))
-    diagonal = place - offset
+    """(text, item, begin, end, distance) of stretches that a block is near to: distance -1 where the item is longer than its block. In lots of bounded size."""
+    held, size = [], 0
+    for place, item, offset in collisions(data, items):
+        text = np.searchsorted(starts, place, "right") - 1
+        block = items.block_first[item] + np.maximum(0, np.minimum((offset - GAP) // GAP, -(-(items.lengths[item] - WORD) // GAP)))
+        held.append(once(text << 32 | block, (place - offset) >> 2))
+        size += len(held[-1][0])
+        if size > HELD:
+            held = [once(*map(np.concatenate, zip(*held, strict=True)))]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield near(*held[0], data, starts, ends, items)
+                held, size = [], 0
+    if held:
+        yield near(*once(*map(np.concatenate, zip(*held, strict=True))), data, starts, ends, items)
+
+
+def once(block: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once: blocks that collide on nearly one diagonal are one."""
     order = np.lexsort((diagonal, block))
-    text, item, block, diagonal = (x[order] for x in (text, item, block, diagonal))
-    new = np.ones(len(text), bool)  # one of those that collide on nearly one diagonal
-    new[1:] = (block[1:] != block[:-1]) | (diagonal[1:] >> 2 != diagonal[:-1] >> 2) | (text[1:] != text[:-1])
-    text, item, block, diagonal = (x[new] for x in (text, item, block, diagonal))
+    block, diagonal = block[order], diagonal[order]
+    new = np.ones(len(block), bool)
+    new[1:] = (block[1:] != block[:-1]) | (diagonal[1:] != diagonal[:-1])
+    return block[new], diagonal[new]
+
+
+def near(where: np.ndarray, diagonal: np.ndarray, data, starts, ends, items: Items):
+    """Those of the collisions (text and block, diagonal by four) whose blocks lie there."""
+    diagonal, block, text = diagonal << 2, where & 0xFFFFFFFF, where >> 32
+    item = items.block_item[block]
     slack = items.block_edits[block] + 4
     begin = np.clip(diagonal + items.block_begin[block] - slack, starts[text], ends[text])
-    end = np.clip(diagonal + items.block_begin[block] + items.block_size[block] + slack, starts[text], ends[text])
+    end = np.clip(diagonal + 3 + items.block_begin[block] + items.block_size[block] + slack, starts[text], ends[text])
     distance = block_distances(data, begin, end, block, items)
     good = distance <= items.block_edits[block]
     text, item, diagonal, distance = (x[good] for x in (text, item, diagonal, distance))
-    long = items.lengths[item] > WORD
-    distance[long] = -1
+    distance[items.lengths[item] > WORD] = -1
     slack = items.most[item] + 4
-    return text, item, np.maximum(diagonal - slack, starts[text]), np.minimum(diagonal + items.lengths[item] + slack, ends[text]), distance
+    return text, item, np.maximum(diagonal - slack, starts[text]), np.minimum(diagonal + 3 + items.lengths[item] + slack, ends[text]), distance
 
 
 def matches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
@@ -276,18 +306,25 @@ def matches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: Items
             if inside:
                 out[d, i] = 0
             s = raw.find(items.texts[i], int(ends[d]) if inside else s + 1)
-    text, item, begin, end, distance = candidates(data, starts, ends, items)
     spans: dict[tuple[int, int], list[list[int]]] = {}
-    for d, i, b, e, x in sorted(zip(text.tolist(), item.tolist(), begin.tolist(), end.tolist(), distance.tolist(), strict=True)):
-        if x >= 0:
-            out[d, i] = min(x, out.get((d, i), x))
-        elif (near := spans.setdefault((d, i), [])) and b <= near[-1][1]:  # stretches that overlap are verified together
-            near[-1][1] = max(near[-1][1], e)
-        else:
-            near.append([b, e])
-    for (d, i), near in spans.items():
-        word = items.texts[i]
-        x = min(0 if word in raw[b:e] else edit_distance(word, raw[b:e]) for b, e in near)
+    for text, item, begin, end, distance in candidates(data, starts, ends, items):
+        short = distance >= 0
+        pair, best = text[short] * len(items.texts) + item[short], distance[short]
+        order = np.lexsort((best, pair))
+        first = order[groups_of(pair[order])]
+        for p, x in zip(pair[first].tolist(), best[first].tolist(), strict=True):
+            at = divmod(p, len(items.texts))
+            out[at] = min(x, out.get(at, x))
+        for d, i, b, e in zip(*(x[~short].tolist() for x in (text, item, begin, end)), strict=True):
+            spans.setdefault((d, i), []).append([b, e])
+    for (d, i), stretches in spans.items():
+        word, joined = items.texts[i], []
+        for b, e in sorted(stretches):
+            if joined and b <= joined[-1][1]:  # stretches that overlap are verified together
+                joined[-1][1] = max(joined[-1][1], e)
+            else:
+                joined.append([b, e])
+        x = min(0 if word in raw[b:e] else edit_distance(word, raw[b:e]) for b, e in joined)
         if x <= items.most[i]:
             out[d, i] = x
     return [(d, i, x) for (d, i), x in out.items()]
