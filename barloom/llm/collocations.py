@@ -5,8 +5,8 @@ numbers of these words with gaps between pieces. Words that occur LEAST times ge
 a phrase is two numbers: the slot of its first part and that of its last word, packed in 64 bits.
 
 Each length then takes the same rounds, between lots and shards (ranges of a hash of the keys):
-* candidates are phrases both of whose shorter parts occur LEAST times, and whose bucket of a hashed count does: lots send
-  their keys' buckets, tasks bincount them, the arrays are summed as a tree, and a bucket below LEAST rules its keys
+* candidates are phrases both of whose shorter parts occur LEAST times, and whose bucket of a hashed count does: tasks
+  bincount their lots' keys into BUCKETS buckets, the arrays are summed as a tree, and a bucket below LEAST rules its keys
   out. Neither rule can lose a phrase;
 * a shard's candidates get a minimal perfect hash that stores the key of each slot: a key that isn't that of its slot is no
   candidate;
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U, find, forgetful, groups_of, joined, mix, packed, released, saved, squeezed, table, texts_of, unsqueezed
+from .common import U, dropped, find, forgetful, groups_of, joined, mix, packed, planes, released, saved, squeezed, table, texts_of, unplaned, unsqueezed
 from .divergence import lots, words_in
 
 #: A phrase counts from LEAST occurrences on; it goes where a longer one has SHARE % of them; each language lists TOP.
@@ -128,7 +128,7 @@ def _lots(batches):
             ids[np.arange(len(local)) + np.cumsum(new)] = local
             counts = np.bincount(local, minlength=len(words.dictionary))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([name]), _one_list(words.dictionary.cast(pa.string())), _one_list(pa.array(counts, pa.int64())), pa.array([squeezed(ids)], pa.binary())],
+                [pa.array([uuid.uuid4().hex]), pa.array([name]), _one_list(words.dictionary.cast(pa.string())), _one_list(pa.array(counts, pa.int64())), pa.array([planes(ids)], pa.binary())],
                 names=["lot", "lang", "words", "counts", "ids"],
             )
 
@@ -144,7 +144,7 @@ def _one_list(values: pa.Array) -> pa.ListArray:
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
     """The saved rows with numbers from 0 on: those of the partitions before, and the place within."""
-    df = _kept(df.withColumn("at", F.monotonically_increasing_id()))
+    df = saved(df.withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     sizes = df.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row a partition
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
@@ -156,12 +156,13 @@ def _numbers(lot: pa.Table, known: pa.Table) -> pa.Table:
     """A lot's text as slots of frequent words, -1 for gaps and other words."""
     out = {"lot": [], "seq": []}
     place, slot = known.column("place").to_numpy(), known.column("slot").to_numpy()
-    for name, ids in zip(lot.column("lot").to_pylist(), unsqueezed(lot, "ids", np.int32), strict=True):
+    for name, ids in zip(lot.column("lot").to_pylist(), unsqueezed(lot, "ids", np.uint8), strict=True):
+        ids = unplaned(ids, np.int32)
         to = np.full(max(int(ids.max(initial=-1)), int(place.max(initial=-1))) + 2, -1, np.int64)  # the last entry stands for -1
         to[place] = slot
         seq = to[ids]
         out["lot"].append(name)
-        out["seq"].append(squeezed(seq[(seq >= 0) | np.append(True, seq[:-1] >= 0)]))
+        out["seq"].append(planes(seq[(seq >= 0) | np.append(True, seq[:-1] >= 0)]))
     return pa.table({"lot": pa.array(out["lot"], pa.string()), "seq": pa.array(out["seq"], pa.binary())})
 
 
@@ -174,18 +175,14 @@ class Shape:
     def part(self, lot: str) -> int:
         return int(lot[:15], 16) % self.parts
 
-    def rows(self, lot: str, keys: np.ndarray, hashed: bool = False) -> pa.Table:
-        """A lot's different keys (hashed: their buckets, a byte or so each) and their counts, a row for each shard."""
+    def rows(self, lot: str, keys: np.ndarray) -> pa.Table:
+        """A lot's different keys and their counts, a row for each shard."""
         order = np.sort(keys)
         at = groups_of(order)
         keys, counts = order[at], np.diff(np.append(at, len(order)))
         shard = ((mix(keys) >> U(32)) % U(self.shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         keys, counts, shard = keys[order], counts[order], shard[order]
-        if hashed:
-            bucket = _bucket(keys)
-            order = np.lexsort((bucket, shard))
-            keys, counts = bucket[order].astype(np.uint64), counts[order]
         cuts = np.append(groups_of(shard), len(shard)).tolist()
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
         return pa.table({
@@ -193,7 +190,7 @@ class Shape:
             "keys": pa.array([_squeezed_keys(keys[a:b]) for a, b in spans], pa.binary()), "counts": pa.array([squeezed(counts[a:b].astype(np.int32)) for a, b in spans], pa.binary()),
         })
 
-    def pairs(self, hashed: bool = False):
+    def pairs(self):
         """From lots of slots to rows of keys of two words."""
 
         @released
@@ -201,14 +198,14 @@ class Shape:
             for batch in batches:
                 tab = pa.Table.from_batches([batch])
                 for i, lot in enumerate(tab.column("lot").to_pylist()):
-                    seq = unsqueezed(tab.slice(i, 1), "seq", np.int64)[0]
+                    seq = unplaned(unsqueezed(tab.slice(i, 1), "seq", np.uint8)[0], np.int64)
                     a, b = seq[:-1], seq[1:]
                     both = (a >= 0) & (b >= 0)
-                    yield from self.rows(lot, a[both].astype(np.uint64) * U(self.words) + b[both].astype(np.uint64), hashed).to_batches()
+                    yield from self.rows(lot, a[both].astype(np.uint64) * U(self.words) + b[both].astype(np.uint64)).to_batches()
 
         return run
 
-    def triples(self, hashed: bool = False):
+    def triples(self):
         """From lots of slots, and the slots of their frequent pairs, to rows of keys of three words."""
 
         def run(lot: pa.Table, known: pa.Table) -> pa.Table:
@@ -216,12 +213,13 @@ class Shape:
             order = np.argsort(keys)
             keys, slots = keys[order], slots[order]
             out = []
-            for name, seq in zip(lot.column("lot").to_pylist(), unsqueezed(lot, "seq", np.int64), strict=True):
+            for name, seq in zip(lot.column("lot").to_pylist(), unsqueezed(lot, "seq", np.uint8), strict=True):
+                seq = unplaned(seq, np.int64)
                 a, b = seq[:-1], seq[1:]
                 at = find(keys, np.where((a >= 0) & (b >= 0), a.astype(np.uint64) * U(self.words) + b.astype(np.uint64), U(2**64 - 1)))
                 slot = np.where(at >= 0, slots[at], -1) if len(slots) else at
                 both = (slot[:-1] >= 0) & (slot[1:] >= 0)
-                out.append(self.rows(name, slot[:-1][both].astype(np.uint64) * U(self.words) + seq[2:][both].astype(np.uint64), hashed))
+                out.append(self.rows(name, slot[:-1][both].astype(np.uint64) * U(self.words) + seq[2:][both].astype(np.uint64)))
             return pa.concat_tables(out) if out else self.rows("0" * 32, np.zeros(0, np.uint64))
 
         return run
@@ -246,9 +244,9 @@ def _array_row(tab: pa.Table, data: bytes) -> pa.Table:
 
 def _bucket_counts(least: int):
     def run(tab: pa.Table) -> pa.Table:
-        """Counts of buckets in a task's lots, up to `least`."""
-        buckets, counts = (joined(x, kind) for x, kind in zip(_keys(tab), (np.uint64, np.int32), strict=True))
-        total = np.bincount(buckets.astype(np.int64), counts, BUCKETS)
+        """Hashed counts of a task's lots, up to `least`."""
+        keys, counts = (joined(x, kind) for x, kind in zip(_keys(tab), (np.uint64, np.int32), strict=True))
+        total = np.bincount(_bucket(keys), counts, BUCKETS)
         return _array_row(tab, squeezed(np.minimum(total, least).astype(np.int32)))
 
     return run
@@ -346,17 +344,19 @@ def packed_rows(keys: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(keys), [None, pa.py_buffer(packed(keys.astype(">u8")))])
 
 
-def counted(hashed: DataFrame, keys: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """From rows of buckets and rows of keys: rows of keys that may be frequent, and (shard, first, last, n, slot) of the phrases that are: first is the slot of the part before the last word."""
+def counted(keys: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys that may be frequent, and (shard, first, last, n, slot) of the phrases that are: first is the slot of the part before the last word."""
     parts, least = shape.parts, shape.least
-    sums = _tree(hashed.groupBy("shard", "part").applyInArrow(_bucket_counts(least), ARRAY_ROWS), parts, _bucket_sum(least))
+    sums = _tree(keys.groupBy("shard", "part").applyInArrow(_bucket_counts(least), ARRAY_ROWS), parts, _bucket_sum(least))
     kept = _kept(_beside(keys, sums.drop("part"), parts, _filtered(least), KEY_ROWS))
     hashes = _kept(_tree(kept.groupBy("shard", "part").applyInArrow(lambda t: _distinct(t), ARRAY_ROWS), parts, _union).mapInArrow(_hash_of, "shard int, hash binary"))
     counts = _tree(_beside(kept, hashes, parts, _slot_counts, ARRAY_ROWS), parts, _count_sum)
     rows = hashes.join(counts.drop("part"), "shard").mapInArrow(_frequent(least), "shard int, key binary, n long")
     key = "CAST(conv(hex(key), 16, 10) AS DECIMAL(20,0))"
     rows = rows.selectExpr("shard", f"{key} DIV {shape.words} first", f"CAST({key} % {shape.words} AS LONG) last", "n")
-    return kept, _kept(_numbered(rows, "slot"))
+    found = _kept(_numbered(rows, "slot"))
+    dropped(hashes)
+    return kept, found
 
 
 def _answers(shape: Shape):
@@ -378,7 +378,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases by score."""
     docs = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     made = _kept(docs.mapInArrow(_lots, LOT_ROWS))
-    size = made.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (a, b) -> a + b)")).alias("n"), F.count("*").alias("lots"))
+    size = saved(made.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (a, b) -> a + b)")).alias("n"), F.count("*").alias("lots")))
     flat = made.select("lot", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "word")).select("lot", "lang", "place", "word.words", "word.counts").toDF("lot", "lang", "place", "word", "f")
     words = _kept(_numbered(flat.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "slot"))
     facts = size.agg(F.sum("n"), F.sum("lots")).first()
@@ -387,13 +387,15 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
         raise ValueError("too many frequent words for keys of 64 bits")
     known = flat.join(words, ["lang", "word"]).select("lot", "place", "slot")
     seqs = _kept(made.select("lot", "ids").groupBy("lot").cogroup(known.groupBy("lot")).applyInArrow(_numbers, "lot string, seq binary"))
+    dropped(made)
 
-    kept, two = counted(seqs.mapInArrow(shape.pairs(True), KEY_ROWS), seqs.mapInArrow(shape.pairs(), KEY_ROWS), shape)
+    kept, two = counted(seqs.mapInArrow(shape.pairs(), KEY_ROWS), shape)
     if two.count() * shape.words >= 2**64 - 1:
         raise ValueError("too many frequent phrases for keys of 64 bits")
     mine = _beside(kept, two.select("shard", "first", "last", "slot"), shape.parts, _answers(shape), "lot string, keys binary, slots binary")
-    beside = seqs.groupBy("lot").cogroup(mine.groupBy("lot"))
-    _, three = counted(beside.applyInArrow(shape.triples(True), KEY_ROWS), beside.applyInArrow(shape.triples(), KEY_ROWS), shape)
+    three_keys = seqs.groupBy("lot").cogroup(mine.groupBy("lot")).applyInArrow(shape.triples(), KEY_ROWS)
+    rest, three = counted(three_keys, shape)
+    dropped(seqs, kept, rest)
 
     def word(i: int) -> DataFrame:
         return words.select(F.col("slot").alias(f"s{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"), *(["lang"] if i == 1 else []))

@@ -230,3 +230,21 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/barloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Saved tables that nothing will read again are removed."""
+    for files, spark in [(t.inputFiles(), t.sparkSession) for t in tables]:
+        if files:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def planes(a: np.ndarray) -> bytes:
+    """squeezed(), byte by byte of all numbers: the high ones are mostly 0."""
+    return squeezed(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T))
+
+
+def unplaned(raw: np.ndarray, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
