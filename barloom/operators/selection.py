@@ -139,7 +139,7 @@ def admit_in_rounds(ranked: DataFrame, values: DataFrame, s: LibrarySettings = L
     read once. Symbols whose library is full take no part in later rounds. The driver sees one number a symbol.
     """
     spark, keep = ranked.sparkSession, max(1, s.keep)
-    want = ranked.select("symbol", "factor", "family", F.col("rank").cast("int").alias("rank"), "reason")
+    want = saved(ranked.select("symbol", "factor", "family", F.col("rank").cast("int").alias("rank"), "reason"))
     place = F.row_number().over(Window.partitionBy("symbol").orderBy("rank", "factor")) - 1
     passed = saved(want.where("reason IS NULL").drop("reason").withColumn("_p", place).selectExpr("*", f"CAST(_p DIV {lot} AS INT) lot", f"CAST(_p % {lot} AS INT) col").drop("_p"))
     folder = scratch(spark)

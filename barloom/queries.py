@@ -1138,7 +1138,7 @@ def model_rolling_selected(spark, d):
     rows = composite.market_state(composite.with_labels(B.with_returns(bars_1d(spark, d)), 1), CHOOSING)
     wide_ = composite.feature_matrix(score_rows(spark, d), list(O.NAMES))
     extra = {f"back_{k}_value": F.col("close") / F.nullif(F.lag("close", k).over(w), F.lit(0.0)) - 1 for k in (3, 20)}
-    rows = rows.join(wide_, KEY, "left").withColumns(extra).withColumns({f"back_{k}_signal": F.signum(f"back_{k}_value") for k in (3, 20)})
+    rows = rows.join(wide_, list(KEY), "left").withColumns(extra).withColumns({f"back_{k}_signal": F.signum(f"back_{k}_value") for k in (3, 20)})
     named = [*O.NAMES, "back_3", "back_20"]
     factors = {f"{n}_signal": [f"{n}_value", f"{n}_signal"] for n in named}
     out = models.rolling_predictions(rows, [c for some in factors.values() for c in some], CHOOSING, factors=factors, calibrate=True)
