@@ -254,18 +254,25 @@ def block_distances(data: np.ndarray, begin: np.ndarray, end: np.ndarray, block:
 
 def candidates(data, starts, ends, items: Items):
     """(text, item, begin, end, distance) of stretches that a block is near to: distance -1 where the item is longer than its block. In lots of bounded size."""
-    held, size = [], 0
-    for place, item, offset in collisions(data, items):
+    def met(found: list) -> tuple[np.ndarray, np.ndarray]:
+        place, item, offset = map(np.concatenate, zip(*found, strict=True))
         text = np.searchsorted(starts, place, "right") - 1
         block = items.block_first[item] + np.maximum(0, np.minimum((offset - GAP) // GAP, -(-(items.lengths[item] - WORD) // GAP)))
-        held.append(once(text << 32 | block, (place - offset) >> 2))
-        size += len(held[-1][0])
+        return once(text << 32 | block, (place - offset) >> 2)
+
+    found, size, held = [], 0, []
+    for some in collisions(data, items):
+        found.append(some)
+        size += len(some[0])
         if size > HELD:
-            held = [once(*map(np.concatenate, zip(*held, strict=True)))]
-            size = len(held[0][0])
-            if size > HELD // 2:
-                yield near(*held[0], data, starts, ends, items)
-                held, size = [], 0
+            held.append(met(found))
+            found, size = [], 0
+            if len(held) > 1:
+                held = [once(*map(np.concatenate, zip(*held, strict=True)))]
+            if len(held[0][0]) > HELD:
+                yield near(*held.pop(), data, starts, ends, items)
+    if found:
+        held.append(met(found))
     if held:
         yield near(*once(*map(np.concatenate, zip(*held, strict=True))), data, starts, ends, items)
 
