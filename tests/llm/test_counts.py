@@ -137,3 +137,20 @@ def test_unknown_ids_are_an_error(spark):
     v = byte_bpe.Tokenizer(spark).open()
     with pytest.raises(ValueError, match="lacks"):
         v.decode(np.array([10**6], np.int32), np.array([0, 1]))
+
+
+def test_crowded_short_items_against_brute_force(monkeypatch):
+    """Many items of few letters: lots of collisions are cut and verified as they fill up."""
+    from barloom.llm import decontam
+
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode()
+    items = [word(5) for _ in range(400)]
+    text = b" ".join(word(r.randint(2, 12)) for _ in range(3000))
+    brute = {i for i, w in enumerate(items) if decontam.edit_distance(w, text) <= 1}
+    built = decontam.Items(list(range(len(items))), items)
+    data, ends = np.frombuffer(text, np.uint8), np.array([len(text)])
+    found = {i for _, i, _ in decontam.matches(data, ends - len(text), ends, built)}
+    monkeypatch.setattr(decontam, "HELD", 500)
+    cut = {i for _, i, _ in decontam.matches(data, ends - len(text), ends, built)}
+    assert found == cut <= brute and len(found) >= 0.9 * len(brute) > 30
