@@ -385,9 +385,9 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     shape = Shape(max(words.count(), 1), max(1, -(-(facts[0] or 0) // SHARD)), max(1, -(-(facts[1] or 0) // LOTS)), least)
     if shape.words**2 >= 2**64 - 1:
         raise ValueError("too many frequent words for keys of 64 bits")
-    known = flat.join(words, ["lang", "word"]).select("lot", "place", "slot")
+    known = _kept(flat.join(words, ["lang", "word"]).select("lot", "place", "slot"))
     seqs = _kept(made.select("lot", "ids").groupBy("lot").cogroup(known.groupBy("lot")).applyInArrow(_numbers, "lot string, seq binary"))
-    dropped(made)
+    dropped(made, known)
 
     kept, two = counted(seqs.mapInArrow(shape.pairs(), KEY_ROWS), shape)
     if two.count() * shape.words >= 2**64 - 1:
