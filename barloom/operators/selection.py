@@ -144,8 +144,9 @@ def admit_in_rounds(ranked: DataFrame, values: DataFrame, s: LibrarySettings = L
     passed = saved(want.where("reason IS NULL").drop("reason").withColumn("_p", place).selectExpr("*", f"CAST(_p DIV {lot} AS INT) lot", f"CAST(_p % {lot} AS INT) col").drop("_p"))
     folder = scratch(spark)
     rows = values.join(passed.select("symbol", "factor", "lot", "col"), ["symbol", "factor"])
-    rows.select("symbol", "factor", "ts", "value", "lot", "col").repartition("lot", "symbol", "factor").write.partitionBy("lot").parquet(f"{folder}/values")
-    pool = spark.read.parquet(f"{folder}/values")
+    rows = rows.select("symbol", "factor", "ts", "value", "col", "lot")
+    rows.repartition("lot", "symbol", "factor").write.partitionBy("lot").parquet(f"{folder}/values")
+    pool = spark.read.schema(rows.schema).parquet(f"{folder}/values")  # there may be no candidates, and no files
     sizes = {r["symbol"]: r["lots"] for r in passed.groupBy("symbol").agg((F.max("lot") + 1).alias("lots")).collect()}  # one row a symbol
     held: dict[str, int] = {}
     rounds: list[DataFrame] = []
