@@ -341,24 +341,24 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
     """(node, label) of all nodes of the edges (a, b): label is the smallest node of the component.
 
-    Each round hooks every label to its smallest neighbour, follows the pointers, and contracts the edges.
+    Each round hooks every label to its smallest neighbour, follows the pointers, and contracts the edges. Pointers are
+    followed in a written table, so a plan has a join for each jump and not twice as many as for the jump before.
     """
     edges = edges.where("a <> b").distinct()
     labels = None
     while True:
-        edges = saved(edges)
+        edges = forgetful(saved(edges))
         if edges.isEmpty():
             break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+        parent = forgetful(saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))))
         while True:
-            for _ in range(jumps):
-                up = parent.select(F.col("node").alias("label"), F.col("label").alias("top"))
-                parent = parent.join(up, "label").select("node", F.col("top").alias("label"))
-            parent = saved(parent)
             up = parent.select(F.col("node").alias("label"), F.col("label").alias("top"))
             if parent.join(up, "label").where("top <> label").isEmpty():
                 break
+            for _ in range(jumps):
+                parent = parent.join(up, "label").select("node", F.col("top").alias("label"))
+            parent = saved(parent)
         if labels is None:
             labels = parent
         else:
@@ -373,7 +373,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     """(doc_id, n_shingles, component_id)"""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     facts = saved(docs.mapInArrow(released(lambda it: _facts(it, percent, shingle)), "doc_id long, n long, sid long, chk long, bins binary"))
-    classes = saved(facts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("chk").alias("chk"), F.max("chk").alias("chk2"), F.min("bins").alias("bins")))
+    classes = forgetful(saved(facts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("chk").alias("chk"), F.max("chk").alias("chk2"), F.min("bins").alias("bins"))))
     sums = classes.agg(F.count_if(F.expr("n <> n2 OR chk <> chk2")).alias("clash"), F.max("n").alias("longest"), F.sum("n").alias("elements")).first()
     if sums["clash"]:
         raise RuntimeError("two different sets share a 64-bit hash: run again with another hash")
@@ -390,7 +390,7 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """The labels (sid, label) after the links (a, b)."""
     at = lambda c: label.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}"))
     tops = components(links.join(at("a"), "a").join(at("b"), "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")))
-    return saved(label.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("sid", F.coalesce("top", "label").alias("label")))
+    return forgetful(saved(label.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("sid", F.coalesce("top", "label").alias("label"))))
 
 
 def _labels(docs: DataFrame, classes: DataFrame, longest: int, elements: int, percent: int, shingle: int) -> DataFrame:
@@ -404,7 +404,7 @@ def _labels(docs: DataFrame, classes: DataFrame, longest: int, elements: int, pe
     segments, wide = (np.array([plan.get(k, (0, 0))[i] for k in range(len(limits) + 1)]) for i in (0, 1))
     bits = min(30, max(3, (max(1, elements) >> 19).bit_length()))
     signed = docs.select("text").mapInArrow(released(lambda it: _signed(it, limits, segments, wide, bits, shingle)), "bucket int, sigs binary, place binary, sids binary, own binary, n int")
-    groups = saved(signed.groupBy("bucket").applyInArrow(lambda t: tidy(_groups(t)), "grp long, size int, times long, pivot long, sid long"))
+    groups = forgetful(saved(signed.groupBy("bucket").applyInArrow(lambda t: tidy(_groups(t)), "grp long, size int, times long, pivot long, sid long")))
     nodes = groups.select("sid").union(groups.select(F.col("pivot").alias("sid"))).distinct()
     wanted = saved(classes.select("sid", "n", "bins").join(nodes, "sid", "left_semi"))
     own = docs.select("text").mapInArrow(released(lambda it: _own_texts(it, shingle)), "sid long, text string")
@@ -412,7 +412,7 @@ def _labels(docs: DataFrame, classes: DataFrame, longest: int, elements: int, pe
     # first each set with the partner it shares most signatures with
     known = lambda c: wanted.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"h{c}"))
     pairs = groups.groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.sum("times").alias("shared"))
-    pairs = saved(pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "shared", "na", "ha", "nb", "hb").mapInArrow(lambda it: _possible_pairs(it, percent), "a long, b long, shared long"))
+    pairs = forgetful(saved(pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "shared", "na", "ha", "nb", "hb").mapInArrow(lambda it: _possible_pairs(it, percent), "a long, b long, shared long")))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     checked = forgetful(saved(_verify(best.select("a", "b"), texts, shingle)))
     similar = F.col("inter") * 100 >= F.col("uni") * percent
@@ -423,7 +423,7 @@ def _labels(docs: DataFrame, classes: DataFrame, longest: int, elements: int, pe
     while True:
         member = member.join(label, "sid")
         split = member.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
-        member = saved(member.join(split, "grp", "left_semi"))
+        member = forgetful(saved(member.join(split, "grp", "left_semi")))
         found = saved(_dealt(member.join(wanted.select("sid", "n", "bins"), "sid"), tasks).groupBy("task").applyInArrow(_comparison(percent, most), "grp long, a long, b long").distinct())
         checked = forgetful(saved(_verify(saved(found.where("a IS NOT NULL").select("a", "b").join(tried, ["a", "b"], "left_anti")), texts, shingle)))
         links = checked.where(similar).select("a", "b")

@@ -130,6 +130,17 @@ def test_jaccard_join_chain_and_empty(spark):
     assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("jumps", [1, 3])
+def test_components_follow_pointers_in_small_plans(spark, monkeypatch, jumps):
+    """A plan has a join for each jump: copies of copies took the driver's memory."""
+    joins, saved = [], jaccard_join.saved
+    monkeypatch.setattr(jaccard_join, "saved", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or saved(df))
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (150, 200), (7, 7)]
+    got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long"), jumps)
+    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(41)] + [(i, 100) for i in (100, 150, 200)]
+    assert max(joins) <= max(jumps, 2)
+
+
 def test_jaccard_join_of_null_and_repeated_ids(spark):
     words = [f"w{k}" for k in range(300)]
     a, b, c, d = (" ".join(words[k : k + 100]) for k in (0, 4, 150, 154))  # a is like b, c is like d
