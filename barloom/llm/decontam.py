@@ -6,7 +6,8 @@ space). Candidates: the CGK walk reads a string and at each step writes the byte
 random bit of step and byte, so strings few edits apart give embeddings of small Hamming distance. A table samples some
 places of the embedding; equal samples are a collision. Items are put into classes by size (powers of two up to
 2**WIDEST); a class walks windows in proportion to its smallest items, from every byte of an item and every `stride`
-bytes of a text (longer items so have many windows, some of which hold fewer edits than the item as a whole). Walks are
+bytes of a text (longer items so have many windows, some of which hold fewer edits than the item as a whole). Of DRAWS
+walks that are drawn the one is taken that brings the fewest chance collisions between items. Walks are
 repeated with new random bits until the recall, measured on items edited at the limit, evenly spaced and at random,
 reaches TARGET. Each collision names an item and a diagonal. Collisions are looked at twice: a block of WORD bytes of
 the item around the window must lie there within NEAR times its share of the edits. Then the item is verified by exact
@@ -26,20 +27,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, groups_of, pieces, released, spread, texts_of
+from .common import U, find, groups_of, pieces, released, spread, texts_of
 
-SIMILARITY, TARGET = 0.8, 0.97
+SIMILARITY, TARGET = 0.8, 0.985
 #: Bytes of items in a broadcast (their tables take some 300 times as much), of texts handled at once, windows walked at once.
 BLOCK, PIECE, STEP = 1 << 18, 1 << 20, 1 << 13
 #: Largest size class, samples of each walk, edited items that the recall is measured on, bits of a filter per key.
-WIDEST, TABLES, TRIALS, FILTER = 6, 4, 300, 32
+WIDEST, TABLES, TRIALS, FILTER = 6, 4, 600, 32
+#: Draws for each walk, windows by which they are compared.
+DRAWS, CROWD = 8, 1 << 13
 #: Collisions that are held at once, before those on one diagonal become one and all are verified.
 HELD = 1 << 20
 #: Bytes of a block at most (a machine word holds its columns); items up to that are verified many at once.
 WORD = 63
 #: Blocks of longer items begin every GAP bytes; edits they may have in proportion to the item's.
 GAP, NEAR = 21, 1.25
-SPREAD = U(0x9E3779B97F4A7C15)
+BIT = np.uint8(128) >> np.arange(8, dtype=np.uint8)
+#: A random number for each byte at each step: a sample's hash is their sum.
+VALUES = np.random.default_rng(1).integers(0, 2**32, (2 << WIDEST, 256), np.uint32)
 
 
 def normalised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -67,33 +72,47 @@ class Windows:
     the recall that this costs is made up for by more walks.
     """
 
-    def __init__(self, size_class: int, walks: int, crowd: int):
+    def __init__(self, size_class: int, crowd: int):
         size = 1 << size_class
         least = math.ceil(math.log2(max(crowd, 2)) / 2.3)
-        self.steps, self.stride = max(4, 5 * size // 8, min(2 * size, least)), max(1, size // 16)
-        sampled = min(self.steps, max(3, self.steps // 4, least))
-        self.tables = min(TABLES, math.comb(self.steps - 1, sampled - 1))
-        rng = np.random.default_rng(size_class)
+        self.steps, self.stride = max(4, size // 2, min(2 * size, least)), max(1, size // 16)
+        self.sampled = min(self.steps, max(3, 5 * self.steps // 16, least))
+        self.tables = min(TABLES, math.comb(self.steps - 1, self.sampled - 1))
+        self.rng = np.random.default_rng(size_class)
         self.walks = []
-        for _ in range(walks):  # more walks begin with the same ones
-            factor, shift = rng.integers(0, 128, self.steps) * 2 + 1, rng.integers(0, 256, self.steps)
-            places = [[*rng.choice(self.steps - 1, sampled - 1, replace=False).tolist(), self.steps - 1] for _ in range(self.tables)]
-            self.walks.append((factor.astype(np.uint8), shift.astype(np.uint8), [[t for t in range(self.tables) if j in places[t]] for j in range(self.steps)]))
+
+    def add(self, data: np.ndarray, some: np.ndarray, others: np.ndarray) -> None:
+        """One more walk: of DRAWS, that by which the fewest windows of some items collide with those of others, which are chance."""
+        best = None
+        for _ in range(DRAWS):
+            factor, shift = (self.rng.integers(0, n, self.steps) for n in (128, 256))
+            places = [[*self.rng.choice(self.steps - 1, self.sampled - 1, replace=False).tolist(), self.steps - 1] for _ in range(self.tables)]
+            moves = [(np.arange(256) * (2 * f + 1) + s & 255) >> 7 for f, s in zip(factor.tolist(), shift.tolist(), strict=True)]
+            walk = moves, [[t for t in range(self.tables) if j in places[t]] for j in range(self.steps)]
+            met = 0
+            for one, two in zip(*(self._walked(walk, data, at)[0] for at in (some, others)), strict=True):
+                two = np.sort(two)
+                met += int((np.searchsorted(two, one, "right") - np.searchsorted(two, one)).sum())
+            if best is None or met < best[0]:
+                best = met, walk
+        self.walks.append(best[1])
+
+    def _walked(self, walk, data: np.ndarray, at: np.ndarray):
+        moves, samples = walk
+        place = at
+        keys = [np.zeros(len(at), np.uint32) for _ in range(self.tables)]
+        for j in range(self.steps):
+            byte = data.take(place)
+            for t in samples[j]:
+                keys[t] += VALUES[j].take(byte)
+            last = place
+            place = place + moves[j].take(byte)
+        return keys, last
 
     def keys(self, data: np.ndarray, at: np.ndarray):
-        """Per walk: the hash of each table's sample for the windows that begin at `at`, and where they end. data: steps bytes longer than its texts."""
-        for factor, shift, samples in self.walks:
-            place = at.copy()
-            keys = [np.full(len(at), t, np.uint64) for t in range(self.tables)]
-            for j in range(self.steps):
-                byte = data.take(place)
-                for t in samples[j]:
-                    keys[t] += byte
-                    keys[t] *= SPREAD
-                    keys[t] ^= keys[t] >> U(29)
-                last = place
-                place = place + (byte * factor[j] + shift[j] >> np.uint8(7))
-            yield keys, last
+        """Per walk: the hash of each table's sample for the windows that begin at `at`, and where they end. data: integers (indices of tables), steps longer than its texts."""
+        for walk in self.walks:
+            yield self._walked(walk, data, at)
 
 
 def edited(item: bytes, edits: int, rng: np.random.Generator, way: int) -> bytes:
@@ -124,13 +143,19 @@ class Items:
         self.classes = []
         for c in np.unique(of[self.most > 0]).tolist():
             mine = np.flatnonzero((of == c) & (self.most > 0))
-            walks, done = 1, self.classes
+            windows, done = Windows(c, int(self.lengths[mine].sum())), self.classes
+            text = np.frombuffer(b"".join(self.texts[k] + b"\0" * (windows.steps + 1) for k in mine), np.uint8).astype(np.int64)
+            size = self.lengths[mine]
+            begin = np.cumsum(size + windows.steps + 1) - (size + windows.steps + 1)
+            half = []
+            for part in (slice(0, None, 2), slice(1, None, 2)):  # windows inside of each other item, up to CROWD
+                at = spread(begin[part], np.maximum(1, size[part] - windows.steps // 2))
+                half.append(at[:: max(1, len(at) // CROWD)])
             while True:
-                windows = Windows(c, walks, int(self.lengths[mine].sum()))
+                windows.add(text, *half)
                 self.classes = [(windows, self._tables(windows, mine))]
                 if min(self._recall(mine, way) for way in range(3)) >= target:
                     break
-                walks += 1
             self.classes += done
 
     def _recall(self, mine: np.ndarray, way: int) -> float:
@@ -159,11 +184,11 @@ class Items:
         np.bitwise_or.at(self.columns, block * 256 + np.frombuffer(b"".join(self.texts), np.uint8)[at], U(1) << bit.astype(np.uint64))
 
     def _tables(self, windows: Windows, mine: np.ndarray):
-        """Per walk and table: a bit filter, sorted keys, and each key's (item, offset)."""
+        """Per walk and table: a bit filter, sorted different keys, where each one's entries begin and how many they are, and the entries (item, offset)."""
         size = self.lengths[mine]
         begin = np.cumsum(size + windows.steps + 1) - (size + windows.steps + 1)
         pad = b"\0" * (windows.steps + 1)
-        data = np.frombuffer(b"".join(self.texts[i] + pad for i in mine), np.uint8)
+        data = np.frombuffer(b"".join(self.texts[i] + pad for i in mine), np.uint8).astype(np.int64)
         at, which = spread(begin, size), np.repeat(np.arange(len(mine)), size)
         bits = max(10, int(FILTER * len(at) - 1).bit_length())
         out = []
@@ -173,29 +198,27 @@ class Items:
                 order = good[np.argsort(key[good], kind="stable")]
                 key = key[order]
                 filled = np.zeros(1 << bits, bool)
-                filled[key >> U(64 - bits)] = True
-                out.append((bits, np.packbits(filled), key, mine[which[order]].astype(np.int32), (at - begin[which])[order].astype(np.int32)))
+                filled[key >> np.uint32(32 - bits)] = True
+                out.append((bits, np.packbits(filled), *np.unique(key, return_index=True, return_counts=True), mine[which[order]].astype(np.int32), (at - begin[which])[order].astype(np.int32)))
         return out
 
 
 def collisions(data: np.ndarray, items: Items):
     """(place, item, offset): places of the text and the item whose windows collide, at most HELD and a window's at once."""
     for windows, tables in items.classes:
-        padded = np.concatenate([data, np.zeros(windows.steps + 1, np.uint8)])
+        padded = np.concatenate([data, np.zeros(windows.steps + 1, np.uint8)]).astype(np.int64)
         for low in range(0, len(data), STEP * windows.stride):
             at = np.arange(low, min(low + STEP * windows.stride, len(data)), windows.stride)
             k = 0
             for keys, _ in windows.keys(padded, at):
                 for key in keys:
-                    bits, filled, known, item, offset = tables[k]
+                    bits, filled, known, begin, count, item, offset = tables[k]
                     k += 1
-                    slot = (key >> U(64 - bits)).view(np.int64)
-                    hit = np.flatnonzero(filled.take(slot >> 3) >> (7 - (slot & 7)).astype(np.uint8) & np.uint8(1))
-                    first = np.searchsorted(known, key[hit])
-                    same = first < len(known)
-                    same[same] = known[first[same]] == key[hit[same]]
-                    hit, first = hit[same], first[same]
-                    n = np.searchsorted(known, key[hit], "right") - first
+                    slot = key >> np.uint32(32 - bits)
+                    hit = np.flatnonzero(filled.take(slot >> np.uint32(3)) & BIT.take(slot & np.uint32(7)))
+                    which = find(known, key[hit])
+                    hit, which = hit[which >= 0], which[which >= 0]
+                    first, n = begin[which], count[which]
                     for i, j in pieces(np.cumsum(n) - n, np.cumsum(n), HELD):
                         entry, place = spread(first[i:j], n[i:j]), np.repeat(at[hit[i:j]], n[i:j])
                         yield place, item[entry].astype(np.int64), offset[entry].astype(np.int64)
@@ -229,25 +252,50 @@ def edit_distance(item: bytes, text: bytes) -> int:
 
 
 def block_distances(data: np.ndarray, begin: np.ndarray, end: np.ndarray, block: np.ndarray, items: Items) -> np.ndarray:
-    """The same for blocks of items and many stretches [begin, end) at once."""
+    """The same for blocks of items and many stretches [begin, end) at once; exact up to the block's edits, beyond them only larger than these."""
     out = np.zeros(len(block), np.int64)
-    one, padded = U(1), np.concatenate([data, np.zeros(1, np.uint8)])
+    one, padded = U(1), np.concatenate([data, np.zeros(1, np.uint8)]).astype(np.int64)
     for some in np.split(np.argsort(end - begin, kind="stable"), np.arange(STEP // 2, len(block), STEP // 2)):
-        row, place, stop = block[some] * 256, begin[some], end[some]
+        row, place, stop, edits = block[some] * 256, begin[some], end[some], items.block_edits[block[some]]
         score = items.block_size[block[some]]
         top, best = (score - 1).astype(np.uint64), score.copy()
+        soon = int((score - edits).min(initial=WORD))  # columns before which no score is low
         plus, minus = np.full(len(some), ~U(0)), np.zeros(len(some), np.uint64)
-        for _ in range(int((stop - place).max(initial=0))):
-            byte = padded.take(np.where(place < stop, place, len(data)))
-            eq = np.where(place < stop, items.columns.take(row + byte), U(0))  # columns past the end never lower the score
-            place = place + 1
+        width, shortest = int((stop - place).max(initial=0)), int((stop - place).min(initial=0))
+        for c in range(width):
+            if width - c in (24, 16, 8):  # each column lowers the score by 1 at most
+                stay = (best <= edits) | (score - np.maximum(stop - place, 0) <= edits)
+                if not stay.all():
+                    out[some] = best
+                    some, row, place, stop, edits, score, top, best, plus, minus = (x[stay] for x in (some, row, place, stop, edits, score, top, best, plus, minus))
+            inside = place < stop if c >= shortest else None
+            eq = items.columns.take(row + padded.take(place if inside is None else np.where(inside, place, len(data))))
+            if inside is not None:
+                eq[~inside] = 0  # columns past the end never lower the score
+            place += 1
             xv = eq | minus
-            xh = (((eq & plus) + plus) ^ plus) | eq
-            ph, mh = minus | ~(xh | plus), plus & xh
-            score = score + (ph >> top & one).view(np.int64) - (mh >> top & one).view(np.int64)
-            ph, mh = ph << one, mh << one
-            plus, minus = mh | ~(xv | ph), ph & xv
-            best = np.minimum(best, score)
+            xh = eq & plus
+            xh += plus
+            xh ^= plus
+            xh |= eq
+            ph = xh | plus
+            np.invert(ph, out=ph)
+            ph |= minus
+            xh &= plus
+            bit = ph >> top
+            bit &= one
+            score += bit.view(np.int64)
+            np.right_shift(xh, top, out=bit)
+            bit &= one
+            score -= bit.view(np.int64)
+            ph <<= one
+            xh <<= one
+            plus = xv | ph
+            np.invert(plus, out=plus)
+            plus |= xh
+            minus = ph & xv
+            if c + 1 >= soon:
+                np.minimum(best, score, out=best)
         out[some] = best
     return out
 

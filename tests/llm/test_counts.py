@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from compare import difference
 
-from barloom.llm import byte_bpe, collocations, divergence
+from barloom.llm import byte_bpe, collocations, decontam, divergence
 
 SCHEMA = "doc_id long, text string, lang string, source string, n long, score string, term string, h string"
 
@@ -154,3 +154,34 @@ def test_crowded_short_items_against_brute_force(monkeypatch):
     monkeypatch.setattr(decontam, "HELD", 500)
     cut = {i for _, i, _ in decontam.matches(data, ends - len(text), ends, built)}
     assert found == cut <= brute and len(found) >= 0.9 * len(brute) > 30
+
+
+def test_few_walks_keep_the_recall():
+    """Walks cost the most of decontamination: steps for each byte of text, at a recall measured on other edits than those that it is built with."""
+    rng = np.random.default_rng(5)
+    parts = [b"th", b"er", b"in", b"an", b"on ", b"ou", b"ed ", b"ing", b"ble", b"re", b"st", b"e ", b". "]
+    items = [b"".join(parts[k] for k in rng.integers(0, len(parts), 100)) for _ in range(120)]
+    built = decontam.Items(list(range(len(items))), items)
+    windows, _ = built.classes[0]
+    assert windows.steps * len(windows.walks) / windows.stride <= 30
+    texts = [decontam.edited(t, int(built.most[i]), rng, way) for way in range(3) for i, t in enumerate(items)]
+    ends = np.cumsum([len(t) for t in texts])
+    found = {(d, i) for d, i, _ in decontam.matches(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends, built)}
+    assert sum((d, d % len(items)) in found for d in range(len(texts))) >= 0.97 * len(texts)
+
+
+def test_block_distances_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    items = [bytes(rng.choice(np.frombuffer(b"abcd ", np.uint8), n).tolist()) for n in (5, 9, 20, 40, 63, 64, 100) * 4]
+    built = object.__new__(decontam.Items)
+    built.texts, built.lengths = items, np.array([len(t) for t in items])
+    built.most = built.lengths // 5
+    built._blocks(0.8)
+    data = np.frombuffer(b"".join(decontam.edited(t, len(t) // 5 + k % 3 - 1, rng, 2) for k, t in enumerate(items)), np.uint8)
+    block, begin = rng.integers(0, len(built.block_item), 3000), rng.integers(0, len(data), 3000)
+    end, raw = np.minimum(len(data), begin + rng.integers(0, 105, 3000)), data.tobytes()
+    got = decontam.block_distances(data, begin, end, block, built)
+    for b, s, e, x in zip(block.tolist(), begin.tolist(), end.tolist(), got.tolist(), strict=True):
+        first, edits = int(built.block_begin[b]), int(built.block_edits[b])
+        plain = decontam.edit_distance(items[built.block_item[b]][first : first + int(built.block_size[b])], raw[s:e])
+        assert x == plain if plain <= edits else x > edits
