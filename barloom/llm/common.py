@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 #: Id that stands for a null id: it ranks after all others.
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
+#: Spark's setting by which a query's shuffle files go when it ends, and not some time after the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -217,18 +219,23 @@ def joined(parts: list[np.ndarray], dtype) -> np.ndarray:
 
 
 def forgetful(df: DataFrame) -> DataFrame:
-    """The same. Shuffle files of written tables go once the driver's garbage is collected, so it is now, not at the next full heap."""
+    """The same. Broadcasts and what else Spark keeps of past plans go once the driver's garbage is collected, so it is now, not at the next full heap."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return df
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage: df written as a table in the shared checkpoint folder, and read again."""
+    """Cut the lineage: df written as a table in the shared checkpoint folder, and read again. The write's shuffle files go at its end."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/barloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -248,3 +255,12 @@ def planes(a: np.ndarray) -> bytes:
 def unplaned(raw: np.ndarray, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
+
+
+def rising(a: np.ndarray) -> bytes:
+    """Sorted unsigned numbers as differences, by planes."""
+    return planes(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def unrisen(raw: np.ndarray, dtype) -> np.ndarray:
+    return np.cumsum(unplaned(raw, dtype), dtype=dtype)

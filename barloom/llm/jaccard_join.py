@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, blobs, forgetful, groups_of, joined, mix, packed, pieces, released, saved, spread, squeezed, texts_of, tidy, unsqueezed
+from .common import U, Words, blobs, forgetful, groups_of, joined, mix, packed, pieces, planes, released, rising, saved, spread, texts_of, tidy, unplaned, unrisen, unsqueezed
 
 SHINGLE, PERCENT, PIECE = 4, 85, 1 << 19
 #: Weights of a signature and of a candidate pair in the cost of an allocation.
@@ -193,14 +193,14 @@ def _signed(batches, limits, segments, wide, bits, k: int):
             rows = []
             for x in np.split(np.arange(len(sig)), cut[1:]) if len(cut) else []:
                 who, place = np.unique(text[x], return_inverse=True)
-                rows.append((int(bucket[x[0]]), squeezed(sig[x].astype(np.uint32)), squeezed(place.astype(np.uint16)), packed(s.id[who]), packed(np.packbits(own[x])), len(x)))
+                rows.append((int(bucket[x[0]]), rising(sig[x].astype(np.uint32)), planes(place.astype(np.uint16)), packed(s.id[who]), packed(np.packbits(own[x])), len(x)))
             yield from pa.table({c: pa.array([r[at] for r in rows], t) for at, (c, t) in enumerate((("bucket", pa.int32()), ("sigs", pa.binary()), ("place", pa.binary()), ("sids", pa.binary()), ("own", pa.binary()), ("n", pa.int32())))}).to_batches()
 
 
 def _groups(tab: pa.Table) -> pa.Table:
     """Bucket: members of each signature's group but its pivot, with the pivot; groups of equal members once, counted."""
-    sig = joined(unsqueezed(tab, "sigs", np.uint32), np.uint32)
-    place, who = unsqueezed(tab, "place", np.uint16), blobs(tab, "sids", np.int64)
+    sig = joined([unrisen(x, np.uint32) for x in unsqueezed(tab, "sigs", np.uint8)], np.uint32)
+    place, who = [unplaned(x, np.uint16) for x in unsqueezed(tab, "place", np.uint8)], blobs(tab, "sids", np.int64)
     sid = joined([w[p] for w, p in zip(who, place, strict=True)], np.int64)
     own = joined([np.unpackbits(np.frombuffer(o, np.uint8))[:n] for o, n in zip(tab.column("own").to_pylist(), tab.column("n").to_pylist(), strict=True)], np.uint8)
     order = np.lexsort((sid, 1 - own, sig))  # sets in their own band first: the first is the pivot

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, jaccard_join, suffix_dedup
+from barloom.llm import bpe, common, jaccard_join, suffix_dedup
 
 SCHEMA = "doc_id long, text string, batch string, id int, body string, kept string"
 
@@ -180,3 +183,35 @@ def test_bpe_digests_of_a_table(spark, data):
         assert row["n_tokens"] == len(ids)
         assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(f) for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = shuffles()
+    plan = spark.range(10000).groupBy((F.col("id") % 100).alias("x")).count()  # held, so garbage collection can't help
+    out = common.saved(plan)
+    end = time.time() + 5
+    while (left := shuffles() - before) and time.time() < end:  # files are removed in the background
+        time.sleep(0.1)
+    assert not left
+    assert out.count() == 100 and plan.count() == 100
+    assert spark.conf.get(common.CLEANUP, None) is None
+
+
+def test_signatures_are_sent_in_few_bytes(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(str(r.randrange(10**6)) for _ in range(200))) for i in range(300)]
+    tab = frame(spark, rows).select("text").toArrow()
+    limits = np.array(jaccard_join.band_limits(80, 400))
+    plan = jaccard_join.allocation({int(np.searchsorted(limits, 196, "right")) - 1: 100000}, 80)
+    segments, wide = (np.array([plan.get(k, (0, 0))[i] for k in range(len(limits) + 1)]) for i in (0, 1))
+    sent = pa.Table.from_batches([*jaccard_join._signed(tab.to_batches(), limits, segments, wide, 3, 5)])
+    size = sum(len(x) for c in ("sigs", "place") for x in sent.column(c).to_pylist()) / sum(sent.column("n").to_pylist())
+    assert size < 4.5
+    sets = jaccard_join.Sets(*common.texts_of(tab), 5)
+    sig, text, _ = jaccard_join.signatures(sets, limits, segments, wide)
+    got = []
+    for b, sigs, place, who in zip(sent.column("bucket").to_pylist(), common.unsqueezed(sent, "sigs", np.uint8), common.unsqueezed(sent, "place", np.uint8), common.blobs(sent, "sids", np.int64), strict=True):
+        got += zip((common.unrisen(sigs, np.uint32).astype(np.uint64) + (np.uint64(b) << np.uint64(32))).tolist(), who[common.unplaned(place, np.uint16)].tolist(), strict=True)
+    assert sorted(got) == sorted(zip((sig >> np.uint64(29)).tolist(), sets.id[text].tolist(), strict=True))
