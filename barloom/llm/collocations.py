@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U, dropped, find, forgetful, groups_of, joined, mix, packed, planes, released, saved, squeezed, table, texts_of, unplaned, unsqueezed
+from .common import U, dropped, find, forgetful, groups_of, joined, mix, packed, planes, released, rising, saved, squeezed, table, texts_of, unplaned, unrisen, unsqueezed
 from .divergence import lots, words_in
 
 #: A phrase counts from LEAST occurrences on; it goes where a longer one has SHARE % of them; each language lists TOP.
@@ -187,7 +187,7 @@ class Shape:
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
         return pa.table({
             "lot": pa.array([lot] * len(spans), pa.string()), "shard": pa.array(shard[cuts[:-1]], pa.int32()), "part": pa.array([self.part(lot)] * len(spans), pa.int32()),
-            "keys": pa.array([_squeezed_keys(keys[a:b]) for a, b in spans], pa.binary()), "counts": pa.array([squeezed(counts[a:b].astype(np.int32)) for a, b in spans], pa.binary()),
+            "keys": pa.array([rising(keys[a:b]) for a, b in spans], pa.binary()), "counts": pa.array([planes(counts[a:b].astype(np.int32)) for a, b in spans], pa.binary()),
         })
 
     def pairs(self):
@@ -209,7 +209,8 @@ class Shape:
         """From lots of slots, and the slots of their frequent pairs, to rows of keys of three words."""
 
         def run(lot: pa.Table, known: pa.Table) -> pa.Table:
-            keys, slots = joined(unsqueezed(known, "keys", np.uint64), np.uint64), joined(unsqueezed(known, "slots", np.int64), np.int64)
+            keys = joined([unrisen(x, np.uint64) for x in unsqueezed(known, "keys", np.uint8)], np.uint64)
+            slots = joined([unplaned(x, np.int64) for x in unsqueezed(known, "slots", np.uint8)], np.int64)
             order = np.argsort(keys)
             keys, slots = keys[order], slots[order]
             out = []
@@ -225,13 +226,8 @@ class Shape:
         return run
 
 
-def _squeezed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences."""
-    return squeezed(np.diff(keys, prepend=U(0)))
-
-
 def _keys(tab: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return [np.cumsum(x, dtype=np.uint64) for x in unsqueezed(tab, "keys", np.uint64)], unsqueezed(tab, "counts", np.int32)
+    return [unrisen(x, np.uint64) for x in unsqueezed(tab, "keys", np.uint8)], [unplaned(x, np.int32) for x in unsqueezed(tab, "counts", np.uint8)]
 
 
 def _bucket(keys: np.ndarray) -> np.ndarray:
@@ -295,8 +291,8 @@ def _filtered(least: int):
         for i, (keys, counts) in enumerate(zip(*_keys(rows), strict=True)):
             stay = full[_bucket(keys)]
             if stay.any():
-                kept.append(_squeezed_keys(keys[stay]))
-                times.append(squeezed(counts[stay]))
+                kept.append(rising(keys[stay]))
+                times.append(planes(counts[stay]))
                 for to, name in ((lot, "lot"), (shard, "shard"), (part, "part")):
                     to.append(rows.column(name)[i].as_py())
         return pa.table({"lot": pa.array(lot, pa.string()), "shard": pa.array(shard, pa.int32()), "part": pa.array(part, pa.int32()), "keys": pa.array(kept, pa.binary()), "counts": pa.array(times, pa.binary())})
@@ -368,7 +364,7 @@ def _answers(shape: Shape):
         out = []
         for mine in _keys(rows)[0]:
             at = find(keys, mine)
-            out.append((squeezed(mine[at >= 0]), squeezed(slots[at[at >= 0]])))
+            out.append((rising(mine[at >= 0]), planes(slots[at[at >= 0]])))
         return pa.table({"lot": rows.column("lot"), "keys": pa.array([x[0] for x in out], pa.binary()), "slots": pa.array([x[1] for x in out], pa.binary())})
 
     return run

@@ -7,6 +7,7 @@ from hashlib import sha256
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -71,6 +72,21 @@ def test_perfect_hash_is_minimal_and_verifies_keys():
     assert len(collocations.PerfectHash.build(stored[:0]).slots(others)) == len(others)
 
 
+def test_keys_counts_and_slots_are_sent_in_few_bytes():
+    rng = np.random.default_rng(4)
+    shape = collocations.Shape(300_000, 4, 1, 10)
+    keys = rng.integers(0, 300_000**2, 200_000, dtype=np.uint64)
+    rows = shape.rows("0" * 32, np.concatenate([keys, keys[:1000]]))
+    size = lambda tab, *names: sum(len(x) for c in names for x in tab.column(c).to_pylist())
+    assert size(rows, "keys", "counts") < 3.5 * len(keys)
+    got, counts = (np.concatenate(x) for x in collocations._keys(rows))
+    every, n = np.unique(np.concatenate([keys, keys[:1000]]), return_counts=True)
+    assert (np.sort(got) == every).all() and (counts[np.argsort(got)] == n).all()
+    known = pa.table({"first": pa.array((every // 300_000).astype(np.int64)), "last": pa.array((every % 300_000).astype(np.int64)), "slot": pa.array(rng.permutation(len(every)))})
+    answers = collocations._answers(shape)(rows, known)
+    assert size(answers, "keys", "slots") < 6.5 * len(every)
+
+
 def _table(blob: bytes):
     import pyarrow as pa
 
