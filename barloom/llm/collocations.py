@@ -1,16 +1,16 @@
 """Phrases of two and three words that occur together more often than their parts explain, counted by slots of minimal perfect hashes.
 
 Texts are cut into words once and kept as lots: the different words of about LOT bytes of one language, and the texts as
-numbers of these words with gaps between pieces. Words that occur LEAST times get numbers (slots) over the whole corpus, so
-a phrase is two numbers: the slot of its first part and that of its last word, packed in 64 bits.
+numbers of these words with gaps between pieces. Words that occur LEAST times get numbers (slots) over the whole corpus, the
+most frequent first, so a phrase is two numbers: the slot of its first part and that of its last word, packed in 64 bits.
 
 Each length then takes the same rounds, between lots and shards (ranges of a hash of the keys):
 * candidates are phrases both of whose shorter parts occur LEAST times, and whose bucket of a hashed count does: tasks
   bincount their lots' keys into BUCKETS buckets, the arrays are summed as a tree, and a bucket below LEAST rules its keys
-  out. Neither rule can lose a phrase;
+  out. Neither rule can lose a phrase. A task's lots are added up to one row of candidates and counts;
 * a shard's candidates get a minimal perfect hash that stores the key of each slot: a key that isn't that of its slot is no
   candidate;
-* tasks bincount their lots' keys by slot, and the arrays are summed as a tree again;
+* tasks bincount those rows by slot, and the arrays are summed as a tree again;
 * lots learn the slots of their frequent phrases, from which the next length is made.
 A task sees at most LOTS lots of one shard; a phrase is one entry for each lot however often it occurs, so no phrase makes
 a large group. Cuts are read by slot: tables of slot and count, joined by Spark. Lots are written before they are used, so
@@ -128,11 +128,20 @@ def _lots(batches):
             ids[np.arange(len(local)) + np.cumsum(new)] = local
             counts = np.bincount(local, minlength=len(words.dictionary))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([name]), _one_list(words.dictionary.cast(pa.string())), _one_list(pa.array(counts, pa.int64())), pa.array([planes(ids)], pa.binary())],
+                [pa.array([uuid.uuid4().hex]), pa.array([name]), _one_list(words.dictionary.cast(pa.string())), _one_list(pa.array(counts, pa.int64())), pa.array([gapped(ids)], pa.binary())],
                 names=["lot", "lang", "words", "counts", "ids"],
             )
 
 
+def gapped(ids: np.ndarray) -> bytes:
+    """Numbers with gaps (-1) by planes: a gap goes as 0, so that the high planes stay empty."""
+    return planes(ids + 1)
+
+
+def ungapped(raw: np.ndarray, dtype) -> np.ndarray:
+    return unplaned(raw, dtype) - 1
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """Written and read again; what it was shuffled from is dropped."""
     return forgetful(saved(df))
@@ -157,12 +166,12 @@ def _numbers(lot: pa.Table, known: pa.Table) -> pa.Table:
     out = {"lot": [], "seq": []}
     place, slot = known.column("place").to_numpy(), known.column("slot").to_numpy()
     for name, ids in zip(lot.column("lot").to_pylist(), unsqueezed(lot, "ids", np.uint8), strict=True):
-        ids = unplaned(ids, np.int32)
+        ids = ungapped(ids, np.int32)
         to = np.full(max(int(ids.max(initial=-1)), int(place.max(initial=-1))) + 2, -1, np.int64)  # the last entry stands for -1
         to[place] = slot
         seq = to[ids]
         out["lot"].append(name)
-        out["seq"].append(planes(seq[(seq >= 0) | np.append(True, seq[:-1] >= 0)]))
+        out["seq"].append(gapped(seq[(seq >= 0) | np.append(True, seq[:-1] >= 0)]))
     return pa.table({"lot": pa.array(out["lot"], pa.string()), "seq": pa.array(out["seq"], pa.binary())})
 
 
@@ -198,7 +207,7 @@ class Shape:
             for batch in batches:
                 tab = pa.Table.from_batches([batch])
                 for i, lot in enumerate(tab.column("lot").to_pylist()):
-                    seq = unplaned(unsqueezed(tab.slice(i, 1), "seq", np.uint8)[0], np.int64)
+                    seq = ungapped(unsqueezed(tab.slice(i, 1), "seq", np.uint8)[0], np.int64)
                     a, b = seq[:-1], seq[1:]
                     both = (a >= 0) & (b >= 0)
                     yield from self.rows(lot, a[both].astype(np.uint64) * U(self.words) + b[both].astype(np.uint64)).to_batches()
@@ -215,7 +224,7 @@ class Shape:
             keys, slots = keys[order], slots[order]
             out = []
             for name, seq in zip(lot.column("lot").to_pylist(), unsqueezed(lot, "seq", np.uint8), strict=True):
-                seq = unplaned(seq, np.int64)
+                seq = ungapped(seq, np.int64)
                 a, b = seq[:-1], seq[1:]
                 at = find(keys, np.where((a >= 0) & (b >= 0), a.astype(np.uint64) * U(self.words) + b.astype(np.uint64), U(2**64 - 1)))
                 slot = np.where(at >= 0, slots[at], -1) if len(slots) else at
@@ -243,17 +252,27 @@ def _bucket_counts(least: int):
         """Hashed counts of a task's lots, up to `least`."""
         keys, counts = (joined(x, kind) for x, kind in zip(_keys(tab), (np.uint64, np.int32), strict=True))
         total = np.bincount(_bucket(keys), counts, BUCKETS)
-        return _array_row(tab, squeezed(np.minimum(total, least).astype(np.int32)))
+        return _array_row(tab, squeezed(np.minimum(total, least).astype(np.min_scalar_type(least))))
 
     return run
 
 
 def _bucket_sum(least: int):
     def run(tab: pa.Table) -> pa.Table:
-        total = np.zeros(BUCKETS, np.int32)
+        total = np.zeros(BUCKETS, np.int64)
         for i in range(tab.num_rows):
-            total = np.minimum(total + unsqueezed(tab.slice(i, 1), "data", np.int32)[0], least)
-        return _array_row(tab, squeezed(total.astype(np.int32)))
+            total = np.minimum(total + unsqueezed(tab.slice(i, 1), "data", np.min_scalar_type(least))[0], least)
+        return _array_row(tab, squeezed(total.astype(np.min_scalar_type(least))))
+
+    return run
+
+
+def _full(least: int):
+    def run(batches):
+        """A bit for each bucket: whether it reaches `least`."""
+        for batch in batches:
+            bits = [squeezed(np.packbits(total >= least)) for total in unsqueezed(pa.Table.from_batches([batch]), "data", np.min_scalar_type(least))]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(bits, pa.binary())], names=["shard", "data"])
 
     return run
 
@@ -283,25 +302,37 @@ def _beside(rows: DataFrame, arrays: DataFrame, parts: int, run, schema: str) ->
     return rows.groupBy("shard", "part").cogroup(each.groupBy("shard", "part")).applyInArrow(run, schema)
 
 
-def _filtered(least: int):
-    def run(rows: pa.Table, sums: pa.Table) -> pa.Table:
-        """The keys whose buckets reach `least`."""
-        full = unsqueezed(sums, "data", np.int32)[0] >= least
-        lot, shard, part, kept, times = [], [], [], [], []
-        for i, (keys, counts) in enumerate(zip(*_keys(rows), strict=True)):
+def _filtered(each: bool):
+    def run(rows: pa.Table, full: pa.Table) -> pa.Table:
+        """The keys whose buckets are full: a row without a lot with those of all the task's lots and their counts, and where wanted a row of keys for each lot."""
+        if not rows.num_rows:
+            return rows
+        full = np.unpackbits(unsqueezed(full, "data", np.uint8)[0]).view(bool)
+        lot, kept, times = [], [], []
+        for name, keys, counts in zip(rows.column("lot").to_pylist(), *_keys(rows), strict=True):
             stay = full[_bucket(keys)]
             if stay.any():
-                kept.append(rising(keys[stay]))
-                times.append(planes(counts[stay]))
-                for to, name in ((lot, "lot"), (shard, "shard"), (part, "part")):
-                    to.append(rows.column(name)[i].as_py())
-        return pa.table({"lot": pa.array(lot, pa.string()), "shard": pa.array(shard, pa.int32()), "part": pa.array(part, pa.int32()), "keys": pa.array(kept, pa.binary()), "counts": pa.array(times, pa.binary())})
+                lot.append(name)
+                kept.append(keys[stay])
+                times.append(counts[stay])
+        keys, counts = joined(kept, np.uint64), joined(times, np.int32)
+        order = np.argsort(keys, kind="stable")
+        first = groups_of(keys[order])
+        sums = np.add.reduceat(counts[order], first, dtype=np.int64) if len(keys) else counts.astype(np.int64)
+        lot, kept = (lot, kept) if each else ([], [])
+        n = len(lot)
+        lot, sent, sums = [*lot, None], [*map(rising, kept), rising(keys[order][first])], [*[None] * n, planes(sums)]
+        shard, part = (pa.array([rows.column(c)[0].as_py()] * (n + 1), pa.int32()) for c in ("shard", "part"))
+        return pa.table({"lot": pa.array(lot, pa.string()), "shard": shard, "part": part, "keys": pa.array(sent, pa.binary()), "counts": pa.array(sums, pa.binary())})
 
     return run
 
 
-def _distinct(tab: pa.Table) -> pa.Table:
-    return _array_row(tab, squeezed(np.unique(joined(_keys(tab)[0], np.uint64))))
+def _distinct(batches):
+    """The keys of rows of a task's lots, as arrays."""
+    for batch in batches:
+        arrays = [squeezed(unrisen(x, np.uint64)) for x in unsqueezed(pa.Table.from_batches([batch]), "keys", np.uint8)]
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("part"), pa.array(arrays, pa.binary())], names=["shard", "part", "data"])
 
 
 def _hash_of(batches):
@@ -314,9 +345,10 @@ def _hash_of(batches):
 def _slot_counts(rows: pa.Table, hashes: pa.Table) -> pa.Table:
     """How often each slot's key occurs in a task's lots."""
     hashed = PerfectHash.unpack(unsqueezed(hashes, "hash", np.uint64)[0])
-    keys, counts = (joined(x, kind) for x, kind in zip(_keys(rows), (np.uint64, np.int32), strict=True))
-    slot = hashed.slots(keys)
-    total = np.bincount(slot[slot >= 0], counts[slot >= 0], len(hashed.keys)).astype(np.int64)
+    total = np.zeros(len(hashed.keys), np.int64)
+    for keys, counts in zip(unsqueezed(rows, "keys", np.uint8), unsqueezed(rows, "counts", np.uint8), strict=True):
+        slot, counts = hashed.slots(unrisen(keys, np.uint64)), unplaned(counts, np.int64)
+        total[slot[slot >= 0]] += counts[slot >= 0]  # a row's keys differ
     return _array_row(rows if rows.num_rows else hashes, squeezed(total))
 
 
@@ -340,13 +372,15 @@ def packed_rows(keys: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(keys), [None, pa.py_buffer(packed(keys.astype(">u8")))])
 
 
-def counted(keys: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """Rows of keys that may be frequent, and (shard, first, last, n, slot) of the phrases that are: first is the slot of the part before the last word."""
+def counted(keys: DataFrame, shape: Shape, each: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys that may be frequent (with `each` those of the lots too), and (shard, first, last, n, slot) of the phrases that are: first is the slot of the part before the last word."""
     parts, least = shape.parts, shape.least
     sums = _tree(keys.groupBy("shard", "part").applyInArrow(_bucket_counts(least), ARRAY_ROWS), parts, _bucket_sum(least))
-    kept = _kept(_beside(keys, sums.drop("part"), parts, _filtered(least), KEY_ROWS))
-    hashes = _kept(_tree(kept.groupBy("shard", "part").applyInArrow(lambda t: _distinct(t), ARRAY_ROWS), parts, _union).mapInArrow(_hash_of, "shard int, hash binary"))
-    counts = _tree(_beside(kept, hashes, parts, _slot_counts, ARRAY_ROWS), parts, _count_sum)
+    full = sums.select("shard", "data").mapInArrow(released(_full(least)), "shard int, data binary")
+    kept = _kept(_beside(keys, full, parts, _filtered(each), KEY_ROWS))
+    sums = kept.where("lot IS NULL").select("shard", "part", "keys", "counts")
+    hashes = _kept(_tree(sums.mapInArrow(released(_distinct), ARRAY_ROWS), parts, _union).mapInArrow(_hash_of, "shard int, hash binary"))
+    counts = _tree(_beside(sums, hashes, parts, _slot_counts, ARRAY_ROWS), parts, _count_sum)
     rows = hashes.join(counts.drop("part"), "shard").mapInArrow(_frequent(least), "shard int, key binary, n long")
     key = "CAST(conv(hex(key), 16, 10) AS DECIMAL(20,0))"
     rows = rows.selectExpr("shard", f"{key} DIV {shape.words} first", f"CAST({key} % {shape.words} AS LONG) last", "n")
@@ -362,7 +396,7 @@ def _answers(shape: Shape):
         order = np.argsort(keys)
         keys, slots = keys[order], known.column("slot").to_numpy()[order]
         out = []
-        for mine in _keys(rows)[0]:
+        for mine in (unrisen(x, np.uint64) for x in unsqueezed(rows, "keys", np.uint8)):
             at = find(keys, mine)
             out.append((rising(mine[at >= 0]), planes(slots[at[at >= 0]])))
         return pa.table({"lot": rows.column("lot"), "keys": pa.array([x[0] for x in out], pa.binary()), "slots": pa.array([x[1] for x in out], pa.binary())})
@@ -376,7 +410,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     made = _kept(docs.mapInArrow(_lots, LOT_ROWS))
     size = saved(made.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (a, b) -> a + b)")).alias("n"), F.count("*").alias("lots")))
     flat = made.select("lot", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "word")).select("lot", "lang", "place", "word.words", "word.counts").toDF("lot", "lang", "place", "word", "f")
-    words = _kept(_numbered(flat.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "slot"))
+    words = _kept(_numbered(flat.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least).orderBy(F.desc("f"), "lang", "word"), "slot"))
     facts = size.agg(F.sum("n"), F.sum("lots")).first()
     shape = Shape(max(words.count(), 1), max(1, -(-(facts[0] or 0) // SHARD)), max(1, -(-(facts[1] or 0) // LOTS)), least)
     if shape.words**2 >= 2**64 - 1:
@@ -385,12 +419,12 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     seqs = _kept(made.select("lot", "ids").groupBy("lot").cogroup(known.groupBy("lot")).applyInArrow(_numbers, "lot string, seq binary"))
     dropped(made, known)
 
-    kept, two = counted(seqs.mapInArrow(shape.pairs(), KEY_ROWS), shape)
+    kept, two = counted(seqs.mapInArrow(shape.pairs(), KEY_ROWS), shape, True)
     if two.count() * shape.words >= 2**64 - 1:
         raise ValueError("too many frequent phrases for keys of 64 bits")
-    mine = _beside(kept, two.select("shard", "first", "last", "slot"), shape.parts, _answers(shape), "lot string, keys binary, slots binary")
+    mine = _beside(kept.where("lot IS NOT NULL"), two.select("shard", "first", "last", "slot"), shape.parts, _answers(shape), "lot string, keys binary, slots binary")
     three_keys = seqs.groupBy("lot").cogroup(mine.groupBy("lot")).applyInArrow(shape.triples(), KEY_ROWS)
-    rest, three = counted(three_keys, shape)
+    rest, three = counted(three_keys, shape, False)
     dropped(seqs, kept, rest)
 
     def word(i: int) -> DataFrame:

@@ -87,6 +87,33 @@ def test_keys_counts_and_slots_are_sent_in_few_bytes():
     assert size(answers, "keys", "slots") < 6.5 * len(every)
 
 
+def test_written_texts_and_keys_take_few_bytes(spark, monkeypatch):
+    """Frequent words have small slots, gaps leave high bytes empty, and lots are written again for pairs only, without counts."""
+    rng = np.random.default_rng(6)
+    texts = [(" ".join(f"w{x}" for x in (rng.pareto(0.7, 60_000) * 10).astype(np.int64).clip(0, 40_000)).replace("7 ", "7. "), "en") for _ in range(4)]
+    docs = spark.createDataFrame(texts, "text string, lang string").repartition(4)
+    tables, saved = [], collocations.saved
+
+    def recorded(df):
+        out = saved(df)
+        tables.append(out.toArrow())
+        return out
+
+    monkeypatch.setattr(collocations, "saved", recorded)
+    rows = collocations.collocations(docs).toArrow()
+    words = next(t for t in tables if {"word", "slot"} <= set(t.column_names)).sort_by("slot").column("f").to_pylist()
+    assert words == sorted(words, reverse=True) and len(words) > 500
+    seqs = next(t for t in tables if "seq" in t.column_names).column("seq").to_pylist()
+    assert sum(map(len, seqs)) < 1.6 * 4 * 60_000
+    two, three = [t for t in tables if {"keys", "counts"} <= set(t.column_names)]
+    assert {x for x in zip(two.column("lot").is_null().to_pylist(), two.column("counts").is_null().to_pylist(), strict=True)} == {(True, False), (False, True)}
+    assert three.column("lot").null_count == three.num_rows > 0
+    con = duckdb.connect()
+    con.register("documents", pa.table({"text": [t for t, _ in texts], "lang": [x for _, x in texts]}))
+    con.register("rows_", rows)
+    assert rows.num_rows == 2000 and con.execute(f"SELECT count(*) FROM ((FROM rows_) EXCEPT ALL ({collocations.SQL}))").fetchone() == (0,)
+
+
 def _table(blob: bytes):
     import pyarrow as pa
 
