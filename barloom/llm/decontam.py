@@ -42,7 +42,6 @@ HELD = 1 << 20
 WORD = 63
 #: Blocks of longer items begin every GAP bytes; edits they may have in proportion to the item's.
 GAP, NEAR = 21, 1.25
-BIT = np.uint8(128) >> np.arange(8, dtype=np.uint8)
 #: A random number for each byte at each step: a sample's hash is their sum.
 VALUES = np.random.default_rng(1).integers(0, 2**32, (2 << WIDEST, 256), np.uint32)
 
@@ -103,12 +102,40 @@ class Windows:
         keys = [np.zeros(len(at), np.uint32) for _ in range(self.tables)]
         for j in range(self.steps):
             byte = data.take(place)
-            for t in samples[j]:
-                keys[t] += VALUES[j].take(byte)
+            if samples[j]:
+                value = VALUES[j].take(byte)
+                for t in samples[j]:
+                    keys[t] += value
             last = place
             place = place + moves[j].take(byte)
         return keys, last
 
+    def two_steps(self, seen: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """Per walk and two steps, for the number of the byte stood on among those seen and len(seen) times that of the next: bytes moved on by, and what is added to each table's hash."""
+        now, after = np.tile(seen, len(seen)), np.repeat(seen, len(seen))
+        out = []
+        for moves, samples in self.walks:
+            out.append([])
+            for j in range(0, self.steps, 2):
+                move, sums = moves[j].take(now), np.zeros((len(now), self.tables), np.uint32)
+                sums[:, samples[j]] += VALUES[j].take(now)[:, None]
+                if j + 1 < self.steps:
+                    then = np.where(move == 1, after, now)
+                    sums[:, samples[j + 1]] += VALUES[j + 1].take(then)[:, None]
+                    move = move + moves[j + 1].take(then)
+                out[-1].append((move, sums))
+        return out
+
+    def hashes(self, steps, pairs: np.ndarray, at: np.ndarray):
+        """The hashes of keys(), by the steps of two_steps(). pairs: numbers of each byte and the next."""
+        for walk in steps:
+            place, keys = at.copy(), np.zeros((len(at), self.tables), np.uint32)
+            for move, sums in walk:
+                two = pairs.take(place)
+                keys += sums.take(two, 0)
+                place += move.take(two)
+            yield np.ascontiguousarray(keys.T)
+
     def keys(self, data: np.ndarray, at: np.ndarray):
         """Per walk: the hash of each table's sample for the windows that begin at `at`, and where they end. data: integers (indices of tables), steps longer than its texts."""
         for walk in self.walks:
@@ -206,16 +233,20 @@ class Items:
 def collisions(data: np.ndarray, items: Items):
     """(place, item, offset): places of the text and the item whose windows collide, at most HELD and a window's at once."""
     for windows, tables in items.classes:
-        padded = np.concatenate([data, np.zeros(windows.steps + 1, np.uint8)]).astype(np.int64)
+        padded = np.concatenate([data, np.zeros(windows.steps + 1, np.uint8)])
+        seen = np.flatnonzero(np.bincount(padded, minlength=256))
+        pairs = np.searchsorted(seen, np.arange(256)).take(padded)
+        pairs[:-1] += pairs[1:] * len(seen)
+        steps = windows.two_steps(seen)
         for low in range(0, len(data), STEP * windows.stride):
             at = np.arange(low, min(low + STEP * windows.stride, len(data)), windows.stride)
             k = 0
-            for keys, _ in windows.keys(padded, at):
+            for keys in windows.hashes(steps, pairs, at):
                 for key in keys:
                     bits, filled, known, begin, count, item, offset = tables[k]
                     k += 1
                     slot = key >> np.uint32(32 - bits)
-                    hit = np.flatnonzero(filled.take(slot >> np.uint32(3)) & BIT.take(slot & np.uint32(7)))
+                    hit = np.flatnonzero(filled.take(slot >> np.uint32(3)) << (slot & np.uint32(7)).astype(np.uint8) & np.uint8(128))
                     which = find(known, key[hit])
                     hit, which = hit[which >= 0], which[which >= 0]
                     first, n = begin[which], count[which]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from hashlib import sha256
 
 import duckdb
@@ -228,3 +229,30 @@ def test_block_distances_equal_plain_ones():
         first, edits = int(built.block_begin[b]), int(built.block_edits[b])
         plain = decontam.edit_distance(items[built.block_item[b]][first : first + int(built.block_size[b])], raw[s:e])
         assert x == plain if plain <= edits else x > edits
+
+
+def test_walks_take_two_steps_at_a_time():
+    """The hashes are those of single steps, for any bytes and odd numbers of steps, at less CPU."""
+    rng = np.random.default_rng(8)
+    cost = {"one": [], "two": []}
+    for size_class, crowd, steps in ((2, 100, None), (4, 40_000, 7), (6, 40_000, None)):
+        windows = decontam.Windows(size_class, crowd)
+        windows.steps = steps or windows.steps
+        item = rng.integers(97, 123, 4000)
+        for _ in range(2):
+            windows.add(item, np.arange(0, 1500), np.arange(1500, 3000))
+        text = rng.choice(np.append(np.arange(97, 123), [0, 32, 195, 255]), 400_000).astype(np.uint8)
+        padded = np.append(text, np.zeros(windows.steps + 1, np.uint8))
+        seen = np.unique(padded).astype(np.int64)
+        pairs = np.searchsorted(seen, padded)
+        pairs[:-1] += pairs[1:] * len(seen)
+        for _ in range(5):
+            at = np.arange(0, len(text), 4)
+            start = time.process_time()
+            one = [keys for keys, _ in windows.keys(padded.astype(np.int64), at)]
+            between = time.process_time()
+            two = [*windows.hashes(windows.two_steps(seen), pairs, at)]
+            for kind, seconds in (("one", between - start), ("two", time.process_time() - between)):
+                cost[kind].append(seconds)
+        assert all((a == b).all() for x, y in zip(one, two, strict=True) for a, b in zip(x, y, strict=True))
+    assert min(cost["two"][-5:]) < 0.85 * min(cost["one"][-5:]), cost
